@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.labelled import smallest, with_texts
+
 
 @dataclass(frozen=True)
 class QualityParams:
@@ -98,18 +100,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]) / scale, 1e-9), float(w[1])
 
 
-def train(labelled: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Fit on rows (doc_id, text, label); a seeded half of the documents makes the dictionaries, the other the curve."""
-    mixed = F.xxhash64(F.lit(params.seed), "doc_id")
-    rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)").withColumns({"half": F.pmod(mixed, F.lit(2)), "mixed": mixed})
-    sizes = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
+    """Fit on the documents of ``labels``, unique (doc_id, label) rows; a seeded half makes the dictionaries, the other the curve."""
+    halved = labels.withColumn("half", F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.lit(2)))
+    sizes = {(r["label"], r["half"]): r["n"] for r in halved.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     if not all(sizes.get((label, half)) for label in (0, 1) for half in (0, 1)):
         good, n = sum(v for k, v in sizes.items() if k[0]), sum(sizes.values())
         share = (good + 0.5) / (n + 1.0)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))), params)
 
     def sample(label: int, half: int) -> DataFrame:
-        return rows.where((F.col("label") == label) & (F.col("half") == half)).orderBy("mixed", "doc_id").limit(params.max_docs)
+        own = halved.where((F.col("label") == label) & (F.col("half") == half)).select("doc_id", "label")
+        return with_texts(docs, smallest(own, params.max_docs, params.seed))
 
     def spaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,7 +125,7 @@ def train(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quali
         build_dictionary([bytes(r["part"]) for r in sample(label, 0).select("text").mapInPandas(spaced, "part binary").sort("part").collect()], params.dictionary)
         for label in (0, 1)
     )
-    shared = labelled.sparkSession.sparkContext.broadcast(QualityModel(bad, good, 1.0, 0.0, params))
+    shared = docs.sparkSession.sparkContext.broadcast(QualityModel(bad, good, 1.0, 0.0, params))
 
     @F.pandas_udf("double")
     def measured(texts: pd.Series) -> pd.Series:

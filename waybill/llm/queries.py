@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm import chat_views, mixing, quality_compress, rule_ledger, toxicity, url_filter
+from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 
 #: Fixed values of the url rules.
@@ -66,7 +67,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(5) == 0
-    model = quality_compress.train(labelled(docs.where(~held_out), labels, "quality"))
+    model = quality_compress.train(docs, known_labels(labels, "quality", ~held_out))
     return quality_compress.score(docs.select("doc_id", "text"), model, 0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
