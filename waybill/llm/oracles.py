@@ -82,4 +82,17 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   n_repeat_words::bigint as n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed::bigint as failed
 from f"""
 
-ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op6_chat_views": _OP6, "op9_rule_ledger": _OP9}
+_OP8 = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, strlen(html) as n, sha1(html) as sha from p),
+f as (select sha, min(page_id) as first from h group by sha),
+d as (
+  select h.page_id, h.n, h.sha, case when h.page_id > f.first then f.first end as refers_to,
+    list_transform(range(8), lambda g: ('0x' || substr(h.sha, (g * 5 + 1)::int, 5))::bigint) as groups
+  from h join f on h.sha = f.sha)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(list_transform(groups, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> b) & 31) + 1)::int, 1)), '')), '') as payload_digest,
+  case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+from d"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op6_chat_views": _OP6, "op8_warc_zip": _OP8, "op9_rule_ledger": _OP9}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import chat_views, mixing, quality_compress, rule_ledger, toxicity, url_filter
+import public_tokenizers
+
+from waybill.llm import chat_views, fingerprints, mixing, packing, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 
@@ -82,11 +84,30 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "failed")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    packages = warc_zip.write_packages(pages, warc_zip.shared_folder(spark, "warc"), least=0)
+    return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op6_chat_views": op6_chat_views,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_warc_zip": op8_warc_zip,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_packing": op10_packing,
 }
