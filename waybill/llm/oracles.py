@@ -45,6 +45,23 @@ select doc_id, domain, lang, source, epoch::int as epoch, n_tokens::bigint as n_
   (case when epoch = epochs and key = cut then least(n_tokens, last_take) else n_tokens end)::bigint as take_tokens
 from rounds"""
 
+_OP5 = rf"""
+with recursive w as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as words from documents),
+s as (
+  select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' '))) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 85 * (x.n + y.n - k)),
+sides as (select u, v from links union all select v, u from links),
+reach(doc_id, top) as (
+  select doc_id, doc_id from documents
+  union
+  select sides.v, reach.top from reach join sides on sides.u = reach.doc_id where reach.top < sides.v),
+tops as (select doc_id, min(top) as top from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, t.top as component_id, d.doc_id = t.top as kept
+from documents d join tops t on t.doc_id = d.doc_id left join n on n.doc_id = d.doc_id"""
+
 _OP6 = r"""
 with lines as (select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
 people as (select distinct conv_id, speaker as perspective from lines where speaker <> 'system'),
@@ -95,4 +112,4 @@ select page_id, n::bigint as payload_bytes,
   case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
 from d"""
 
-ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op6_chat_views": _OP6, "op8_warc_zip": _OP8, "op9_rule_ledger": _OP9}
+ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op5_near_dedup": _OP5, "op6_chat_views": _OP6, "op8_warc_zip": _OP8, "op9_rule_ledger": _OP9}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from waybill.llm import chat_views, fingerprints, mixing, packing, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
+from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 
@@ -73,6 +73,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_compress.score(docs.select("doc_id", "text"), model, 0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, near_dedup.DedupParams(shingle=3, percent=85))
+
+
 def op6_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_views.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op5_near_dedup": op5_near_dedup,
     "op6_chat_views": op6_chat_views,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc_zip": op8_warc_zip,
