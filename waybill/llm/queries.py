@@ -43,16 +43,10 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of each labelled document; of repeated labels the largest counts."""
-    known = labels.groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(3) == 1
-    model = toxicity.train(labelled(docs.where(~held_out), labels, "toxic"))
+    model = toxicity.train(docs, known_labels(labels, "toxic", ~held_out))
     return toxicity.score(docs.select("doc_id", "text"), model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -8,10 +8,10 @@ Buckets whose ratio is not noise (``min_z``) become features with the value
 ``r``, and a ridge-penalised logistic regression is fitted on them.  The score
 is the fitted probability of label 1.
 
-Scale.  The counts are one pass with map-side sums over at most ``2**bits``
-keys.  The regression sees a bounded sample (``max_fit_docs`` documents, the
-smallest seeded hashes), so the driver holds at most ``max_fit_docs`` short
-feature lists.  The model is one ``2**bits`` table of floats (4 MB) that goes to
+Scale.  Both steps of training see one bounded sample (``max_fit_docs`` labelled
+documents, the smallest seeded hashes), whose ids go to the tasks that read the
+texts.  The counts are sums over at most ``2**bits`` keys, and the driver holds
+at most ``max_fit_docs`` short feature lists.  The model is one ``2**bits`` table of floats (4 MB) that goes to
 the tasks, and scoring is a map without a shuffle.
 
 Defined cases.  A null text counts as empty.  An empty text, or one without any
@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.labelled import smallest, with_texts
+
 _PRIME = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,10 +107,11 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     return w, b
 
 
-def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on rows (doc_id, text, label); rows without a label are left out."""
-    rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """Fit on the documents of ``labels``, unique (doc_id, label) rows with labels 0 and 1."""
+    ids = smallest(labels, params.max_fit_docs, params.seed).checkpoint()
+    rows = with_texts(docs, ids)
+    sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     empty = np.zeros(2**params.bits, np.float32)
     if not n1 or not n0:
@@ -137,8 +140,7 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Tox
             found = [np.unique(s[s >= 0]) for s in (slot[np.concatenate(grams(t, params))] for t in batch["text"])]
             yield pd.DataFrame({"label": batch["label"], "slots": found})
 
-    sample = rows.orderBy(F.xxhash64(F.lit(params.seed), "doc_id"), "doc_id").limit(params.max_fit_docs)
-    fitted = sample.select("text", "label").mapInPandas(features, "label int, slots array<int>").toPandas()
+    fitted = rows.select("text", "label").mapInPandas(features, "label int, slots array<int>").toPandas()
     lengths = fitted["slots"].map(len).to_numpy()
     cols = np.concatenate([np.asarray(s, np.int64) for s in fitted["slots"]]) if lengths.sum() else np.empty(0, np.int64)
     w, b = fit_logistic(np.repeat(np.arange(len(fitted)), lengths), cols, r[cols], fitted["label"].to_numpy(np.float64), len(r), params.ridge, params.steps)
