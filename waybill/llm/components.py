@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round is two joins with map-side minima; a node with very many links is
-split by adaptive execution.  Rounds are cut by checkpoints, and nothing but two
-totals a round reaches the driver.
+split by adaptive execution.  Rounds are cut by written tables, and nothing but whether
+a round was the last reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.workspace import Workspace
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the node's least neighbour."""
@@ -26,12 +28,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, space: Workspace) -> DataFrame:
     """From links (u, v): (node, label) of every linked node but the least of each component, which is the label."""
-    edges, before = links.where("u <> v").select("u", "v").distinct(), None
+    edges = space.save(links.where("u <> v").select("u", "v").distinct())
     while True:
-        edges = _small(_large(edges)).checkpoint()
-        total = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (total["n"], total["s"]) == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = (total["n"], total["s"])
+        starred = space.save(_small(_large(edges)))
+        space.drop(edges)
+        edges = starred
+        inner = edges.select(F.col("v").alias("c")).join(edges.select(F.col("u").alias("d")), F.col("c") == F.col("d"), "left_semi")
+        if inner.isEmpty():  # all links point at a least node: nothing is left to move
+            return edges.withColumnsRenamed({"u": "node", "v": "label"})

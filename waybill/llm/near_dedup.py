@@ -1,27 +1,39 @@
 """MinHash near-deduplication by a chosen-path set similarity join.
 
 Method.  A document's set is its distinct word shingles, and each set is embedded
-as ``TOKENS`` minwise tokens.  In each of several independent trees the root
-branches the documents by one selected token; a node of more than ``SMALL``
-documents branches again, by two tokens that a hash of its path selects, and a
-smaller node is compared exhaustively.  A pair at the threshold ``t`` survives a
-tree with probability ``2 - 1/t`` however deep it is, so the number of trees
-follows from the recall aimed at (``1 - MISS`` a pair).  Nodes compare sketches
-first, with a margin of six standard deviations below the threshold, and every
-candidate is confirmed on the two full sets.
+as minwise tokens.  In each of several independent trees the root branches the
+documents by one selected token; a larger node branches on, by tokens that a hash
+of its path selects, and nodes of at most ``SMALL`` documents (``SMALL_WIDE`` in
+the second round) are compared exhaustively.  A node selects one token, or with probability ``1/t - 1`` two, so
+that a pair at the threshold ``t`` has one common child on average: such pairs
+survive, and less similar ones die out.  Node comparisons use sketches, with a
+margin of five standard deviations below the threshold, and every candidate is
+confirmed on the two full sets.
+
+The trees come in two rounds.  The first takes all documents and branches once;
+its trees are twice what a recall of ``1 - MISS`` needs, so that a document may
+stand in a few large nodes and still meet its partners in small ones (``spare``).
+Documents in more large nodes, and those of small nodes that are left with many
+doubtful pairs, enter a second round of more trees and longer sketches, again
+from the roots; as both ends of a pair that the first round leaves open are
+among them, no link is lost between the rounds.  The number of trees follows from the chance that a pair at the threshold survives
+all branchings, whose number follows from the largest node of the first round.
 
 Only links between different components matter, so work shrinks as links are
-confirmed.  Equal sets are one class from the start.  In a large node each
-member is compared with one pivot; in a small one a spanning forest of the
-likeliest pairs is confirmed first, and other pairs only if their ends are then
-still apart.  A node whose members are all connected goes no further.  Nodes that
-cannot be split after ``DEPTH`` levels are compared exactly, across components.
+confirmed.  Equal sets are one class from the start.  In the first round's large
+nodes each member is compared with one pivot, the member most like about
+``SAMPLE`` others.  In a small node a spanning forest of the likeliest pairs is
+confirmed first; then the node is compared again, and only pairs whose ends are
+still apart are candidates.  A node whose members are all connected goes no
+further.  Nodes that are still large after ``ROUNDS`` branching steps are compared
+exactly, across components.
 
 Scale.  Texts are read by maps, and moved only for candidates, by a join with the
 candidate ids (broadcast only if counted to be at most ``BROADCAST_IDS``).  Rows
-of the trees hold a node, an id and a 128-byte sketch.  Group sizes, pivots and
-components come from aggregates with map-side sums and from joins that adaptive
-execution splits; no group is collected but those of at most ``SMALL`` members.
+of the trees hold a node, an id and a sketch of 128 bytes, 512 in the second
+round.  Group sizes, pivots and components come from aggregates with map-side sums
+and from joins that adaptive execution splits; no group is collected but those of
+small nodes, of about 1 MB at most.
 
 Defined cases.  Null, empty and blank texts have the empty set and link with
 nothing.  Very long texts are read whole.  Rows that repeat a doc_id are one node
@@ -41,15 +53,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.components import components
+from waybill.llm.workspace import Workspace
 
-TOKENS, SMALL, DEPTH = 128, 24, 12
+TOKENS, WIDE = 128, 512
+SMALL, SMALL_WIDE, SAMPLE, FEW = 1024, 2048, 32, 4
+SHRINK, ROUNDS = 0.75, 24
 MISS = 1e-6
 BROADCAST_IDS = 1_000_000
-_BYTES = 1 << 22
+_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -62,16 +78,37 @@ class DedupParams:
     seed: int = 11
 
     @property
-    def trees(self) -> int:
-        survives = 2 - 100 / self.percent
-        if survives <= 0:
-            raise ValueError("the threshold must be above one half")
-        return max(1, math.ceil(math.log(MISS) / math.log(1 - survives))) if survives < 1 else 1
+    def threshold(self) -> float:
+        return self.percent / 100
+
+    def trees(self, depth: int) -> int:
+        """Trees in which a pair at the threshold survives ``depth`` branchings with probability ``1 - MISS``."""
+        two = min(1.0, 1 / self.threshold - 1)
+        lives = 1.0
+        for level in reversed(range(depth)):
+            meets = self.threshold * lives
+            lives = meets if level == 0 else (1 - two) * meets + two * (1 - (1 - meets) ** 2)
+        return max(1, math.ceil(math.log(MISS) / math.log(1 - lives))) if lives < 1 else 1
 
     @property
-    def floor(self) -> float:
-        t = self.percent / 100
-        return t - 6 * math.sqrt(t * (1 - t) / TOKENS)
+    def roots(self) -> int:
+        """Trees of the first round: twice what recall needs, so that a few large nodes can be done without."""
+        return min(TOKENS, 2 * self.trees(1))
+
+    @property
+    def spare(self) -> int:
+        """In how many trees a document may stand in a large node while the other trees still reach ``1 - MISS``.
+
+        If a share ``f`` of its tokens leads to large nodes, the rest of two sets at
+        the threshold ``t`` is alike by ``(t - f) / (1 - f)`` at least.
+        """
+        n = self.roots
+        rest = lambda k: max(0.0, (self.threshold - k / n) / (1 - k / n))
+        return max(k for k in range(n) if (1 - rest(k)) ** (n - k) <= MISS or k == 0)
+
+    def floor(self, tokens: int) -> float:
+        """The least estimate from so many tokens that is still a candidate."""
+        return self.threshold - 5 * math.sqrt(self.threshold * (1 - self.threshold) / tokens)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,15 +173,15 @@ def shingle_sets(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
 
 @functools.lru_cache(2)
 def _functions(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    made = np.random.default_rng(seed).integers(0, 2**32, (2, TOKENS, 1), dtype=np.uint64).astype(np.uint32)
+    made = np.random.default_rng(seed).integers(0, 2**32, (2, WIDE, 1), dtype=np.uint64).astype(np.uint32)
     return made[0] | np.uint32(1), made[1]
 
 
-def tokens_of(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """The minwise token of a set under each function."""
-    a, b = _functions(seed)
+def tokens_of(hashes: np.ndarray, seed: int, count: int) -> np.ndarray:
+    """The minwise token of a set under each of the first ``count`` functions."""
+    a, b = (x[:count] for x in _functions(seed))
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    best = np.full(TOKENS, 2**32 - 1, np.uint32)
+    best = np.full(count, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 4096):
         values = x[None, i : i + 4096] * a + b
         values ^= values >> np.uint32(15)
@@ -159,8 +196,8 @@ def _short(tokens: np.ndarray) -> bytes:
 
 def describe(docs: DataFrame, params: DedupParams) -> DataFrame:
     """(doc_id, n, digest, sketch, roots): the set's size and digest, its sketch, and its node in each tree."""
-    chosen = np.random.default_rng(params.seed + 1).permutation(TOKENS)[: params.trees]
-    salts = mix(np.arange(1, params.trees + 1, dtype=np.uint64) * np.uint64(_P))
+    chosen = np.random.default_rng(params.seed + 1).permutation(TOKENS)[: params.roots]
+    salts = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64) * np.uint64(_P))
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,7 +207,7 @@ def describe(docs: DataFrame, params: DedupParams) -> DataFrame:
                 if not len(found):
                     rows.append((doc_id, 0, digest, None, None))
                     continue
-                tokens = tokens_of(found, params.seed)
+                tokens = tokens_of(found, params.seed, TOKENS)
                 roots = mix(salts ^ mix(tokens[chosen].astype(np.uint64) + salts)).astype(np.int64)
                 rows.append((doc_id, len(found), digest, _short(tokens), roots))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "roots"]).astype({"doc_id": "Int64"})
@@ -190,52 +227,97 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _small_pairs(groups: DataFrame, params: DedupParams) -> DataFrame:
-    """(u, v, first): likely pairs of different labels in nodes of at most ``SMALL`` members; ``first`` marks a forest of the likeliest."""
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _likely_pairs(labels: np.ndarray, sizes: np.ndarray, s: np.ndarray, params: DedupParams) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different labels whose sketches are alike enough, the likeliest first."""
+    floor, rows, others, alike = params.floor(s.shape[1]), [], [], []
+    for i in range(len(labels) - 1):
+        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & _possible(sizes[i + 1 :], sizes[i], params.percent))
+        like = _agreement(s[j], s[i])
+        near = like >= floor
+        rows.append(np.full(near.sum(), i, np.int32))
+        others.append(j[near].astype(np.int32))
+        alike.append(like[near].astype(np.float32))
+    if not rows:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    order = np.argsort(-np.concatenate(alike), kind="stable")
+    return np.concatenate(rows)[order], np.concatenate(others)[order]
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the label pairs, in order, join two trees."""
+    tops: dict[int, int] = {}
+    joins = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        while (t := tops.get(a, a)) != a:
+            a = t
+        while (t := tops.get(b, b)) != b:
+            b = t
+        if a != b:
+            tops[a] = b
+            joins[k] = True
+    return joins
+
+
+def _compare(groups: DataFrame, params: DedupParams, what: str) -> DataFrame:
+    """(u, v) for likely pairs of different labels in small nodes.
+
+    ``forest``: a spanning forest of the likeliest.  ``all``: every pair.  ``few``:
+    every pair of a node with at most ``FEW`` a member; of other nodes the members
+    in such pairs, as (u, u).
+    """
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, bool]] = []
-            for docs, labels, sizes, sketches in zip(batch["docs"], batch["labels"], batch["sizes"], batch["sketches"], strict=True):
-                s = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(docs), TOKENS)
-                i, j = np.triu_indices(len(docs), 1)
-                labels, sizes = np.asarray(labels), np.asarray(sizes)
-                fits = _possible(sizes[i], sizes[j], params.percent) & (labels[i] != labels[j])
-                i, j = i[fits], j[fits]
-                like = _agreement(s[i], s[j])
-                keep = np.argsort(-like[like >= params.floor], kind="stable")
-                i, j = i[like >= params.floor][keep], j[like >= params.floor][keep]
-                tops = {int(x): int(x) for x in labels}
-                for a, b in zip(i, j, strict=True):
-                    x, y = int(labels[a]), int(labels[b])
-                    while tops[x] != x:
-                        x = tops[x]
-                    while tops[y] != y:
-                        y = tops[y]
-                    tops[x] = y
-                    u, v = int(docs[a]), int(docs[b])
-                    out.append((min(u, v), max(u, v), x != y))
-            yield pd.DataFrame(out, columns=["u", "v", "first"])
-
-    return groups.mapInPandas(compared, "u long, v long, first boolean")
-
-
-def _children(rows: DataFrame) -> DataFrame:
-    """(node, doc, n, sketch): each member of a node in the two branches that the node's path selects."""
+            for docs, labels, sizes, sketches in zip(*(batch.column(c) for c in ("docs", "labels", "sizes", "sketches")), strict=True):
+                docs, labels, sizes = (x.values.to_numpy() for x in (docs, labels, sizes))
+                s = np.frombuffer(b"".join(sketches.as_py()), np.uint8).reshape(len(docs), -1)
+                i, j = _likely_pairs(labels, sizes, s, params)
+                if what == "forest":
+                    joins = _forest(labels[i], labels[j])
+                    i, j = i[joins], j[joins]
+                elif what == "few" and len(i) > FEW * len(docs):
+                    i = j = np.unique(np.concatenate((i, j)))
+                u, v = np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return groups.mapInArrow(compared, "u long, v long")
+
+
+def _branches(node: np.ndarray, s: np.ndarray, two: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) for one step down from each row's node: one branch, or with probability ``two`` a second one."""
+    rows, width = np.arange(len(node)), s.shape[1]
+    first = (mix(node + np.uint64(1)) % np.uint64(width)).astype(np.int64)
+    more = rows[(mix(node + np.uint64(5)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < two]
+    second = (first[more] + 1 + (mix(node[more] + np.uint64(2)) % np.uint64(width - 1)).astype(np.int64)) % width
+    child = lambda r, at, salt: mix(mix(node[r] + np.uint64(salt)) ^ mix(s[r, at].astype(np.uint64) + np.uint64(977)))
+    return np.concatenate((rows, more)), np.concatenate((child(rows, first, 3), child(more, second, 4)))
+
+
+def _children(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """(node, doc): the members of nodes (with their ``steps`` and sketches) so many branchings further down."""
+    two = 1 / params.threshold - 1
 
     def branched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            s = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), TOKENS)
-            node = batch["node"].to_numpy(np.int64).astype(np.uint64)
-            first = (mix(node + np.uint64(1)) % np.uint64(TOKENS)).astype(np.int64)
-            second = (first + 1 + (mix(node + np.uint64(2)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
-            for salt, at in ((3, first), (4, second)):
-                token = s[np.arange(len(batch)), at].astype(np.uint64)
-                yield batch[["doc", "n", "sketch"]].assign(node=mix(mix(node + np.uint64(salt)) ^ mix(token + np.uint64(977))).astype(np.int64))
+            s = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)
+            at, node, left = np.arange(len(batch)), batch["node"].to_numpy(np.int64).astype(np.uint64), batch["steps"].to_numpy(np.int64)
+            done: list[tuple[np.ndarray, np.ndarray]] = []
+            while len(at):
+                row, child = _branches(node, s[at], two)
+                at, node, left = at[row], child, left[row] - 1
+                done.append((at[left == 0], node[left == 0]))
+                at, node, left = at[left > 0], node[left > 0], left[left > 0]
+            for at, node in done:
+                yield pd.DataFrame({"node": node.astype(np.int64), "doc": batch["doc"].to_numpy()[at]})
+
+    return rows.select("node", "doc", "sketch", "steps").mapInPandas(branched, "node long, doc long")
 
-    return rows.select("node", "doc", "n", "sketch").mapInPandas(branched, "doc long, n long, sketch binary, node long")
+
+def _company(rows: DataFrame) -> DataFrame:
+    """The rows of nodes with two members or more."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), "node")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, key: str, name: str) -> DataFrame:
@@ -248,7 +330,6 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, key: str, name: str) ->
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, params: DedupParams) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
-    pairs = pairs.checkpoint()
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
@@ -274,42 +355,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, params: DedupParams) -> DataFr
 class _Links:
     """Confirmed links so far, as labels; adding links joins components."""
 
-    def __init__(self, docs: DataFrame, params: DedupParams) -> None:
-        self.docs, self.params, self.labels = docs, params, None
+    def __init__(self, docs: DataFrame, params: DedupParams, space: Workspace) -> None:
+        self.docs, self.params, self.space, self.labels = docs, params, space, None
 
     def add(self, pairs: DataFrame) -> None:
         """Confirm those pairs whose ends are still apart."""
-        apart = _labelled(_labelled(pairs.select("u", "v").distinct(), self.labels, "u", "_lu"), self.labels, "v", "_lv").where("_lu <> _lv")
-        found = _confirmed(apart.select("u", "v"), self.docs, self.params)
-        if self.labels is not None:
-            found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        self.labels = components(found)
+        apart = self.space.save(_labelled(_labelled(pairs.select("u", "v").distinct(), self.labels, "u", "_lu"), self.labels, "v", "_lv").where("_lu <> _lv").select("u", "v"))
+        if not apart.isEmpty():
+            found = _confirmed(apart, self.docs, self.params)
+            if self.labels is not None:
+                found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+            self.labels = components(found, self.space)
+        self.space.drop(apart)
+
+
+def _open_nodes(rows: DataFrame, links: _Links) -> DataFrame:
+    """``rows`` with label and ``members``, of those nodes whose members are not all connected."""
+    labelled = _labelled(rows, links.labels, "doc", "label")
+    nodes = labelled.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return links.space.save(labelled.join(nodes.where("lo <> hi").select("node", "members"), "node"))
 
 
-def _level(rows: DataFrame, links: _Links) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes with members of several components: small ones as groups, large ones as rows, and the large ones' pivots."""
-    labelled = _labelled(rows, links.labels, "doc", "label").checkpoint()
-    order = F.xxhash64("doc")
-    nodes = labelled.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("o"), "doc", "label", "n")).alias("pivot"))
-    nodes = nodes.where("lo <> hi").select("node", "members", F.col("pivot.doc").alias("pivot"), F.col("pivot.label").alias("pivot_label"), F.col("pivot.n").alias("pivot_n"))
-    joined = labelled.join(nodes, "node")
-    return joined.where(F.col("members") <= SMALL), joined.where(F.col("members") > SMALL), nodes
+def _bytes_of(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), width)
 
 
-def _star_pairs(large: DataFrame, sketches: DataFrame, params: DedupParams) -> DataFrame:
+def _with_pivots(large: DataFrame) -> DataFrame:
+    """Rows of large nodes with the pivot's doc, label, size and sketch."""
+    sampled = F.pmod(F.xxhash64("node", "doc"), F.col("members")) < SAMPLE
+    samples = large.where(sampled).groupBy("node").agg(F.collect_list("sketch").alias("others"))
+
+    @F.pandas_udf("double")
+    def centrality(sketches: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([float(_agreement(_bytes_of(o, TOKENS), np.frombuffer(s, np.uint8)).mean()) if o is not None and len(o) else 0.0 for s, o in zip(sketches, others, strict=True)])
+
+    scored = large.join(samples, "node", "left").select("node", "doc", "label", "n", "sketch", centrality("sketch", "others").alias("score"))
+    pivots = scored.groupBy("node").agg(F.max(F.struct("score", "doc", "label", "n", "sketch")).alias("p"))
+    return large.join(pivots.select("node", F.col("p.doc").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch")), "node")
+
+
+def _star_pairs(large: DataFrame, params: DedupParams) -> DataFrame:
     """(u, v): likely pairs of a large node's pivot and its members of other components."""
-    pivots = sketches.select(F.col("doc").alias("_p"), F.col("sketch").alias("_s"))
     sized = (F.col("label") != F.col("pivot_label")) & (100 * F.least("n", "pivot_n") >= params.percent * F.greatest("n", "pivot_n"))
-    near = large.where(sized).join(pivots, F.col("pivot") == F.col("_p"))
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        return pd.Series(_agreement(*(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), TOKENS) for x in (a, b))))
+        return pd.Series(_agreement(_bytes_of(a, TOKENS), _bytes_of(b, TOKENS)), dtype="float64")
 
-    near = near.where(likeness("sketch", "_s") >= params.floor)
-    return near.select(F.least("pivot", "doc").alias("u"), F.greatest("pivot", "doc").alias("v")).where("u <> v").distinct()
+    near = _with_pivots(large).where(sized).where(likeness("sketch", "pivot_sketch") >= params.floor(TOKENS))
+    return near.select(F.least("pivot", "doc").alias("u"), F.greatest("pivot", "doc").alias("v")).where("u <> v")
 
 
 def _groups(small: DataFrame) -> DataFrame:
@@ -317,44 +411,72 @@ def _groups(small: DataFrame) -> DataFrame:
     return small.groupBy("node").agg(member.alias("m")).select(F.col("m.doc").alias("docs"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.sketch").alias("sketches"))
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, params: DedupParams) -> DataFrame | None:
-    """(node, label) over classes (doc, n, sketch, roots), or None if nothing can link."""
-    links = _Links(docs, params)
-    sketches = classes.select("doc", "n", "sketch")
-    roots = classes.select("doc", "n", F.explode("roots").alias("node"))
-    company = roots.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
-    rows = roots.join(company, "node").join(sketches.select("doc", "sketch"), "doc").select("node", "doc", "n", "sketch")
-    for level in range(DEPTH):
-        small, large, _ = _level(rows, links)
-        pairs = _small_pairs(_groups(small), params)
-        stars = _star_pairs(large, sketches, params).withColumn("first", F.lit(True))
-        pairs = pairs.unionByName(stars).groupBy("u", "v").agg(F.max("first").alias("first")).where("u <> v").checkpoint()
-        firsts = pairs.where("first")
-        if not firsts.isEmpty():
-            links.add(firsts)
-            links.add(pairs.where(~F.col("first")))
-        rows = _labelled(large.select("node", "doc", "n", "sketch"), links.labels, "doc", "label")
-        open_nodes = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-        rows = rows.join(open_nodes, "node").select("node", "doc", "n", "sketch").checkpoint()
-        if rows.isEmpty():
-            return links.labels
-        rows = _children(rows)
-        company = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
-        rows = rows.join(company, "node").select("node", "doc", "n", "sketch")
+def _wide(docs: DataFrame, ids: DataFrame, params: DedupParams) -> DataFrame:
+    """(doc, n, sketch) with ``WIDE`` tokens for the documents of ``ids`` (doc)."""
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc")
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc, len(found), _short(tokens_of(found, params.seed, WIDE))) for doc, found in zip(batch["doc"], shingle_sets(list(batch["text"]), params.shingle), strict=True) if len(found)]
+            yield pd.DataFrame(rows, columns=["doc", "n", "sketch"])
+
+    return texts.select("doc", "text").mapInPandas(sketched, "doc long, n long, sketch binary").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+
+
+def _second_round(members: DataFrame, docs: DataFrame, links: _Links, params: DedupParams, depth: int) -> None:
+    """Trees over the members (doc) that the first round leaves open; their leaves are compared together."""
+    space = links.space
+    sketches = space.save(_wide(docs, members, params))
+    trees = F.explode(F.sequence(F.lit(1), F.lit(params.trees(depth))))
+    rows = members.withColumn("tree", trees).select("doc", F.xxhash64(F.lit(params.seed), "tree").alias("node"), F.lit(1).alias("steps"))
+    leaves, large = [], None
+    for _ in range(ROUNDS):
+        below = space.save(_children(rows.join(sketches, "doc"), params))
+        level = _open_nodes(below, links)
+        space.drop(below)
+        leaves.append(level.where(F.col("members") <= SMALL_WIDE))
+        large = level.where(F.col("members") > SMALL_WIDE)
+        if large.isEmpty():
+            break
+        steps = F.greatest(F.lit(1), F.floor(F.log2(F.col("members") / SMALL_WIDE) / 2 + 0.5)).cast("int")
+        rows = large.select("node", "doc", steps.alias("steps"))
+    every = functools.reduce(DataFrame.unionByName, leaves)
+    links.add(_compare(_groups(every.join(sketches, "doc")), params, "forest"))
+    links.add(_compare(_groups(_open_nodes(every.select("node", "doc"), links).join(sketches, "doc")), params, "all"))
     # Nodes that no token splits: compared exactly, but only across components.
-    rest = _labelled(rows, links.labels, "doc", "label").select("node", "doc", "n", "label").distinct()
-    other = rest.toDF("node", "_d", "_n", "_l")
+    rest = _labelled(large.select("node", "doc"), links.labels, "doc", "label").join(sketches.select("doc", "n"), "doc")
+    other = rest.select("node", F.col("doc").alias("_d"), F.col("n").alias("_n"), F.col("label").alias("_l"))
     sized = (100 * F.least("n", "_n") >= params.percent * F.greatest("n", "_n")) & (F.col("doc") < F.col("_d")) & (F.col("label") != F.col("_l"))
     links.add(rest.join(other, "node").where(sized).select(F.col("doc").alias("u"), F.col("_d").alias("v")))
+
+
+def link_classes(classes: DataFrame, docs: DataFrame, params: DedupParams, space: Workspace) -> DataFrame | None:
+    """(node, label) over classes (doc, n, sketch, roots), or None if nothing can link."""
+    links = _Links(docs, params, space)
+    roots = _company(classes.select("doc", "n", F.explode("roots").alias("node")))
+    level = _open_nodes(roots.join(classes.select("doc", "sketch"), "doc").select("node", "doc", "n", "sketch"), links)
+    small, large = F.col("members") <= SMALL, F.col("members") > SMALL
+    links.add(_compare(_groups(level.where(small)), params, "forest").unionByName(_star_pairs(level.where(large), params)))
+    again = _open_nodes(level.select("node", "doc", "n", "sketch"), links)
+    found = space.save(_compare(_groups(again.where(small)), params, "few").distinct())
+    links.add(found.where("u <> v"))
+    crowded = again.where(large).groupBy("doc").agg(F.count("*").alias("k")).where(F.col("k") > params.spare).select("doc")
+    members = space.save(found.where("u = v").select(F.col("u").alias("doc")).unionByName(crowded).distinct())
+    if not members.isEmpty():
+        largest = again.join(members, "doc").groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        depth = 2 + math.ceil(math.log(max(1.0, largest / SMALL_WIDE)) / -math.log(SHRINK))
+        _second_round(members, docs, links, params, depth)
     return links.labels
 
 
 def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
-    described = describe(docs, params).checkpoint()
+    space = Workspace(docs.sparkSession, "near-dedup")
+    described = space.save(describe(docs, params))
     full = described.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")).checkpoint()
-    labels = link_classes(classes, docs, params)
+    classes = space.save(full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")))
+    labels = link_classes(classes, docs, params, space)
     tops = _labelled(classes.select("digest", "doc"), labels, "doc", "top").select(F.col("digest").alias("_digest"), "top")
     linked = full.select("doc_id", "n", "digest").join(tops, F.col("digest") == F.col("_digest")).select("doc_id", "n", F.col("top").alias("component_id"))
     single = described.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

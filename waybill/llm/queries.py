@@ -12,6 +12,7 @@ import public_tokenizers
 from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
+from waybill.llm.workspace import shared_folder
 
 #: Fixed values of the url rules.
 URL_RULES = (
@@ -89,7 +90,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    packages = warc_zip.write_packages(pages, warc_zip.shared_folder(spark, "warc"), least=0)
+    packages = warc_zip.write_packages(pages, shared_folder(spark, "warc"), least=0)
     return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
