@@ -14,10 +14,10 @@ the last epoch the token-prefix in the order of a seeded hash of (seed, epoch,
 doc_id).  The document that crosses the budget is taken for the tokens left.
 
 Scale.  Everything is DataFrame functions.  The texts are only mapped; shuffles
-carry sums for (leaf, hash bucket).  The cut inside a leaf is found in two steps:
-sums over 4096 hash buckets give the bucket in which the budget ends, and only
-that bucket's documents are ordered, so a source with a third of all rows is
-spread evenly.  The leaf table joins by broadcast when it has been counted to
+carry sums for (leaf, hash bucket).  The cut inside a leaf is found in three
+steps, of 256 coarse hash buckets, the 256 fine ones of the bucket in which the
+budget ends, and that one's documents, so a source with a third of all rows is
+spread evenly and no window sees more than 256 sums of a leaf.  The leaf table joins by broadcast when it has been counted to
 hold at most ``BROADCAST_LEAVES`` rows, else by a plain join.
 
 Defined cases.  Null text: no tokens; such documents are taken with the epoch
@@ -106,21 +106,26 @@ def _with_leaves(docs: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
     return docs.join(F.broadcast(side) if few else side, on).drop(*[f"_{c}" for c in LEAF])
 
 
+def _first_over(sums: DataFrame, by: str) -> DataFrame:
+    """Of each leaf's rows (leaf, ``by``, n, left), the one in which the tokens left run out, with what is left there."""
+    along = Window.partitionBy(*LEAF).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).where("before < left and before + n >= left")
+    return ends.select(*LEAF, F.col(by).alias("end"), (F.col("left") - F.col("before")).alias("left"))
+
+
 def _cuts(docs: DataFrame, plan: MixPlan) -> tuple[DataFrame, bool]:
     """Leaf rows with ``cut``, the last order key taken, and ``last_take``, the tokens taken there."""
     lean = docs.select("doc_id", *LEAF, word_tokens().alias("n_tokens"))
     leaves = leaf_budgets(lean.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), plan).checkpoint()
     few = leaves.count() <= BROADCAST_LEAVES
-    placed = _with_leaves(lean, leaves.where("rest > 0"), few).withColumn("key", order_key(plan.seed, F.col("epochs"))).withColumn("bucket", F.substring("key", 1, 3))
-    sums = placed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    along = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).where("before < rest and before + n >= rest")
-    ends = ends.select(*LEAF, F.col("bucket").alias("end_bucket"), (F.col("rest") - F.col("before")).alias("left")).checkpoint()
-    last = _with_leaves(placed, ends, few).where("bucket = end_bucket")
-    keys = last.groupBy(*LEAF, "key").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
-    within = Window.partitionBy(*LEAF).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    cut = keys.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).where("before < left and before + n >= left")
-    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in LEAF], F.col("key").alias("cut"), (F.col("left") - F.col("before")).alias("last_take"))
+    placed = _with_leaves(lean, leaves.where("rest > 0"), few).withColumn("key", order_key(plan.seed, F.col("epochs")))
+    fine = placed.groupBy(*LEAF, F.substring("key", 1, 4).alias("fine")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("left")).checkpoint()
+    coarse = fine.groupBy(*LEAF, F.substring("fine", 1, 2).alias("coarse")).agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    ends = _first_over(coarse, "coarse").checkpoint()
+    ends = _first_over(_with_leaves(fine.drop("left"), ends, few).where("substring(fine, 1, 2) = end"), "fine").checkpoint()
+    last = _with_leaves(placed, ends, few).where("substring(key, 1, 4) = end")
+    cut = _first_over(last.groupBy(*LEAF, "key").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left")), "key")
+    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in LEAF], F.col("end").alias("cut"), F.col("left").alias("last_take"))
     same = leaves["domain"].eqNullSafe(cut["_domain"]) & leaves["lang"].eqNullSafe(cut["_lang"]) & leaves["source"].eqNullSafe(cut["_source"])
     return leaves.join(cut, same, "left").select(*[leaves[c] for c in LEAF], "budget", "epochs", "cut", "last_take").checkpoint(), few
 
