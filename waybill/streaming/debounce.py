@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from waybill.schema import FRAME_HITS, FRAME_WINDOW, HOLD_SECONDS
 
 CAPTURES = "stream string, frame_no long, ts timestamp, since timestamp"
-STATE = "hits array<boolean>, since double, fired boolean"
+STATE = "hits array<boolean>, since long, fired boolean"  # since: microseconds, -1 while not steady
 
 
 def steady(frames: DataFrame) -> DataFrame:
@@ -39,18 +39,18 @@ def captures(frames: DataFrame) -> DataFrame:
 
 
 def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hits, since, fired = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], -1.0, False)
+    hits, since, fired = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], -1, False)
     out = []
     for row in pd.concat(list(batches)).sort_values(["ts", "frame_no"]).itertuples():
         hits = [*hits, bool(row.detected)][-FRAME_WINDOW:]
-        at = row.ts.timestamp()
+        at = int(row.ts.value) // 1000
         if sum(hits) < FRAME_HITS:
-            since, fired = -1.0, False
+            since, fired = -1, False
             continue
         since = at if since < 0 else since
-        if not fired and at - since >= HOLD_SECONDS:
+        if not fired and at - since >= HOLD_SECONDS * 1_000_000:
             fired = True
-            out.append((key[0], row.frame_no, row.ts, pd.Timestamp(since, unit="s")))
+            out.append((key[0], row.frame_no, row.ts, pd.Timestamp(since, unit="us")))
     state.update((hits, since, fired))
     yield pd.DataFrame(out, columns=["stream", "frame_no", "ts", "since"])
 
