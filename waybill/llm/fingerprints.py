@@ -39,7 +39,7 @@ SHINGLE = 16
 FRACTION = 16
 _PRIME = 0x100000001B3
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIRED = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 @functools.lru_cache(8)
@@ -137,7 +137,8 @@ def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                 changed = edited(text, following)
                 own, other = sketch(text), sketch(changed)
                 out.append((doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), pack(own), pack(other), likeness(own, other), likeness(own, sketch(following))))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs, ranges).mapInPandas(compared, PAIRED)
+    # Ids travel as text: pandas turns whole numbers beside nulls into floats.
+    paired = with_next(docs, ranges).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(compared, PAIRED)
+    return paired.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -210,10 +210,12 @@ def describe(docs: DataFrame, params: DedupParams) -> DataFrame:
                 tokens = tokens_of(found, params.seed, TOKENS)
                 roots = mix(salts ^ mix(tokens[chosen].astype(np.uint64) + salts)).astype(np.int64)
                 rows.append((doc_id, len(found), digest, _short(tokens), roots))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "roots"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "roots"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(described, "doc_id long, n long, digest binary, sketch binary, roots array<long>")
+    # Ids travel as text: pandas turns whole numbers beside nulls into floats.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    made = rows.mapInPandas(described, "doc_id string, n long, digest binary, sketch binary, roots array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RUN_SLOTS = 1_000_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -87,10 +87,11 @@ def tokenize(docs: DataFrame, path: str, params: PackParams = PackParams(), with
                     own = ids[start : start + length]
                     rows.append((doc_id, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int64))[: 6 if with_ids else 5])
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(pieces, PIECES + (", ids array<long>" if with_ids else ""))
+    # Ids travel as text: pandas turns whole numbers beside nulls into floats.
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(pieces, PIECES + (", ids array<long>" if with_ids else ""))
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @dataclass

@@ -66,11 +66,11 @@ def _one_line(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in value)
 
 
-def _record_id(page_id: int | None) -> str:
+def _record_id(page_id: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
     """One gzipped WARC record; a revisit has the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + payload
@@ -185,7 +185,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, max_bytes: int
                 package = package or _Package(folder)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 payload = b"" if html is None else html.encode("utf-8", "surrogatepass")
-                package.add(record(page_id, url, payload, size, digest, None if refers_to is None else int(refers_to)), url)
+                package.add(record(page_id, url, payload, size, digest, refers_to), url)
                 if package.at >= max_bytes or len(package.index) >= max_records:
                     done.append(package.close())
                     package = None
@@ -193,7 +193,9 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, max_bytes: int
             done.append(package.close())
         yield pd.DataFrame(done, columns=["uri", "size", "records"])
 
-    return plan_records(pages, least).mapInPandas(write, "uri string, size long, records long").checkpoint()
+    # Ids travel as text: pandas turns whole numbers beside nulls into floats.
+    planned = plan_records(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return planned.mapInPandas(write, "uri string, size long, records long").checkpoint()
 
 
 def spans(packages: DataFrame, span: int = 2**22) -> DataFrame:
