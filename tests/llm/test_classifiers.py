@@ -41,7 +41,7 @@ def test_quality_separates_held_out_styles(spark):
         text = " ".join(f"%%{(i * 13 + k * 7) % 97}$$&&" if bad else f"plain sentence number {(i * 11 + k) % 89} goes on." for k in range(40))
         rows.append((i, text, "x", "c"))
         labels.append((i, int(not bad)))
-    docs = spark.createDataFrame([*rows, (1000, None, "x", "c"), (1001, "", "x", "c"), (1002, "%%1$$&&" * 50_000, "x", "c")], SCHEMA)
+    docs = spark.createDataFrame([*rows, (1000, None, "x", "c"), (1001, "", "x", "c"), (1002, " ".join(f"%%{k * 31 % 97}$$&&" for k in range(30_000)), "x", "c")], SCHEMA)
     labels = spark.createDataFrame(labels, "doc_id long, quality int")
     model = quality_compress.train(docs, known_labels(labels, "quality", F.col("doc_id") % 5 != 0))
     out = quality_compress.score(docs, model, 0.3)

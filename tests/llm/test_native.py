@@ -48,7 +48,7 @@ def test_prefixes_meet_their_budgets(spark):
     again = mixing.select_documents(docs.repartition(7), F.lit("d"), plan).collect()
     assert sorted((r.doc_id, r.epoch, r.take_tokens) for r in out) == sorted((r.doc_id, r.epoch, r.take_tokens) for r in again)
     assert mixing.select_documents(docs.limit(0), F.lit("d"), plan).count() == 0
-    repeated = mixing.select_documents(docs.where("doc_id < 2").unionAll(docs.where("doc_id < 2")), F.lit("d"), mixing.MixPlan())
+    repeated = mixing.select_documents(docs.where("doc_id < 2").unionAll(docs.where("doc_id < 2")), F.lit("d"), mixing.MixPlan(max_epochs=1))
     assert repeated.count() == 4
 
 

@@ -9,7 +9,7 @@ p_shorter) / (n(context) + weight)``, down to order 0, which leans on a uniform
 distribution.  A character is judged by the longest context seen with it in
 either class; a URL's score is the mean of its characters' log ratios.  The
 threshold comes from a fifth of the rule-decided URLs, which the counts leave
-out: the score with the best balanced accuracy.
+out: the middle of the gap in scores with the best balanced accuracy.
 
 Scale.  All steps are DataFrame functions.  N-grams are counted in ``2**bits``
 hash buckets for each order with map-side sums, so the model has at most
@@ -122,8 +122,10 @@ def threshold(rows: DataFrame, params: UrlParams) -> float:
     counts = bins.groupBy("bin").agg(F.count_if("accepted").alias("y"), F.count_if(~F.col("accepted")).alias("n"))
     below, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
     share = F.try_divide(F.coalesce(F.sum("n").over(below), F.lit(0)), F.sum("n").over(every)) - F.try_divide(F.coalesce(F.sum("y").over(below), F.lit(0)), F.sum("y").over(every))
-    best = counts.withColumn("gain", share).where("gain is not null").orderBy(F.desc("gain"), F.abs("bin"), "bin").first()
-    return best["bin"] * params.step if best else 0.0
+    below_bin = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))
+    gains = counts.withColumn("gain", share).withColumn("cut", (F.col("bin") + below_bin) / 2)  # the middle of the gap below
+    best = gains.where("gain is not null").orderBy(F.desc("gain"), F.abs("cut"), "cut").first()
+    return float(best["cut"]) * params.step if best else 0.0
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], params: UrlParams = UrlParams()) -> DataFrame:
