@@ -69,28 +69,39 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(_without(text, chars))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that no later filter or projection can take apart and evaluate again.
+
+    Catalyst moves filters below projections by repeating their expressions; it
+    does not do so below a generator, here one that makes a single row.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements and the failure bits ``failed`` of every rule."""
     out = docs.drop(*MEASURES, "failed", "_t", "_w", "_l", "_s", "_d")
-    text = F.coalesce(F.col("text"), F.lit(""))
     hashes = ", ".join(f"get(_w, i + {k})" for k in range(WINDOW))
-    out = out.withColumn("_t", text).withColumns({
-        "_w": F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w <> '')"),
-        "_l": F.expr("filter(split(_t, '\\n'), l -> translate(l, ' \\t\\n\\u000b\\f\\r', '') <> '')"),
-    })
+    out = _once(out, _t=F.coalesce(F.col("text"), F.lit("")))
+    out = _once(
+        out,
+        _w=F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w <> '')"),
+        _l=F.expr("filter(split(_t, '\\n'), l -> translate(l, ' \\t\\n\\u000b\\f\\r', '') <> '')"),
+    )
     # Sorted (hash, place) pairs of all windows; neighbours with one hash are repeats.
-    out = out.withColumn("_s", F.expr(f"if(size(_w) < {WINDOW}, array(), sort_array(transform(sequence(0, size(_w) - {WINDOW}), i -> struct(xxhash64({hashes}) as h, i as i))))"))
-    out = out.withColumn("_d", F.expr("sort_array(transform(filter(_s, (x, j) -> x.h = get(_s, j - 1).h or x.h = get(_s, j + 1).h), x -> x.i))"))
-    out = out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(_without(F.col("_t"), _SPACE)).cast("long"),
-        "n_symbols": _count(F.col("_t"), SYMBOLS).cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+    out = _once(out, _s=F.expr(f"if(size(_w) < {WINDOW}, array(), sort_array(transform(sequence(0, size(_w) - {WINDOW}), i -> struct(xxhash64({hashes}) as h, i as i))))"))
+    out = _once(out, _d=F.expr("sort_array(transform(filter(_s, (x, j) -> x.h = get(_s, j - 1).h or x.h = get(_s, j + 1).h), x -> x.i))"))
+    measures = {
+        "n_words": F.size("_w"),
+        "word_chars": F.length(_without(F.col("_t"), _SPACE)),
+        "n_symbols": _count(F.col("_t"), SYMBOLS),
+        "n_lines": F.size("_l"),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
         "n_repeat_words": F.expr(f"aggregate(_d, struct(0L as n, -{WINDOW} as at), (a, i) -> struct(a.n + least({WINDOW}, i - a.at) as n, i as at), a -> a.n)"),
-        "n_exclaims": _count(F.col("_t"), "!").cast("long"),
-        "n_stops": _count(F.col("_t"), ".!?").cast("long"),
-    })
+        "n_exclaims": _count(F.col("_t"), "!"),
+        "n_stops": _count(F.col("_t"), ".!?"),
+    }
+    out = _once(out, **{name: c.cast("long") for name, c in measures.items()})
     bits = " + ".join(f"if({rule}, {1 << bit}L, 0L)" for bit, _, rule in RULES)
     return out.withColumn("failed", F.expr(bits)).drop("_t", "_w", "_l", "_s", "_d")
 
