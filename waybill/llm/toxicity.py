@@ -45,7 +45,7 @@ class ToxicityParams:
     min_z: float = 3.5
     min_docs: int = 3
     max_features: int = 8_192
-    max_fit_docs: int = 20_000
+    max_fit_docs: int = 10_000
     ridge: float = 0.1
     steps: int = 500
     seed: int = 17
