@@ -1,5 +1,7 @@
 """Mixing, url rules, chat views and the rule ledger against plain Python."""
 
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -83,6 +85,48 @@ def test_url_model_learns_from_the_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def exact_scores(taught, asked, params):
+    """Scores of the ``asked`` texts by two plain models of (text, accepted, copies)."""
+    grams, totals = [Counter(), Counter()], [Counter(), Counter()]
+    for url, accepted, copies in taught:
+        for i in range(len(url)):
+            for k in range(min(i, params.order) + 1):
+                grams[accepted][url[i - k : i + 1]] += copies
+                totals[accepted][url[i - k : i]] += copies
+
+    def p(kind, gram):
+        shorter = p(kind, gram[1:]) if len(gram) > 1 else 1 / url_filter.ALPHABET
+        return (grams[kind][gram] + params.weight * shorter) / (totals[kind][gram[:-1]] + params.weight)
+
+    def ratio(longest):
+        known = next((g for g in (longest[j:] for j in range(len(longest))) if grams[0][g] + grams[1][g]), None)
+        return math.log(p(1, known) / p(0, known)) if known else 0.0
+
+    return {u: sum(ratio(u[max(0, i - params.order) : i + 1]) for i in range(len(u))) / len(u) for u in asked}
+
+
+def test_url_scores_equal_a_plain_model_of_all_ngrams(spark):
+    rng, params = random.Random(3), url_filter.UrlParams()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é😀") for _ in range(30))
+    urls = [f"http://{word()}.com/{word()}" for _ in range(700)] + [f"http://{word()}.net/fr/{word()}" for _ in range(700)]
+    urls += urls[:40] * 3 + (asked := [f"http://{word()}.org/{word()}" for _ in range(60)] + [u.replace(".com/", ".org/") for u in urls[:60]])
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r.score for r in url_filter.judge(pages, URL_RULES).where("rule is null").collect()}
+    fold = F.pmod(F.xxhash64(F.lit(params.seed), F.expr("substring(url, 8)")), F.lit(5))
+    folds = {r.url: r.fold for r in pages.select("url", fold.alias("fold")).distinct().collect()}
+    taught = [(u[7:], ".com/" in u, n) for u, n in Counter(urls).items() if u not in asked and folds[u]]
+    assert len({u[i : i + 5] for u, _, _ in taught for i in range(len(u) - 4)}) > 50_000
+    want = exact_scores(taught, [u[7:] for u in asked], params)
+    assert set(got) == set(asked)
+    assert all(abs(got[u] - want[u[7:]]) < 1e-9 for u in asked)
+
+
+def test_url_threshold_counts_copies(spark):
+    rows = spark.createDataFrame([(0.5, 1, 0), (0.1, 1, 0), (0.3, 0, 1), (-0.5, 0, 1)], "score double, y long, n long")
+    cut = lambda few: url_filter.threshold(rows.withColumn("y", F.when(F.col("score") == 0.1, few * F.col("y")).otherwise(F.col("y"))), url_filter.UrlParams())
+    assert cut(9) < 0.1 < 0.3 < url_filter.threshold(rows.withColumn("n", F.when(F.col("score") == 0.3, 9 * F.col("n")).otherwise(F.col("n"))), url_filter.UrlParams())
+
+
 def test_chat_views(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, 2, None, None), (1, None, "system", "be good"), (2, 0, "system", "alone"), (None, 0, "user", "x")]
     turns += [(3, k, "ab"[k % 2], f"t{k}") for k in range(100)]

@@ -11,11 +11,14 @@ either class; a URL's score is the mean of its characters' log ratios.  The
 threshold comes from a fifth of the rule-decided URLs, which the counts leave
 out: the middle of the gap in scores with the best balanced accuracy.
 
-Scale.  All steps are DataFrame functions.  N-grams are counted in ``2**bits``
-hash buckets for each order with map-side sums, so the model has at most
-``(order + 1) * 2**bits`` rows whatever the input; that bound is why its tables
-may be broadcast.  A URL is scored where it lies: its n-gram hashes are exploded,
-looked up by broadcast joins and summed again per row of the same task.
+Scale.  All steps are DataFrame functions.  Equal urls are first made one row with
+their number of copies.  N-grams are counted under their own text with map-side
+sums, and context totals under the real context, so the model has a row for each
+n-gram of the corpus and grows with it.  Counts, contexts, shorter n-grams and
+ratios meet in joins by shuffle, unless Spark knows a written table to be small;
+a context or a shorter n-gram has at most one partner for each letter.  N-grams
+that only undecided urls have are carried along with counts of 0 and take over the
+ratio of their longest seen end.
 
 Defined cases.  A null url, or one without ``://``, has an empty host and path
 and no rule.  A null or empty url scores 0.  Very long URLs are read whole.
@@ -33,6 +36,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.llm.workspace import Workspace
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = 256.0
 
@@ -51,7 +56,6 @@ class Rule:
 @dataclass(frozen=True)
 class UrlParams:
     order: int = 4
-    bits: int = 16
     weight: float = 2.0
     step: float = 0.02
     seed: int = 5
@@ -74,52 +78,52 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def _hashes(params: UrlParams) -> Column:
-    """For each character of ``_url``: a struct of its bucket in every order, and of its context's."""
-    at = lambda k: f"if(i > {k}, pmod(xxhash64(slice(_cs, i - {k}, {k + 1})), {1 << params.bits}), null) as g{k}"
-    ctx = lambda k: f"if(i > {k}, pmod(xxhash64(slice(_cs, i - {k}, {k})), {1 << params.bits}), null) as c{k}"
-    fields = ", ".join([*(at(k) for k in range(params.order + 1)), *(ctx(k) for k in range(1, params.order + 1))])
-    return F.expr(f"transform(sequence(1, size(_cs)), i -> struct({fields}))")
-
-
-def _characters(rows: DataFrame, params: UrlParams, *kept: str) -> DataFrame:
-    """A row for each character of ``_url``, with its hashes."""
-    split = rows.select(*kept, F.split("_url", "").alias("_cs")).where("size(_cs) > 0 and _cs[0] <> ''")
-    return split.select(*kept, F.inline(_hashes(params)))
-
-
-def model(rows: DataFrame, params: UrlParams) -> list[DataFrame]:
-    """From (_url, accepted): for each order a table (bucket, ratio), bounded by ``2**bits`` rows."""
-    seen = _characters(rows, params, "accepted")
-    yes, no = F.count_if("accepted"), F.count_if(~F.col("accepted"))
-    table = seen.groupBy(F.col("g0").alias("g")).agg(yes.alias("y"), no.alias("n"))
-    totals = table.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("ys"), F.coalesce(F.sum("n"), F.lit(0)).alias("ns"))
-    flat = F.lit(params.weight / ALPHABET)
-    table = table.join(F.broadcast(totals)).select("g", ((F.col("y") + flat) / (F.col("ys") + params.weight)).alias("py"), ((F.col("n") + flat) / (F.col("ns") + params.weight)).alias("pn"))
-    out = [table.checkpoint()]
-    for k in range(1, params.order + 1):
-        grams = seen.where(F.col(f"g{k}").isNotNull()).groupBy(F.col(f"g{k}").alias("g")).agg(F.min(f"g{k - 1}").alias("shorter"), F.min(f"c{k}").alias("c"), yes.alias("y"), no.alias("n"))
-        contexts = grams.groupBy("c").agg(F.sum("y").alias("ys"), F.sum("n").alias("ns"))
-        below = out[-1].select(F.col("g").alias("shorter"), F.col("py").alias("qy"), F.col("pn").alias("qn"))
-        smooth = lambda n, q, total: (F.col(n) + params.weight * F.col(q)) / (F.col(total) + params.weight)
-        out.append(grams.join(contexts, "c").join(below, "shorter").select("g", smooth("y", "qy", "ys").alias("py"), smooth("n", "qn", "ns").alias("pn")).checkpoint())
-    return [t.select("g", F.log(F.col("py") / F.col("pn")).alias("ratio")) for t in out]
-
-
-def scored(rows: DataFrame, tables: list[DataFrame], key: str, params: UrlParams) -> DataFrame:
+def _characters(urls: DataFrame, params: UrlParams, *kept: str) -> DataFrame:
+    """A row for each character of ``_url``: ``g`` is the text of up to ``order + 1`` characters that it ends."""
+    split = urls.select(*kept, F.split("_url", "").alias("_cs")).where("size(_cs) > 0 and _cs[0] <> ''")
+    width = params.order + 1
+    return split.select(*kept, F.explode(F.expr(f"transform(sequence(1, size(_cs)), i -> array_join(slice(_cs, greatest(1, i - {params.order}), least(i, {width})), ''))")).alias("g"))
+
+
+def model(urls: DataFrame, params: UrlParams, workspace: Workspace) -> DataFrame:
+    """From (_url, y, n), the copies of a url in each class: (g, ratio) for every n-gram of the urls.
+
+    Urls with neither copies of one nor of the other only ask for ratios.
+    """
+    counts = [F.sum("y").alias("y"), F.sum("n").alias("n")]
+    longest = _characters(urls, params, "y", "n").groupBy("g").agg(*counts)
+    ends = longest.select("y", "n", F.explode(F.expr("transform(sequence(1, char_length(g)), k -> right(g, k))")).alias("g"))
+    grams = ends.groupBy("g").agg(*counts).withColumn("c", F.expr("left(g, char_length(g) - 1)"))
+    grams = workspace.save(grams)
+    contexts = grams.groupBy("c").agg(F.sum("y").alias("ys"), F.sum("n").alias("ns"))
+    grams = workspace.save(grams.join(contexts, "c"))
+    smooth = lambda n, q, total: (F.col(n) + params.weight * F.col(q)) / (F.col(total) + params.weight)
+    seen, uniform = F.col("y") + F.col("n") > 0, F.lit(1 / ALPHABET)
+    level = grams.where("char_length(g) = 1").withColumns({"qy": uniform, "qn": uniform})
+    both, levels = (F.col("ys") > 0) & (F.col("ns") > 0), []
+    for k in range(params.order + 1):
+        if k:
+            below = levels[-1].select(F.col("g").alias("shorter"), F.col("py").alias("qy"), F.col("pn").alias("qn"), "both")
+            level = grams.where(f"char_length(g) = {k + 1}").withColumn("shorter", F.expr(f"right(g, {k})")).join(below, "shorter")
+        else:
+            level = level.withColumn("both", both)  # the totals of order 0 are those of the classes
+        level = level.select("g", "both", F.when(seen, smooth("y", "qy", "ys")).otherwise(F.col("qy")).alias("py"), F.when(seen, smooth("n", "qn", "ns")).otherwise(F.col("qn")).alias("pn"))
+        levels.append(workspace.save(level))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select("g", F.when(F.col("both"), F.log(F.col("py") / F.col("pn"))).otherwise(F.lit(0.0)).alias("ratio"))
+
+
+def scored(urls: DataFrame, ratios: DataFrame, key: str, params: UrlParams) -> DataFrame:
     """(key, score) for each row of (key, _url); rows without a character are left out."""
-    seen = _characters(rows, params, key)
-    for k, table in enumerate(tables):
-        side = table.select(F.col("g").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        seen = seen.join(F.broadcast(side), f"g{k}", "left")
-    longest = F.coalesce(*[F.col(f"r{k}") for k in reversed(range(len(tables)))], F.lit(0.0))
-    return seen.groupBy(key).agg((F.sum(longest) / F.count("*")).alias("score"))
+    return _characters(urls, params, key).join(ratios, "g").groupBy(key).agg((F.sum("ratio") / F.count("*")).alias("score"))
 
 
 def threshold(rows: DataFrame, params: UrlParams) -> float:
-    """From (score, accepted): the score with the best mean of both classes' accuracies, 0 without both."""
-    bins = rows.select(F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") / params.step))).alias("bin"), "accepted")
-    counts = bins.groupBy("bin").agg(F.count_if("accepted").alias("y"), F.count_if(~F.col("accepted")).alias("n"))
+    """From (score, y, n), n copies of each class: the score with the best mean of both classes' accuracies, 0 without both."""
+    bins = rows.select(F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") / params.step))).alias("bin"), "y", "n")
+    counts = bins.groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
     below, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
     share = F.try_divide(F.coalesce(F.sum("n").over(below), F.lit(0)), F.sum("n").over(every)) - F.try_divide(F.coalesce(F.sum("y").over(below), F.lit(0)), F.sum("y").over(every))
     below_bin = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))
@@ -135,15 +139,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule], params: UrlParams = UrlParams
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "rule_verdict": verdict})
     text = F.lower(F.coalesce(F.regexp_replace(url, "(?s)^.*?://", ""), F.lit("")))
-    known = rows.where("rule_verdict is not null").select(text.alias("_url"), (F.col("rule_verdict") == "allow").alias("accepted"))
-    known = known.withColumn("_fold", F.pmod(F.xxhash64(F.lit(params.seed), "_url"), F.lit(5)))
-    tables = model(known.where("_fold <> 0"), params)
-    tested = known.where("_fold = 0").groupBy("_url", "accepted").agg(F.count("*").alias("copies"))
-    scores = scored(tested.select("_url").distinct().withColumn("_key", F.col("_url")), tables, "_key", params)
-    cut = threshold(tested.join(scores, tested["_url"] == scores["_key"]).select("score", "accepted"), params)
+    workspace = Workspace(pages.sparkSession, "urls")
+    yes, no = F.count_if(F.col("rule_verdict") == "allow"), F.count_if(F.col("rule_verdict") == "block")
+    urls = rows.groupBy(text.alias("_url")).agg(yes.alias("_yes"), no.alias("_no"), F.count_if(F.col("rule_verdict").isNull()).alias("_undecided"))
+    urls = urls.withColumn("_fold", F.pmod(F.xxhash64(F.lit(params.seed), "_url"), F.lit(5)))
+    taught = lambda n: F.when(F.col("_fold") != 0, F.col(n)).otherwise(F.lit(0))
+    urls = workspace.save(urls.withColumns({"y": taught("_yes"), "n": taught("_no"), "_id": F.monotonically_increasing_id()}))
+    ratios = model(urls, params, workspace)
+    asked = urls.where("_undecided > 0 or _fold = 0 and _yes + _no > 0")
+    scores = workspace.save(urls.join(scored(asked, ratios, "_id", params), "_id").select(F.col("_url").alias("_key"), "score", "_undecided", (F.col("_yes") - F.col("y")).alias("y"), (F.col("_no") - F.col("n")).alias("n")))
+    cut = threshold(scores.where("y + n > 0"), params)
     decided = rows.where("rule_verdict is not null").withColumn("score", F.lit(None).cast("double"))
     undecided = rows.where("rule_verdict is null").withColumn("_key", text)
-    scores = scored(undecided.select("_key").distinct().withColumn("_url", F.col("_key")), tables, "_key", params)
-    out = decided.unionByName(undecided.join(scores, "_key", "left").drop("_key"))
+    out = decided.unionByName(undecided.join(scores.where("_undecided > 0").select("_key", "score"), "_key", "left").drop("_key"))
     by_model = F.when(F.coalesce(F.col("score"), F.lit(0.0)) >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", by_model))
