@@ -1,6 +1,7 @@
 """Facts about the label operators, on invented people and places."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from waybill.functions import comparators as C
 from waybill.functions import scoring, tagging, text
 from waybill.functions import tracking as T
 from waybill.operators import calibration, parse, selection, store
-from waybill.plans import scan
+from waybill.plans import scan, views
+from waybill.plans.queries import QUERIES
 from waybill.streaming import debounce
 
 
@@ -71,6 +73,19 @@ def test_selection_policies(spark):
         scan.resolve_policy(True, "auto")
 
 
+def test_vision_triggers_of_every_parcel(spark, sf_dir):
+    def reasons(r):
+        blanks = (r.city == "") + (r.street_address == "") + (not re.fullmatch("[A-Z]{2}", r.state)) + (not re.fullmatch(r"\d{5}(-\d{4})?", r.zip_code))
+        name = r.recipient_name
+        checks = [("ocr_confidence_low", True), ("ocr_text_short", len(r.ocr_text.strip()) < 50), ("blank_address_fields", blanks >= 3)]
+        return ",".join([n for n, fired in checks if fired] + ["name_single_word"] * (len(name) > 3 and " " not in name))
+
+    rows = views.parcel(spark, sf_dir).collect()
+    got = {r.label_id: r.triggers for r in QUERIES["vision_triggers_all"](spark, sf_dir).collect()}
+    assert got == {r.label_id: reasons(r) for r in rows} and len(got) == len(rows)
+    assert {got[r.label_id] for r in rows if r.form == 2} == {"ocr_confidence_low,name_single_word"}
+
+
 def test_calibration_lookup_falls_through(spark):
     table = spark.createDataFrame([("tracking_number", "rule", "checksum_valid=True", 0, 40, 0.96, "a"), ("tracking_number", "rule", None, 1, 90, 0.75, "b"), ("city", "llm", None, 1, 5, 0.99, "c"), (None, "llm", None, 2, 200, 0.9, "d")], "field string, source string, sig string, level int, n long, p double, key string")
     rows = spark.createDataFrame([(1, "tracking_number", "rule", "checksum_valid=True"), (2, "tracking_number", "rule", "checksum_valid=False"), (3, "city", "llm", ""), (4, "state", "barcode", "")], "id int, field string, source string, sig string")

@@ -443,6 +443,15 @@ def vision_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", F.array_join(reasons, ",").alias("triggers"))
 
 
+@query()
+def vision_triggers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triggers of every parcel, with name flags and street rejection from its own values."""
+    street = F.col("street_address")
+    rejected = (street != "") & L.street_rejected(street)
+    reasons = scoring.triggers({f: F.col(f) for f in S.SCORED}, F.lit(50.0), F.col("ocr_text"), rejected, L.name_flags(F.col("recipient_name")))
+    return views.parcel(spark, sf_dir).select("label_id", F.array_join(reasons, ",").alias("triggers"))
+
+
 @query("parcel", " select label_id, case label_id % 3 when 0 then 'none' when 1 then 'vision' else case when form = 4 then 'vision_fallback' else 'text' end end as mode from parcel")
 def llm_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = F.when(F.col("label_id") % 3 == 0, "off").when(F.col("label_id") % 3 == 1, "force_vision").otherwise("auto")
