@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from waybill import schema as S
 from waybill.functions import comparators as C
 from waybill.functions import scoring, tagging, text
 from waybill.functions import tracking as T
@@ -86,6 +87,13 @@ def test_vision_triggers_of_every_parcel(spark, sf_dir):
     assert {got[r.label_id] for r in rows if r.form == 2} == {"ocr_confidence_low,name_single_word"}
 
 
+def test_selection_and_comparison_of_every_field(spark, sf_dir):
+    n = views.parcel(spark, sf_dir).count()
+    for name in ("selection_legacy_fields", "comparison_record_fields"):
+        counts = {r.field: r["count"] for r in QUERIES[name](spark, sf_dir).groupBy("field").count().collect()}
+        assert counts == {f: n for f in S.FIELDS}
+
+
 def test_calibration_lookup_falls_through(spark):
     table = spark.createDataFrame([("tracking_number", "rule", "checksum_valid=True", 0, 40, 0.96, "a"), ("tracking_number", "rule", None, 1, 90, 0.75, "b"), ("city", "llm", None, 1, 5, 0.99, "c"), (None, "llm", None, 2, 200, 0.9, "d")], "field string, source string, sig string, level int, n long, p double, key string")
     rows = spark.createDataFrame([(1, "tracking_number", "rule", "checksum_valid=True"), (2, "tracking_number", "rule", "checksum_valid=False"), (3, "city", "llm", ""), (4, "state", "barcode", "")], "id int, field string, source string, sig string")

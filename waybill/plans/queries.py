@@ -289,6 +289,19 @@ def selection_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select(_pivoted(spark, sf_dir).where("field = 'recipient_name'")).select("label_id", "value", "source", "reason")
 
 
+_BOTH = [(f, {"recipient_name": "llm_name", "carrier": "''"}.get(f, f)) for f in S.FIELDS]
+_FIELDWISE = (
+    ", u as (" + " union all ".join(f"select label_id, llm_mode, '{f}' as field, {chr(39) * 2 if f == 'carrier' else f} as rule, case when llm_mode <> 'none' then {m} end as llm from parcel" for f, m in _BOTH) + r"""),
+ n as (select *, trim(regexp_replace(upper(rule), '[^\w\s]', '', 'g')) as r, trim(regexp_replace(upper(llm), '[^\w\s]', '', 'g')) as m from u),"""
+    + _NAMES[_NAMES.index("\n base as ") :]
+)
+
+
+@query("parcel", _FIELDWISE + " select label_id, field, value, source, reason from chosen")
+def selection_legacy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(_pivoted(spark, sf_dir)).select("label_id", "field", "value", "source", "reason")
+
+
 @query("parcel", _NAMES + r""", g as (select *, case when ner <> '' and source <> 'llm' and trim(regexp_replace(upper(ner), '[^\w\s]', '', 'g')) <> trim(regexp_replace(upper(value), '[^\w\s]', '', 'g')) and not regexp_matches(ner, '\d') and regexp_matches(ner, '\S\s+\S')
    then case when value = '' and ner_confidence >= 0.5 then 'ner_name_fill' when value <> '' and ner_confidence >= 0.8 then 'ner_name_override' end end as gate from chosen)
  select label_id, case when gate is not null then ner else value end as value, case when gate is not null then 'ner' else source end as source, coalesce(gate, reason) as reason from g""")
@@ -307,6 +320,11 @@ def comparison_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.comparison(_pivoted(spark, sf_dir)).where("field = 'recipient_name'").drop("field")
 
 
+@query("parcel", _FIELDWISE + " select label_id, field, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
+def comparison_record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.comparison(_pivoted(spark, sf_dir))
+
+
 @query("parcel", _NAMES + " select label_id, case when llm_mode <> 'none' and r <> m and coalesce(llm, '') <> '' and rule not in ('', 'Unknown') then 'recipient_name' else '' end as conflicts from n")
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.conflicts(_pivoted(spark, sf_dir)).select("label_id", F.array_join("conflicts", ",").alias("conflicts"))
