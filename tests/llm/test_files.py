@@ -42,6 +42,30 @@ def test_fingerprints_pair_each_document_with_the_next(spark):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.9 * len(long)
 
 
+def test_fingerprints_of_short_texts_show_edits():
+    rng, width = random.Random(2), fingerprints.SHINGLE
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shingles = lambda t: {("\0" * (width - 1) + t)[i : i + width] for i in range(len(t))}
+    for n in [*range(3, 100)] * 3:
+        old, other = text(n), text(n)
+        new = fingerprints.edited(old, other)
+        exact = len(shingles(old) & shingles(new)) / len(shingles(old) | shingles(new))
+        got = fingerprints.likeness(fingerprints.sketch(old), fingerprints.sketch(new))
+        assert abs(got - exact) < (1e-12 if n < fingerprints.LEAST else 0.2)
+        assert got > fingerprints.likeness(fingerprints.sketch(old), fingerprints.sketch(other)) and (got < 1 or old == new)
+
+
+def test_merged_sketches_are_those_of_all_shingles():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (3, 40, 64, 65, 200, 900, 1100, 5000)]
+    for a in texts:
+        for b in texts:
+            whole = fingerprints.sketch(a + "\n" + b)  # has a few shingles more, across the join
+            merged = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))
+            assert fingerprints.likeness(merged, whole) > 0.85 or len(a) + len(b) < 50
+            assert len(merged) >= min(fingerprints.LEAST, len(a), len(b))
+
+
 def test_fingerprints_of_odd_tables(spark):
     shape = "doc_id long, text string"
     one = fingerprints.compare_with_next(spark.createDataFrame([(4, "abcdef")], shape)).first()

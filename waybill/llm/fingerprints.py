@@ -1,13 +1,16 @@
 """Document fingerprints: threshold-scaled sketches.
 
-Method.  A text's shingles are its runs of ``SHINGLE`` code points (a shorter
-text is one shingle).  Each is hashed to 32 bits, and every hash below a fixed
-fraction of the range is kept, so a sketch grows with its text and two sketches
-are comparable and mergeable whatever the texts' lengths: the share of one
-sketch found in another estimates containment, the shared part of their union
-the Jaccard likeness.  So that no text with a shingle has an empty sketch, the
-smallest hash is always kept.  A fingerprint is the sketch as base64 text of its
-sorted little-endian 32-bit hashes.
+Method.  A text's shingles are the runs of ``SHINGLE`` code points that end at each
+of its code points, with blanks of their own kind before the first, so a text has
+as many as code points, however short.  Each is hashed to 32 bits, and every hash
+below a fixed fraction of the range is kept, so a sketch grows with its text; if
+those are fewer than ``LEAST``, the ``LEAST`` smallest are kept, or all there are.
+The bound below which a sketch is whole follows from the sketch.  Two sketches are
+compared and merged below the lower of their bounds, whatever the texts' lengths:
+the share of one sketch found in another estimates containment, the shared part of
+their union the Jaccard likeness.  Between texts of under ``LEAST`` code points
+both are exact.  A fingerprint is the sketch as base64 text of its sorted
+little-endian 32-bit hashes.
 
 Scale.  Sketching is a map over whole texts.  Pairing each document with the
 next one by descending doc_id takes one shuffle of the texts: ids are dealt into
@@ -35,30 +38,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE = 16
+SHINGLE = 5
 FRACTION = 16
+LEAST = 64
+_BOUND = 2**32 // FRACTION
 _PRIME = 0x100000001B3
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 PAIRED = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _cut(hashes: np.ndarray) -> np.ndarray:
+    """The sorted hashes that a sketch keeps of all."""
+    kept = np.unique(hashes[hashes < _BOUND])
+    return kept if len(kept) >= LEAST else np.unique(hashes)[:LEAST]
+
+
 @functools.lru_cache(8)
 def sketch(text: str) -> np.ndarray:
     """Sorted kept hashes of a text's shingles."""
     if not text:
         return np.empty(0, np.uint32)
-    rolled = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if len(rolled) < SHINGLE:
-        rolled = np.array([int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "little")], np.uint64)
-    else:
-        width = 1
-        while width < SHINGLE:  # doubling: a run of 2w is two runs of w
-            rolled = rolled[:-width] * np.uint64(pow(_PRIME, width, 2**64)) + rolled[width:]
-            width *= 2
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    padded = np.concatenate([np.zeros(SHINGLE - 1, np.uint64), points])
+    rolled = np.zeros(len(points), np.uint64)
+    for i in range(SHINGLE):
+        rolled = rolled * np.uint64(_PRIME) + padded[i : i + len(points)]
     mixed = (rolled ^ (rolled >> np.uint64(29))) * _SPREAD
-    hashes = ((mixed ^ (mixed >> np.uint64(32))) * _SPREAD >> np.uint64(32)).astype(np.uint32)
-    kept = hashes[hashes < 2**32 // FRACTION]
-    return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
+    return _cut(((mixed ^ (mixed >> np.uint64(32))) * _SPREAD >> np.uint64(32)).astype(np.uint32))
+
+
+def bound(kept: np.ndarray) -> int:
+    """The largest hash up to which a sketch has all hashes of its text."""
+    return 2**32 - 1 if len(kept) < LEAST else max(_BOUND - 1, int(kept[-1]))
+
+
+def _comparable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = min(bound(a), bound(b))
+    return a[: np.searchsorted(a, both, side="right")], b[: np.searchsorted(b, both, side="right")]
 
 
 def pack(kept: np.ndarray) -> str:
@@ -71,18 +87,25 @@ def unpack(fingerprint: str) -> np.ndarray:
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    return np.union1d(a, b)
+    return _cut(np.union1d(*_comparable(a, b)))
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of ``a``'s shingles that ``b`` has; an empty sketch is contained in any."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+    """Estimated share of ``a``'s shingles that ``b`` has; an empty sketch is contained in any.
+
+    NaN if ``a`` is too short to have a hash below ``b``'s bound.
+    """
+    if not len(a):
+        return 1.0
+    a, b = _comparable(a, b)
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else float("nan")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard likeness; 1 for two empty sketches."""
     if not len(a) and not len(b):
         return 1.0
+    a, b = _comparable(a, b)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
