@@ -136,6 +136,12 @@ def test_parsers(spark):
     assert parsed(spark).parser_used == ""
 
 
+def test_mailroom_block_of_any_length(spark):
+    boxes = [f"PO BOX {i}" for i in range(1, 106)]
+    r = parsed(spark, "SHIP Anna Stone NORTH UNIVERSITY HUB 77", *boxes, "Riverton OH 45001")
+    assert r.parser_used == "college_mailroom_parser" and all(b in r.street_address.upper() for b in boxes)
+
+
 def test_store(spark):
     old = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), {"city": "X"}), (2, dt.datetime(2024, 1, 2), None)], "label_id int, processed_at timestamp, ground_truth map<string,string>")
     new = old.where("label_id = 1").withColumn("processed_at", F.lit(dt.datetime(2024, 2, 1)))

@@ -111,7 +111,7 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
     block = F.slice(lines, start + 1, F.greatest(end - start + 1, F.lit(0)))
     ship = r"\s*SHIP\s+(.+?)\s+(HUB\b.*)"
     head = F.coalesce(F.get(block, 0), F.lit(""))
-    shipped, rest = full(head, ship, True), F.slice(block, 2, 100)
+    shipped, rest = full(head, ship, True), F.slice(block, 2, F.greatest(F.size(block) - 1, F.lit(0)))
     dropped = shipped & F.exists(rest, lambda x: has(x, bounded(r"DICKINSON\s+COLLEGE\b.*\bN\s+COLLEGE"), True))
     address = F.when(dropped, F.filter(rest, lambda x: ~full(x, r"\s*TO\s*:\s*ST\s*", True))).when(shipped, F.concat(F.array(_group(head, ship, 2, True)), rest)).otherwise(block)
 
