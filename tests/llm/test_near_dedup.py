@@ -3,7 +3,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waybill.llm import near_dedup
 from waybill.llm.components import components
@@ -70,17 +72,44 @@ def test_large_nodes_and_second_round(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 16)
     monkeypatch.setattr(near_dedup, "SMALL_WIDE", 48)
     check(spark, list(enumerate(texts)), DedupParams(3, 85))
-    monkeypatch.setattr(near_dedup, "ROUNDS", 1)  # the exact way for nodes that stay large
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)  # nodes that stay large
+    monkeypatch.setattr(near_dedup, "UNIT_HASHES", 4000)  # and units of some thirty sets
     check(spark, list(enumerate(texts)), DedupParams(3, 85))
 
 
+def test_links_inside_a_unit_are_a_spanning_forest():
+    rng = random.Random(8)
+    for _ in range(20):
+        n = rng.randrange(1, 60)
+        sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(1, 60))], np.uint64)) for _ in range(n)]
+        labels = np.array([rng.randrange(n) for _ in range(n)])
+        top = {int(x): int(x) for x in labels}
+
+        def find(x, top=top):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        u, v = near_dedup.links_inside(np.arange(n), labels, [s.tobytes() for s in sets], 70)
+        for a, b in zip(u, v, strict=True):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * both >= 70 * (len(sets[a]) + len(sets[b]) - both)
+            assert find(labels[a]) != find(labels[b])
+            top[find(labels[a])] = find(labels[b])
+        for a in range(n):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 70 * (len(sets[a]) + len(sets[b]) - both):
+                    assert find(labels[a]) == find(labels[b])
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)]
     docs = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, text string, kept string, n_shingles int")
     got = sorted(((r.doc_id or -1), r.component_id or -1, r.kept) for r in near_dedup.near_duplicates(docs).collect())
     assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
-    kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == 4
+    kept = near_dedup.keep_one(docs.withColumn("_gone", F.lit(1)).withColumn("gone", F.lit(2)))
+    assert kept.columns == [*docs.columns, "_gone", "gone"] and kept.count() == 4
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 

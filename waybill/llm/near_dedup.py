@@ -6,9 +6,10 @@ documents by one selected token; a larger node branches on, by tokens that a has
 of its path selects, and nodes of at most ``SMALL`` documents (``SMALL_WIDE`` in
 the second round) are compared exhaustively.  A node selects one token, or with probability ``1/t - 1`` two, so
 that a pair at the threshold ``t`` has one common child on average: such pairs
-survive, and less similar ones die out.  Node comparisons use sketches, with a
-margin of five standard deviations below the threshold, and every candidate is
-confirmed on the two full sets.
+survive, and less similar ones die out.  In the first round sketches are compared,
+with a margin of five standard deviations below the threshold, and every
+candidate is confirmed on the two full sets; in the second the full sets
+themselves meet in the nodes.
 
 The trees come in two rounds.  The first takes all documents and branches once;
 its trees are twice what a recall of ``1 - MISS`` needs, so that a document may
@@ -16,28 +17,33 @@ stand in a few large nodes and still meet its partners in small ones (``spare``)
 Documents in more large nodes, and those of small nodes that are left with many
 doubtful pairs, enter a second round of more trees and longer sketches, again
 from the roots; as both ends of a pair that the first round leaves open are
-among them, no link is lost between the rounds.  The number of trees follows from the chance that a pair at the threshold survives
-all branchings, whose number follows from the largest node of the first round.
+among them, no link is lost between the rounds.  The number of trees follows from
+the chance that a pair at the threshold survives all branchings, whose number
+follows from the largest node of the first round.
 
 Only links between different components matter, so work shrinks as links are
-confirmed.  Equal sets are one class from the start.  In the first round's large
-nodes each member is compared with one pivot, the member most like about
-``SAMPLE`` others.  In a small node a spanning forest of the likeliest pairs is
-confirmed first; then the node is compared again, and only pairs whose ends are
-still apart are candidates.  A node whose members are all connected goes no
-further.  Nodes that are still large after ``ROUNDS`` branching steps are compared
-exactly, across components.
+confirmed, and no step puts out more than a few rows for each member of a node.
+Equal sets are one class from the start.  In the first round's large nodes each
+member is compared with one pivot, the member most like about ``SAMPLE`` others.
+In a small node a spanning forest of the likeliest pairs is confirmed first; then
+the node is compared again, and only pairs whose ends are still apart are
+candidates, if they are at most ``FEW`` a member.  A node whose members are all
+connected goes no further.  A node of the second round is compared exactly, with
+a running union of its components, and puts out a spanning forest of confirmed
+links.  Nodes that are still large after ``ROUNDS`` branching steps, or whose sets
+are more than ``UNIT_HASHES`` together, are compared in blocks, any two of which
+meet in one unit.
 
 Scale.  Texts are read by maps, and moved only for candidates, by a join with the
 candidate ids (broadcast only if counted to be at most ``BROADCAST_IDS``).  Rows
 of the trees hold a node, an id and a sketch of 128 bytes, 512 in the second
 round.  Group sizes, pivots and components come from aggregates with map-side sums
 and from joins that adaptive execution splits; no group is collected but those of
-small nodes, of about 1 MB at most.
+small nodes, of about 1 MB, and the second round's units, of about 32 MB.
 
 Defined cases.  Null, empty and blank texts have the empty set and link with
-nothing.  Very long texts are read whole.  Rows that repeat a doc_id are one node
-of the links.  A null doc_id links with nothing and is kept.  Ties cannot occur:
+nothing.  Very long texts are read whole.  Rows that repeat a doc_id with one text
+are one node of the links; with different texts each is judged by its own.  A null doc_id links with nothing and is kept.  Ties cannot occur:
 the smallest doc_id of a component is kept.  An empty table gives an empty
 result.  Extra columns stay in ``keep_one``; those with the name of an output
 column are replaced.
@@ -58,10 +64,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.components import components
+from waybill.llm.naming import unused
 from waybill.llm.workspace import Workspace
 
 TOKENS, WIDE = 128, 512
 SMALL, SMALL_WIDE, SAMPLE, FEW = 1024, 2048, 32, 4
+UNIT_HASHES = 4_000_000
 SHRINK, ROUNDS = 0.75, 24
 MISS = 1e-6
 BROADCAST_IDS = 1_000_000
@@ -263,9 +271,8 @@ def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _compare(groups: DataFrame, params: DedupParams, what: str) -> DataFrame:
     """(u, v) for likely pairs of different labels in small nodes.
 
-    ``forest``: a spanning forest of the likeliest.  ``all``: every pair.  ``few``:
-    every pair of a node with at most ``FEW`` a member; of other nodes the members
-    in such pairs, as (u, u).
+    ``forest``: a spanning forest of the likeliest.  ``few``: every pair of a node
+    with at most ``FEW`` a member; of other nodes the members in such pairs, as (u, u).
     """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +284,7 @@ def _compare(groups: DataFrame, params: DedupParams, what: str) -> DataFrame:
                 if what == "forest":
                     joins = _forest(labels[i], labels[j])
                     i, j = i[joins], j[joins]
-                elif what == "few" and len(i) > FEW * len(docs):
+                elif len(i) > FEW * len(docs):
                     i = j = np.unique(np.concatenate((i, j)))
                 u, v = np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -360,14 +367,17 @@ class _Links:
     def __init__(self, docs: DataFrame, params: DedupParams, space: Workspace) -> None:
         self.docs, self.params, self.space, self.labels = docs, params, space, None
 
+    def join(self, found: DataFrame) -> None:
+        """Add confirmed links (u, v)."""
+        if self.labels is not None:
+            found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        self.labels = components(found, self.space)
+
     def add(self, pairs: DataFrame) -> None:
         """Confirm those pairs whose ends are still apart."""
         apart = self.space.save(_labelled(_labelled(pairs.select("u", "v").distinct(), self.labels, "u", "_lu"), self.labels, "v", "_lv").where("_lu <> _lv").select("u", "v"))
         if not apart.isEmpty():
-            found = _confirmed(apart, self.docs, self.params)
-            if self.labels is not None:
-                found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-            self.labels = components(found, self.space)
+            self.join(_confirmed(apart, self.docs, self.params))
         self.space.drop(apart)
 
 
@@ -413,44 +423,100 @@ def _groups(small: DataFrame) -> DataFrame:
     return small.groupBy("node").agg(member.alias("m")).select(F.col("m.doc").alias("docs"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.sketch").alias("sketches"))
 
 
-def _wide(docs: DataFrame, ids: DataFrame, params: DedupParams) -> DataFrame:
-    """(doc, n, sketch) with ``WIDE`` tokens for the documents of ``ids`` (doc)."""
+def _full_sets(docs: DataFrame, ids: DataFrame, params: DedupParams) -> DataFrame:
+    """(doc, n, sketch, hashes) for the documents of ``ids`` (doc): ``WIDE`` tokens and the whole set."""
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc")
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, len(found), _short(tokens_of(found, params.seed, WIDE))) for doc, found in zip(batch["doc"], shingle_sets(list(batch["text"]), params.shingle), strict=True) if len(found)]
-            yield pd.DataFrame(rows, columns=["doc", "n", "sketch"])
+            found = zip(batch["doc"], shingle_sets(list(batch["text"]), params.shingle), strict=True)
+            rows = [(doc, len(x), _short(tokens_of(x, params.seed, WIDE)), x.tobytes()) for doc, x in found if len(x)]
+            yield pd.DataFrame(rows, columns=["doc", "n", "sketch", "hashes"])
+
+    made = texts.select("doc", "text").mapInPandas(sets, "doc long, n long, sketch binary, hashes binary")
+    return made.dropDuplicates(["doc", "n", "sketch"])
+
+
+def links_inside(docs: np.ndarray, labels: np.ndarray, hashes: list[bytes], percent: int) -> tuple[list[int], list[int]]:
+    """Confirmed links between the labels of one unit: a spanning forest, so fewer than there are labels.
+
+    Sets are compared in order of size with all larger ones that can reach the
+    threshold and are not yet connected to them, by exact intersections.
+    """
+    sizes = np.array([len(h) // 8 for h in hashes])
+    order = np.argsort(sizes, kind="stable")
+    docs, sizes, known = docs[order], sizes[order], np.unique(labels[order], return_inverse=True)[1]
+    vocabulary, ids = np.unique(np.frombuffer(b"".join(hashes[k] for k in order), np.uint64), return_inverse=True)
+    ids, ends = ids.astype(np.int32), np.cumsum(sizes)
+    mine, left, right = np.zeros(len(vocabulary), bool), [], []
+    last = np.searchsorted(percent * sizes, 100 * sizes, side="right")  # sets from here on are too large
+    for i in range(len(docs) - 1):
+        apart = known[i + 1 : last[i]] != known[i]
+        if not apart.any():
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        mine[own] = True
+        both = np.add.reduceat(mine[ids[ends[i] : ends[last[i] - 1]]], ends[i : last[i] - 1] - ends[i], dtype=np.int64)
+        mine[own] = False
+        near = i + 1 + np.flatnonzero(apart & (100 * both >= percent * (sizes[i] + sizes[i + 1 : last[i]] - both)))
+        joined, first = np.unique(known[near], return_index=True)
+        if len(near):
+            left += [int(docs[i])] * len(joined)
+            right += docs[near[first]].tolist()
+            known[np.isin(known, joined)] = known[i]
+    return left, right
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """(node, lo, hi, doc, label, hashes): nodes in units of bounded size, in which any two members of a node meet.
+
+    A node too large for one unit is dealt into blocks, and every two blocks make a unit.
+    """
+    nodes = rows.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / SMALL_WIDE, F.sum("n") / UNIT_HASHES)).cast("int").alias("parts"))
+    parts = F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(F.lit(1))  # a unit holds two blocks
+    dealt = rows.join(nodes.withColumn("parts", parts), "node").withColumn("block", F.pmod(F.xxhash64("doc", "node"), F.col("parts")).cast("int"))
+    other = F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> block))")
+    return dealt.withColumn("other", F.explode(other)).select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "label", "hashes")
 
-    return texts.select("doc", "text").mapInPandas(sketched, "doc long, n long, sketch binary").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+
+def _linked(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """(u, v): exact links between the components of each node's members (node, doc, label, n, hashes)."""
+    member = F.collect_list(F.struct("doc", "label", "hashes")).alias("m")
+    units = _units(rows).groupBy("node", "lo", "hi").agg(member).select(F.col("m.doc").alias("docs"), F.col("m.label").alias("labels"), F.col("m.hashes").alias("hashes"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, labels, hashes in zip(*(batch.column(c) for c in ("docs", "labels", "hashes")), strict=True):
+                u, v = links_inside(docs.values.to_numpy(), labels.values.to_numpy(), hashes.as_py(), params.percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return units.mapInArrow(linked, "u long, v long")
 
 
 def _second_round(members: DataFrame, docs: DataFrame, links: _Links, params: DedupParams, depth: int) -> None:
-    """Trees over the members (doc) that the first round leaves open; their leaves are compared together."""
+    """Trees over the members (doc) that the first round leaves open; whole sets meet in their leaves.
+
+    Nodes that no token splits are compared as they are, in more units.
+    """
     space = links.space
-    sketches = space.save(_wide(docs, members, params))
+    sets = space.save(_full_sets(docs, members, params))
     trees = F.explode(F.sequence(F.lit(1), F.lit(params.trees(depth))))
     rows = members.withColumn("tree", trees).select("doc", F.xxhash64(F.lit(params.seed), "tree").alias("node"), F.lit(1).alias("steps"))
-    leaves, large = [], None
-    for _ in range(ROUNDS):
-        below = space.save(_children(rows.join(sketches, "doc"), params))
+    leaves = []
+    for step in range(ROUNDS):
+        below = space.save(_children(rows.join(sets.select("doc", "sketch"), "doc"), params))
         level = _open_nodes(below, links)
         space.drop(below)
-        leaves.append(level.where(F.col("members") <= SMALL_WIDE))
-        large = level.where(F.col("members") > SMALL_WIDE)
+        done = F.col("members") <= SMALL_WIDE
+        leaves.append(level if step == ROUNDS - 1 else level.where(done))
+        large = level.where(~done)
         if large.isEmpty():
             break
         steps = F.greatest(F.lit(1), F.floor(F.log2(F.col("members") / SMALL_WIDE) / 2 + 0.5)).cast("int")
         rows = large.select("node", "doc", steps.alias("steps"))
-    every = functools.reduce(DataFrame.unionByName, leaves)
-    links.add(_compare(_groups(every.join(sketches, "doc")), params, "forest"))
-    links.add(_compare(_groups(_open_nodes(every.select("node", "doc"), links).join(sketches, "doc")), params, "all"))
-    # Nodes that no token splits: compared exactly, but only across components.
-    rest = _labelled(large.select("node", "doc"), links.labels, "doc", "label").join(sketches.select("doc", "n"), "doc")
-    other = rest.select("node", F.col("doc").alias("_d"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    sized = (100 * F.least("n", "_n") >= params.percent * F.greatest("n", "_n")) & (F.col("doc") < F.col("_d")) & (F.col("label") != F.col("_l"))
-    links.add(rest.join(other, "node").where(sized).select(F.col("doc").alias("u"), F.col("_d").alias("v")))
+    every = functools.reduce(DataFrame.unionByName, leaves).select("node", "doc", "label")
+    links.join(_linked(every.join(sets.select("doc", "n", "hashes"), "doc"), params))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, params: DedupParams, space: Workspace) -> DataFrame | None:
@@ -488,6 +554,7 @@ def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> Dat
 
 def keep_one(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """The rows of ``docs`` whose document is kept."""
+    (gone,) = unused(docs, "gone")
     judged = near_duplicates(docs, params)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    others = judged.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
