@@ -1,8 +1,9 @@
 """Bounded samples of labelled documents, taken without moving texts.
 
 The sample is drawn from the label rows alone: the smallest seeded hashes of
-doc_id.  It holds at most the stated number of (doc_id, label) pairs, which is
-the proven bound for sending it to every task; texts stay where they are read.
+doc_id.  It holds at most the stated number of (doc_id, label) pairs, and is sent
+to every task if that number is at most ``BROADCAST_IDS``; texts then stay where
+they are read.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No sample may be larger, whatever a caller asks for.
-MOST = 100_000
+BROADCAST_IDS = 1_000_000
 
 
 def known_labels(labels: DataFrame, label: str, usable: Column) -> DataFrame:
@@ -22,9 +22,9 @@ def known_labels(labels: DataFrame, label: str, usable: Column) -> DataFrame:
 
 def smallest(labels: DataFrame, most: int, seed: int) -> DataFrame:
     """At most ``most`` of the rows, by seeded hash."""
-    return labels.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(min(most, MOST))
+    return labels.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
-def with_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """The sample's rows with their texts; ``sample`` is bounded and goes to every task."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+def with_texts(docs: DataFrame, sample: DataFrame, most: int) -> DataFrame:
+    """The rows of a sample of at most ``most`` with their texts."""
+    return docs.select("doc_id", "text").join(F.broadcast(sample) if most <= BROADCAST_IDS else sample, "doc_id")

@@ -4,15 +4,16 @@ Method.  Every text is lower-cased, white space becomes single blanks, and its
 distinct character n-grams (``sizes``) are hashed into ``2**bits`` buckets.
 Spark counts, per bucket, in how many training texts of either class it occurs;
 the smoothed log ratio of those counts is the bucket's naive Bayes ratio ``r``.
-Buckets whose ratio is not noise (``min_z``) become features with the value
-``r``, and a ridge-penalised logistic regression is fitted on them.  The score
-is the fitted probability of label 1.
+Every bucket whose ratio is ``min_z`` standard errors or more from 0 becomes a
+feature with the value ``r``, and a ridge-penalised logistic regression is fitted
+on them.  The score is the fitted probability of label 1.
 
 Scale.  Both steps of training see one bounded sample (``max_fit_docs`` labelled
 documents, the smallest seeded hashes), whose ids go to the tasks that read the
 texts.  The counts are sums over at most ``2**bits`` keys, and the driver holds
-at most ``max_fit_docs`` short feature lists.  The model is one ``2**bits`` table of floats (4 MB) that goes to
-the tasks, and scoring is a map without a shuffle.
+for each of at most ``max_fit_docs`` documents the numbers of its features, as
+32-bit integers in Arrow memory.  The model is one ``2**bits`` table of floats
+(4 MB) that goes to the tasks, and scoring is a map without a shuffle.
 
 Defined cases.  A null text counts as empty.  An empty text, or one without any
 known feature, gets the model's prior.  Very long texts are read whole.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.labelled import smallest, with_texts
+from waybill.llm.workspace import checkpointed
 
 _PRIME = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,8 +45,6 @@ class ToxicityParams:
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     min_z: float = 3.5
-    min_docs: int = 3
-    max_features: int = 8_192
     max_fit_docs: int = 10_000
     ridge: float = 0.1
     steps: int = 500
@@ -109,8 +109,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit on the documents of ``labels``, unique (doc_id, label) rows with labels 0 and 1."""
-    ids = smallest(labels, params.max_fit_docs, params.seed).checkpoint()
-    rows = with_texts(docs, ids)
+    ids = checkpointed(smallest(labels, params.max_fit_docs, params.seed))
+    rows = with_texts(docs, ids, params.max_fit_docs)
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     empty = np.zeros(2**params.bits, np.float32)
@@ -123,13 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     ratio = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     z = F.col("r") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     chosen = (
-        counts.where(F.col("n1") + F.col("n0") >= params.min_docs)
-        .withColumn("r", ratio)
-        .withColumn("z", F.abs(z))
-        .where(F.col("z") >= params.min_z)
-        .orderBy(F.desc("z"), "bucket")
-        .limit(params.max_features)
+        counts.withColumn("r", ratio)
+        .where(F.abs(z) >= params.min_z)
+        .select("bucket", "r")
         .toPandas()
+        .sort_values("bucket")
     )
     buckets, r = chosen["bucket"].to_numpy(np.int64), chosen["r"].to_numpy(np.float64)
     slot = np.full(2**params.bits, -1, np.int32)
@@ -140,10 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
             found = [np.unique(s[s >= 0]) for s in (slot[np.concatenate(grams(t, params))] for t in batch["text"])]
             yield pd.DataFrame({"label": batch["label"], "slots": found})
 
-    fitted = rows.select("text", "label").mapInPandas(features, "label int, slots array<int>").toPandas()
-    lengths = fitted["slots"].map(len).to_numpy()
-    cols = np.concatenate([np.asarray(s, np.int64) for s in fitted["slots"]]) if lengths.sum() else np.empty(0, np.int64)
-    w, b = fit_logistic(np.repeat(np.arange(len(fitted)), lengths), cols, r[cols], fitted["label"].to_numpy(np.float64), len(r), params.ridge, params.steps)
+    fitted = rows.select("text", "label").mapInPandas(features, "label int, slots array<int>").toArrow().combine_chunks()
+    slots, y = fitted["slots"].combine_chunks(), fitted["label"].to_numpy().astype(np.float64)
+    ends, cols = slots.offsets.to_numpy(), slots.values.to_numpy()
+    w, b = fit_logistic(np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends)), cols, r[cols], y, len(r), params.ridge, params.steps)
     weights = empty.copy()
     weights[buckets] = (w * r).astype(np.float32)
     return ToxicityModel(weights, b, params)

@@ -13,10 +13,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint directory; where none is set, a folder of the warehouse becomes it."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the session's checkpoint directory."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows.checkpoint()``, for which a directory is there."""
+    shared_root(rows.sparkSession)
+    return rows.checkpoint()
 
 
 class Workspace:
