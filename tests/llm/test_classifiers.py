@@ -1,6 +1,11 @@
 """Toxicity and compression quality: held-out accuracy, and the defined cases."""
 
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from waybill.llm import quality_compress, toxicity
@@ -51,6 +56,69 @@ def test_quality_separates_held_out_styles(spark):
     assert rest[1000].score == rest[1001].score and rest[1002].predicted == 0
 
 
+def test_quality_scores_equal_plain_zstandard(spark):
+    """Dictionaries and scores rebuilt from the labelled texts, without the operator's own functions."""
+    params = quality_compress.QualityParams(few_bytes=20_000, dictionary=4_000)
+    texts = {i: " ".join(f"{'bad' if i % 3 == 0 else 'fine'}{(i * 7 + k * k) % 61} é" for k in range(10 + i % 90)) for i in range(300)} | {300: "", 301: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(250)], "doc_id long, label int")
+    model = quality_compress.train(docs, labels, params)
+    halves = {r.doc_id: r.half for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.lit(2)).alias("half")).collect()}
+    cut = lambda t: [raw[i : i + params.block] for raw in [(t or "").encode()] for i in range(0, len(raw), params.block)] or [b""]
+    compressors = []
+    for label, built in ((0, model.bad), (1, model.good)):
+        samples = [part for t in sorted(texts[i] for i in range(250) if int(i % 3 != 0) == label and halves[i] == 0) for part in cut(t)]
+        total = sum(map(len, samples))
+        assert built == (b"".join(samples) if total < params.few_bytes else zstandard.train_dictionary(params.dictionary, samples).as_bytes())
+        compressors.append(zstandard.ZstdCompressor(level=params.level, dict_data=zstandard.ZstdCompressionDict(built), write_content_size=False, write_dict_id=False))
+    assert len(model.bad) != len(model.good)
+    for r in quality_compress.score(docs, model, 0.3).collect():
+        bad, good = (sum(len(c.compress(part)) for part in cut(texts[r.doc_id])) for c in compressors)
+        x = (bad - good) / max(1, len((texts[r.doc_id] or "").encode()))
+        want = 1 / (1 + math.exp(-(model.slope * x + model.bias)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_toxicity_scores_equal_a_plain_model(spark):
+    """Counts, ratios and chosen features by dictionaries of plain n-grams; weights only where a feature is."""
+    params = toxicity.ToxicityParams(sizes=(4, 5), min_z=2.0, steps=5_000)
+    words = ["alpha", "beta", "gamma", "delta", "vile", "nasty"]
+    texts = {i: " ".join(words[(i * k + k) % (6 if i % 4 == 0 else 4)] for k in range(1, 12)) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, label int")
+    model = toxicity.train(docs, labels, params)
+    plain = lambda t: {t2[k : k + n] for t2 in [f" {t} "] for n in params.sizes for k in range(len(t2) - n + 1)}
+
+    def hashed(gram):
+        value = 0
+        for c in gram:
+            value = (value * 0x100000001B3 + ord(c)) % 2**64
+        return ((value * 0x9E3779B97F4A7C15) % 2**64) >> (64 - params.bits)
+
+    counts = {0: Counter(), 1: Counter()}
+    for i in range(100):
+        counts[int(i % 4 == 0)].update({hashed(g) for g in plain(texts[i])})
+    n1, n0, chosen = 25, 75, {}
+    for b in counts[0] | counts[1]:
+        a, c = counts[1][b] + 0.5, counts[0][b] + 0.5
+        ratio = math.log(a / (n1 + 1)) - math.log(c / (n0 + 1))
+        if abs(ratio) / math.sqrt(1 / a + 1 / c) >= params.min_z:
+            chosen[b] = ratio
+    assert set(np.flatnonzero(model.weights)) <= set(chosen) and len(chosen) > 10
+    used = [b for b in chosen if model.weights[b] != 0]
+    assert len(used) > 0.9 * len(chosen)
+    # The fitted weights are at the least of the penalised loss: its slope is near 0 in every feature.
+    rows = [sorted({hashed(g) for g in plain(texts[i])} & set(chosen)) for i in range(100)]
+    fitted = {b: model.weights[b] / chosen[b] for b in chosen}
+    error = [1 / (1 + math.exp(-(model.bias + sum(model.weights[b] for b in row)))) - int(i % 4 == 0) for i, row in enumerate(rows)]
+    for b in chosen:
+        slope = sum(e * chosen[b] for e, row in zip(error, rows, strict=True) if b in row) + params.ridge * fitted[b]
+        assert abs(slope) < 0.2
+    for r in toxicity.score(docs, model, 0.7).collect():
+        z = model.bias + sum(float(model.weights[b]) for b in {hashed(g) for g in plain(texts[r.doc_id])})
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_compress])
 def test_without_a_class_or_rows(spark, module):
     docs, labels = corpus(spark)

@@ -2,15 +2,20 @@
 
 Method.  One dictionary is built from blocks of good labelled texts and one from
 blocks of bad ones.  A text is cut into blocks of ``block`` bytes; every block is
-compressed with either dictionary, and the sizes are summed.  The measure is
-``(bad size - good size) / (bad size + good size)``: above 0 the text is better
-explained by good texts.  A logistic curve fitted on labelled texts that the
-dictionaries have not seen turns it into a probability.
-
-Scale.  Dictionaries and curve come from bounded samples (``max_docs`` labelled
-texts a class, the smallest seeded hashes, ``max_blocks`` evenly spaced blocks
-each), so the driver holds some tens of MB at most.  Scoring is a map over whole
-texts, without a shuffle.
+compressed with either dictionary, and the sizes are summed.  Blocks are short, so
+that what they repeat of themselves does not outweigh the dictionaries, however
+long the text.  The measure is
+``(bad size - good size) / size of the text``: above 0 the text is better
+explained by good texts, and near 0 if neither helps, as with texts that repeat
+themselves.  A logistic curve fitted on labelled texts that the dictionaries have
+not seen turns it into a probability.  Dictionaries are trained on all blocks of
+the sampled texts; where these are fewer than ``few_bytes`` together, too few to
+train on, they are the dictionary as they are.
+
+Scale.  Dictionaries and curve come from bounded samples: ``max_docs`` labelled
+texts a class and half, the smallest seeded hashes.  Dictionaries are trained on
+the driver, which holds one class's sampled texts at a time.  Scoring is a map
+over whole texts, without a shuffle.
 
 Defined cases.  A null text counts as empty; an empty text has the measure 0.
 Very long texts are read whole, in blocks.  Repeated rows are scored each; an
@@ -22,7 +27,6 @@ score is the smoothed share of good ones.  Extra columns are kept; those named
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +40,11 @@ from waybill.llm.labelled import smallest, with_texts
 
 @dataclass(frozen=True)
 class QualityParams:
-    block: int = 512
+    block: int = 128
     dictionary: int = 400_000
     level: int = 3
-    max_docs: int = 4_000
-    max_blocks: int = 6
+    few_bytes: int = 131_072
+    max_docs: int = 2_000
     seed: int = 23
 
 
@@ -58,7 +62,7 @@ class QualityModel:
         for i, text in enumerate(texts):
             parts = blocks(text, self.params.block)
             b, g = (sum(len(c.compress(p)) for p in parts) for c in (bad, good))
-            out[i] = (b - g) / (b + g)
+            out[i] = (b - g) / max(1, sum(map(len, parts)))
         return out
 
     def scores(self, texts: pd.Series) -> np.ndarray:
@@ -80,12 +84,11 @@ def blocks(text: str | None, size: int) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)] or [b""]
 
 
-def build_dictionary(samples: list[bytes], size: int) -> bytes:
+def build_dictionary(samples: list[bytes], params: QualityParams) -> bytes:
     """A trained dictionary; with too few samples to train on, their raw bytes."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:] or b"\0" * 8
+    if sum(map(len, samples)) < params.few_bytes:
+        return b"".join(samples).ljust(8, b"\0")
+    return zstandard.train_dictionary(params.dictionary, samples).as_bytes()
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -104,27 +107,21 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     """Fit on the documents of ``labels``, unique (doc_id, label) rows; a seeded half makes the dictionaries, the other the curve."""
     halved = labels.withColumn("half", F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.lit(2)))
     sizes = {(r["label"], r["half"]): r["n"] for r in halved.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
+    good, n = sum(v for k, v in sizes.items() if k[0]), sum(sizes.values())
+    share = (good + 0.5) / (n + 1.0)
+    flat = QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))), params)
     if not all(sizes.get((label, half)) for label in (0, 1) for half in (0, 1)):
-        good, n = sum(v for k, v in sizes.items() if k[0]), sum(sizes.values())
-        share = (good + 0.5) / (n + 1.0)
-        return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))), params)
+        return flat
 
     def sample(label: int, half: int) -> DataFrame:
         own = halved.where((F.col("label") == label) & (F.col("half") == half)).select("doc_id", "label")
-        return with_texts(docs, smallest(own, params.max_docs, params.seed))
-
-    def spaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: list[bytes] = []
-            for text in batch["text"]:
-                parts = blocks(text, params.block)
-                found += [parts[i] for i in sorted({*np.linspace(0, len(parts) - 1, params.max_blocks).astype(int)})]
-            yield pd.DataFrame({"part": found})
-
-    bad, good = (
-        build_dictionary([bytes(r["part"]) for r in sample(label, 0).select("text").mapInPandas(spaced, "part binary").sort("part").collect()], params.dictionary)
-        for label in (0, 1)
-    )
+        return with_texts(docs, smallest(own, params.max_docs, params.seed), params.max_docs)
+
+    def dictionary(label: int) -> bytes:
+        texts = sorted(r["text"] or "" for r in sample(label, 0).select("text").collect())
+        return build_dictionary([part for text in texts for part in blocks(text, params.block)], params)
+
+    bad, good = dictionary(0), dictionary(1)
     shared = docs.sparkSession.sparkContext.broadcast(QualityModel(bad, good, 1.0, 0.0, params))
 
     @F.pandas_udf("double")
@@ -132,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
         return pd.Series(shared.value.measure(texts))
 
     pairs = sample(0, 1).unionByName(sample(1, 1)).select("label", measured("text").alias("x")).toPandas()
+    if pairs["label"].nunique() < 2:
+        return flat
     n0, n1 = sizes[0, 1], sizes[1, 1]
     slope, bias = fit_curve(pairs["x"].to_numpy(np.float64), pairs["label"].to_numpy(np.float64))
     shown = min(n1, params.max_docs) / min(n0, params.max_docs)

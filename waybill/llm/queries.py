@@ -40,13 +40,14 @@ def domain_of_source() -> Column:
     return F.when(number == 0, F.lit("web")).when(number == 1, F.lit("books")).otherwise(F.lit("forums"))
 
 
-def fold(modulus: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % modulus
+def in_fold(modulus: int, remainder: int) -> Column:
+    """Whether a document is held out; a null doc_id, which has no label, is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = fold(3) == 1
+    held_out = in_fold(3, 1)
     model = toxicity.train(docs, known_labels(labels, "toxic", ~held_out))
     return toxicity.score(docs.select("doc_id", "text"), model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -63,7 +64,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = fold(5) == 0
+    held_out = in_fold(5, 0)
     model = quality_compress.train(docs, known_labels(labels, "quality", ~held_out))
     return quality_compress.score(docs.select("doc_id", "text"), model, 0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
