@@ -4,33 +4,43 @@ Method.  A document's ids, ended by ``end_id``, are cut into pieces of at most
 ``capacity`` tokens (only the first may be shorter).  Lengths above
 ``capacity / small_part`` are large: sorted, they fall into ``groups`` groups of
 equal cardinality, and every length is rounded up to its group's largest.  For
-the few rounded sizes, configurations are optimised one after the other: the
-largest size left is completed by the best bounded knapsack of the others, and
-the configuration is used as often as their counts allow.  The actual pieces
-replace the rounded ones, which opens gaps; small lengths then go, largest
-first, where they fit best, and fill new sequences when they fit nowhere.
+these few sizes the configurations with the fewest sequences are found by a linear
+programme over all of them (column generation); they are used in whole times, and
+the few pieces left over are completed by knapsacks.  Actual pieces then take the
+places of the rounded ones, which opens gaps; the pieces of configurations that
+have room for another large one, and the small ones, go, largest first, where they
+fit best, and fill new sequences when they fit nowhere.
 
 Scale.  All pieces of one length are alike, so the plan needs only the number of
 pieces of each length: at most ``capacity`` numbers reach the driver, whatever
 the input.  The plan is a list of runs, each saying which pieces of a length
-(by rank) go to which sequences.  Its size depends on the capacity and the
-number of groups alone (below ``MAX_RUN_SLOTS``, which is checked), so it may be
-broadcast.  Ranks inside a length are row numbers inside 256 seeded salts plus
-the salts' running counts, so one very common length is spread over many tasks.
-Tokens are made in one map; only (doc_id, piece, length, checksum) rows move.
+(by rank) go to which sequences.  A run ends where a configuration, a length or a
+gap does, so there are at most a few for each length and group, whatever the
+input (some 4,000 slots at the defaults), and the plan may go to every task, where
+slots are found by binary search.  Ranks inside a length are row numbers inside
+``salts`` seeded salts plus the salts' running counts, so one very common length
+is spread over many tasks; the table of these counts has at most ``capacity *
+salts`` rows.  Tokens are made in one map; only (doc_id, piece, length, checksum)
+rows move.
+
+Tokenizing.  A file that describes a plain byte-level vocabulary, which is checked
+in full, is read by ``tiktoken``, some five times as fast; any other goes to the
+``tokenizers`` library.
 
 Defined cases.  Null text is empty; an empty text is the end id alone.  Very long
 texts are cut, never shortened.  Rows that repeat a doc_id are packed each.
 Ties in rank are broken by checksum.  An empty table gives an empty result.
-Extra columns are left out.
+``pack_documents`` leaves extra columns out; ``pack`` keeps them, but for those
+with the name of an output column.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +48,12 @@ import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-MAX_RUN_SLOTS = 1_000_000
+from waybill.llm.naming import unused
+from waybill.llm.workspace import checkpointed
+
+RANK_BITS = 46
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -49,22 +63,53 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 class PackParams:
     capacity: int = 1024
     end_id: int = 2
-    groups: int = 1024
+    groups: int = 64
     small_part: int = 4
+    steps: int = 5_000
     salts: int = 256
 
 
-@functools.lru_cache(2)
-def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a tokenizers file; ids are ranks, so the merges follow from it."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def _bytes_of(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Tokens in the byte-level alphabet as bytes."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {bytes(byte[c] for c in token): rank for token, rank in vocabulary.items()}
+
+
+def is_plain_byte_level(spec: dict) -> bool:
+    """Whether ids follow from the ranks of byte strings alone: a byte-level BPE, merged in the order of its ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel":
+        return False
+    if split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if any(model.get(x) for x in options) or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        return False
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocabulary = {token: rank for token, rank in model["vocab"].items() if token not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ranks = [vocabulary.get(a + b, -1) for a, b in merges]
+    single = {token for token in vocabulary if len(token) == 1}
+    made = {a + b for a, b in merges}
+    return len(single) == 256 and ranks == sorted(set(ranks)) and made | single == set(vocabulary) and max(vocabulary[t] for t in single) < min(ranks, default=256)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """From a text to its ids, without special tokens of its own."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not is_plain_byte_level(spec):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    ranks = _bytes_of({token: rank for token, rank in spec["model"]["vocab"].items() if token not in special})
+    fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode(text, allowed_special="all")
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -78,11 +123,11 @@ def tokenize(docs: DataFrame, path: str, params: PackParams = PackParams(), with
     """A row for each piece of every whole text; with ``ids`` if asked for."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        encode = encoder(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array(enc.encode(text or "", allowed_special="all") + [params.end_id], "<u4")
+                ids = np.array(encode(text or "") + [params.end_id], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), params.capacity)):
                     own = ids[start : start + length]
                     rows.append((doc_id, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int64))[: 6 if with_ids else 5])
@@ -109,24 +154,20 @@ class Run:
         return Run(at, self.slots), Run(self.count - at, [(length, rank + at) for length, rank in self.slots])
 
 
-def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int, int]]]:
-    """Equal-cardinality groups of lengths, longest first; members are (length, first rank, count)."""
-    total = sum(counts.values())
-    out: list[list[tuple[int, int, int]]] = []
-    seen = 0
+def grouped(counts: dict[int, int], groups: int) -> dict[int, int]:
+    """Equal-cardinality groups of lengths, longest first: how many pieces are rounded up to each group's largest."""
+    total, seen, out = sum(counts.values()), 0, dict[int, int]()
+    top, group = 0, -1
     for length in sorted(counts, reverse=True):
-        rank = 0
-        while rank < counts[length]:
-            g = min(seen * groups // total, groups - 1)
-            end = -(-(g + 1) * total // groups)
-            n = min(counts[length] - rank, end - seen)
-            if g == len(out):
-                out.append([])
-            while len(out) <= g:
-                out.append([])
-            out[g].append((length, rank, n))
-            rank, seen = rank + n, seen + n
-    return [g for g in out if g]
+        left = counts[length]
+        while left:
+            now = seen * groups // total
+            if now > group:
+                top, group = length, now
+            n = min(left, -(-(now + 1) * total // groups) - seen)
+            out[top] = out.get(top, 0) + n
+            left, seen = left - n, seen + n
+    return out
 
 
 def knapsack(sizes: list[int], counts: list[int], room: int, first: int) -> list[int]:
@@ -157,74 +198,133 @@ def knapsack(sizes: list[int], counts: list[int], room: int, first: int) -> list
     return used
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(times, uses of each size): every use of the largest size left, until nothing is left."""
-    left, out, first = list(counts), [], 0
-    while first < len(sizes):
-        if not left[first]:
-            first += 1
-            continue
-        spare = list(left)
-        spare[first] -= 1
-        used = knapsack(sizes, spare, capacity - sizes[first], first)
-        used[first] += 1
-        times = min(left[g] // u for g, u in enumerate(used) if u)
-        out.append((times, used))
-        left = [n - times * u for n, u in zip(left, used, strict=True)]
+def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The uses of each size that fit a sequence and have the greatest worth together."""
+    layers, choices = [np.full(capacity + 1, -np.inf)], []
+    layers[0][0] = 0.0
+    before = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    for _ in range(capacity // int(sizes.min())):
+        values = np.where(before >= 0, layers[-1][np.maximum(before, 0)] + worth[:, None], -np.inf)
+        choices.append(values.argmax(axis=0))
+        layers.append(values.max(axis=0))
+    n, at = np.unravel_index(int(np.argmax(layers)), (len(layers), capacity + 1))
+    value, used = float(layers[n][at]), np.zeros(len(sizes), np.int64)
+    while n:
+        g = int(choices[n - 1][at])
+        used[g] += 1
+        n, at = n - 1, at - int(sizes[g])
+    return value, used
+
+
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int) -> list[tuple[float, list[int]]]:
+    """(times, uses of each size): fewest sequences that take every size as often as it occurs, in fractions.
+
+    The linear programme over all configurations, by column generation: the basis
+    starts from configurations of one size and takes in the one of the greatest
+    worth under the duals, until none is worth more than a sequence.
+    """
+    columns, costs = list(np.diag(capacity // sizes).astype(np.float64)), np.ones(len(sizes))
+    for _ in range(steps):
+        basis = np.array(columns).T
+        worth = np.linalg.solve(basis.T, costs)
+        if worth.min() < -1e-9:  # more than the demand may be taken
+            entering, cost = -np.eye(len(sizes))[int(worth.argmin())], 0.0
+        else:
+            value, used = best_configuration(sizes, worth, capacity)
+            if value <= 1 + 1e-7:
+                break
+            entering, cost = used.astype(np.float64), 1.0
+        times, change = np.linalg.solve(basis, np.column_stack([demand, entering])).T
+        able = change > 1e-9
+        out = int(np.argmin(np.where(able, np.maximum(times, 0) / np.where(able, change, 1.0), np.inf)))
+        columns[out], costs[out] = entering, cost
+    times = np.linalg.solve(np.array(columns).T, demand)
+    return [(float(t), [int(x) for x in c]) for t, c, cost in zip(times, columns, costs, strict=True) if cost and t > 0]
+
+
+def configurations(sizes: list[int], counts: list[int], params: PackParams) -> list[tuple[int, list[int]]]:
+    """(times, uses of each size) that take all pieces: the programme's, in whole times, and the rest by knapsacks."""
+    left, out = list(counts), []
+
+    def use(times: int, used: list[int]) -> None:
+        times = min([times, *(left[g] // u for g, u in enumerate(used) if u)])
+        if times > 0:
+            out.append((times, used))
+            left[:] = [n - times * u for n, u in zip(left, used, strict=True)]
+
+    if sizes:
+        for times, used in fractional(np.array(sizes), np.array(counts, np.float64), params.capacity, params.steps):
+            use(int(times + 1e-6), used)
+    for first in range(len(sizes)):
+        while left[first]:
+            spare = list(left)
+            spare[first] -= 1
+            used = knapsack(sizes, spare, params.capacity - sizes[first], first)
+            used[first] += 1
+            use(left[first], used)
     return out
 
 
+def substitute(planned: list[tuple[int, list[int]]], sizes: list[int], counts: dict[int, int], capacity: int) -> tuple[list[Run], dict[int, int]]:
+    """Runs with actual lengths in the place of rounded sizes, and the ranks of each length that are used.
+
+    The fullest configurations come first.  A slot takes the longest piece of at
+    most its size; the last slot of a sequence takes the longest that the room
+    really left admits, so rounding is lost in few sequences.
+    """
+    left, ranks, out = dict(counts), dict.fromkeys(counts, 0), []
+    lengths = sorted(counts)
+
+    def longest(most: int, taken: list[int]) -> int | None:
+        at = bisect.bisect_right(lengths, most) - 1
+        while at >= 0 and left[lengths[at]] <= taken.count(lengths[at]):
+            at -= 1
+        return lengths[at] if at >= 0 else None
+
+    for times, used in sorted(planned, key=lambda p: -sum(u * s for u, s in zip(p[1], sizes, strict=True))):
+        slots = [s for s, u in zip(sizes, used, strict=True) for _ in range(u)]
+        while times:
+            taken: list[int] = []
+            for k, size in enumerate(slots):
+                found = longest(size if k < len(slots) - 1 else capacity - sum(taken), taken)
+                if found is not None:
+                    taken.append(found)
+            if not taken:
+                break
+            n = min([times, *(left[x] // taken.count(x) for x in taken)])
+            run = Run(n, [])
+            for x in taken:
+                run.slots.append((x, ranks[x]))
+                ranks[x] += n
+                left[x] -= n
+            out.append(run)
+            times -= n
+            if len(lengths) > 64 and sum(not left[x] for x in lengths) > len(lengths) // 2:
+                lengths = [x for x in lengths if left[x]]
+    return out, ranks
+
+
 def plan(counts: dict[int, int], params: PackParams) -> list[Run]:
     """Runs of sequences that hold every piece of the given length counts."""
     full = counts.get(params.capacity, 0)
     runs = [Run(full, [(params.capacity, 0)])] if full else []
     limit = params.capacity // params.small_part
-    large = {k: n for k, n in counts.items() if limit < k < params.capacity}
-    groups = grouped(large, params.groups) if large else []
-    merged: dict[int, list[tuple[int, int, int]]] = {}
-    for g in groups:
-        merged.setdefault(g[0][0], []).extend(g)
-    sizes = sorted(merged, reverse=True)
-    pools = [list(merged[s]) for s in sizes]
-    gaps: list[Run] = []
-    for times, used in configurations(sizes, [sum(n for *_, n in p) for p in pools], params.capacity):
-        slots = [g for g, u in enumerate(used) for _ in range(u)]
-        streams = [_take(pools[g], times) for g in slots]  # a stream of (length, rank, n) for each slot
-        gaps += _zip(streams)
-    return runs + _best_fit(gaps, {k: n for k, n in counts.items() if k <= limit}, params.capacity)
-
-
-def _take(pool: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
-    out = []
-    while n:
-        length, rank, have = pool.pop(0)
-        use = min(n, have)
-        out.append((length, rank, use))
-        if have > use:
-            pool.insert(0, (length, rank + use, have - use))
-        n -= use
-    return out
-
-
-def _zip(streams: list[list[tuple[int, int, int]]]) -> list[Run]:
-    """Runs over which no slot changes its length."""
-    out, streams = [], [list(s) for s in streams]
-    while streams[0]:
-        n = min(s[0][2] for s in streams)
-        out.append(Run(n, [(s[0][0], s[0][1]) for s in streams]))
-        for s in streams:
-            length, rank, have = s.pop(0)
-            if have > n:
-                s.insert(0, (length, rank + n, have - n))
-    return out
+    large = {k: n for k, n in counts.items() if limit < k < params.capacity and n}
+    sizes = grouped(large, params.groups)
+    planned = configurations(list(sizes), list(sizes.values()), params)
+    tight = params.capacity - limit  # what leaves room for one more large piece is left to best fit
+    planned = [(times, used) for times, used in planned if sum(u * s for u, s in zip(used, sizes, strict=True)) >= tight]
+    filled, ranks = substitute(planned, list(sizes), large, params.capacity)
+    rest = {k: (ranks.get(k, 0), n - ranks.get(k, 0)) for k, n in counts.items() if k < params.capacity and n > ranks.get(k, 0)}
+    return runs + _best_fit(filled, rest, params.capacity)
 
 
-def _best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run]:
+def _best_fit(runs: list[Run], small: dict[int, tuple[int, int]], capacity: int) -> list[Run]:
     by_gap: dict[int, list[Run]] = {}
     for run in runs:
         by_gap.setdefault(capacity - run.used, []).append(run)
     for length in sorted(small, reverse=True):
-        rank, left = 0, small[length]
+        rank, left = small[length]
         while left:
             gap = min((g for g, r in by_gap.items() if g >= length and r), default=None)
             if gap is None:
@@ -246,39 +346,46 @@ def _best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run
 
 def pack(pieces: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; of its columns only ``length`` must be there."""
-    spark = pieces.sparkSession
-    keys = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    salted = pieces.drop("sequence_id", "offset").withColumn("_salt", F.pmod(F.xxhash64(*keys) if keys else F.monotonically_increasing_id(), F.lit(params.salts)))
-    counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])  # at most capacity x salts rows
-    counts = {int(k): int(n) for k, n in counted.groupby("length")["n"].sum().items()}
-    rows, sequence = [], 0
+    spark, rows = pieces.sparkSession, pieces.drop("sequence_id", "offset")
+    salt, row, rank, before, place, key_length, key_salt = unused(rows, "salt", "row", "rank", "before", "place", "key_length", "key_salt")
+    keys = [c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*keys) if keys else F.monotonically_increasing_id(), F.lit(params.salts)))
+    counted = checkpointed(salted.groupBy("length", salt).agg(F.count("*").alias("n")))  # at most capacity x salts rows
+    counts = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    slots, sequence = [], 0
     for run in plan(counts, params):
         offset = 0
-        for length, rank in run.slots:
-            rows.append((length, rank, rank + run.count, sequence - rank, offset))
+        for length, first in run.slots:
+            slots.append((length, first, sequence - first, offset))
             offset += length
         sequence += run.count
-    if len(rows) > MAX_RUN_SLOTS:
-        raise ValueError(f"the plan has {len(rows)} slots")
-    table = pd.DataFrame(rows, columns=["_len", "_from", "_to", "_shift", "offset"]).astype("int64")
-    base = pd.DataFrame({"_len": counted["length"].astype("int64"), "_s": counted["_salt"].astype("int64"), "_base": (counted.groupby("length")["n"].cumsum() - counted["n"]).astype("int64")})
-    schema = ", ".join(f"{c} long" for c in table.columns)
-    slots = spark.createDataFrame(table, schema) if rows else spark.createDataFrame([], schema)
-    bases = spark.createDataFrame(base, "_len long, _s long, _base long") if rows else spark.createDataFrame([], "_len long, _s long, _base long")
-    order = Window.partitionBy("length", "_salt").orderBy(*(keys or [F.lit(0)]))
-    ranked = salted.withColumn("_row", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(bases), (F.col("length") == F.col("_len")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_row") + F.col("_base")).drop("_len", "_s")
-    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return placed.withColumn("sequence_id", F.col("_rank") + F.col("_shift")).drop("_salt", "_row", "_base", "_rank", "_len", "_from", "_to", "_shift")
+    slots.sort()
+    lengths, firsts, shifts, offsets = np.array(slots, np.int64).reshape(-1, 4).T
+    shared = spark.sparkContext.broadcast(((lengths << RANK_BITS) + firsts, shifts, offsets))
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(length: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        starts, shift, offset = shared.value
+        at = np.searchsorted(starts, (length.to_numpy(np.int64) << RANK_BITS) + ranks.to_numpy(np.int64), side="right") - 1
+        return pd.DataFrame({"sequence_id": ranks.to_numpy(np.int64) + shift[at], "offset": offset[at]})
+
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select(F.col("length").alias(key_length), F.col(salt).alias(key_salt), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    order = Window.partitionBy("length", salt).orderBy(*(keys or [F.lit(0)]))
+    ranked = salted.withColumn(row, F.row_number().over(order) - 1)
+    ranked = ranked.join(F.broadcast(bases), (F.col("length") == F.col(key_length)) & (F.col(salt) == F.col(key_salt)))
+    ranked = ranked.withColumn(rank, F.col(row) + F.col(before)).withColumn(place, placed("length", rank))
+    out = ranked.withColumns({"sequence_id": F.col(f"{place}.sequence_id"), "offset": F.col(f"{place}.offset")})
+    return out.drop(salt, row, rank, before, place, key_length, key_salt)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, params: PackParams = PackParams()) -> DataFrame:
     """Tokenize and pack whole documents; the pieces are checkpointed, as they are read twice."""
-    return pack(tokenize(docs, tokenizer, params).checkpoint(), params)
+    return pack(checkpointed(tokenize(docs, tokenizer, params)), params)
 
 
 def sequences(docs: DataFrame, tokenizer: str, params: PackParams = PackParams()) -> DataFrame:
     """(sequence_id, ids): the token ids of every sequence, at most ``capacity`` each."""
-    packed = pack(tokenize(docs, tokenizer, params, with_ids=True).checkpoint(), params)
+    packed = pack(checkpointed(tokenize(docs, tokenizer, params, with_ids=True)), params)
     parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))
