@@ -11,11 +11,15 @@ Pages with equal payloads of at least ``least`` bytes are written once: the one
 with the smallest page_id is a response, the others are revisits that refer to
 it and carry the digest and length of the full payload in their headers.
 
-Scale.  Equal payloads meet by their digest in a join, which adaptive execution
-splits where one payload is very common.  Every task writes packages of its own
+Scale.  Payloads' digests are counted with map-side sums, and only those that repeat
+meet the pages, in a broadcast if they are counted to be at most ``BROADCAST_KEYS``,
+else in a join, which adaptive execution splits where one payload is very common.
+Every task writes packages of its own
 under fresh names, closed at ``max_bytes`` or ``max_records``; the list of
 finished packages is checkpointed, so a package of a lost or repeated task is
-never read.  Reading deals spans of at most ``span`` bytes of records to tasks.
+never read.  Reading deals spans of at most ``span`` bytes of records to tasks,
+whose number follows from the bytes of all packages: no task reads more than some
+``TASK_BYTES``, and small archives are still dealt to all cores.
 Packages go to any store that pyarrow's file systems open by URI.
 
 Defined cases.  A null html is an empty payload; equal rows that repeat the
@@ -41,8 +45,11 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.workspace import checkpointed
+
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+BROADCAST_KEYS, TASK_BYTES = 500_000, 2**27
 _EPOCH = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -168,8 +175,10 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, payload_bytes, refers_to): revisits have no html."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
-    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "sha", "left")
+    repeated = rows.where(F.col("payload_bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = checkpointed(repeated.select("sha", "first"))
+    few = firsts.count() <= BROADCAST_KEYS
+    joined = rows.join(F.broadcast(firsts) if few else firsts, "sha", "left")
     refers = F.when((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull() & (F.col("page_id") > F.col("first")), F.col("first"))
     return joined.withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "sha", "refers_to")
 
@@ -195,11 +204,11 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, max_bytes: int
 
     # Ids travel as text: pandas turns whole numbers beside nulls into floats.
     planned = plan_records(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    return planned.mapInPandas(write, "uri string, size long, records long").checkpoint()
+    return checkpointed(planned.mapInPandas(write, "uri string, size long, records long"))
 
 
-def spans(packages: DataFrame, span: int = 2**22) -> DataFrame:
-    """(uri, start, lengths): runs of neighbouring records, from the packages' own directories and indexes."""
+def spans(packages: DataFrame, span: int = 2**22, tasks: int = 1) -> DataFrame:
+    """(uri, start, lengths), located in so many tasks: runs of neighbouring records, from the packages' own directories and indexes."""
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -219,10 +228,17 @@ def spans(packages: DataFrame, span: int = 2**22) -> DataFrame:
                     rows.append((uri, start + places[-1][0] + places[-1][1] - sum(run), run))
             yield pd.DataFrame(rows, columns=["uri", "start", "lengths"])
 
-    return packages.select("uri", "size").repartition("uri").mapInPandas(locate, "uri string, start long, lengths array<long>")
+    return packages.select("uri", "size").repartition(tasks, "uri").mapInPandas(locate, "uri string, start long, lengths array<long>")
+
+
+def reading_tasks(packages: DataFrame, span: int) -> int:
+    """Tasks for reading all packages: enough for ``TASK_BYTES`` each, and for all cores if there are spans for them."""
+    total = packages.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK_BYTES), min(-(-total // span), 3 * cores))
 
 
-def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_packages(packages: DataFrame, with_payload: bool = False, span: int = 2**20) -> DataFrame:
     """Every record of the packages, range-read; a response's digest and length are those of the bytes read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,5 +258,6 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                 names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
                 yield pd.DataFrame(rows, columns=names[: 7 if with_payload else 6]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = spans(packages).repartition("uri", "start")
+    tasks = reading_tasks(packages, span)
+    dealt = spans(packages, span, tasks).repartition(tasks, "uri", "start")
     return dealt.mapInPandas(read, RECORDS + (", payload binary" if with_payload else ""))
