@@ -98,9 +98,8 @@ def exact_scores(taught, asked, params):
         shorter = p(kind, gram[1:]) if len(gram) > 1 else 1 / url_filter.ALPHABET
         return (grams[kind][gram] + params.weight * shorter) / (totals[kind][gram[:-1]] + params.weight)
 
-    def ratio(longest):
-        known = next((g for g in (longest[j:] for j in range(len(longest))) if grams[0][g] + grams[1][g]), None)
-        return math.log(p(1, known) / p(0, known)) if known else 0.0
+    def ratio(gram):
+        return math.log(p(1, gram) / p(0, gram))
 
     return {u: sum(ratio(u[max(0, i - params.order) : i + 1]) for i in range(len(u))) / len(u) for u in asked}
 

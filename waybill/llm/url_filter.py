@@ -6,8 +6,9 @@ that rules decide are the training texts: two smoothed variable-order Markov
 models, one of accepted and one of rejected URLs, are counted from all of them.
 A model of order ``k`` gives ``p(c | context) = (n(context, c) + weight *
 p_shorter) / (n(context) + weight)``, down to order 0, which leans on a uniform
-distribution.  A character is judged by the longest context seen with it in
-either class; a URL's score is the mean of its characters' log ratios.  The
+distribution; a context that a class has not seen leaves its shorter one's
+probability.  A URL's score is the mean over its characters of the log ratio of the
+two models' probabilities.  The
 threshold comes from a fifth of the rule-decided URLs, which the counts leave
 out: the middle of the gap in scores with the best balanced accuracy.
 
@@ -17,8 +18,7 @@ sums, and context totals under the real context, so the model has a row for each
 n-gram of the corpus and grows with it.  Counts, contexts, shorter n-grams and
 ratios meet in joins by shuffle, unless Spark knows a written table to be small;
 a context or a shorter n-gram has at most one partner for each letter.  N-grams
-that only undecided urls have are carried along with counts of 0 and take over the
-ratio of their longest seen end.
+that only undecided urls have are carried along with counts of 0.
 
 Defined cases.  A null url, or one without ``://``, has an empty host and path
 and no rule.  A null or empty url scores 0.  Very long URLs are read whole.
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.llm.naming import unused
 from waybill.llm.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,7 +99,7 @@ def model(urls: DataFrame, params: UrlParams, workspace: Workspace) -> DataFrame
     contexts = grams.groupBy("c").agg(F.sum("y").alias("ys"), F.sum("n").alias("ns"))
     grams = workspace.save(grams.join(contexts, "c"))
     smooth = lambda n, q, total: (F.col(n) + params.weight * F.col(q)) / (F.col(total) + params.weight)
-    seen, uniform = F.col("y") + F.col("n") > 0, F.lit(1 / ALPHABET)
+    uniform = F.lit(1 / ALPHABET)
     level = grams.where("char_length(g) = 1").withColumns({"qy": uniform, "qn": uniform})
     both, levels = (F.col("ys") > 0) & (F.col("ns") > 0), []
     for k in range(params.order + 1):
@@ -107,7 +108,7 @@ def model(urls: DataFrame, params: UrlParams, workspace: Workspace) -> DataFrame
             level = grams.where(f"char_length(g) = {k + 1}").withColumn("shorter", F.expr(f"right(g, {k})")).join(below, "shorter")
         else:
             level = level.withColumn("both", both)  # the totals of order 0 are those of the classes
-        level = level.select("g", "both", F.when(seen, smooth("y", "qy", "ys")).otherwise(F.col("qy")).alias("py"), F.when(seen, smooth("n", "qn", "ns")).otherwise(F.col("qn")).alias("pn"))
+        level = level.select("g", "both", smooth("y", "qy", "ys").alias("py"), smooth("n", "qn", "ns").alias("pn"))
         levels.append(workspace.save(level))
     out = levels[0]
     for level in levels[1:]:
@@ -136,6 +137,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], params: UrlParams = UrlParams
     """``pages`` with host, path, rule, score, rule_verdict (or null) and verdict."""
     url = F.col("url")
     rows = pages.drop("host", "path", "rule", "rule_verdict", "verdict", "score").withColumns({"host": host_of(url), "path": path_of(url)})
+    (key,) = unused(rows, "key")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "rule_verdict": verdict})
     text = F.lower(F.coalesce(F.regexp_replace(url, "(?s)^.*?://", ""), F.lit("")))
@@ -147,10 +149,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], params: UrlParams = UrlParams
     urls = workspace.save(urls.withColumns({"y": taught("_yes"), "n": taught("_no"), "_id": F.monotonically_increasing_id()}))
     ratios = model(urls, params, workspace)
     asked = urls.where("_undecided > 0 or _fold = 0 and _yes + _no > 0")
-    scores = workspace.save(urls.join(scored(asked, ratios, "_id", params), "_id").select(F.col("_url").alias("_key"), "score", "_undecided", (F.col("_yes") - F.col("y")).alias("y"), (F.col("_no") - F.col("n")).alias("n")))
+    scores = workspace.save(urls.join(scored(asked, ratios, "_id", params), "_id").select(F.col("_url").alias(key), "score", "_undecided", (F.col("_yes") - F.col("y")).alias("y"), (F.col("_no") - F.col("n")).alias("n")))
     cut = threshold(scores.where("y + n > 0"), params)
     decided = rows.where("rule_verdict is not null").withColumn("score", F.lit(None).cast("double"))
-    undecided = rows.where("rule_verdict is null").withColumn("_key", text)
-    out = decided.unionByName(undecided.join(scores.where("_undecided > 0").select("_key", "score"), "_key", "left").drop("_key"))
+    undecided = rows.where("rule_verdict is null").withColumn(key, text)
+    out = decided.unionByName(undecided.join(scores.where("_undecided > 0").select(key, "score"), key, "left").drop(key))
     by_model = F.when(F.coalesce(F.col("score"), F.lit(0.0)) >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", by_model))
