@@ -13,7 +13,8 @@ A leaf then takes whole epochs of its documents while its budget lasts, and from
 the last epoch the token-prefix in the order of a seeded hash of (seed, epoch,
 doc_id).  The document that crosses the budget is taken for the tokens left.
 
-Scale.  Everything is DataFrame functions.  The texts are only mapped; shuffles
+Scale.  Everything is DataFrame functions.  The texts are only mapped, once for the
+tokens, which are written beside the ids, and once for the result; shuffles
 carry sums for (leaf, hash bucket).  The cut inside a leaf is found in three
 steps, of 256 coarse hash buckets, the 256 fine ones of the bucket in which the
 budget ends, and that one's documents, so a source with a third of all rows is
@@ -31,12 +32,16 @@ columns are kept by ``select_documents``; names that clash are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.llm.naming import unused
+from waybill.llm.workspace import Workspace
+
 LEAF = ("domain", "lang", "source")
 BROADCAST_LEAVES = 20_000
 _WORDS = "size(filter(split(text, '[ \\\\t-\\\\r]+'), w -> w <> ''))"
@@ -101,9 +106,10 @@ def leaf_budgets(leaves: DataFrame, plan: MixPlan) -> DataFrame:
 
 def _with_leaves(docs: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
     """``docs`` with the columns of their leaf; broadcast only if the table was counted to be small."""
-    side = leaves.toDF(*[f"_{c}" if c in LEAF else c for c in leaves.columns])
-    on = docs["domain"].eqNullSafe(side["_domain"]) & docs["lang"].eqNullSafe(side["_lang"]) & docs["source"].eqNullSafe(side["_source"])
-    return docs.join(F.broadcast(side) if few else side, on).drop(*[f"_{c}" for c in LEAF])
+    names = unused(docs, *LEAF)
+    side = leaves.withColumnsRenamed(dict(zip(LEAF, names, strict=True)))
+    on = functools.reduce(Column.__and__, [docs[c].eqNullSafe(side[n]) for c, n in zip(LEAF, names, strict=True)])
+    return docs.join(F.broadcast(side) if few else side, on).drop(*names)
 
 
 def _first_over(sums: DataFrame, by: str) -> DataFrame:
@@ -115,29 +121,34 @@ def _first_over(sums: DataFrame, by: str) -> DataFrame:
 
 def _cuts(docs: DataFrame, plan: MixPlan) -> tuple[DataFrame, bool]:
     """Leaf rows with ``cut``, the last order key taken, and ``last_take``, the tokens taken there."""
-    lean = docs.select("doc_id", *LEAF, word_tokens().alias("n_tokens"))
-    leaves = leaf_budgets(lean.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), plan).checkpoint()
+    space = Workspace(docs.sparkSession, "mixing")
+    lean = space.save(docs.select("doc_id", *LEAF, word_tokens().alias("n_tokens")))
+    leaves = space.save(leaf_budgets(lean.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), plan))
     few = leaves.count() <= BROADCAST_LEAVES
     placed = _with_leaves(lean, leaves.where("rest > 0"), few).withColumn("key", order_key(plan.seed, F.col("epochs")))
-    fine = placed.groupBy(*LEAF, F.substring("key", 1, 4).alias("fine")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("left")).checkpoint()
+    fine = space.save(placed.groupBy(*LEAF, F.substring("key", 1, 4).alias("fine")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("left")))
     coarse = fine.groupBy(*LEAF, F.substring("fine", 1, 2).alias("coarse")).agg(F.sum("n").alias("n"), F.first("left").alias("left"))
-    ends = _first_over(coarse, "coarse").checkpoint()
-    ends = _first_over(_with_leaves(fine.drop("left"), ends, few).where("substring(fine, 1, 2) = end"), "fine").checkpoint()
+    ends = space.save(_first_over(coarse, "coarse"))
+    ends = space.save(_first_over(_with_leaves(fine.drop("left"), ends, few).where("substring(fine, 1, 2) = end"), "fine"))
     last = _with_leaves(placed, ends, few).where("substring(key, 1, 4) = end")
     cut = _first_over(last.groupBy(*LEAF, "key").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left")), "key")
     cut = cut.select(*[F.col(c).alias(f"_{c}") for c in LEAF], F.col("end").alias("cut"), F.col("left").alias("last_take"))
     same = leaves["domain"].eqNullSafe(cut["_domain"]) & leaves["lang"].eqNullSafe(cut["_lang"]) & leaves["source"].eqNullSafe(cut["_source"])
-    return leaves.join(cut, same, "left").select(*[leaves[c] for c in LEAF], "budget", "epochs", "cut", "last_take").checkpoint(), few
+    out = space.save(leaves.join(cut, same, "left").select(*[leaves[c] for c in LEAF], "epochs", "cut", "last_take"))
+    space.drop(lean, fine)
+    return out, few
 
 
 def select_documents(docs: DataFrame, domain: Column, plan: MixPlan = MixPlan()) -> DataFrame:
     """``docs``, a row for every epoch in which a document is taken, with ``domain``, ``epoch``, ``n_tokens`` and ``take_tokens``."""
-    rows = docs.drop("epoch", "n_tokens", "take_tokens", "budget", "epochs", "cut", "last_take").withColumn("domain", domain)
-    leaves, few = _cuts(rows, plan)
-    taken = _with_leaves(rows, leaves, few).withColumn("_key", order_key(plan.seed, F.col("epochs")))
-    last = F.when(F.col("_key") <= F.col("cut"), F.col("epochs") + 1).otherwise(F.col("epochs"))
-    taken = taken.withColumn("_n", last).where("_n > 0").withColumn("n_tokens", word_tokens())
-    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    cropped = (F.col("epoch") == F.col("epochs")) & (F.col("_key") == F.col("cut"))
-    taken = taken.withColumn("take_tokens", F.when(cropped, F.least("n_tokens", "last_take")).otherwise(F.col("n_tokens")))
-    return taken.drop("_key", "_n", "budget", "epochs", "cut", "last_take")
+    rows = docs.drop("epoch", "n_tokens", "take_tokens").withColumn("domain", domain)
+    epochs, cut, last_take, key, times = own = unused(rows, "epochs", "cut", "last_take", "key", "times")
+    leaves, few = _cuts(rows.select("doc_id", "text", *LEAF), plan)
+    taken = _with_leaves(rows, leaves.withColumnsRenamed({"epochs": epochs, "cut": cut, "last_take": last_take}), few)
+    taken = taken.withColumn(key, order_key(plan.seed, F.col(epochs)))
+    last = F.when(F.col(key) <= F.col(cut), F.col(epochs) + 1).otherwise(F.col(epochs))
+    taken = taken.withColumn(times, last).where(F.col(times) > 0).withColumn("n_tokens", word_tokens())
+    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    cropped = (F.col("epoch") == F.col(epochs)) & (F.col(key) == F.col(cut))
+    taken = taken.withColumn("take_tokens", F.when(cropped, F.least("n_tokens", last_take)).otherwise(F.col("n_tokens")))
+    return taken.drop(*own)
