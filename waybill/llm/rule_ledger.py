@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.naming import unused
+
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\f\r"
@@ -80,30 +82,29 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements and the failure bits ``failed`` of every rule."""
-    out = docs.drop(*MEASURES, "failed", "_t", "_w", "_l", "_s", "_d")
-    hashes = ", ".join(f"get(_w, i + {k})" for k in range(WINDOW))
-    out = _once(out, _t=F.coalesce(F.col("text"), F.lit("")))
-    out = _once(
-        out,
-        _w=F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w <> '')"),
-        _l=F.expr("filter(split(_t, '\\n'), l -> translate(l, ' \\t\\n\\u000b\\f\\r', '') <> '')"),
-    )
+    out = docs.drop(*MEASURES, "failed")
+    t, w, l, s, d = own = unused(out, "_t", "_w", "_l", "_s", "_d")  # noqa: E741
+    hashes = ", ".join(f"get({w}, i + {k})" for k in range(WINDOW))
+    out = _once(out, **{t: F.coalesce(F.col("text"), F.lit(""))})
+    words = F.expr(f"filter(split({t}, '[ \\\\t-\\\\r]+'), w -> w <> '')")
+    lines = F.expr(f"filter(split({t}, '\\n'), l -> translate(l, ' \\t\\n\\u000b\\f\\r', '') <> '')")
+    out = _once(out, **{w: words, l: lines})
     # Sorted (hash, place) pairs of all windows; neighbours with one hash are repeats.
-    out = _once(out, _s=F.expr(f"if(size(_w) < {WINDOW}, array(), sort_array(transform(sequence(0, size(_w) - {WINDOW}), i -> struct(xxhash64({hashes}) as h, i as i))))"))
-    out = _once(out, _d=F.expr("sort_array(transform(filter(_s, (x, j) -> x.h = get(_s, j - 1).h or x.h = get(_s, j + 1).h), x -> x.i))"))
+    out = _once(out, **{s: F.expr(f"if(size({w}) < {WINDOW}, array(), sort_array(transform(sequence(0, size({w}) - {WINDOW}), i -> struct(xxhash64({hashes}) as h, i as i))))")})
+    out = _once(out, **{d: F.expr(f"sort_array(transform(filter({s}, (x, j) -> x.h = get({s}, j - 1).h or x.h = get({s}, j + 1).h), x -> x.i))")})
     measures = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(_without(F.col("_t"), _SPACE)),
-        "n_symbols": _count(F.col("_t"), SYMBOLS),
-        "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.expr(f"aggregate(_d, struct(0L as n, -{WINDOW} as at), (a, i) -> struct(a.n + least({WINDOW}, i - a.at) as n, i as at), a -> a.n)"),
-        "n_exclaims": _count(F.col("_t"), "!"),
-        "n_stops": _count(F.col("_t"), ".!?"),
+        "n_words": F.size(w),
+        "word_chars": F.length(_without(F.col(t), _SPACE)),
+        "n_symbols": _count(F.col(t), SYMBOLS),
+        "n_lines": F.size(l),
+        "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)),
+        "n_repeat_words": F.expr(f"aggregate({d}, struct(0L as n, -{WINDOW} as at), (a, i) -> struct(a.n + least({WINDOW}, i - a.at) as n, i as at), a -> a.n)"),
+        "n_exclaims": _count(F.col(t), "!"),
+        "n_stops": _count(F.col(t), ".!?"),
     }
     out = _once(out, **{name: c.cast("long") for name, c in measures.items()})
     bits = " + ".join(f"if({rule}, {1 << bit}L, 0L)" for bit, _, rule in RULES)
-    return out.withColumn("failed", F.expr(bits)).drop("_t", "_w", "_l", "_s", "_d")
+    return out.withColumn("failed", F.expr(bits)).drop(*own)
 
 
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
