@@ -14,7 +14,7 @@ large.  Places are running sums in two steps: sums over ``BLOCK`` turns each,
 then a window inside a block, so no task sees a whole long conversation.
 
 Defined cases.  A null text is empty, a null role is the speaker ``unknown``, a
-null turn comes first, a null conv_id is a conversation of its own.  Rows equal
+null turn comes first, the rows of a null conv_id are one conversation.  Rows equal
 in all four columns are one turn; different rows of one turn are ordered by
 speaker, then text.  A conversation of system turns alone has no view.  Very
 long texts stay whole.  Extra columns are left out.  An empty table gives an
