@@ -43,25 +43,37 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.7 by the classifier fitted on ``labels``.
+
+    A null or empty text gets the model's prior; rows that repeat are judged each;
+    without labels of both classes the score is the smoothed share of toxic ones.
+    """
     labels = known_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", F.lit(True))
     scored = toxicity.score(docs, toxicity.train(docs, labels), 0.7)
     return _documents(scored.where("predicted = 0"))
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of policy ``v2``; null, empty and blank texts have too few words and go."""
     judged = rule_ledger.apply_policy(rule_ledger.ledger(docs), rule_ledger.POLICIES["v2"])
     return _documents(judged.where("kept"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents that with the smallest doc_id, with all rows that repeat it.
+
+    Null, empty and blank texts link with nothing, and stay, as do rows without a doc_id.
+    """
     return _documents(near_dedup.keep_one(docs, near_dedup.DedupParams(shingle=5, percent=80)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents up to their leaf's budget, a row for each epoch that takes them; a null lang or source is a leaf of its own."""
     return _documents(mixing.select_documents(docs, domain_of_source(), MIX))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The placed pieces of all rows; a null or empty text is its end id alone, rows that repeat are packed each."""
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
