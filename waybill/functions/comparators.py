@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import blank, bounded, extract_all, has, squeeze, strip, sub
+from waybill.functions.text import blank, bounded, extract_all, has, let, squeeze, strip, sub
 
 # Typographic quotes and dashes, and what they stand for.
 QUOTES = "‘’“”‐‑‒–—−"
@@ -27,7 +27,10 @@ def alphanumeric(value: Column) -> Column:
 
 def street(value: Column) -> Column:
     """From the first house number on, without hubs, boxes, the campus and departments; empty without a number."""
-    out = normal(value)
+    return _street(normal(value))
+
+
+def _street(out: Column) -> Column:
     for word, short in SHORT.items():
         out = sub(out, bounded(word), short)
     for part in (r"HUB(?:\s+BOX)?\s*#?\s*\d+", r"PO\s+BOX\s+\d+", r"DICKINSON\s+COLLEGE"):
@@ -39,22 +42,25 @@ def street(value: Column) -> Column:
 def name_tokens(value: Column) -> Column:
     """Words of a name in the order first to last; one comma means that the last name came first."""
     text = F.replace(strip(F.upper(F.translate(F.coalesce(value, F.lit("")), QUOTES, PLAIN))), F.lit("."), F.lit(" "))
-    parts = F.split(text, ",")
-    swapped = (F.size(parts) == 2) & ~blank(F.get(parts, 0)) & ~blank(F.get(parts, 1))
-    text = F.when(swapped, F.concat(F.get(parts, 1), F.lit(" "), F.get(parts, 0))).otherwise(text)
-    return extract_all(text, r"[A-Z0-9]+(?:['-][A-Z0-9]+)*")
+    swapped = lambda x: (F.size(x) == 2) & ~blank(F.get(x, 0)) & ~blank(F.get(x, 1))
+    ordered = let(F.split(text, ","), lambda x: F.when(swapped(x), F.concat(F.get(x, 1), F.lit(" "), F.get(x, 0))).otherwise(F.array_join(x, ",")))
+    return extract_all(ordered, r"[A-Z0-9]+(?:['-][A-Z0-9]+)*")
 
 
 def same_street(actual: Column, expected: Column) -> Column:
-    mine, truth = normal(actual), normal(expected)
-    sender = F.lit(False)
-    for marker in SENDER:
-        sender = sender | (mine.contains(marker) & ~truth.contains(marker))
-    return ~sender & (street(actual) != "") & (street(actual) == street(expected))
+    def judged(x: Column) -> Column:
+        sender = F.exists(F.array(*[F.lit(m) for m in SENDER]), lambda m: F.contains(x["mine"], m) & ~F.contains(x["truth"], m))
+        streets = F.struct(_street(x["mine"]).alias("a"), _street(x["truth"]).alias("e"))
+        return ~sender & let(streets, lambda s: (s["a"] != "") & (s["a"] == s["e"]))
+
+    return let(F.struct(normal(actual).alias("mine"), normal(expected).alias("truth")), judged)
 
 
 def same_name(actual: Column, expected: Column) -> Column:
-    a, e = name_tokens(actual), name_tokens(expected)
+    return let(F.struct(name_tokens(actual).alias("a"), name_tokens(expected).alias("e")), lambda x: _same_tokens(x["a"], x["e"]))
+
+
+def _same_tokens(a: Column, e: Column) -> Column:
     first, last = (lambda x: F.get(x, 0)), (lambda x: F.get(x, F.size(x) - 1))
     inner = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))
     joined = lambda one, many: (first(one) == F.concat(first(many), last(many))) | (first(one) == F.concat(last(many), first(many)))

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.lines import SUFFIX
-from waybill.functions.text import bounded, full, has, letters_of, lines, squeeze, strip, visible_of
+from waybill.functions.text import bounded, full, has, let, letters_of, lines, squeeze, strip, visible_of
 
 # What a label's text is expected to say, and its weight.
 MARKERS = (
     (r"USPS\s+DELIVER\s+TO", 3), (r"DELIVER\s+TO", 7), (r"SHIP\s+TO", 5), ("SHIP", 2), (None, 4), (r"USPS\s+TRACKING", 5), (r"UPS\s+TRACKING", 5), ("TRACKING", 3), ("USPS", 2),
     ("UPS", 2), ("FEDEX", 2), (r"PRIORITY\s+MAIL", 2), (r"PARCEL\s+SELECT", 2), ("GROUND", 1), ("POSTAGE", 1), ("UNIUNI", 1),
 )
+# Forms of state, ZIP code, place and box on a label, and their weight.
+TO_LINE = r"(?:\A|\n)\s*TO\s*:"
+LAYOUT = ((bounded(r"[A-Z]{2}\s+\d{5}(?:[-–— ]?\d{4})?"), 5), (r"(?:\A|\n)\s*[A-Z][A-Z .'-]+,?\s+[A-Z]{2}\s+\d{5}", 3), (bounded(r"\d{5}[-–— ]\d{4}"), 2))
+PLACE = bounded(rf"{SUFFIX}|BUILDING|BLDG|CENTER|HUB")
+BOX = bounded(r"P\.?\s*O\.?\s+BOX\s+\d+")
 UPSIDE_DOWN = "S4LVIS|G3LINN|CIVD|3DVLSOD|NNGWNN|ONIYOVYL|SDNS"
 
 
@@ -84,8 +89,12 @@ def llm_mode(policy: Column, reasons: Column, street: Column, llm_street: Column
 
 def found_in_text(value: Column, ocr_text: Column, enabled: Column) -> Column:
     """Confidence of a model's value by whether the text has it; null when the model was not asked."""
-    v = comparable(value)
-    return F.when(enabled, F.when(v == "", 0.0).when(F.contains(comparable(ocr_text), v), S.LLM_IN_TEXT).otherwise(S.LLM_NOT_IN_TEXT)).cast("double")
+    return F.when(enabled, let(comparable(value), lambda v: in_text(v, comparable(ocr_text)))).cast("double")
+
+
+def in_text(value: Column, text: Column) -> Column:
+    """The same over comparable forms."""
+    return F.when(value == "", 0.0).when(F.contains(text, value), S.LLM_IN_TEXT).otherwise(S.LLM_NOT_IN_TEXT)
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -93,24 +102,39 @@ def _hits(text: Column, pattern: str) -> Column:
 
 
 def text_quality(text: Column) -> Column:
-    """Points for what labels say and how they are laid out, less points for damage."""
-    upper, rows = F.upper(F.coalesce(text, F.lit(""))), lines(text)
+    """Points for what labels say and how they are laid out, less points for damage.
+
+    Upper case, lines and the counts of each line are computed once and shared.
+    """
+    counted = lambda x: F.struct(x.alias("line"), visible_of(x).alias("visible"), letters_of(x).alias("letters"))
+    body = F.coalesce(text, F.lit(""))
+    parts = F.struct(
+        F.upper(body).alias("upper"), F.transform(lines(text), counted).alias("rows"), visible_of(body).alias("visible"), letters_of(body).alias("letters"),
+        F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]", "")).alias("signs"),
+    )
+    return F.when(F.coalesce(strip(text), F.lit("")) == "", -20).otherwise(let(parts, _points)).cast("int")
+
+
+def _points(x: Column) -> Column:
+    upper, rows, visible, letters = x["upper"], x["rows"], x["visible"], x["letters"]
     score = F.lit(0)
     for pattern, weight in MARKERS:
-        score = score + F.when(has(upper, bounded(pattern) if pattern else r"(?:\A|\n)\s*TO\s*:"), weight).otherwise(0)
-    for pattern, weight in (
-        (bounded(r"[A-Z]{2}\s+\d{5}(?:[-–— ]?\d{4})?"), 5), (r"(?:\A|\n)\s*[A-Z][A-Z .'-]+,?\s+[A-Z]{2}\s+\d{5}", 3), (bounded(r"\d{5}[-–— ]\d{4}"), 2),
-    ):
+        score = score + F.when(has(upper, bounded(pattern) if pattern else TO_LINE), weight).otherwise(0)
+    for pattern, weight in LAYOUT:
         score = score + F.least(_hits(upper, pattern), F.lit(2)) * weight
-    place = bounded(rf"{SUFFIX}|BUILDING|BLDG|CENTER|HUB")
-    address = F.filter(rows, lambda x: (has(x, r"\d") & has(x, place, True)) | has(x, bounded(r"P\.?\s*O\.?\s+BOX\s+\d+"), True))
-    readable = F.filter(rows, lambda x: (visible_of(x) >= 3) & (letters_of(x) >= 3) & (2 * letters_of(x) >= visible_of(x)))
+    address = F.filter(rows, lambda r: (has(r["line"], r"\d") & has(r["line"], PLACE, True)) | has(r["line"], BOX, True))
+    readable = F.filter(rows, lambda r: (r["visible"] >= 3) & (r["letters"] >= 3) & (2 * r["letters"] >= r["visible"]))
+    one = F.size(F.filter(rows, lambda r: r["visible"] == 1))
     score = score + F.least(F.size(address), F.lit(3)) * 4 + F.least(F.size(readable), F.lit(6))
-    visible, letters = visible_of(text), letters_of(text)
-    symbols = visible - F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    one = F.size(F.filter(rows, lambda x: visible_of(x) == 1))
+    symbols = visible - x["signs"]
     score = score - F.when(letters < 0.15 * visible, 8).when(letters < 0.3 * visible, 4).otherwise(0)
     score = score - F.when(symbols > 0.35 * visible, 5).when(symbols > 0.2 * visible, 2).otherwise(0)
     score = score - F.when(one > 0.4 * F.size(rows), 5).when(one > 0.25 * F.size(rows), 2).otherwise(0)
-    score = score - F.least(2 * _hits(upper, bounded(UPSIDE_DOWN)), F.lit(8))
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", -20).otherwise(score).cast("int")
+    return score - F.least(2 * _hits(upper, bounded(UPSIDE_DOWN)), F.lit(8))
+
+
+def mean_ocr_confidence(confidences: Column) -> Column:
+    """Mean of a scan's word confidences without the -1 of boxes that hold no word; 0 if none is left."""
+    known = F.filter(confidences, lambda c: c.isNotNull() & (c != -1))
+    total = F.aggregate(known, F.lit(0.0), lambda a, c: a + c.cast("double"))
+    return F.coalesce(F.try_divide(total, F.size(known)), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.functions.text import extract_all
+from waybill.functions.text import extract_all, let
 
 TOKEN = r"[A-Za-z0-9#&'.\-]+|[^\p{L}\p{N}_\s]"
 
@@ -63,7 +63,8 @@ def find_span(tokens: Column, value: Column) -> Column:
 def encode(rows: DataFrame) -> DataFrame:
     """(id, tokens, labels) from (id, text, truth): longest values first, nothing overwritten.
 
-    Values claim positions; a position goes to the claim of the longest value.
+    Values claim positions; a position goes to the claim of the longest value, and a
+    shorter value keeps those of its positions that are left.
     """
     tokens = rows.select("id", tokenize(F.col("text")).alias("tokens"), "truth")
     field_no = F.create_map(*[x for i, f in enumerate(S.FIELDS) for x in (F.lit(f), F.lit(i))])
@@ -71,13 +72,11 @@ def encode(rows: DataFrame) -> DataFrame:
     each = tokens.select("id", "tokens", F.explode("truth").alias("field", "value")).where(F.col("value").isNotNull() & F.col("field").isin(*S.FIELDS))
     spans = each.withColumn("s", find_span(F.col("tokens"), F.col("value"))).where("s is not null")
     claims = spans.select("id", "field", (-F.length("value")).alias("rank"), F.element_at(field_no, F.col("field")).alias("no"), F.col("s.start").alias("first"), F.explode(F.sequence(F.col("s.start"), F.col("s.end") - 1)).alias("pos"))
-    # A value is left out when a longer one holds any of its positions.
     held = Window.partitionBy("id", "pos").orderBy("rank", "no")
-    taken = claims.withColumn("won", F.row_number().over(held) == 1)
-    whole = taken.groupBy("id", "field").agg(F.min("won").alias("whole"))
+    taken = claims.withColumn("won", F.row_number().over(held)).where("won = 1")
     tag = F.element_at(tag_of, F.col("field"))
     named = F.when(~tag.isin(*S.LONG_TAGS) | (F.col("pos") == F.col("first")), F.concat(F.lit("B-"), tag)).otherwise(F.concat(F.lit("I-"), tag))
-    marks = taken.join(whole.where("whole"), ["id", "field"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", named.alias("tag")))).alias("marks"))
+    marks = taken.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", named.alias("tag")))).alias("marks"))
     out = tokens.join(marks, "id", "left")
     labels = F.transform(F.col("tokens"), lambda t, i: F.coalesce(F.element_at(F.col("marks"), i), F.lit("O")))
     return out.select("id", "tokens", F.when(F.size("tokens") > 0, labels).otherwise(F.array().cast("array<string>")).alias("labels"))
@@ -94,3 +93,33 @@ def token_accuracy(rows: DataFrame) -> DataFrame:
     """Share of equal tags over (predicted, expected) arrays; -100 and missing ones are left out."""
     pairs = rows.select(F.inline(F.arrays_zip("predicted", "expected"))).where("expected is not null and expected <> '-100'")
     return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("expected")).alias("n_correct"))
+
+
+def word_predictions(rows: DataFrame) -> DataFrame:
+    """(id, pos, tag, prob) of each word, from (id, n_words, word_ids, logits): that of its first sub-word.
+
+    ``logits`` has an array for each sub-word, in the order of ``TAGS``; ``word_ids``
+    is null for special tokens.  A word that was cut off is outside, with 0.
+    """
+    words = F.sequence(F.lit(0), F.col("n_words") - 1)
+    at = lambda w: F.array_position("word_ids", w.cast("int")).cast("int")
+    top = lambda x: F.array_max(x)
+    share = lambda x: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top(x)))  # noqa: E731  the softmax of the greatest
+    tags = F.array(*[F.lit(t) for t in S.TAGS])
+    one = lambda w: let(F.get("logits", at(w) - 1), lambda x: F.struct(F.coalesce(F.get(tags, F.array_position(x, top(x)).cast("int") - 1), F.lit("O")).alias("tag"), F.coalesce(share(x), F.lit(0.0)).alias("prob")))
+    return rows.where("n_words > 0").select("id", F.posexplode(F.transform(words, one)).alias("pos", "p")).select("id", "pos", "p.tag", "p.prob")
+
+
+def aligned_labels(word_ids: Column, labels: Column) -> Column:
+    """Label numbers of sub-words: -100 for special tokens, the word's own for its first, an inside label for the rest."""
+    number = F.create_map(*[x for i, t in enumerate(S.TAGS) for x in (F.lit(t), F.lit(i))])
+    outside = F.lit(0)
+
+    def one(word: Column, i: Column) -> Column:
+        tag = F.get(labels, word)
+        first = F.coalesce(F.get(word_ids, i - 1) != word, F.lit(True))
+        inside = F.element_at(number, F.concat(F.lit("I-"), F.substring(tag, 3, 100)))
+        own = F.coalesce(F.element_at(number, tag), outside)
+        return F.when(word.isNull(), -100).when(first | ~F.startswith(tag, F.lit("B-")), own).otherwise(F.coalesce(inside, own))
+
+    return F.transform(word_ids, one)

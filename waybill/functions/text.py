@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row, however often it is named; Catalyst repeats it otherwise."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def bounded(pattern: str) -> str:
     """The pattern between word boundaries of Unicode text; it must start and end with word characters."""
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from waybill.operators.selection import ner_gate
 
-# The thresholds of the sweep.
+# The fewest rows that are split, and the thresholds of the sweep.
+SPLIT_MIN = 25
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
@@ -18,9 +19,10 @@ def held_out(rows: DataFrame, ids: DataFrame, key: str = "label_id") -> tuple[Da
     return joined.where(usable), joined.agg(F.count_if(usable).alias("found"), F.count_if(~usable).alias("missing"))
 
 
-def split(rows: DataFrame, key: str = "label_id") -> DataFrame:
-    """``rows`` with ``test``: a fifth by hash, the same in every run."""
-    return rows.withColumn("test", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
+def split(rows: DataFrame, key: str = "label_id", least: int = SPLIT_MIN) -> DataFrame:
+    """``rows`` with ``test``: a fifth by hash, the same in every run; of fewer than ``least`` rows all are for training."""
+    few = rows.limit(least).count() < least
+    return rows.withColumn("test", F.lit(False) if few else F.pmod(F.xxhash64(key), F.lit(5)) == 0)
 
 
 def head_to_head(rows: DataFrame) -> DataFrame:

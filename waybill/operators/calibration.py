@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.functions import tracking as T
+from waybill.functions.scoring import comparable
+from waybill.functions.text import let
+from waybill.operators.evaluation import latest, samples
 from waybill.schema import MIN_BUCKET_N
 
 KEYS = ["field", "source", "sig"]
@@ -18,6 +22,33 @@ def signature(validations: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(real), lambda e: F.concat(e["key"], F.lit("="), F.initcap(e["value"])))), ",")
 
 
+def recomputed_validations(field: Column, source: Column, label: dict[str, Column]) -> Column:
+    """Validations that follow from the stored columns: the number's check digit, and whether the text has a model's value.
+
+    ``label`` has ``value``, ``tracking_number``, ``carrier`` and ``ocr_text``.
+    """
+    none = F.create_map().cast("map<string,string>")
+    flag = lambda name, test: F.when(test.isNotNull(), F.create_map(F.lit(name), test.cast("string"))).otherwise(none)
+    check = F.when(field == "tracking_number", T.checksum(F.coalesce(label["tracking_number"], F.lit("")), F.coalesce(label["carrier"], F.lit(""))))
+    found = let(F.struct(comparable(label["value"]).alias("v"), comparable(label["ocr_text"]).alias("t")), lambda x: F.when((x["v"] != "") & (F.coalesce(label["ocr_text"], F.lit("")) != ""), F.contains(x["t"], x["v"])))
+    return F.map_concat(flag("checksum_valid", check), flag("found_in_ocr", F.when(source == "llm", found)))
+
+
+def samples_of(labels: DataFrame) -> DataFrame:
+    """Calibration samples (label_id, field, source, sig, correct, confidence) of the newest annotated label of each parcel."""
+    newest = latest(labels.where(F.col("ground_truth").isNotNull()))
+    rows = samples(newest).join(newest.select("label_id", F.col("tracking_number").alias("_number"), F.col("carrier").alias("_carrier"), "ocr_text"), "label_id")
+    label = {"value": F.col("value"), "tracking_number": F.col("_number"), "carrier": F.col("_carrier"), "ocr_text": F.col("ocr_text")}
+    sig = signature(recomputed_validations(F.col("field"), F.coalesce("source", F.lit("")), label))
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
+    return rows.select("label_id", "field", source.alias("source"), sig.alias("sig"), "correct", "confidence")
+
+
+def report(table: DataFrame) -> DataFrame:
+    """The buckets in the order of a report: those of a field first, by key, then those of a source alone."""
+    return table.orderBy(F.instr("key", "|") == 0, "key")
+
+
 def wilson(right: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The interval of a share, within 0 and 1; the whole range without observations."""
     p, nn = F.try_divide(right, n), n.cast("double")

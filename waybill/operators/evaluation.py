@@ -129,3 +129,23 @@ def accuracy_by_version(candidates: DataFrame, rows: DataFrame, source: str = "n
     joined = own.where("value <> ''").join(chosen, ["label_id", "field"])
     found = joined.groupBy("version", "field").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(F.col("correct") & ~F.col("selected_correct")).alias("beat_selected"))
     return _coverage(found, scorable, ["version", "field"])
+
+
+def with_provenance(labels: DataFrame) -> DataFrame:
+    """Annotated labels whose scan recorded its candidates."""
+    return labels.where((F.size("candidates") > 0) & (F.size("ground_truth") > 0))
+
+
+def fixture_rates(expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(field, total, passed, rate) of fixtures that have an image, against what a scan extracted from it.
+
+    ``expected`` has the fixtures' fields, ``image_path`` (or null); ``extracted`` the fields by ``image_path``.
+    A field without a truth is not counted; one without a single truth has the rate 0.
+    """
+    found = extracted.select("image_path", *[F.col(f).alias(f"_{f}") for f in S.FIELDS])
+    rows = expected.where(F.col("image_path").isNotNull()).join(found, "image_path", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("truth"), F.coalesce(f"_{f}", F.lit("")).alias("value")) for f in S.FIELDS]))
+    judged = rows.select(each.alias("x")).select("x.*").withColumn("scorable", C.scorable(F.col("field"), F.coalesce("truth", F.lit(""))))
+    passed = F.col("scorable") & C.same(F.col("field"), F.col("value"), F.col("truth"))
+    out = judged.groupBy("field").agg(F.count_if("scorable").alias("total"), F.count_if(passed).alias("passed"))
+    return out.withColumn("rate", F.coalesce(F.try_divide(F.col("passed") * 100.0, F.col("total")), F.lit(0.0)))

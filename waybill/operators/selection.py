@@ -6,7 +6,7 @@ validations, reason); selection pivots the three sources of a field into one row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from waybill import schema as S
 from waybill.functions import tracking as T
 from waybill.functions.comparators import plausible_name
-from waybill.functions.scoring import comparable, found_in_text
-from waybill.functions.text import full
-
+from waybill.functions.scoring import comparable, found_in_text, in_text
+from waybill.functions.text import full, let
 
 
 def _empty_map() -> Column:
@@ -67,8 +66,34 @@ def ner_candidates(rows: DataFrame) -> DataFrame:
 
 def side_by_side(candidates: DataFrame, modes: DataFrame) -> DataFrame:
     """A row for each label and field: values and confidences of the sources, and the label's ``llm_mode``."""
-    first = lambda s, c: F.first(F.when(F.col("source") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
-    return candidates.groupBy("label_id", "field").agg(*[first(s, c) for s in ("rule", "llm", "ner") for c in ("value", "confidence")]).join(modes, "label_id")
+    # Of two candidates of one source the surer one counts, then the greater value.
+    best = lambda s: F.max(F.when(F.col("source") == s, F.struct("confidence", "value"))).alias(s)
+    pivoted = candidates.groupBy("label_id", "field").agg(*[best(s) for s in ("rule", "llm", "ner")])
+    return pivoted.select("label_id", "field", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("rule", "llm", "ner") for c in ("value", "confidence")]).join(modes, "label_id")
+
+
+def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS) -> DataFrame:
+    """What ``side_by_side`` gives for the candidates of wide rows, made inside each row: no shuffle, one scan.
+
+    ``rows`` has the fields and their confidences, ``llm_<field>`` and ``llm_enabled``,
+    ``ocr_text``, ``llm_mode`` and, where a tagger ran, ``ner``.
+    """
+    tagged = "ner" in rows.columns
+
+    def one(field: str, text: Column) -> Column:
+        value, asked = F.coalesce(F.col(f"llm_{field}"), F.lit("")), F.col("llm_enabled")
+        sure = let(comparable(value), lambda v: in_text(v, text)) if field != "carrier" else F.lit(0.0)
+        p = F.element_at("ner", F.lit(field)) if tagged else F.lit(None)
+        taken = p["value"] != "" if tagged else F.lit(False)
+        rule = F.coalesce(F.col(f"{'tracking_number' if field == 'carrier' else field}_confidence"), F.lit(0.0))
+        return F.struct(
+            F.lit(field).alias("field"), F.coalesce(field, F.lit("")).alias("rule_value"), rule.cast("double").alias("rule_confidence"),
+            F.when(asked, value).alias("llm_value"), F.when(asked, sure).alias("llm_confidence"),
+            F.when(taken, p["value"] if tagged else F.lit("")).alias("ner_value"), F.when(taken, (p["confidence"] if tagged else F.lit(0.0)).cast("double")).alias("ner_confidence"),
+        )
+
+    each = let(comparable(F.col("ocr_text")), lambda text: F.array(*[one(f, text) for f in fields]))
+    return rows.select("label_id", "llm_mode", F.inline(each))
 
 
 Policy = Callable[[dict[str, Column]], dict[str, Column]]
@@ -153,3 +178,26 @@ def provenance(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     lists = by_field.groupBy("label_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.col("cs.c").alias("c"))))).alias("candidates"))
     reasons = selected.groupBy("label_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "reason")))).alias("selection_reasons"))
     return reasons.join(lists, "label_id")
+
+
+def results(public: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """One nested extraction result for each label.
+
+    ``public`` has the public values, ``found`` the conflicts by label, ``labels`` the
+    scan's own columns: ``llm_enabled``, ``llm_mode`` and, where known, policy,
+    provider, model, latency, reasons, rotations and milliseconds.
+    """
+    known = lambda c, default: F.coalesce(F.col(c), default) if c in labels.columns else default
+    value = F.struct("value", "confidence", "source")
+    taken = lambda s: F.sort_array(F.collect_list(F.when(F.col("source") == s, F.col("field"))))
+    by = public.groupBy("label_id").agg(*[F.max(F.when(F.col("field") == f, value)).alias(f) for f in S.FIELDS], taken("llm").alias("from_llm"), taken("ner").alias("from_ner"))
+    own = labels.select(
+        "label_id", F.col("llm_enabled").alias("llm_called"), "llm_mode", known("policy", F.lit("auto")).alias("requested_mode"), known("llm_provider", F.lit("none")).alias("provider"),
+        known("llm_model", F.lit("")).alias("model"), known("llm_latency_ms", F.lit(None).cast("long")).alias("latency_ms"), known("trigger_reasons", F.array().cast("array<string>")).alias("trigger_reasons"),
+        known("ocr_rotations", F.lit(4)).alias("ocr_rotations_tried"), known("processing_ms", F.lit(0)).alias("processing_ms"),
+    )
+    rows = own.join(by, "label_id").join(found, "label_id", "left")
+    llm = F.struct("requested_mode", F.col("llm_called").alias("called"), F.col("llm_mode").alias("mode"), "provider", "model", "latency_ms", "trigger_reasons", F.col("from_llm").alias("fields_from_llm"))
+    ner = F.when(F.size("from_ner") > 0, F.struct(F.col("from_ner").alias("fields_from_ner")))
+    conflicts = F.when(F.col("llm_called"), F.coalesce("conflicts", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("label_id", *S.FIELDS, "llm_called", conflicts.alias("conflicts"), "processing_ms", "llm_mode", "ocr_rotations_tried", llm.alias("llm_telemetry"), ner.alias("ner_telemetry"))

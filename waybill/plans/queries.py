@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,18 +262,22 @@ def validation_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- candidates and selection -------------------------------------------------
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with what a language model and a tagger said of them."""
     rows = views.labels(spark, sf_dir).withColumns({f"llm_{f}": F.col("llm_name") if f == "recipient_name" else F.col(f) for f in S.FIELDS})
     rows = rows.withColumns({"llm_enabled": F.col("llm_mode") != "none", "parser_used": F.lit("view"), "ner_version": F.lit("v1")})
     prediction = F.struct(F.col("ner_name").alias("value"), F.col("ner_confidence").alias("confidence"), F.lit(0).alias("alternates"))
-    rows = rows.withColumn("ner", F.create_map(F.lit("recipient_name"), prediction))
+    return rows.withColumn("ner", F.create_map(F.lit("recipient_name"), prediction))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _wide(spark, sf_dir)
     found = selection.rule_candidates(rows).unionByName(selection.llm_candidates(rows)).unionByName(selection.ner_candidates(rows))
     return found, rows
 
 
-def _pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows = _candidates(spark, sf_dir)
-    return selection.side_by_side(found, rows.select("label_id", "llm_mode"))
+def _pivoted(spark: SparkSession, sf_dir: str, fields: Sequence[str] = S.FIELDS) -> DataFrame:
+    return selection.sources_of(_wide(spark, sf_dir), fields)
 
 
 _NAMES = r""", n as (select label_id, recipient_name as rule, case when llm_mode <> 'none' then llm_name end as llm, ner_name as ner, ner_confidence, llm_mode, coalesce(confidence, 0.0) as conf,
@@ -286,7 +290,7 @@ _NAMES = r""", n as (select label_id, recipient_name as rule, case when llm_mode
 
 @query("parcel", _NAMES + " select label_id, value, source, reason from chosen")
 def selection_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.select(_pivoted(spark, sf_dir).where("field = 'recipient_name'")).select("label_id", "value", "source", "reason")
+    return selection.select(_pivoted(spark, sf_dir, ["recipient_name"])).select("label_id", "value", "source", "reason")
 
 
 _BOTH = [(f, {"recipient_name": "llm_name", "carrier": "''"}.get(f, f)) for f in S.FIELDS]
@@ -306,7 +310,7 @@ def selection_legacy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
    then case when value = '' and ner_confidence >= 0.5 then 'ner_name_fill' when value <> '' and ner_confidence >= 0.8 then 'ner_name_override' end end as gate from chosen)
  select label_id, case when gate is not null then ner else value end as value, case when gate is not null then 'ner' else source end as source, coalesce(gate, reason) as reason from g""")
 def selection_ner_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pivoted(spark, sf_dir).where("field = 'recipient_name'")
+    rows = _pivoted(spark, sf_dir, ["recipient_name"])
     return selection.select(rows, selection.name_policy).select("label_id", "value", "source", "reason")
 
 
@@ -317,7 +321,7 @@ def candidate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parcel", _NAMES + " select label_id, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
 def comparison_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.comparison(_pivoted(spark, sf_dir)).where("field = 'recipient_name'").drop("field")
+    return selection.comparison(_pivoted(spark, sf_dir, ["recipient_name"])).drop("field")
 
 
 @query("parcel", _FIELDWISE + " select label_id, field, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
@@ -333,7 +337,7 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def selection_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows = _candidates(spark, sf_dir)
-    pivoted = selection.side_by_side(found, rows.select("label_id", "llm_mode"))
+    pivoted = selection.sources_of(rows)
     out = selection.provenance(found, selection.select(pivoted))
     return out.select("label_id", F.to_json("selection_reasons").alias("selection_reasons"), F.to_json("candidates").alias("candidates"))
 
