@@ -68,8 +68,8 @@ def dataset_rows(fixtures: DataFrame) -> DataFrame:
 
 
 def import_problems(images: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """(no_json, errors): images without a fixture, and fixtures of images that are no JSON (``_corrupt`` set)."""
+    """(no_json, errors): images without a fixture, and fixtures of images that are no JSON (``broken``)."""
     keys = ["folder", "stem"]
-    known = fixtures.groupBy(*keys).agg(F.max(F.col("_corrupt").isNotNull()).alias("broken"))
+    known = fixtures.groupBy(*keys).agg(F.max("broken").alias("broken"))
     joined = images.select(*keys, "path").join(known, keys, "left")
     return joined.agg(F.count_if(F.col("broken").isNull()).alias("no_json"), F.count_if("broken").alias("errors"))

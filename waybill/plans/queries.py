@@ -177,6 +177,29 @@ def strict_vs_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.samples(views.labels(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if("strict").alias("n_strict"))
 
 
+_COMPARABLE = r"trim(regexp_replace(regexp_replace(upper({x}), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
+_FOUND = f"case when source = 'llm' and {_COMPARABLE.format(x='value')} <> '' then 'found_in_ocr=' || (case when contains({_COMPARABLE.format(x='ocr_text')}, {_COMPARABLE.format(x='value')}) then 'True' else 'False' end) else '' end"
+_NEWEST = ", newest as (select label_id, ocr_text from (select *, row_number() over (partition by tracking_number order by processed_at desc, label_id) as rn from parcel where label_id % 10 <> 0) where rn = 1 or tracking_number = '')"
+
+
+@query("parcel", _JUDGED + _NEWEST + f" select label_id, field, source, {_FOUND} as sig, correct, confidence from j join newest using (label_id)")
+def samples_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration samples of stored labels, with recomputed validations."""
+    return calibration.samples_of(views.labels(spark, sf_dir))
+
+
+_FIXTURES = _JUDGED.replace("where label_id % 10 <> 0", "where label_id % 7 <> 0").replace("as truth, source,", "as truth, 'rule' as source,")
+
+
+@query("parcel", _FIXTURES + " select f.field, count(j.field) as total, count(*) filter (j.correct) as passed, coalesce(count(*) filter (j.correct) * 100.0::double / nullif(count(j.field), 0), 0) as rate from (select unnest([" + ", ".join(f"'{f}'" for f in S.FIELDS) + "]) as field) f left join j on j.field = f.field group by f.field")
+def fixture_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures with an image (all but each seventh) against what was extracted from it."""
+    rows = views.labels(spark, sf_dir)
+    image = F.col("label_id").cast("string")
+    expected = rows.select(F.when(F.col("label_id") % 7 != 0, image).alias("image_path"), *[(F.col(views.TRUTH[f]) if f in views.TRUTH else F.lit("")).alias(f) for f in S.FIELDS])
+    return evaluation.fixture_rates(expected, rows.select(image.alias("image_path"), *S.FIELDS))
+
+
 @query("parcel", _UNPIVOT + f" select label_id, field, trim(truth) <> '' and (field <> 'street_address' or {_street_sql('truth')} <> '') as scorable from u")
 def scorable_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fields_of(views.labels(spark, sf_dir)).select("label_id", "field", C.scorable(F.col("field"), F.col("truth")).alias("scorable"))

@@ -12,8 +12,10 @@ BUCKETS = "metadata struct<min_bucket_n:bigint,samples:bigint>, buckets map<stri
 
 
 def fixtures(spark: SparkSession, glob: str) -> DataFrame:
-    """Expected results, one JSON object a file, with carrier folder and stem of the path."""
-    rows = spark.read.schema(FIXTURE).option("multiLine", True).json(glob).withColumn("path", F.input_file_name())
+    """Expected results, one JSON object a file, with carrier folder and stem of the path; ``broken`` where a file is no JSON."""
+    read = spark.read.schema(f"{FIXTURE}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
+    rows = read.json(glob).withColumn("path", F.input_file_name())
+    rows = rows.withColumn("broken", F.col("_corrupt").isNotNull() & F.coalesce(*S.FIELDS).isNull()).drop("_corrupt")
     return rows.withColumns({"folder": F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1), "stem": F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)})
 
 
