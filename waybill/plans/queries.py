@@ -20,6 +20,8 @@ from waybill.streaming import debounce
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Passages of one or two words are tested on a text so many at a time.
+SHORT_BLOCK = 1024
 
 
 def _with(view: str, sql: str) -> str:
@@ -311,11 +313,6 @@ _NAMES = r""", n as (select label_id, recipient_name as rule, case when llm_mode
    case reason when 'rule_llm_agree' then 'agreement' when 'rule_default' then 'rule_based' else 'llm' end as source from base)"""
 
 
-@query("parcel", _NAMES + " select label_id, value, source, reason from chosen")
-def selection_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.select(_pivoted(spark, sf_dir, ["recipient_name"])).select("label_id", "value", "source", "reason")
-
-
 _BOTH = [(f, {"recipient_name": "llm_name", "carrier": "''"}.get(f, f)) for f in S.FIELDS]
 _FIELDWISE = (
     ", u as (" + " union all ".join(f"select label_id, llm_mode, '{f}' as field, {chr(39) * 2 if f == 'carrier' else f} as rule, case when llm_mode <> 'none' then {m} end as llm from parcel" for f, m in _BOTH) + r"""),
@@ -324,6 +321,11 @@ _FIELDWISE = (
 )
 
 
+@query("parcel", _FIELDWISE + " select label_id, field, value, source, reason from chosen")
+def selection_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(_pivoted(spark, sf_dir)).select("label_id", "field", "value", "source", "reason")
+
+
 @query("parcel", _FIELDWISE + " select label_id, field, value, source, reason from chosen")
 def selection_legacy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select(_pivoted(spark, sf_dir)).select("label_id", "field", "value", "source", "reason")
@@ -342,9 +344,9 @@ def candidate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir)[0].groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("blank"))
 
 
-@query("parcel", _NAMES + " select label_id, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
+@query("parcel", _FIELDWISE + " select label_id, field, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
 def comparison_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.comparison(_pivoted(spark, sf_dir, ["recipient_name"])).drop("field")
+    return selection.comparison(_pivoted(spark, sf_dir))
 
 
 @query("parcel", _FIELDWISE + " select label_id, field, rule as rule_value, coalesce(llm, '') as llm_value, value as selected_value, agree as agreement from chosen")
@@ -459,18 +461,32 @@ def ocr_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  d as (select doc_id, trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) as t from documents)
  select doc_id, item_id from d join b on contains(t, v) where v <> ''""")
 def found_in_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages inside texts: texts and passages meet on three neighbouring words, then the containment is tested."""
+    """Passages inside texts, tested where both have the same neighbouring words.
+
+    A passage's inner words are whole words of any text that has it: it is looked up
+    by its longest three of them, or by the one or two that there are.  Passages of
+    one or two words have none, and are tested on every text, in blocks.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scoring.comparable(F.col("text")).alias("t"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", scoring.comparable(F.col("text")).alias("v")).where("v <> ''")
-    words = F.split("v", " ")
-    long = items.where(F.size(words) >= 5).select("item_id", "v", F.array_join(F.slice(words, 2, 3), " ").alias("key"))
-    parts = F.split("t", " ")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, 3), " "))
-    hits = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(long, "key").select("doc_id", "item_id", "v")
+    items = items.withColumn("words", F.split("v", " "))
+    inner = F.slice("words", 2, F.size("words") - 2)
+    width = F.least(F.lit(3), F.size("words") - 2)
+    runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    longest = F.array_max(F.transform(runs(inner, width), lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"]
+    keyed = items.where(F.size("words") > 2).select("item_id", "v", width.alias("width"), longest.alias("key"))
+    widths = [r["width"] for r in keyed.select("width").distinct().collect()]  # of 1, 2 and 3
+    parts = docs.select("doc_id", F.split("t", " ").alias("words"))
+    named = lambda n: F.transform(F.array_distinct(runs(F.col("words"), n)), lambda k: F.struct(n.alias("width"), k.alias("key")))
+    keys = F.flatten(F.array(*[named(F.lit(n)) for n in sorted(widths) or [3]]))
+    hits = parts.select("doc_id", F.inline(keys)).join(keyed, ["width", "key"]).select("doc_id", "item_id", "v")
     found = hits.join(docs, "doc_id").where(F.contains("t", F.col("v"))).select("doc_id", "item_id")
-    # Passages of under five words have no whole inner triple; there are few, and they are tested on every text.
-    short = items.where(F.size(words) < 5).agg(F.collect_list(F.struct("item_id", "v")).alias("few"))
-    each = docs.join(short).select("doc_id", "t", F.explode("few").alias("s")).where(F.contains("t", F.col("s.v")))
+    short = items.where(F.size("words") <= 2)
+    blocks = -(-short.count() // SHORT_BLOCK)
+    if not blocks:
+        return found
+    few = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "v")).alias("few"))
+    each = docs.crossJoin(few).select("doc_id", "t", F.explode("few").alias("s")).where(F.contains("t", F.col("s.v")))
     return found.unionByName(each.select("doc_id", "s.item_id"))
 
 
@@ -481,9 +497,9 @@ def score_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.parcel(spark, sf_dir).select("label_id", c["recipient_name"].alias("recipient_name"), c["overall"].alias("overall"))
 
 
-@query("parcel", " select label_id, case when (city = '')::int + (not regexp_full_match(state, '[A-Z]{2}'))::int + (street_address = '')::int + (not regexp_full_match(zip_code, '\\d{5}'))::int >= 3 then 'ocr_confidence_low,blank_address_fields' else 'ocr_confidence_low' end as triggers from parcel where form <> 2")
+@query("parcel", " select label_id, case when (city = '')::int + (not regexp_full_match(state, '[A-Z]{2}'))::int + (street_address = '')::int + (not regexp_full_match(zip_code, '\\d{5}'))::int >= 3 then 'ocr_confidence_low,blank_address_fields' else 'ocr_confidence_low' end as triggers from parcel")
 def vision_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.parcel(spark, sf_dir).where("form <> 2")
+    rows = views.parcel(spark, sf_dir)
     reasons = scoring.triggers({f: F.col(f) for f in S.SCORED}, F.lit(50.0), F.col("ocr_text"), F.lit(False), L.name_flags(F.lit("")))
     return rows.select("label_id", F.array_join(reasons, ",").alias("triggers"))
 
