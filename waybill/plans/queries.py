@@ -26,7 +26,7 @@ SHORT_BLOCK = 1024
 
 def _with(view: str, sql: str) -> str:
     named = {t: t for t in ("events", "labels", "documents", "orders", "customer")}
-    body = {"scan": views.SCAN, "sample": views.SAMPLE, "parcel": views.PARCEL, "frames": views.FRAMES}[view].format(**named)
+    body = {"scan": views.SCAN, "sample": views.SAMPLE, "parcel": views.PARCEL, "frames": views.FRAMES, "line": views.LINE}[view].format(**named)
     return f"with {view} as ({body}) {sql}" if not sql.startswith(",") else f"with {view} as ({body}){sql}"
 
 
@@ -540,6 +540,66 @@ def line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.labels(spark, sf_dir).select("label_id", F.size("lines").alias("n_lines"), text.title(F.split_part(F.upper("true_name"), F.lit(" "), F.lit(1))).alias("title"))
 
 
+def _rules(sql: str) -> str:
+    """SQL with word lists in the places named ``<LIST>``."""
+    for name in ("SUFFIX", "SERVICE_TAIL", "SERVICE", "STREET_REJECT", "NAME_STREET", "NAME_ORG", "COMMA_NAME", "PLAIN_NAME"):
+        sql = sql.replace(f"<{name}>", getattr(L, name).replace("'", "''"))
+    return sql.replace("<FURNITURE>", ", ".join(f"'{x}'" for x in L.FURNITURE))
+
+
+def _noise_sql(x: str) -> str:
+    return _rules(rf"""(len({x}) <= 2 or {x} in (<FURNITURE>) or regexp_matches({x}, '\b[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?\b') or regexp_matches({x}, '\b(?:<SERVICE>)\b')
+  or regexp_matches({x}, '\bDICKINSON\s*COLLEGE\b') or regexp_matches({x}, '\bHUB\s*#?\s*\d+\b') or (regexp_matches({x}, '\b(?:STREET|ST|ROAD|RD|AVE|AVENUE|BLVD|DR|LANE|LN|WAY)\b') and regexp_matches({x}, '\d'))
+  or regexp_full_match({x}, '[\d\s./#-]+') or regexp_full_match({x}, '[|.=_\-— ]+'))""")
+
+
+def _name_of(x: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace(regexp_replace({x}, '(?i)^\s*(?:TO|SHIP)\s*:?\s*', ''), '\s+', ' ', 'g')), '^[ |]+|[ |]+$', '', 'g')"
+
+
+def _title_sql(x: str) -> str:
+    return rf"array_to_string(list_transform(regexp_extract_all(lower({x}), '\p{{L}}+|\P{{L}}+'), lambda p: upper(p[1]) || p[2:]), '')"
+
+
+_CLEANED = _rules(r""", a as (select *, trim(regexp_replace(regexp_replace(line, '(?is)\b(?:<SERVICE_TAIL>)\b.*', ''), '\s+', ' ', 'g')) as service from line),
+ b as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(service, '^\s*[^A-Za-z0-9]+', ''), '^(\d+[A-Z]?)\s*[.,:]\s+', '\1 '), '(?i)^([NSEW])\s+(\d{2,4})\b', '\1\2'), '\s+§\s*$', ' ST') as o from a),
+ c as (select *, regexp_extract(o, '(?is)^(.*\b(?:<SUFFIX>)\b)(.*)$', 1) as kept, trim(regexp_extract(o, '(?is)^(.*\b(?:<SUFFIX>)\b)(.*)$', 2)) as rest from b),
+ d as (select *, case when not regexp_matches(service, '(?i)^\s*[^A-Za-z0-9]*?(?:\d+[A-Z]?(?:-[A-Z0-9]+)?|[NSEW]\s*\d{2,4})\b') then service
+   when kept <> '' and rest <> '' and not regexp_matches(rest, '(?i)^(?:(?:APT|APARTMENT|UNIT|SUITE|STE|HUB)\b|P\.?\s*O\.?\s+BOX\b|#)')
+     and (regexp_matches(rest, '[;|%={}~]') or (regexp_matches(rest, '[A-Za-z]') and not regexp_matches(rest, '[A-Za-z]{3}'))) then kept else o end as street from c),
+ e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(street, '(\d)@(\d)', '\10\2', 'g'), '(?i)\bNL\b', 'L', 'g'), '(?i)\bAUB\b', 'HUB', 'g'), '(?i)\bPRRLISLE\b', 'CARLISLE', 'g') as fixed from d),
+ f as (select label_id, line, service, street, trim(regexp_replace(regexp_replace(fixed, '(?i)(^|[^A-Za-z])\\?IVERSITY\b', '\1UNIVERSITY', 'g'), '\s+', ' ', 'g')) as address, """) + f"{_name_of('line')} as name from e)"
+
+
+@query("line", _CLEANED + " select label_id, service, street, address, name from f")
+def line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    service, line = L.clean_service(F.col("line")), F.col("line")
+    return views.line(spark, sf_dir).select("label_id", service.alias("service"), L.clean_street(service).alias("street"), L.clean_address(line).alias("address"), L.clean_name(line).alias("name"))
+
+
+@query("line", _CLEANED + _rules(r""", g as (select *, upper(address) as u, trim(regexp_replace(regexp_replace(upper(address), '[^A-Z\s]', ' ', 'g'), '\s+', ' ', 'g')) as letters, """) + f"upper({_name_of('name')}) as again, {_noise_sql('upper(name)')} as noise from f)" + _rules(r""",
+ h as (select *, regexp_matches(letters, '\bDELIVER\s+TO\b|\bVER\s+TO\b|\bUSPS\b.*\bTO\b') as deliver_to from g)
+ select label_id, deliver_to, deliver_to or regexp_full_match(u, '\s*(?:TO|SHIP\s+TO)\s*:?[\s|]*') as recipient_marker, noise,
+  regexp_matches(u, '\d') and regexp_matches(u, '\b(?:<SUFFIX>|BUILDING|BLDG|CENTER|HUB|P\.?\s*O\.?\s+BOX)\b') as street_line,
+  regexp_matches(u, '\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b') or regexp_matches(u, '\bZIP\s*\d{5}\b') as city_line,
+  not regexp_matches(name, '\d') and len(regexp_replace(name, '\P{L}', '', 'g')) >= 0.75 * len(regexp_replace(name, '\s', '', 'g'))
+   and (regexp_full_match(name, '(?i)<COMMA_NAME>') or regexp_full_match(name, '(?i)<PLAIN_NAME>')) and not """) + f"{_noise_sql('again')} as person_name from h")
+def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = {"deliver_to": L.deliver_to, "recipient_marker": L.recipient_marker, "noise": L.noise, "street_line": L.street_line, "city_line": L.city_line, "person_name": L.person_name}
+    return views.line(spark, sf_dir).select("label_id", *[test(F.col("line")).alias(name) for name, test in tests.items()])
+
+
+@query("line", _CLEANED + r""", g as (select *, regexp_replace(address, '(?i)\b(?:BE|8T|5T)$', 'ST') as s, replace(trim(line), ' ', '') as n from f),
+ h as (select *, regexp_extract(s, '(?i)\b(st|rd|ave|blvd|dr|ln|ct)$', 1) as last from g), i as (select *, s[:len(s) - len(last)] || upper(last) as street_address from h)
+ select label_id, street_address, """ + _rules(r"regexp_matches(street_address, '(?i)\b(?:<STREET_REJECT>)\b') as street_rejected, case when n like '1LSDO%' then replace(n, 'O', '0') else n end as tracking_number, ") + _title_sql("address") + " as city, " + _title_sql(r"trim(regexp_replace(line, '\s+', ' ', 'g'))") + _rules(r""" as recipient_name,
+  line <> '' and regexp_matches(line, '(?i)\b(?:<NAME_STREET>)\b') as name_looks_like_street, line <> '' and regexp_matches(line, '(?i)\bSENDER\b') as name_is_sender_artifact,
+  line <> '' and not regexp_matches(line, '\s') and len(line) > 3 as name_single_word, line <> '' and regexp_matches(line, '(?i)\b(?:<NAME_ORG>)\b') as name_looks_like_org from i"""))
+def line_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("line")
+    forms = {"street_address": L.normal_street(x), "street_rejected": L.street_rejected(x), "tracking_number": L.normal_number(x), "city": L.normal_city(x), "recipient_name": L.normal_name(x)}
+    return views.line(spark, sf_dir).select("label_id", *[c.alias(name) for name, c in {**forms, **L.name_flags(x)}.items()])
+
+
 # --- tagging ------------------------------------------------------------------
 
 

@@ -51,6 +51,17 @@ PARCEL = f"""select label_id, processed_at, form, kind, origin, number as tracki
   case label_id % 3 when 0 then 'vision' when 1 then 'text' else 'none' end as llm_mode
 from ({_BASE}) b"""
 
+#: Lines as a reader returns them: names, streets, places, markers and furniture, some of them damaged.
+_LINES = (
+    "given || ' ' || family", "family || ', ' || given", "'TO: ' || given || ' ' || family", "'SHIP TO: |'", "'~ ' || house || ' ' || road || ' ST ;x'",
+    "house || '. ' || road || ' AVENUE APT 4'", "'N 12 ' || road || ' RD'", "house || ' ' || road || ' §'", "house || ' ' || road || ' ST ' || chr(123) || 'zz'",
+    "town || ' ' || region || ' ' || code", "'ZIP ' || code", "'USPS TRACKING #'", "'DELIVER TO'", "'USPS rQ TO'", "'VER  TO '",
+    "given || ' ' || family || ' CARRIER - LEAVE IF NO RESPONSE x'", "house || ' ' || chr(92) || 'IVERSITY BLVD'", "'1@5 ' || road || ' LN'", "'AUB # ' || house",
+    "code || '-1234'", "'|  ' || given || '  ' || family || ' |'", "'Dr. ' || given || ' Q ' || family", "'MEDIA MAIL'", "'PO BOX ' || house", "'SENDER ' || family || ' LLC'",
+    "house || ' ' || road || ' 5T'", "house || ' ' || road || ' blvd'", "'12@4 PRRLISLE DR'", "' 1LSDO23O4 ' || house", "'ab'", "'--- __'",
+)
+LINE = "select label_id, case label_id % " + str(len(_LINES)) + " " + " ".join(f"when {i} then {x}" for i, x in enumerate(_LINES)) + f" end as line from ({_BASE}) b"
+
 FRAMES = """select cast(user_id % 3 as string) as stream, ts, event_id as frame_no, event_type in ('signup', 'view') as detected from {events}"""
 
 
@@ -74,6 +85,10 @@ def parcel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _build(spark, sf_dir, PARCEL, "orders", "customer")
 
 
+def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _build(spark, sf_dir, LINE, "orders", "customer")
+
+
 TRUTH = {"recipient_name": "true_name", "street_address": "true_street", "city": "true_city", "state": "true_state", "zip_code": "true_zip", "tracking_number": "true_number"}
 
 
