@@ -150,6 +150,36 @@ def test_store(spark):
     assert {r.label_id: r.ground_truth for r in marked.collect()} == {1: {"city": "X"}, 2: {"city": "Y"}}
 
 
+def test_captures_do_not_depend_on_blocks(spark):
+    start = dt.datetime(2024, 5, 1)
+    rows, k = [], 0
+    for stream in ("a", "b", None):
+        at = start
+        for i in range(150):
+            k += 1
+            at += dt.timedelta(milliseconds=(k * 37) % 900)
+            rows.append((stream, at, k, (k * k // 60) % 3 != 0))
+        rows.append((stream, None, k + 1000, True))
+    frames = spark.createDataFrame(rows, "stream string, ts timestamp, frame_no long, detected boolean")
+    hits, fired = {}, set()
+    for stream in ("a", "b", None):
+        last, since, done = [], None, False
+        for _, at, no, detected in sorted((r for r in rows if r[0] == stream), key=lambda r: (r[1] is not None, r[1] or start, r[2])):
+            last = [*last, detected][-10:]
+            hits[no] = sum(last)
+            if sum(last) < 3:
+                since, done = None, False
+                continue
+            since = since or at
+            if not done and at - since >= dt.timedelta(seconds=2):
+                done = True
+                fired.add((stream, no, since))
+    assert len(fired) > 3
+    for seconds in (1, 7, 600):
+        assert {r.frame_no: r.hits for r in debounce.steady(frames, seconds).collect()} == hits
+        assert {(r.stream, r.frame_no, r.since) for r in debounce.captures(frames, seconds).collect()} == fired
+
+
 def test_stream_gives_the_batch_captures(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     frames = [("s", i, start + dt.timedelta(seconds=0.3 * i), (i // 15) % 2 == 0) for i in range(90)] + [("t", i, start + dt.timedelta(seconds=0.1 * i), i % 5 == 0) for i in range(40)]

@@ -612,12 +612,33 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.labels(spark, sf_dir).where("ground_truth is not null").select(F.col("label_id").alias("id"), F.col("ocr_text").alias("text"), F.col("ground_truth").alias("truth"))
 
 
-@query()
+def _tag_case(values: dict[str, str], by: str) -> str:
+    return f"case {by} " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items()) + " end"
+
+
+_TOKENS = r"'[A-Za-z0-9#&''.\-]+|[^\p{L}\p{N}_\s]'"
+_PLACE = "list_filter(range(1, len({h}) - len({n}) + 2), lambda i: {h}[i:i + len({n}) - 1] = {n})[1]"
+_BARE = r"list_transform({x}, lambda t: lower(regexp_replace(t, '[^\p{{L}}\p{{N}}_]', '', 'g')))"
+_ENCODED = f""", rows as (select label_id as id, regexp_extract_all(ocr_text, {_TOKENS}) as tokens, * from parcel where label_id % 10 <> 0),
+ each as (select id, tokens, unnest([{", ".join(f"'{f}'" for f in views.TRUTH)}]) as field, unnest([{", ".join(views.TRUTH.values())}]) as value, unnest([{", ".join(str(S.FIELDS.index(f)) for f in views.TRUTH)}]) as no from rows),
+ wanted as (select *, regexp_extract_all(value, {_TOKENS}) as n from each),
+ forms as (select *, list_transform(tokens, lambda t: lower(t)) as lt, list_transform(n, lambda t: lower(t)) as ln, {_BARE.format(x="tokens")} as bt, list_filter({_BARE.format(x="n")}, lambda t: t <> '') as bn from wanted),
+ places as (select *, case when len(n) > 0 then coalesce({_PLACE.format(h="tokens", n="n")}, {_PLACE.format(h="lt", n="ln")}) end as strict, case when len(bn) > 0 then {_PLACE.format(h="bt", n="bn")} end as loose from forms),
+ spans as (select id, field, no, len(value) as size, coalesce(strict, loose) as first, case when strict is not null then len(n) else len(bn) end as width from places where coalesce(strict, loose) is not null),
+ claims as (select *, unnest(range(first, first + width)) as pos from spans),
+ won as (select *, {_tag_case(S.TAG_OF, "field")} as tag from (select *, row_number() over (partition by id, pos order by size desc, no) as rn from claims) where rn = 1),
+ named as (select id, pos, case when tag in ({", ".join(f"'{t}'" for t in sorted(S.LONG_TAGS))}) and pos <> first then 'I-' else 'B-' end || tag as label from won),
+ words as (select id, unnest(tokens) as token, unnest(range(1, len(tokens) + 1)) as pos from rows),
+ encoded as (select id, string_agg(token, ' ' order by pos) as tokens, string_agg(coalesce(label, 'O'), ' ' order by pos) as labels from words left join named using (id, pos) group by id)"""
+
+
+@query("parcel", _ENCODED + " select id, tokens, labels from encoded")
 def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.encode(_training(spark, sf_dir)).select("id", F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
-@query()
+@query("parcel", _ENCODED + f""" select field, count(*) as n, count(*) filter (list_contains(string_split(labels, ' '), 'B-' || {_tag_case(S.TAG_OF, "field")})) as found
+ from each join encoded using (id) where value <> '' group by field""")
 def field_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training(spark, sf_dir)
     return tagging.match_rates(rows, tagging.encode(rows))

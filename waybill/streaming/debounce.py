@@ -1,8 +1,11 @@
 """Detection frames: a window of the last frames, and one capture for each held detection.
 
-The batch forms are windows over (stream, ts, frame_no, detected); the streaming
-form keeps the last frames and the timer of each stream as state and gives the
-same captures.
+The batch forms take (stream, ts, frame_no, detected).  A stream is cut into
+blocks of ``BLOCK_SECONDS``, each a group of its own, so one busy stream spreads
+over the cluster; what a block needs of earlier ones (the last frames, the start
+of the run that is open) comes from a table with one row a block.  Frames without
+``ts`` come first.  The streaming form keeps the last frames and the timer of each
+stream as state and gives the same captures.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,21 +24,49 @@ CAPTURES = "stream string, frame_no long, ts timestamp, since timestamp"
 STATE = "hits array<boolean>, since long, fired boolean"  # since: microseconds, -1 while not steady
 
 
-def steady(frames: DataFrame) -> DataFrame:
+BLOCK_SECONDS = 600
+_FRAME = ("stream", "ts", "frame_no", "detected")
+_ORDER = ("ts", "frame_no")
+
+
+def _block(seconds: int) -> Column:
+    return F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
+
+
+def steady(frames: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """``frames`` with ``hits`` among the last frames and whether they are enough."""
-    last = Window.partitionBy("stream").orderBy("ts", "frame_no").rowsBetween(1 - FRAME_WINDOW, 0)
-    hits = F.sum(F.col("detected").cast("int")).over(last)
-    return frames.withColumn("hits", hits).withColumn("steady", F.col("hits") >= FRAME_HITS)
+    blocked = frames.withColumn("_block", _block(block_seconds)).withColumn("_carried", F.lit(False))
+    newest = Window.partitionBy("stream", "_block").orderBy(*[F.col(c).desc_nulls_last() for c in _ORDER])
+    ends = blocked.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < FRAME_WINDOW)
+    ends = ends.groupBy("stream", "_block").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "detected"))).alias("_end"))
+    # Every block has a frame, so the blocks just before hold the last frames between them.
+    before = Window.partitionBy("stream").orderBy("_block").rowsBetween(1 - FRAME_WINDOW, -1)
+    ends = ends.withColumn("_last", F.flatten(F.collect_list("_end").over(before)))
+    last = F.slice("_last", F.greatest(F.size("_last") - FRAME_WINDOW + 2, F.lit(1)), FRAME_WINDOW - 1)
+    carried = ends.select("stream", "_block", F.inline(last), F.lit(True).alias("_carried"))
+    inside = Window.partitionBy("stream", "_block").orderBy(*_ORDER)
+    hits = F.sum(F.col("detected").cast("int")).over(inside.rowsBetween(1 - FRAME_WINDOW, 0))
+    out = blocked.unionByName(carried, allowMissingColumns=True).withColumn("hits", hits).where("not _carried")
+    return out.drop("_block", "_carried").withColumn("steady", F.col("hits") >= FRAME_HITS)
 
 
-def captures(frames: DataFrame) -> DataFrame:
+def captures(frames: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """The first frame of each steady run that has held long enough: (stream, frame_no, ts, since)."""
-    order = Window.partitionBy("stream").orderBy("ts", "frame_no")
-    runs = steady(frames).withColumn("run", F.sum((~F.col("steady")).cast("int")).over(order)).where("steady")
-    run = Window.partitionBy("stream", "run")
-    held = runs.withColumn("since", F.min("ts").over(run)).where(F.col("ts") >= F.col("since") + F.expr(f"make_dt_interval(0, 0, 0, {HOLD_SECONDS})"))
-    first = Window.partitionBy("stream", "run").orderBy("ts", "frame_no")
-    return held.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select("stream", "frame_no", "ts", "since")
+    rows = steady(frames.select(*_FRAME), block_seconds).withColumn("_block", _block(block_seconds))
+    at = F.struct(*_ORDER)
+    # A run is known by the last frame before it that was not steady; null for none.
+    inside = Window.partitionBy("stream", "_block").orderBy(*_ORDER)
+    rows = rows.withColumn("_broken", F.last(F.when(~F.col("steady"), at), ignorenulls=True).over(inside))
+    earlier = Window.partitionBy("stream").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("stream", "_block").agg(F.max(F.when(~F.col("steady"), at)).alias("_last"))
+    blocks = blocks.select(F.col("stream").alias("_stream"), F.col("_block").alias("_at"), F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    rows = rows.where("steady").join(blocks, F.col("stream").eqNullSafe(F.col("_stream")) & (F.col("_block") == F.col("_at")))
+    rows = rows.withColumn("_run", F.coalesce("_broken", "_before"))
+    runs = rows.groupBy(F.col("stream").alias("_s"), F.col("_run").alias("_r")).agg(F.min("ts").alias("since"))
+    held = rows.join(runs, F.col("stream").eqNullSafe(F.col("_s")) & F.col("_run").eqNullSafe(F.col("_r")))
+    held = held.where(F.col("ts") >= F.col("since") + F.expr(f"make_dt_interval(0, 0, 0, {HOLD_SECONDS})"))
+    first = held.groupBy("stream", "_run", "since").agg(F.min(at).alias("at"))
+    return first.select("stream", "at.frame_no", "at.ts", "since")
 
 
 def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
