@@ -15,6 +15,7 @@ from waybill.functions import tracking as T
 from waybill.operators import backtest, calibration, evaluation, parse, selection, store
 from waybill.plans import scan as pipeline
 from waybill.plans import views
+from waybill.plans.quality_sql import QUALITY
 from waybill.streaming import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,7 +453,7 @@ def normalize_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(scoring.comparable(F.col("text"))).alias("h"))
 
 
-@query()
+@query(None, QUALITY)
 def ocr_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scoring.text_quality(F.col("text")).alias("score"))
 
@@ -504,15 +505,6 @@ def vision_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", F.array_join(reasons, ",").alias("triggers"))
 
 
-@query()
-def vision_triggers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triggers of every parcel, with name flags and street rejection from its own values."""
-    street = F.col("street_address")
-    rejected = (street != "") & L.street_rejected(street)
-    reasons = scoring.triggers({f: F.col(f) for f in S.SCORED}, F.lit(50.0), F.col("ocr_text"), rejected, L.name_flags(F.col("recipient_name")))
-    return views.parcel(spark, sf_dir).select("label_id", F.array_join(reasons, ",").alias("triggers"))
-
-
 @query("parcel", " select label_id, case label_id % 3 when 0 then 'none' when 1 then 'vision' else case when form = 4 then 'vision_fallback' else 'text' end end as mode from parcel")
 def llm_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = F.when(F.col("label_id") % 3 == 0, "off").when(F.col("label_id") % 3 == 1, "force_vision").otherwise("auto")
@@ -530,11 +522,6 @@ def scan_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.scan(texts)
 
 
-@query()
-def name_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.labels(spark, sf_dir).select("label_id", F.inline(parse.ranked_names(F.col("lines"))))
-
-
 @query("parcel", " select label_id, len(list_filter(list_transform(string_split(ocr_text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::int as n_lines, upper(given_line[1]) || lower(given_line[2:]) as title from (select *, split_part(lower(true_name), ' ', 1) as given_line from parcel)")
 def line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.labels(spark, sf_dir).select("label_id", F.size("lines").alias("n_lines"), text.title(F.split_part(F.upper("true_name"), F.lit(" "), F.lit(1))).alias("title"))
@@ -542,7 +529,7 @@ def line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rules(sql: str) -> str:
     """SQL with word lists in the places named ``<LIST>``."""
-    for name in ("SUFFIX", "SERVICE_TAIL", "SERVICE", "STREET_REJECT", "NAME_STREET", "NAME_ORG", "COMMA_NAME", "PLAIN_NAME"):
+    for name in ("SUFFIX", "NOT_A_NAME", "SERVICE_TAIL", "SERVICE", "STREET_REJECT", "NAME_STREET", "NAME_ORG", "COMMA_NAME", "PLAIN_NAME"):
         sql = sql.replace(f"<{name}>", getattr(L, name).replace("'", "''"))
     return sql.replace("<FURNITURE>", ", ".join(f"'{x}'" for x in L.FURNITURE))
 
@@ -568,7 +555,7 @@ _CLEANED = _rules(r""", a as (select *, trim(regexp_replace(regexp_replace(line,
    when kept <> '' and rest <> '' and not regexp_matches(rest, '(?i)^(?:(?:APT|APARTMENT|UNIT|SUITE|STE|HUB)\b|P\.?\s*O\.?\s+BOX\b|#)')
      and (regexp_matches(rest, '[;|%={}~]') or (regexp_matches(rest, '[A-Za-z]') and not regexp_matches(rest, '[A-Za-z]{3}'))) then kept else o end as street from c),
  e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(street, '(\d)@(\d)', '\10\2', 'g'), '(?i)\bNL\b', 'L', 'g'), '(?i)\bAUB\b', 'HUB', 'g'), '(?i)\bPRRLISLE\b', 'CARLISLE', 'g') as fixed from d),
- f as (select label_id, line, service, street, trim(regexp_replace(regexp_replace(fixed, '(?i)(^|[^A-Za-z])\\?IVERSITY\b', '\1UNIVERSITY', 'g'), '\s+', ' ', 'g')) as address, """) + f"{_name_of('line')} as name from e)"
+ f as (select *, trim(regexp_replace(regexp_replace(fixed, '(?i)(^|[^A-Za-z])\\?IVERSITY\b', '\1UNIVERSITY', 'g'), '\s+', ' ', 'g')) as address, """) + f"{_name_of('line')} as name from e)"
 
 
 @query("line", _CLEANED + " select label_id, service, street, address, name from f")
@@ -577,13 +564,16 @@ def line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.line(spark, sf_dir).select("label_id", service.alias("service"), L.clean_street(service).alias("street"), L.clean_address(line).alias("address"), L.clean_name(line).alias("name"))
 
 
-@query("line", _CLEANED + _rules(r""", g as (select *, upper(address) as u, trim(regexp_replace(regexp_replace(upper(address), '[^A-Z\s]', ' ', 'g'), '\s+', ' ', 'g')) as letters, """) + f"upper({_name_of('name')}) as again, {_noise_sql('upper(name)')} as noise from f)" + _rules(r""",
- h as (select *, regexp_matches(letters, '\bDELIVER\s+TO\b|\bVER\s+TO\b|\bUSPS\b.*\bTO\b') as deliver_to from g)
- select label_id, deliver_to, deliver_to or regexp_full_match(u, '\s*(?:TO|SHIP\s+TO)\s*:?[\s|]*') as recipient_marker, noise,
+_CLASSED = _CLEANED + _rules(r""", g as (select *, upper(address) as u, trim(regexp_replace(regexp_replace(upper(address), '[^A-Z\s]', ' ', 'g'), '\s+', ' ', 'g')) as letters, """) + f"upper({_name_of('name')}) as again, {_noise_sql('upper(name)')} as noise from f)" + _rules(r""",
+ h as (select *, regexp_matches(letters, '\bDELIVER\s+TO\b|\bVER\s+TO\b|\bUSPS\b.*\bTO\b') as deliver_to from g),
+ classes as (select *, deliver_to or regexp_full_match(u, '\s*(?:TO|SHIP\s+TO)\s*:?[\s|]*') as recipient_marker,
   regexp_matches(u, '\d') and regexp_matches(u, '\b(?:<SUFFIX>|BUILDING|BLDG|CENTER|HUB|P\.?\s*O\.?\s+BOX)\b') as street_line,
   regexp_matches(u, '\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b') or regexp_matches(u, '\bZIP\s*\d{5}\b') as city_line,
   not regexp_matches(name, '\d') and len(regexp_replace(name, '\P{L}', '', 'g')) >= 0.75 * len(regexp_replace(name, '\s', '', 'g'))
-   and (regexp_full_match(name, '(?i)<COMMA_NAME>') or regexp_full_match(name, '(?i)<PLAIN_NAME>')) and not """) + f"{_noise_sql('again')} as person_name from h")
+   and (regexp_full_match(name, '(?i)<COMMA_NAME>') or regexp_full_match(name, '(?i)<PLAIN_NAME>')) and not """) + f"{_noise_sql('again')} as person_name from h)"
+
+
+@query("line", _CLASSED + " select label_id, deliver_to, recipient_marker, noise, street_line, city_line, person_name from classes")
 def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = {"deliver_to": L.deliver_to, "recipient_marker": L.recipient_marker, "noise": L.noise, "street_line": L.street_line, "city_line": L.city_line, "person_name": L.person_name}
     return views.line(spark, sf_dir).select("label_id", *[test(F.col("line")).alias(name) for name, test in tests.items()])
@@ -600,6 +590,33 @@ def line_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.line(spark, sf_dir).select("label_id", *[c.alias(name) for name, c in {**forms, **L.name_flags(x)}.items()])
 
 
+_LABEL_LINES = ", line as (select label_id, unnest(ls) as line, unnest(range(len(ls)))::int as no from (select label_id, list_filter(list_transform(string_split(ocr_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from parcel))"
+
+
+@query("parcel", _LABEL_LINES + _CLASSED + _rules(r""", i as (select *, regexp_full_match(name, '(?i)<COMMA_NAME>') as comma from classes),
+ near as (select *, (1 + case when comma then 3 else 0 end + case when regexp_matches(name, '(?i)^(?:MR|MRS|MS|MISS|DR)\.') then 2 else 0 end + case when regexp_matches(line, '(?i)^\s*(?:TO|SHIP\s+TO)\s*:') then 4 else 0 end
+   + case when bool_or(recipient_marker) over (partition by label_id order by no rows between 2 preceding and 1 preceding) then 4 else 0 end
+   + case when bool_or(street_line) over (partition by label_id order by no rows between 1 following and 2 following) then 3 else 0 end
+   + case when bool_or(city_line) over (partition by label_id order by no rows between 1 following and 3 following) then 2 else 0 end)::int as score from i)
+ select label_id, score, no as "at", name from near where person_name and not regexp_matches(name, '(?i)\b(?:<NOT_A_NAME>)\b') and score >= 4"""))
+def name_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.labels(spark, sf_dir).select("label_id", F.inline(parse.ranked_names(F.col("lines"))))
+
+
+@query("parcel", ", line as (select *, street_address as line from parcel)" + _CLEANED + _rules(r""", g as (select *, regexp_replace(address, '(?i)\b(?:BE|8T|5T)$', 'ST') as s from f)
+ select label_id, array_to_string(list_filter(['ocr_confidence_low', case when len(trim(ocr_text)) < 50 then 'ocr_text_short' end,
+   case when (city = '')::int + (not regexp_full_match(state, '[A-Z]{2}'))::int + (street_address = '')::int + (not regexp_full_match(zip_code, '\d{5}(-\d{4})?'))::int >= 3 then 'blank_address_fields' end,
+   case when street_address <> '' and regexp_matches(s, '(?i)\b(?:<STREET_REJECT>)\b') then 'street_rejected' end,
+   case when regexp_matches(recipient_name, '(?i)\b(?:<NAME_STREET>)\b') then 'name_looks_like_street' end, case when regexp_matches(recipient_name, '(?i)\bSENDER\b') then 'name_is_sender_artifact' end,
+   case when not regexp_matches(recipient_name, '\s') and len(recipient_name) > 3 then 'name_single_word' end, case when regexp_matches(recipient_name, '(?i)\b(?:<NAME_ORG>)\b') then 'name_looks_like_org' end], lambda x: x is not null), ',') as triggers from g"""))
+def vision_triggers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triggers of every parcel, with name flags and street rejection from its own values."""
+    street = F.col("street_address")
+    rejected = (street != "") & L.street_rejected(street)
+    reasons = scoring.triggers({f: F.col(f) for f in S.SCORED}, F.lit(50.0), F.col("ocr_text"), rejected, L.name_flags(F.col("recipient_name")))
+    return views.parcel(spark, sf_dir).select("label_id", F.array_join(reasons, ",").alias("triggers"))
+
+
 # --- tagging ------------------------------------------------------------------
 
 
