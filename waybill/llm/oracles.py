@@ -112,4 +112,39 @@ select page_id, n::bigint as payload_bytes,
   case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
 from d"""
 
-ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op5_near_dedup": _OP5, "op6_chat_views": _OP6, "op8_warc_zip": _OP8, "op9_rule_ledger": _OP9}
+_OP11 = r"""
+with crc_table as (select list_transform(range(256), lambda i: list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) t),
+own as (
+  select conv_id c, coalesce(role, '') role, coalesce("text", '') body, row_number() over (partition by conv_id order by turn nulls first, role, "text") - 1 r
+  from conversations where conv_id is not null),
+conv as (
+  select c, c - c % 5 b, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 9 h
+  from (select distinct c from own), crc_table),
+rebuilt as (
+  select c, row_number() over (partition by c order by part, r) d, role, body from (
+    select v.c, 0 part, o.r, o.role, o.body from conv v join own o on o.c = v.b where o.r < v.h
+    union all
+    select v.c, 1, o.r, o.role, o.body from conv v join own o on o.c = v.c where o.r >= v.h)),
+path as (
+  select c, d, string_agg(md5(role || chr(1) || body), '') over (partition by c order by d) k, strlen(body) bytes from rebuilt
+  union all
+  select c, 0, '', 0 from conv),
+node as (select k, any_value(d) d, min(c) c, count(*) n, any_value(bytes) bytes from path group by k),
+child as (select n.k, p.k up from node n join path p on p.c = n.c and p.d = n.d - 1),
+kids as (select up k, count(*) n from child group by up),
+below as (
+  select p.k, sum((m.n - 1) * m.bytes) saved, count(*) filter (where q.k is null) leaves
+  from node m join path p on p.c = m.c and p.d <= m.d left join kids q on q.k = m.k group by p.k),
+ends as (select k, string_agg(c::varchar, ',' order by c) ids from (select c, max(d) d from path group by c) e join path using (c, d) group by k)
+select n.c conv_id, n.d::bigint "depth", u.c parent_conv_id, n.n::bigint n_convs, coalesce(q.n, 0)::bigint n_children, b.leaves::bigint n_leaves, b.saved::bigint saved_tokens, sha256(coalesce(e.ids, '')) ends_sha256
+from node n left join child x on x.k = n.k left join node u on u.k = x.up left join kids q on q.k = n.k left join below b on b.k = n.k left join ends e on e.k = n.k
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_mixing": _OP2,
+    "op5_near_dedup": _OP5,
+    "op6_chat_views": _OP6,
+    "op8_warc_zip": _OP8,
+    "op9_rule_ledger": _OP9,
+    "op11_prefix_trie": _OP11,
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
+from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, prefix_trie, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 from waybill.llm.workspace import shared_folder
@@ -101,6 +101,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -112,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
