@@ -69,7 +69,7 @@ class PackParams:
     salts: int = 256
 
 
-def _bytes_of(vocabulary: dict[str, int]) -> dict[bytes, int]:
+def bytes_of(vocabulary: dict[str, int]) -> dict[bytes, int]:
     """Tokens in the byte-level alphabet as bytes."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
@@ -107,7 +107,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         tokenizer.no_padding()
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = _bytes_of({token: rank for token, rank in spec["model"]["vocab"].items() if token not in special})
+    ranks = bytes_of({token: rank for token, rank in spec["model"]["vocab"].items() if token not in special})
     fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: fast.encode(text, allowed_special="all")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, prefix_trie, quality_compress, rule_ledger, toxicity, url_filter, warc_zip
+from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, prefix_trie, quality_compress, rule_ledger, tokenizer_alignment, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 from waybill.llm.workspace import shared_folder
@@ -105,6 +105,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -117,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_ledger": op9_rule_ledger,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
