@@ -48,13 +48,16 @@ def test_fingerprints_of_short_texts_show_edits():
     rng, width = random.Random(2), fingerprints.DEFAULT.shingle
     text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
     shingles = lambda t: {("\0" * (width - 1) + t)[i : i + width] for i in range(len(t))}
+    errors = []
     for n in [*range(3, 100)] * 3:
         old, other = text(n), text(n)
         new = fingerprints.edited(old, other)
         exact = len(shingles(old) & shingles(new)) / len(shingles(old) | shingles(new))
         got = fingerprints.likeness(fingerprints.sketch(old), fingerprints.sketch(new))
-        assert abs(got - exact) < (1e-12 if n < fingerprints.DEFAULT.least else 0.2)
+        errors.append(abs(got - exact))
+        assert errors[-1] < (1e-12 if n < fingerprints.DEFAULT.least else 0.35)  # four deviations of 16 hashes of each
         assert got > fingerprints.likeness(fingerprints.sketch(old), fingerprints.sketch(other)) and (got < 1 or old == new)
+    assert sum(errors) / len(errors) < 0.08
 
 
 def test_merged_sketches_are_those_of_all_shingles():
@@ -64,7 +67,8 @@ def test_merged_sketches_are_those_of_all_shingles():
         for b in texts:
             whole = fingerprints.sketch(a + "\n" + b)  # has a few shingles more, across the join
             merged = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))
-            assert fingerprints.likeness(merged, whole) > 0.85 or len(a) + len(b) < 50
+            both = min(fingerprints.bound(merged), fingerprints.bound(whole))
+            assert len({h for h in {*merged.tolist()} ^ {*whole.tolist()} if h <= both}) <= 2 * fingerprints.DEFAULT.shingle
             assert len(merged) >= min(fingerprints.DEFAULT.least, len(a), len(b))
 
 
@@ -79,15 +83,26 @@ def test_hot_ids_keep_one_order(spark):
     assert {r.text: r.next_text for r in got} == following and len(got) == len(rows)
 
 
-def test_contained_short_texts_are_never_missed():
+def test_contained_texts_are_found_at_every_length():
     rng = random.Random(12)
     whole = " ".join(f"w{rng.randrange(10**5)}" for _ in range(3000))
-    for n in (30, 60, 200, 1000):
-        for _ in range(50):
+    for n, least, mean in ((30, 0.0, 0.7), (60, 0.0, 0.8), (200, 0.6, 0.95), (1000, 0.95, 0.99)):
+        found = []
+        for _ in range(100):
             at = rng.randrange(len(whole) - n)
-            part = whole[at : at + n]
-            got = fingerprints.containment(fingerprints.sketch(part), fingerprints.sketch(whole))
-            assert math.isnan(got) if n < 200 and got != got else got >= 1 - (fingerprints.DEFAULT.shingle - 1) / 2
+            got = fingerprints.containment(fingerprints.sketch(whole[at : at + n]), fingerprints.sketch(whole))
+            if n < 200 and math.isnan(got):  # no hash of so short a part lies below the fraction: unknown, not 0
+                continue
+            found.append(got)
+        assert min(found) >= least and sum(found) / len(found) > mean and len(found) > 60
+    strange = "".join(rng.choice("ABCDEFGH") for _ in range(500))
+    assert fingerprints.containment(fingerprints.sketch(strange), fingerprints.sketch(whole)) == 0.0
+
+
+def test_the_fraction_rules_most_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    kept = [fingerprints.sketch(t) for t in texts]
+    assert sum(int((k < fingerprints.DEFAULT.bound).sum()) >= fingerprints.DEFAULT.least for k in kept) >= 0.9 * len(texts)
 
 
 def test_fingerprints_of_odd_tables(spark):

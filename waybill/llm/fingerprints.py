@@ -8,8 +8,9 @@ those are fewer than ``least``, the ``least`` smallest are kept, or all there ar
 The bound below which a sketch is whole follows from the sketch.  Two sketches are
 compared and merged below the lower of their bounds, whatever the texts' lengths:
 the share of one sketch found in another estimates containment, the shared part of
-their union the Jaccard likeness.  Between texts of under ``least`` code points
-both are exact.  A fingerprint is the sketch as base64 text of its sorted
+their union the Jaccard likeness.  At the defaults the fraction rules all but texts of
+some 250 code points or fewer; between texts of under ``least`` code points both
+estimates are exact.  A fingerprint is the sketch as base64 text of its sorted
 little-endian 32-bit hashes.
 
 Scale.  Sketching is a map over whole texts.  Pairing each document with the
@@ -52,8 +53,8 @@ class SketchParams:
     """Code points of a shingle, one in how many hashes is kept, and the hashes kept of a short text."""
 
     shingle: int = 5
-    one_in: int = 64
-    least: int = 64
+    one_in: int = 16
+    least: int = 16
 
     @property
     def bound(self) -> int:
