@@ -140,6 +140,16 @@ select n.c conv_id, n.d::bigint "depth", u.c parent_conv_id, n.n::bigint n_convs
 from node n left join child x on x.k = n.k left join node u on u.k = x.up left join kids q on q.k = n.k left join below b on b.k = n.k left join ends e on e.k = n.k
 """
 
+_OP13 = rf"""
+with w as (select doc_id, {_WORDS} as words from (select doc_id, coalesce(text, '') as text from documents)),
+windows as (select doc_id, i, array_to_string(words[i:i+12], ' ') as k from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13)),
+firsts as (select k, min(doc_id) as doc_id from windows group by k having min(doc_id) < max(doc_id)),
+gone as (select distinct w.doc_id, i + o as i from windows w join firsts f on f.k = w.k and f.doc_id < w.doc_id, range(13) r(o)),
+listed as (select doc_id, list(i) as gone from gone group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(array_to_string(case when gone is null then words else list_transform(list_filter(range(1, len(words) + 1), lambda i: not list_contains(gone, i)), lambda i: words[i]) end, ' ')) as kept_sha256
+from w left join listed l on l.doc_id = w.doc_id"""
+
 ORACLES: dict[str, str] = {
     "op2_mixing": _OP2,
     "op5_near_dedup": _OP5,
@@ -147,4 +157,5 @@ ORACLES: dict[str, str] = {
     "op8_warc_zip": _OP8,
     "op9_rule_ledger": _OP9,
     "op11_prefix_trie": _OP11,
+    "op13_substring_dedup": _OP13,
 }

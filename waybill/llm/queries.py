@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, prefix_trie, quality_compress, rule_ledger, tokenizer_alignment, toxicity, url_filter, warc_zip
+from waybill.llm import chat_views, fingerprints, mixing, near_dedup, packing, prefix_trie, quality_compress, rule_ledger, substring_dedup, tokenizer_alignment, toxicity, url_filter, warc_zip
 from waybill.llm.labelled import known_labels
 from waybill.llm.oracles import ORACLES
 from waybill.llm.workspace import shared_folder
@@ -110,6 +110,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -123,4 +128,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_substring_dedup": op13_substring_dedup,
 }
