@@ -12,7 +12,7 @@ from waybill.functions import comparators as C
 from waybill.functions import lines as L
 from waybill.functions import scoring, tagging, text
 from waybill.functions import tracking as T
-from waybill.operators import backtest, calibration, evaluation, parse, selection, store
+from waybill.operators import backtest, calibration, evaluation, parse, passages, selection, store
 from waybill.plans import scan as pipeline
 from waybill.plans import views
 from waybill.plans.quality_sql import QUALITY
@@ -21,8 +21,6 @@ from waybill.streaming import debounce
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Passages of one or two words are tested on a text so many at a time.
-SHORT_BLOCK = 1024
 
 
 def _with(view: str, sql: str) -> str:
@@ -462,33 +460,10 @@ def ocr_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  d as (select doc_id, trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) as t from documents)
  select doc_id, item_id from d join b on contains(t, v) where v <> ''""")
 def found_in_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages inside texts, tested where both have the same neighbouring words.
-
-    A passage's inner words are whole words of any text that has it: it is looked up
-    by its longest three of them, or by the one or two that there are.  Passages of
-    one or two words have none, and are tested on every text, in blocks.
-    """
+    """Passages inside texts, both in comparable form."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scoring.comparable(F.col("text")).alias("t"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", scoring.comparable(F.col("text")).alias("v")).where("v <> ''")
-    items = items.withColumn("words", F.split("v", " "))
-    inner = F.slice("words", 2, F.size("words") - 2)
-    width = F.least(F.lit(3), F.size("words") - 2)
-    runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    longest = F.array_max(F.transform(runs(inner, width), lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"]
-    keyed = items.where(F.size("words") > 2).select("item_id", "v", width.alias("width"), longest.alias("key"))
-    widths = [r["width"] for r in keyed.select("width").distinct().collect()]  # of 1, 2 and 3
-    parts = docs.select("doc_id", F.split("t", " ").alias("words"))
-    named = lambda n: F.transform(F.array_distinct(runs(F.col("words"), n)), lambda k: F.struct(n.alias("width"), k.alias("key")))
-    keys = F.flatten(F.array(*[named(F.lit(n)) for n in sorted(widths) or [3]]))
-    hits = parts.select("doc_id", F.inline(keys)).join(keyed, ["width", "key"]).select("doc_id", "item_id", "v")
-    found = hits.join(docs, "doc_id").where(F.contains("t", F.col("v"))).select("doc_id", "item_id")
-    short = items.where(F.size("words") <= 2)
-    blocks = -(-short.count() // SHORT_BLOCK)
-    if not blocks:
-        return found
-    few = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "v")).alias("few"))
-    each = docs.crossJoin(few).select("doc_id", "t", F.explode("few").alias("s")).where(F.contains("t", F.col("s.v")))
-    return found.unionByName(each.select("doc_id", "s.item_id"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", scoring.comparable(F.col("text")).alias("v"))
+    return passages.found_in(docs, items)
 
 
 @query("parcel", """ select label_id, a as recipient_name, round((a + b + c + d + e + f) / 6, 2) as overall from (select label_id, case when recipient_name = '' then 0 when regexp_full_match(recipient_name, '[A-Za-z][A-Za-z .''-]+') then 0.85::double else 0.45::double end as a, case when street_address = '' then 0 when regexp_matches(street_address, '\\d') then 0.70::double else 0.45::double end as b, case when city = '' then 0 else 0.85::double end as c, case when regexp_full_match(state, '[A-Z]{2}') then 0.95::double else 0 end as d,
