@@ -162,7 +162,7 @@ def test_extraction_results(spark):
     assert out[0].llm_telemetry.called is False and out[1].ner_telemetry is None and out[1].ocr_rotations_tried == 4
 
 
-def test_passages_of_any_length_are_found(spark, tmp_path, monkeypatch):
+def test_passages_of_any_length_are_found(spark, tmp_path):
     from waybill.plans import queries
 
     rng = random.Random(6)
@@ -171,7 +171,6 @@ def test_passages_of_any_length_are_found(spark, tmp_path, monkeypatch):
     items = [(k, " ".join(rng.choice(words) for _ in range(1 + k % 7))[k % 2 :]) for k in range(70)] + [(99, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    monkeypatch.setattr(queries, "SHORT_BLOCK", 6)
     want = {(d, i) for d, t in docs for i, v in items if t and v.strip() and v.strip().upper() in t.upper()}
     got = [tuple(r) for r in queries.found_in_text_join(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import bounded, full, has, letters_of, squeeze, strip, sub, title, visible_of
+from waybill.functions.text import bounded, full, has, let, letters_of, squeeze, strip, sub, title, visible_of
 
 # The words by which label lines are told apart.
 SUFFIX = "STREET|ST|ROAD|RD|AVENUE|AVE|BOULEVARD|BLVD|DRIVE|DR|LANE|LN|COURT|CT|WAY"
@@ -32,23 +34,37 @@ def clean_service(line: Column) -> Column:
     return squeeze(sub(line, f"(?s){bounded(SERVICE_TAIL)}.*", "", True))
 
 
-def clean_street(line: Column) -> Column:
+Bind = Callable[[Column, Callable[[Column], Column]], Column]
+
+
+def repeated(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` as it stands; code that is generated for a column shares what is repeated, a lambda does not and binds by ``let``."""
+    return then(value)
+
+
+def clean_street(line: Column, bind: Bind = repeated) -> Column:
     """Noise cut from a line that starts like an address; other lines stay as they are."""
     out = sub(line, r"\A\s*[^A-Za-z0-9]+", "")
     out = sub(out, r"\A(\d+[A-Z]?)\s*[.,:]\s+", "$1 ")
     out = sub(out, r"\A([NSEW])\s+(\d{2,4})\b", "$1$2", True)
     out = sub(out, r"\s+§\s*\z", " ST")
-    kept, rest = (F.regexp_extract(out, rf"(?is)\A(.*{bounded(SUFFIX)})(.*)\z", i) for i in (1, 2))
-    rest = strip(rest)
-    detail = has(rest, r"\A(?:(?:APT|APARTMENT|UNIT|SUITE|STE|HUB)\b|P\.?\s*O\.?\s+BOX\b|#)", True)
-    short = has(rest, "[A-Za-z]") & ~has(rest, "[A-Za-z]{3}")
-    cut = F.when((kept != "") & (rest != "") & ~detail & (has(rest, r"[;|%={}~]") | short), kept).otherwise(out)
     starts = has(line, r"\A\s*[^A-Za-z0-9]*?(?:\d+[A-Z]?(?:-[A-Z0-9]+)?|[NSEW]\s*\d{2,4})\b", True)
-    return F.when(starts, cut).otherwise(line)
 
+    def cut(parts: Column) -> Column:
+        kept, rest = parts["kept"], parts["rest"]
+        detail = has(rest, r"\A(?:(?:APT|APARTMENT|UNIT|SUITE|STE|HUB)\b|P\.?\s*O\.?\s+BOX\b|#)", True)
+        short = has(rest, "[A-Za-z]") & ~has(rest, "[A-Za-z]{3}")
+        return F.when((kept != "") & (rest != "") & ~detail & (has(rest, r"[;|%={}~]") | short), kept).otherwise(parts["out"])
 
-def clean_address(line: Column) -> Column:
-    out = clean_street(clean_service(F.coalesce(line, F.lit(""))))
+    def split(x: Column) -> Column:
+        kept, rest = (F.regexp_extract(x, rf"(?is)\A(.*{bounded(SUFFIX)})(.*)\z", i) for i in (1, 2))
+        return bind(F.struct(x.alias("out"), kept.alias("kept"), strip(rest).alias("rest")), cut)
+
+    return F.when(starts, bind(out, split)).otherwise(line)
+
+
+def clean_address(line: Column, bind: Bind = repeated) -> Column:
+    out = bind(clean_service(F.coalesce(line, F.lit(""))), lambda x: clean_street(x, bind))
     out = sub(out, r"(?<=\d)@(?=\d)", "0")
     for damaged, right in (("1@5", "105"), ("NL", "L"), ("AUB", "HUB"), ("PRRLISLE", "CARLISLE")):
         out = sub(out, bounded(damaged), right, True)
@@ -60,19 +76,25 @@ def clean_name(line: Column) -> Column:
     return sub(out, r"\A[ |]+|[ |]+\z", "")
 
 
+def _delivers(upper: Column) -> Column:
+    letters = squeeze(sub(upper, r"[^A-Z\s]", " "))
+    return has(letters, bounded(r"DELIVER\s+TO")) | has(letters, bounded(r"VER\s+TO")) | has(letters, bounded(r"USPS\b.*\bTO"))
+
+
 def deliver_to(line: Column) -> Column:
     """A marker that the recipient's block follows."""
-    letters = squeeze(sub(F.upper(clean_address(line)), r"[^A-Z\s]", " "))
-    return has(letters, bounded(r"DELIVER\s+TO")) | has(letters, bounded(r"VER\s+TO")) | has(letters, bounded(r"USPS\b.*\bTO"))
+    return _delivers(F.upper(clean_address(line)))
+
+
+def _receives(upper: Column) -> Column:
+    return full(upper, r"\s*(?:TO|SHIP\s+TO)\s*:?[\s|]*")
 
 
 def recipient_marker(line: Column) -> Column:
-    return deliver_to(line) | full(F.upper(clean_address(line)), r"\s*(?:TO|SHIP\s+TO)\s*:?[\s|]*")
+    return deliver_to(line) | _receives(F.upper(clean_address(line)))
 
 
-def noise(line: Column) -> Column:
-    """Lines that are never a recipient: furniture, services, places, numbers, scraps."""
-    text = F.upper(clean_name(line))
+def _noisy(text: Column) -> Column:
     return (
         (F.length(text) <= 2)
         | text.isin(*FURNITURE)
@@ -86,16 +108,41 @@ def noise(line: Column) -> Column:
     )
 
 
-def street_line(line: Column) -> Column:
-    text = F.upper(clean_address(line))
+def noise(line: Column) -> Column:
+    """Lines that are never a recipient: furniture, services, places, numbers, scraps."""
+    return _noisy(F.upper(clean_name(line)))
+
+
+def _street(text: Column) -> Column:
     return has(text, r"\d") & has(text, bounded(rf"{SUFFIX}|BUILDING|BLDG|CENTER|HUB|P\.?\s*O\.?\s+BOX"))
 
 
-def city_line(line: Column) -> Column:
-    text = F.upper(clean_address(line))
+def street_line(line: Column) -> Column:
+    return _street(F.upper(clean_address(line)))
+
+
+def _city(text: Column) -> Column:
     return has(text, bounded(r"[A-Z]{2}\s+\d{5}(?:-\d{4})?")) | has(text, bounded(r"ZIP\s*\d{5}"))
 
 
+def city_line(line: Column) -> Column:
+    return _city(F.upper(clean_address(line)))
+
+
+def features(line: Column) -> Column:
+    """What parsers ask of a line, each thing once: a struct, for use in a lambda over lines."""
+    cleaned = F.struct(clean_address(line, let).alias("clean"), clean_name(line).alias("name"))
+    loud = lambda a: F.struct(a["clean"].alias("clean"), a["name"].alias("name"), F.upper(a["clean"]).alias("u"), F.upper(clean_name(a["name"])).alias("n"))
+
+    def asked(b: Column) -> Column:
+        return F.struct(
+            b["clean"].alias("clean"), b["name"].alias("name"), _delivers(b["u"]).alias("marker"), _receives(b["u"]).alias("receives"),
+            _street(b["u"]).alias("street"), _city(b["u"]).alias("city"), _noisy(b["n"]).alias("noise"), comma_name(b["name"]).alias("comma"),
+        )
+
+    return let(let(cleaned, loud), asked)
+
+
 def comma_name(name: Column) -> Column:
     return full(name, COMMA_NAME, True)
 
@@ -106,23 +153,31 @@ def person_name(line: Column) -> Column:
     return ~noise(name) & ~has(name, r"\d") & (letters_of(name) >= 0.75 * visible_of(name)) & (comma_name(name) | full(name, PLAIN_NAME, True))
 
 
-def normal_street(street: Column) -> Column:
-    out = clean_address(strip(street))
-    out = sub(out, r"\b(?:BE|8T|5T)\z", "ST", True)
-    end = F.regexp_extract(out, r"(?i)\b(st|rd|ave|blvd|dr|ln|ct)\z", 1)
-    return F.when(end != "", F.concat(F.left(out, F.length(out) - F.length(end)), F.upper(end))).otherwise(out)
+def normal_street(street: Column, bind: Bind = repeated) -> Column:
+    out = sub(clean_address(strip(street), bind), r"\b(?:BE|8T|5T)\z", "ST", True)
+
+    def ended(x: Column) -> Column:
+        end = F.regexp_extract(x, r"(?i)\b(st|rd|ave|blvd|dr|ln|ct)\z", 1)
+        return F.when(end != "", F.concat(F.left(x, F.length(x) - F.length(end)), F.upper(end))).otherwise(x)
+
+    return bind(out, ended)
+
+
+def rejects(normal: Column) -> Column:
+    """Whether a street in normal form is one of a service line's."""
+    return has(normal, bounded(STREET_REJECT), True)
 
 
 def street_rejected(street: Column) -> Column:
-    return has(normal_street(street), bounded(STREET_REJECT), True)
+    return rejects(normal_street(street))
 
 
 def normal_name(name: Column) -> Column:
     return title(squeeze(name))
 
 
-def normal_city(city: Column) -> Column:
-    return title(clean_address(strip(city)))
+def normal_city(city: Column, bind: Bind = repeated) -> Column:
+    return title(clean_address(strip(city), bind))
 
 
 def normal_number(number: Column) -> Column:

@@ -77,12 +77,14 @@ def triggers(row: dict[str, Column], ocr_confidence: Column, ocr_text: Column, r
     )
 
 
-def llm_mode(policy: Column, reasons: Column, street: Column, llm_street: Column) -> Column:
-    """How the language model is asked: not at all, about the text, or about the image."""
+def llm_mode(policy: Column, reasons: Column, street: Column, llm_street: Column, enabled: Column | None = None, rejected: Column | None = None) -> Column:
+    """How a label's language model was asked: not at all, about the text, about the image, or about both; a model that is not there is not asked again."""
+    no_street = (F.coalesce(street, F.lit("")) == "") | F.coalesce(rejected if rejected is not None else F.lit(False), F.lit(False))
+    answered = enabled if enabled is not None else F.lit(True)
     return (
         F.when(policy == "off", "none")
         .when((policy == "force_vision") | (F.size(reasons) > 0), "vision")
-        .when((F.coalesce(street, F.lit("")) == "") & (F.coalesce(llm_street, F.lit("")) == ""), "vision_fallback")
+        .when(answered & no_street & (F.coalesce(llm_street, F.lit("")) == ""), "vision_fallback")
         .otherwise("text")
     )
 

@@ -95,23 +95,83 @@ def token_accuracy(rows: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("expected")).alias("n_correct"))
 
 
+def word_tags(n_words: Column, word_ids: Column, logits: Column) -> Column:
+    """(tag, prob) of each word: that of its first sub-word, or outside with 0 where it was cut off."""
+    at = lambda w: F.array_position(word_ids, w.cast("int")).cast("int")
+    top = lambda x: F.array_max(x)
+    share = lambda x: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top(x)))  # noqa: E731  the softmax of the greatest
+    tags = F.array(*[F.lit(t) for t in S.TAGS])
+    one = lambda w: let(F.get(logits, at(w) - 1), lambda x: F.struct(F.coalesce(F.get(tags, F.array_position(x, top(x)).cast("int") - 1), F.lit("O")).alias("tag"), F.coalesce(share(x), F.lit(0.0)).alias("prob")))
+    return F.when(n_words > 0, F.transform(F.sequence(F.lit(0), n_words - 1), one)).otherwise(F.array().cast("array<struct<tag:string,prob:double>>"))
+
+
 def word_predictions(rows: DataFrame) -> DataFrame:
-    """(id, pos, tag, prob) of each word, from (id, n_words, word_ids, logits): that of its first sub-word.
+    """(id, pos, tag, prob) of each word, from (id, n_words, word_ids, logits).
 
     ``logits`` has an array for each sub-word, in the order of ``TAGS``; ``word_ids``
-    is null for special tokens.  A word that was cut off is outside, with 0.
+    is null for special tokens.
     """
-    words = F.sequence(F.lit(0), F.col("n_words") - 1)
-    at = lambda w: F.array_position("word_ids", w.cast("int")).cast("int")
-    top = lambda x: F.array_max(x)
-    share = lambda x: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top(x)))  # noqa: E731  the softmax of the greatest
-    tags = F.array(*[F.lit(t) for t in S.TAGS])
-    one = lambda w: let(F.get("logits", at(w) - 1), lambda x: F.struct(F.coalesce(F.get(tags, F.array_position(x, top(x)).cast("int") - 1), F.lit("O")).alias("tag"), F.coalesce(share(x), F.lit(0.0)).alias("prob")))
-    return rows.where("n_words > 0").select("id", F.posexplode(F.transform(words, one)).alias("pos", "p")).select("id", "pos", "p.tag", "p.prob")
+    tags = word_tags(F.col("n_words"), F.col("word_ids"), F.col("logits"))
+    return rows.select("id", F.posexplode(tags).alias("pos", "p")).select("id", "pos", "p.tag", "p.prob")
+
+
+def spans_of(tags: Column) -> Column:
+    """What ``decode`` finds, inside one row: an array of (entity, start, end, total), in order."""
+    span = "struct<entity:string,start:int,end:int,total:double>"
+    known = F.array(*[F.lit(t) for t in dict.fromkeys(t[2:] for t in S.TAGS if t != "O")])
+    named = lambda t: F.when(t["tag"].rlike("^[BI]-") & F.array_contains(known, F.substring(t["tag"], 3, 100)), F.substring(t["tag"], 3, 100))
+    words = F.transform(tags, lambda t, i: F.struct(named(t).alias("entity"), t["tag"].startswith("B-").alias("begins"), i.alias("i"), t["prob"].alias("prob")))
+
+    def step(a: Column, w: Column) -> Column:
+        last = F.get(a["spans"], F.size(a["spans"]) - 1)
+        fresh = w["begins"] | ~a["open"].eqNullSafe(w["entity"])
+        start = F.when(fresh, w["i"]).otherwise(last["start"])
+        total = F.when(fresh, w["prob"]).otherwise(last["total"] + w["prob"])
+        made = F.struct(w["entity"].alias("entity"), start.alias("start"), (w["i"] + 1).alias("end"), total.alias("total"))
+        before = F.when(fresh, a["spans"]).otherwise(F.slice(a["spans"], 1, F.greatest(F.size(a["spans"]) - 1, F.lit(0))))
+        grown = F.when(w["entity"].isNull(), a["spans"]).otherwise(F.concat(before, F.array(made)))
+        return F.struct(grown.cast(f"array<{span}>").alias("spans"), w["entity"].alias("open"))
+
+    start = F.struct(F.array().cast(f"array<{span}>").alias("spans"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(words, start, step, lambda a: a["spans"])
+
+
+def fields_of_spans(tokens: Column, spans: Column) -> Column:
+    """Map of field to (value, confidence, alternates): the likeliest span of each, the first of equal ones."""
+    mean = lambda s: s["total"] / (s["end"] - s["start"])
 
+    def one(field: str, entity: str) -> Column:
+        own = F.transform(F.filter(spans, lambda s: s["entity"] == entity), lambda s: F.struct(mean(s).alias("mean"), (-s["start"]).alias("minus"), s["start"].alias("start"), s["end"].alias("end")))
+        return let(F.struct(F.array_max(own).alias("best"), F.size(own).alias("n")), lambda x: named(field, entity, x))
 
-def aligned_labels(word_ids: Column, labels: Column) -> Column:
-    """Label numbers of sub-words: -100 for special tokens, the word's own for its first, an inside label for the rest."""
+    def named(field: str, entity: str, x: Column) -> Column:
+        value = F.trim(value_of(tokens, F.lit(entity), x["best"]["start"], x["best"]["end"]))
+        entry = F.struct(value.alias("value"), F.round(x["best"]["mean"], 4).alias("confidence"), (x["n"] - 1).alias("alternates"))
+        return F.when((x["n"] > 0) & (value != ""), F.struct(F.lit(field).alias("key"), entry.alias("value")))
+
+    return F.map_from_entries(F.filter(F.array(*[one(f, e) for f, e in S.TAG_OF.items()]), lambda x: x.isNotNull()))
+
+
+def span_f1(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(entity, n_expected, n_predicted, n_common, precision, recall, f1) of spans, and ``micro`` over all.
+
+    Both frames have tags (id, pos, tag, prob).  A span counts if its entity, start and
+    end are the same; spans of both meet in one full outer join on these.
+    """
+    keys = ["id", "entity", "start", "end"]
+    a, b = (decode(t).select(*keys, F.lit(True).alias(side)) for t, side in ((expected, "_a"), (predicted, "_b")))
+    met = a.join(b, keys, "full")
+    counts = [F.count_if(F.col("_a").isNotNull()), F.count_if(F.col("_b").isNotNull()), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())]
+    out = met.rollup("entity").agg(*[c.alias(n) for c, n in zip(counts, ("n_expected", "n_predicted", "n_common"), strict=True)])
+    share = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
+    return out.select(
+        F.coalesce("entity", F.lit("micro")).alias("entity"), "n_expected", "n_predicted", "n_common", share(F.col("n_common"), F.col("n_predicted")).alias("precision"),
+        share(F.col("n_common"), F.col("n_expected")).alias("recall"), share(2 * F.col("n_common"), F.col("n_expected") + F.col("n_predicted")).alias("f1"),
+    )
+
+
+def aligned_labels(word_ids: Column, labels: Column, max_pieces: int = 256) -> Column:
+    """Label numbers of the first ``max_pieces`` sub-words: -100 for special tokens, the word's own for its first, an inside label for the rest."""
     number = F.create_map(*[x for i, t in enumerate(S.TAGS) for x in (F.lit(t), F.lit(i))])
     outside = F.lit(0)
 
@@ -122,4 +182,4 @@ def aligned_labels(word_ids: Column, labels: Column) -> Column:
         own = F.coalesce(F.element_at(number, tag), outside)
         return F.when(word.isNull(), -100).when(first | ~F.startswith(tag, F.lit("B-")), own).otherwise(F.coalesce(inside, own))
 
-    return F.transform(word_ids, one)
+    return F.transform(F.slice(word_ids, 1, max_pieces), one)

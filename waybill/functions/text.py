@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space and line ends of Unicode text; Java's own classes are narrower.
@@ -18,6 +18,12 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def staged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns, each computed once a row: Catalyst copies no expression across a generator, and generates code for it."""
+    struct = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(struct)))
+
+
 def bounded(pattern: str) -> str:
     """The pattern between word boundaries of Unicode text; it must start and end with word characters."""
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions import lines as L
-from waybill.functions.text import bounded, full, has, letters_of, sub, visible_of, words
+from waybill.functions.text import bounded, full, has, let, letters_of, staged, sub, visible_of, words
 
 PARSERS = ("uniuni_deliver_to", "deliver_to", "city_first_to_address", "zip_first_spaced", "zip_first_combined", "city_state_country_zip", "college_mailroom_parser", "generic_city_state_zip")
 ADDRESS = ("recipient_name", "street_address", "city", "state", "zip_code")
@@ -89,10 +89,14 @@ def _line_blocks(c: dict[str, Column], i: Column) -> list[Column]:
     return [city_first, spaced, combined, abroad]
 
 
-def _recipient_above(lines: Column, start: Column, least: Column) -> Column:
+def _recipient_above(seen: Column, start: Column, least: Column) -> Column:
     """The first line upwards that is no noise; above an organisation, a person if there is one."""
     up = F.when(start >= least, F.sequence(start, least)).otherwise(F.array().cast("array<int>"))
-    names = F.filter(F.transform(up, lambda k: F.struct(k.alias("k"), L.clean_name(F.get(lines, k)).alias("name"))), lambda x: ~L.noise(x["name"]))
+    names = F.filter(F.transform(up, lambda k: F.get(seen, k)), lambda x: ~x["noise"])
+    return let(names, _addressee)
+
+
+def _addressee(names: Column) -> Column:
     first = F.get(names, 0)
     org = has(first["name"], bounded("ALUMNI ASSOCIATIO|DEPT OF|DEPARTMENT OF|CURRENT OCCUPANT"), True)
     people = F.filter(F.slice(names, 2, 100), lambda x: ~has(x["name"], r"\d") & ~has(x["name"], bounded("MAILED FROM|POSTAGE|SERVICE|REQUESTED"), True))
@@ -118,9 +122,9 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
     def cleaned(x: Column) -> Column:
         x = sub(x, r"\A\s*(?:TO|SHIP)\s*:\s*", "", True)
         x = sub(x, r"\A\s*IP\s+UB\b", "HUB", True)
-        return L.clean_address(sub(x, r"\A(\d+)\s*N,\s+", "$1 N. ", True))
+        return L.clean_address(sub(x, r"\A(\d+)\s*N,\s+", "$1 N. ", True), let)
 
-    name = F.when(shipped, F.trim(_group(head, ship, 1, True))).otherwise(_recipient_above(lines, start - 1, F.greatest(start - 4, F.lit(0))))
+    name = F.when(shipped, F.trim(_group(head, ship, 1, True))).otherwise(_recipient_above(c["seen"], start - 1, F.greatest(start - 4, F.lit(0))))
     name = L.clean_name(name)
     street = F.array_join(F.filter(F.transform(address, cleaned), lambda x: x != ""), " ")
     known = F.upper(city).isin(*CAMPUSES) | has(above, MAILROOM)
@@ -170,19 +174,24 @@ def explicit_name(lines: Column) -> Column:
 
 def ranked_names(lines: Column) -> Column:
     """Likely names with a score of 4 or more, best first, then in order: (score, at, name)."""
-    any_of = lambda test, start, n: F.exists(F.slice(lines, F.greatest(start + 1, F.lit(1)), F.greatest(n, F.lit(0))), test)
+    return let(F.transform(lines, L.features), lambda seen: _ranked(lines, seen))
 
-    def scored(x: Column, i: Column) -> Column:
-        name = L.clean_name(x)
-        fits = ~L.noise(name) & ~has(name, bounded(L.NOT_A_NAME), True) & ~has(name, r"\d") & (letters_of(name) >= 0.75 * visible_of(name))
-        fits = fits & (L.comma_name(name) | full(name, L.PLAIN_NAME, True))
-        score = F.lit(1) + F.when(L.comma_name(name), 3).otherwise(0) + F.when(has(name, r"\A(?:MR|MRS|MS|MISS|DR)\.", True), 2).otherwise(0)
-        score = score + F.when(has(x, r"\A\s*(?:TO|SHIP\s+TO)\s*:", True), 4).otherwise(0)
-        score = score + F.when(any_of(L.recipient_marker, i - 2, F.least(i, F.lit(2))), 4).otherwise(0)
-        score = score + F.when(any_of(L.street_line, i + 1, F.lit(2)), 3).otherwise(0) + F.when(any_of(L.city_line, i + 1, F.lit(3)), 2).otherwise(0)
-        return F.when(fits & (score >= 4), F.struct((-score).alias("minus"), i.alias("at"), name.alias("name")))
-
-    found = F.array_sort(F.filter(F.transform(lines, scored), lambda x: x.isNotNull()))
+
+def _ranked(lines: Column, seen: Column) -> Column:
+    any_of = lambda test, start, n: F.exists(F.slice(seen, F.greatest(start + 1, F.lit(1)), F.greatest(n, F.lit(0))), test)
+
+    def scored(own: Column, i: Column) -> Column:
+        name, line = own["name"], F.get(lines, i)
+        fits = ~own["noise"] & ~has(name, bounded(L.NOT_A_NAME), True) & ~has(name, r"\d") & (letters_of(name) >= 0.75 * visible_of(name))
+        fits = fits & (own["comma"] | full(name, L.PLAIN_NAME, True))
+        score = F.lit(1) + F.when(own["comma"], 3).otherwise(0) + F.when(has(name, r"\A(?:MR|MRS|MS|MISS|DR)\.", True), 2).otherwise(0)
+        score = score + F.when(has(line, r"\A\s*(?:TO|SHIP\s+TO)\s*:", True), 4).otherwise(0)
+        score = score + F.when(any_of(lambda x: x["marker"] | x["receives"], i - 2, F.least(i, F.lit(2))), 4).otherwise(0)
+        score = score + F.when(any_of(lambda x: x["street"], i + 1, F.lit(2)), 3).otherwise(0) + F.when(any_of(lambda x: x["city"], i + 1, F.lit(3)), 2).otherwise(0)
+        found = F.struct((-score).alias("minus"), i.alias("at"), name.alias("name"))
+        return F.when(fits, let(found, lambda x: F.when(x["minus"] <= -4, x)))
+
+    found = F.array_sort(F.filter(F.transform(seen, scored), lambda x: x.isNotNull()))
     return F.transform(found, lambda x: F.struct((-x["minus"]).alias("score"), x["at"].alias("at"), x["name"].alias("name")))
 
 
@@ -201,7 +210,7 @@ def mailroom_street(clean: Column, street: Column) -> Column:
         return F.when(split, made(_group(following, hub_line, 1), _group(following, hub_line, 2))).when(full(x, damaged), made(_group(x, damaged, 1), _group(x, damaged, 2)))
 
     found = F.get(F.filter(F.transform(upper, fixed), lambda x: x.isNotNull()), 0)
-    right = has(F.upper(L.clean_address(street)), r"\A28\s+N\s+COLLEGE\s+(?:ST|STREET)\b")
+    right = has(F.upper(L.clean_address(street, let)), r"\A28\s+N\s+COLLEGE\s+(?:ST|STREET)\b")
     return F.when(context & ~right, F.coalesce(found, street)).otherwise(street)
 
 
@@ -221,40 +230,41 @@ def campus_address(clean: Column) -> Column:
 
 def parse(labels: DataFrame) -> DataFrame:
     """``labels`` (with ``lines``) and their five address fields, ``parser_used`` and ``parser_matches``."""
-    rows = labels.drop(*ADDRESS, "parser_used", "parser_matches").withColumns({"_clean": F.transform("lines", L.clean_address), "_marker": F.transform("lines", L.deliver_to)})
-    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker")}
+    rows = staged(labels.drop(*ADDRESS, "parser_used", "parser_matches"), {"_seen": F.transform("lines", L.features)})
+    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker")})
+    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen")}
 
     def at_line(i: Column) -> Column:
         return F.array(*_deliver_blocks(c, i), *_line_blocks(c, i), _mailroom_block(c, i), _generic_block(c, i))
 
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_all", F.filter(F.flatten(F.transform(every, at_line)), lambda p: p.isNotNull()).cast(f"array<{PROPOSAL}>"))
-    rows = rows.withColumn("_p", _allowed(F.col("_all")))
-    last = F.get(F.reverse("_p"), 0)
-    named = F.get(F.reverse(F.filter("_p", lambda p: p["rank"] > 1)), 0)
-    rows = rows.withColumns({f: F.coalesce((named if f == "recipient_name" else last)[f], F.lit("")) for f in ADDRESS})
-    rows = rows.withColumns({"parser_used": F.coalesce(last["parser"], F.lit("")), "parser_matches": F.array_distinct(F.transform("_p", lambda p: p["parser"])), "_to": explicit_name(F.col("lines"))})
+    rows = staged(rows, {"_all": F.filter(F.flatten(F.transform(every, at_line)), lambda p: p.isNotNull()).cast(f"array<{PROPOSAL}>"), "_to": explicit_name(F.col("lines")), "_campus": campus_address(F.col("_clean"))})
+    rows = staged(rows, {"_p": _allowed(F.col("_all"))})
+    rows = staged(rows, {"_last": F.get(F.reverse("_p"), 0), "_named": F.get(F.reverse(F.filter("_p", lambda p: p["rank"] > 1)), 0), "parser_matches": F.array_distinct(F.transform("_p", lambda p: p["parser"]))})
+    found = {f: F.coalesce(F.col("_named" if f == "recipient_name" else "_last")[f], F.lit("")) for f in ADDRESS}
+    rows = staged(rows, found | {"parser_used": F.coalesce(F.col("_last.parser"), F.lit(""))})
     name = F.col("recipient_name")
     weak = (name == "") | L.noise(name) | has(F.upper(name), bounded(r"HUB|DICKINSON\s*COLLEGE")) | (F.regexp_count(name, F.lit("[A-Za-z]+")) < 2)
-    rows = rows.withColumn("recipient_name", F.when((F.col("_to") != "") & weak, F.col("_to")).otherwise(name))
-    rows = rows.withColumn("recipient_name", F.when(name == "", F.coalesce(F.get(ranked_names(F.col("lines")), 0)["name"], F.lit(""))).otherwise(name))
-    rows = rows.withColumns({"street_address": mailroom_street(F.col("_clean"), F.col("street_address")), "_campus": campus_address(F.col("_clean"))})
+    rows = staged(rows, {"recipient_name": F.when((F.col("_to") != "") & weak, F.col("_to")).otherwise(name)})
+    rows = staged(rows, {"recipient_name": F.when(name == "", F.coalesce(F.get(_ranked(F.col("lines"), F.col("_seen")), 0)["name"], F.lit(""))).otherwise(name), "street_address": mailroom_street(F.col("_clean"), F.col("street_address"))})
     known = F.col("_campus").isNotNull()
-    rows = rows.withColumns({
+    rows = staged(rows, {
         "street_address": F.coalesce(F.col("_campus.street_address"), F.col("street_address")), "city": F.when(known, "University Park").otherwise(F.col("city")),
         "state": F.when(known, "PA").otherwise(F.col("state")), "zip_code": F.coalesce(F.col("_campus.zip_code"), F.col("zip_code")),
-    })
-    return rows.drop("_clean", "_marker", "_all", "_p", "_to", "_campus")
+    })
+    return rows.drop("_seen", "_clean", "_marker", "_all", "_p", "_to", "_campus", "_last", "_named")
 
 
 def normalise(rows: DataFrame) -> DataFrame:
     """Parsed fields in their final form, with ``street_rejected`` and the name's flags."""
     street, name = F.col("street_address"), F.col("recipient_name")
-    out = rows.withColumn("street_rejected", (street != "") & L.street_rejected(street))
-    out = out.withColumns({
-        "street_address": F.when(street == "", "").when(F.col("street_rejected"), "").otherwise(L.normal_street(street)), "recipient_name": F.when(name == "", "").otherwise(L.normal_name(name)),
-        "city": F.when(F.col("city") == "", "").otherwise(L.normal_city(F.col("city"))),
+    out = staged(rows, {"_street": L.normal_street(street, let)})
+    out = staged(out, {"street_rejected": (street != "") & L.rejects(F.col("_street"))})
+    out = staged(out, {
+        "street_address": F.when(street == "", "").when(F.col("street_rejected"), "").otherwise(F.col("_street")), "recipient_name": F.when(name == "", "").otherwise(L.normal_name(name)),
+        "city": F.when(F.col("city") == "", "").otherwise(L.normal_city(F.col("city"), let)),
     })
+    out = out.drop("_street")
     if "tracking_number" in rows.columns:
         out = out.withColumn("tracking_number", L.normal_number(F.col("tracking_number")))
     return out.withColumns(L.name_flags(F.col("recipient_name")))

@@ -72,11 +72,11 @@ def side_by_side(candidates: DataFrame, modes: DataFrame) -> DataFrame:
     return pivoted.select("label_id", "field", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("rule", "llm", "ner") for c in ("value", "confidence")]).join(modes, "label_id")
 
 
-def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS) -> DataFrame:
+def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS, carried: Sequence[str] = ()) -> DataFrame:
     """What ``side_by_side`` gives for the candidates of wide rows, made inside each row: no shuffle, one scan.
 
     ``rows`` has the fields and their confidences, ``llm_<field>`` and ``llm_enabled``,
-    ``ocr_text``, ``llm_mode`` and, where a tagger ran, ``ner``.
+    ``ocr_text``, ``llm_mode`` and, where a tagger ran, ``ner``; ``carried`` columns of the label stay beside each field.
     """
     tagged = "ner" in rows.columns
 
@@ -93,7 +93,7 @@ def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS) -> DataFrame:
         )
 
     each = let(comparable(F.col("ocr_text")), lambda text: F.array(*[one(f, text) for f in fields]))
-    return rows.select("label_id", "llm_mode", F.inline(each))
+    return rows.select("label_id", "llm_mode", *carried, F.inline(each))
 
 
 Policy = Callable[[dict[str, Column]], dict[str, Column]]
@@ -134,27 +134,31 @@ def name_policy(c: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def select(pivoted: DataFrame, policy: Policy = base_policy) -> DataFrame:
-    """(label_id, field, value, source, confidence, reason) by the policy."""
+#: What of a label its public values need.
+CARRIED = ("tracking_source", "street_rejected", *(f"{f}_confidence" for f in S.SCORED))
+
+
+def select(pivoted: DataFrame, policy: Policy = base_policy, carried: Sequence[str] = ()) -> DataFrame:
+    """(label_id, field, value, source, confidence, reason) by the policy, and the carried columns."""
     columns = {c: F.col(c) for c in pivoted.columns}
-    return pivoted.select("label_id", "field", *[v.alias(k) for k, v in policy(columns).items()])
+    return pivoted.select("label_id", "field", *[v.alias(k) for k, v in policy(columns).items()], *carried)
 
 
-def public_values(selected: DataFrame, labels: DataFrame) -> DataFrame:
-    """Values with public sources and confidences; ``labels`` has the label's tracking source, confidences and street rejection."""
-    extra = labels.select("label_id", "tracking_source", "street_rejected", *[F.col(f"{f}_confidence").alias(f"_{f}") for f in S.SCORED])
-    rows = selected.join(extra, "label_id")
+def public_values(selected: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Values with public sources and confidences; ``selected`` carries ``CARRIED`` of its label, or takes it from ``labels``."""
+    if labels is not None:
+        selected = selected.join(labels.select("label_id", *CARRIED), "label_id")
     scored = F.lit(0.0)
     for f in S.SCORED:
-        scored = F.when(F.col("field") == f, F.coalesce(F.col(f"_{f}"), F.lit(0.0))).otherwise(scored)
-    scored = F.when(F.col("field") == "carrier", F.coalesce("_tracking_number", F.lit(0.0))).otherwise(scored)
+        scored = F.when(F.col("field") == f, F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0))).otherwise(scored)
+    scored = F.when(F.col("field") == "carrier", F.coalesce("tracking_number_confidence", F.lit(0.0))).otherwise(scored)
     number, model = F.col("field") == "tracking_number", F.col("source").isin("llm", "ner")
     source = (
         F.when((F.col("value") == "") & (F.col("field") == "street_address") & F.col("street_rejected"), "rejected_rule").when(F.col("value") == "", "blank")
         .when(number, F.col("tracking_source")).when(F.col("source") == "rule_based", "rule").otherwise(F.col("source"))
     )
     conf = F.when((F.col("value") != "") & ~number & model, F.col("confidence")).otherwise(scored)
-    return rows.select("label_id", "field", "value", conf.alias("confidence"), source.alias("source"), "reason")
+    return selected.select("label_id", "field", "value", conf.alias("confidence"), source.alias("source"), "reason")
 
 
 def conflicts(pivoted: DataFrame) -> DataFrame:

@@ -712,3 +712,6 @@ def camera_window(spark: SparkSession, sf_dir: str) -> DataFrame:
  select stream, frame_no, ts, since from o where rn = 1""")
 def camera_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce.captures(views.frames(spark, sf_dir))
+
+
+from waybill.plans import model_queries as _model_queries  # noqa: E402, F401  registers its queries

@@ -1,14 +1,15 @@
 """The whole way from decoded texts to selected fields, with seams for the models.
 
-``texts`` has (label_id, ocr_text, ocr_confidence, barcodes array<string>).  The
-seams are functions of a DataFrame: ``llm`` adds ``llm_enabled`` and
-``llm_<field>`` columns, ``ner`` adds ``ner`` (a map) and ``ner_version``; without
-them the language model is off and no prediction is made.
+``texts`` has (label_id, ocr_text, ocr_confidence, barcodes array<string>) and,
+for a language model that sees it, ``image``.  Everything happens inside a label's
+row: stages that each compute their columns once, the models as columns, and the
+fields side by side; there is no shuffle and no join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,17 @@ from pyspark.sql import functions as F
 from waybill import schema as S
 from waybill.functions import scoring, text
 from waybill.functions import tracking as T
-from waybill.operators import parse, selection
+from waybill.operators import models, parse, selection
 
-Seam = Callable[[DataFrame], DataFrame]
+
+@dataclass(frozen=True)
+class Seams:
+    """How the models are opened on the workers, each with the key under which a process holds it; None for none."""
+
+    llm: Callable[[], models.LanguageModel | None] | None = None
+    llm_key: str = "llm"
+    tagger: Callable[[], models.Tagger] | None = None
+    tagger_key: str = "tagger"
 
 
 def resolve_policy(skip_llm: bool = False, policy: str | None = None) -> str:
@@ -32,29 +41,28 @@ def resolve_policy(skip_llm: bool = False, policy: str | None = None) -> str:
 
 def extract(texts: DataFrame) -> DataFrame:
     """Rule extraction: lines, number, carrier, address, confidences, warnings and triggers."""
-    rows = texts.withColumn("lines", text.lines(F.col("ocr_text")))
-    rows = rows.withColumns({"_barcode": T.from_barcodes(F.col("barcodes")), "_ocr": T.tracking_in_lines(F.col("lines"))})
+    rows = text.staged(texts, {"lines": text.lines(F.col("ocr_text"))})
+    rows = text.staged(rows, {"_barcode": T.from_barcodes(F.col("barcodes")), "_ocr": T.tracking_in_lines(F.col("lines"))})
     number, source = T.arbitrate(F.col("_barcode"), F.col("_ocr"), F.lit(""), F.col("lines"))
-    rows = rows.withColumns({"tracking_number": number, "tracking_source": source}).drop("_barcode", "_ocr")
+    rows = text.staged(rows, {"tracking_number": number, "tracking_source": source}).drop("_barcode", "_ocr")
     rows = parse.normalise(parse.parse(rows))
-    rows = rows.withColumn("carrier", T.carrier_in_context(F.col("tracking_number"), F.col("ocr_text"))).withColumn("checksum", T.checksum(F.col("tracking_number"), F.col("carrier")))
+    rows = text.staged(rows, {"carrier": T.carrier_in_context(F.col("tracking_number"), F.col("ocr_text"))})
+    rows = text.staged(rows, {"checksum": T.checksum(F.col("tracking_number"), F.col("carrier"))})
     value = {f: F.col(f) for f in S.SCORED}
     flags = {n: F.col(n) for n in ("name_looks_like_street", "name_is_sender_artifact", "name_single_word", "name_looks_like_org")}
     confidence = scoring.confidences(value)
     confidence["tracking_number"] = scoring.penalised(confidence["tracking_number"], F.col("checksum"))
-    rows = rows.withColumns({f"{f}_confidence": c for f, c in confidence.items()})
-    return rows.withColumns({"warnings": scoring.warnings(value, F.col("checksum")), "trigger_reasons": scoring.triggers(value, F.col("ocr_confidence"), F.col("ocr_text"), F.col("street_rejected"), flags)})
+    found = {f"{f}_confidence": c for f, c in confidence.items()}
+    return text.staged(rows, found | {"warnings": scoring.warnings(value, F.col("checksum")), "trigger_reasons": scoring.triggers(value, F.col("ocr_confidence"), F.col("ocr_text"), F.col("street_rejected"), flags)})
+
+
+def asked(texts: DataFrame, seams: Seams = Seams(), policy: str = "auto") -> DataFrame:
+    """The extraction with the models' values beside it."""
+    rows = models.ask(extract(texts), seams.llm_key, seams.llm, resolve_policy(policy=policy))
+    return rows if seams.tagger is None else models.predict(rows, seams.tagger_key, seams.tagger)
 
 
-def scan(texts: DataFrame, llm: Seam | None = None, ner: Seam | None = None, policy: str = "off", select: selection.Policy = selection.base_policy) -> DataFrame:
+def scan(texts: DataFrame, seams: Seams = Seams(), policy: str = "auto", select: selection.Policy = selection.base_policy) -> DataFrame:
     """(label_id, field, value, confidence, source, reason) for every text and field."""
-    rows = extract(texts)
-    asked = llm is not None and resolve_policy(policy=policy) != "off"
-    rows = llm(rows) if asked else rows.withColumn("llm_enabled", F.lit(False)).withColumns({f"llm_{f}": F.lit("") for f in S.FIELDS})
-    mode = scoring.llm_mode(F.lit(policy if asked else "off"), F.col("trigger_reasons"), F.col("street_address"), F.col("llm_street_address"))
-    rows = rows.withColumn("llm_mode", mode)
-    found = selection.rule_candidates(rows).unionByName(selection.llm_candidates(rows))
-    if ner is not None:
-        found = found.unionByName(selection.ner_candidates(ner(rows)))
-    pivoted = selection.side_by_side(found, rows.select("label_id", "llm_mode"))
-    return selection.public_values(selection.select(pivoted, select), rows)
+    pivoted = selection.sources_of(asked(texts, seams, policy), carried=selection.CARRIED)
+    return selection.public_values(selection.select(pivoted, select, selection.CARRIED))
