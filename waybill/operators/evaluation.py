@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions import comparators as C
+from waybill.functions.text import staged
 
 # Lower ends of the confidence bands.
 BANDS = (0.9, 0.7, 0.5, 0.0)
@@ -123,7 +124,11 @@ def accuracy_by_version(candidates: DataFrame, rows: DataFrame, source: str = "n
     """The same for one source by model version, the least of a scan's reasons; coverage is over that version's scans."""
     own = candidates.where(F.col("source") == source)
     versions = own.groupBy("label_id").agg(F.min(F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit(source))).alias("version"))
-    scans = rows.join(versions, "label_id")
+    return _by_version(own, rows.join(versions, "label_id"))
+
+
+def _by_version(own: DataFrame, scans: DataFrame) -> DataFrame:
+    """Coverage and accuracy of candidates by the version of their scan and field."""
     scorable = scans.groupBy("version", "field").agg(F.count("*").alias("scorable"))
     chosen = scans.select("label_id", "field", "version", F.col("correct").alias("selected_correct"))
     joined = own.where("value <> ''").join(chosen, ["label_id", "field"])
@@ -136,6 +141,41 @@ def with_provenance(labels: DataFrame) -> DataFrame:
     return labels.where((F.size("candidates") > 0) & (F.size("ground_truth") > 0))
 
 
+def stored_candidates(labels: DataFrame) -> DataFrame:
+    """(label_id, field, source, value, confidence, reason, correct) of every candidate that annotated labels have stored.
+
+    ``candidates`` is the stored map, or its JSON text.  Of each parcel the newest scan
+    counts, of those the ones that recorded candidates, and of these the fields that
+    can be judged and were not imported.
+    """
+    rows = provenance_of(labels)
+    truths = samples(rows).select("label_id", "field", "truth")
+    each = rows.select("label_id", F.explode("candidates").alias("field", "listed")).select("label_id", "field", F.explode("listed").alias("c"))
+    each = each.select("label_id", "field", F.coalesce("c.source", F.lit("?")).alias("source"), F.coalesce("c.value", F.lit("")).alias("value"), "c.confidence", "c.reason")
+    return each.join(truths, ["label_id", "field"]).withColumn("correct", C.same(F.col("field"), F.col("value"), F.col("truth"))).drop("truth")
+
+
+def provenance_of(labels: DataFrame) -> DataFrame:
+    """The newest annotated label of each parcel with its candidates as a map; those that stored none are left out."""
+    newest = latest(labels.where(F.col("ground_truth").isNotNull()))
+    if dict(labels.dtypes)["candidates"] == "string":
+        newest = staged(newest, {"candidates": F.from_json("candidates", f"map<string,array<{S.CANDIDATE.simpleString()}>>")})
+    return with_provenance(newest)
+
+
+def stored_candidate_accuracy(labels: DataFrame) -> DataFrame:
+    """``candidate_accuracy`` of what labels have stored."""
+    return candidate_accuracy(stored_candidates(labels), samples(provenance_of(labels)))
+
+
+def stored_accuracy_by_version(labels: DataFrame, source: str = "ner") -> DataFrame:
+    """``accuracy_by_version`` of what labels have stored; a scan's version follows from all its candidates, scorable or not."""
+    rows = provenance_of(labels)
+    every = rows.select("label_id", F.explode("candidates").alias("field", "listed")).select("label_id", F.explode("listed").alias("c")).where(F.col("c.source") == source)
+    versions = every.groupBy("label_id").agg(F.min(F.coalesce(F.nullif(F.col("c.reason"), F.lit("")), F.lit(source))).alias("version"))
+    return _by_version(stored_candidates(labels).where(F.col("source") == source), samples(rows).join(versions, "label_id"))
+
+
 def fixture_rates(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """(field, total, passed, rate) of fixtures that have an image, against what a scan extracted from it.
 

@@ -15,7 +15,7 @@ from waybill import schema as S
 from waybill.functions import tracking as T
 from waybill.functions.comparators import plausible_name
 from waybill.functions.scoring import comparable, found_in_text, in_text
-from waybill.functions.text import full, let
+from waybill.functions.text import full, let, staged
 
 
 def _empty_map() -> Column:
@@ -78,6 +78,11 @@ def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS, carried: Seque
     ``rows`` has the fields and their confidences, ``llm_<field>`` and ``llm_enabled``,
     ``ocr_text``, ``llm_mode`` and, where a tagger ran, ``ner``; ``carried`` columns of the label stay beside each field.
     """
+    return rows.select("label_id", "llm_mode", *carried, F.inline(_sides(rows, fields)))
+
+
+def _sides(rows: DataFrame, fields: Sequence[str] = S.FIELDS) -> Column:
+    """An array with a struct for each field: values and confidences of the sources."""
     tagged = "ner" in rows.columns
 
     def one(field: str, text: Column) -> Column:
@@ -92,8 +97,7 @@ def sources_of(rows: DataFrame, fields: Sequence[str] = S.FIELDS, carried: Seque
             F.when(taken, p["value"] if tagged else F.lit("")).alias("ner_value"), F.when(taken, (p["confidence"] if tagged else F.lit(0.0)).cast("double")).alias("ner_confidence"),
         )
 
-    each = let(comparable(F.col("ocr_text")), lambda text: F.array(*[one(f, text) for f in fields]))
-    return rows.select("label_id", "llm_mode", *carried, F.inline(each))
+    return let(comparable(F.col("ocr_text")), lambda text: F.array(*[one(f, text) for f in fields]))
 
 
 Policy = Callable[[dict[str, Column]], dict[str, Column]]
@@ -175,6 +179,77 @@ def comparison(pivoted: DataFrame, policy: Policy = base_policy) -> DataFrame:
     return pivoted.select("label_id", "field", F.coalesce("rule_value", F.lit("")).alias("rule_value"), F.coalesce("llm_value", F.lit("")).alias("llm_value"), policy(columns)["value"].alias("selected_value"), agree.alias("agreement"))
 
 
+CANDIDATE = "struct<field:string,value:string,source:string,confidence:double,validations:map<string,string>,reason:string>"
+
+
+def candidate_map(rows: DataFrame, sides: Column) -> Column:
+    """All that was proposed, as a scan stores it: field to its candidates, those of the rules first, inside the row.
+
+    ``sides`` are the sources of each field; a model that was asked proposes blanks too, a tagger only values.
+    """
+    tagged = "ner" in rows.columns
+    version = F.col("ner_version") if "ner_version" in rows.columns else F.lit("ner")
+    check = _flag("checksum_valid", T.checksum(F.col("tracking_number"), F.col("carrier")))
+
+    def entries(x: Column) -> Column:
+        number = x["field"] == "tracking_number"
+        rule = F.struct(x["field"], x["rule_value"], F.lit("rule"), x["rule_confidence"], F.when(number, check).otherwise(_empty_map()), F.col("parser_used"))
+        there = F.when(x["field"] != "carrier", x["llm_confidence"] == S.LLM_IN_TEXT)
+        llm = F.struct(x["field"], x["llm_value"], F.lit("llm"), x["llm_confidence"], _flag("found_in_ocr", F.coalesce(there, F.lit(False))), F.lit("llm"))
+        alternates = F.element_at("ner", x["field"])["alternates"].cast("string") if tagged else F.lit(None).cast("string")
+        validations = F.map_concat(ner_validations(x["field"], x["ner_value"]), F.create_map(F.lit("alternates"), alternates))
+        ner = F.struct(x["field"], x["ner_value"], F.lit("ner"), x["ner_confidence"], validations, version)
+        each = [rule.cast(CANDIDATE), F.when(x["llm_value"].isNotNull(), llm.cast(CANDIDATE)), F.when(x["ner_value"].isNotNull(), ner.cast(CANDIDATE))]
+        return F.filter(F.array(*each), lambda c: c.isNotNull())
+
+    return F.map_from_entries(F.transform(sides, lambda x: F.struct(x["field"], entries(x))))
+
+
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``candidates``, the map of all that was proposed."""
+    rows = staged(rows, {"_sides": _sides(rows)})
+    return staged(rows, {"candidates": candidate_map(rows, F.col("_sides"))}).drop("_sides")
+
+
+def with_choices(rows: DataFrame, policy: Policy = base_policy) -> DataFrame:
+    """``rows`` with ``choices``, the selected value of every field with its public source and confidence, and ``candidates``; no shuffle."""
+    rows = staged(rows, {"_sides": _sides(rows)})
+    own = F.create_map(*[x for f in S.FIELDS for x in (F.lit(f), F.coalesce(F.col(f"{'tracking_number' if f == 'carrier' else f}_confidence"), F.lit(0.0)).cast("double"))])
+
+    def chosen(x: Column) -> Column:
+        named = {c: x[c] for c in ("field", "rule_value", "rule_confidence", "llm_value", "llm_confidence", "ner_value", "ner_confidence")}
+        out = policy(named | {"llm_mode": F.col("llm_mode")})
+        return F.struct(x["field"].alias("field"), *[v.alias(k) for k, v in out.items()])
+
+    rows = staged(rows, {"_chosen": F.transform("_sides", chosen), "candidates": candidate_map(rows, F.col("_sides")), "_own": own})
+
+    def public(x: Column) -> Column:
+        number, model = x["field"] == "tracking_number", x["source"].isin("llm", "ner")
+        source = (
+            F.when((x["value"] == "") & (x["field"] == "street_address") & F.col("street_rejected"), "rejected_rule").when(x["value"] == "", "blank")
+            .when(number, F.col("tracking_source")).when(x["source"] == "rule_based", "rule").otherwise(x["source"])
+        )
+        confidence = F.when((x["value"] != "") & ~number & model, x["confidence"]).otherwise(F.element_at("_own", x["field"]))
+        return F.struct(x["field"].alias("field"), x["value"].alias("value"), source.alias("source"), confidence.cast("double").alias("confidence"), x["reason"].alias("reason"))
+
+    return staged(rows, {"choices": F.transform("_chosen", public)}).drop("_sides", "_chosen", "_own")
+
+
+def stored(rows: DataFrame, at: Column, policy: Policy = base_policy) -> DataFrame:
+    """The stored label of each scanned text, one wide row: values, provenance and how the models were asked; ``at`` is its time."""
+    rows = with_choices(rows, policy)
+    value = lambda f, c: F.get("choices", S.FIELDS.index(f))[c]
+    known = lambda c, default: F.col(c) if c in rows.columns else default
+    wide = [value(f, c).alias(name) for f in S.FIELDS for c, name in (("value", f), ("confidence", f"{f}_confidence"), ("source", f"{f}_source"))]
+    return rows.select(
+        F.col("label_id").cast("string").alias("label_id"), at.alias("processed_at"), known("original_filename", F.lit(None).cast("string")).alias("original_filename"), "ocr_text",
+        F.col("ocr_confidence").cast("double").alias("ocr_confidence"), F.element_at("barcodes", 1).alias("barcode_raw") if "barcodes" in rows.columns else F.lit("").alias("barcode_raw"), *wide,
+        F.col("llm_enabled").alias("llm_called"), "parser_used", F.map_from_entries(F.transform("choices", lambda x: F.struct(x["field"], x["reason"]))).alias("selection_reasons"), "candidates",
+        known("llm_requested_mode", F.lit("auto")).alias("llm_requested_mode"), known("llm_model", F.lit("")).alias("llm_model"), F.col("trigger_reasons").alias("llm_trigger_reasons"),
+        *(["image"] if "image" in rows.columns else []),
+    )
+
+
 def provenance(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     """(label_id, selection_reasons, candidates): why each value was taken, and all that were proposed."""
     entry = F.struct("field", "value", "source", "confidence", "validations", "reason")

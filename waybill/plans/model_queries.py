@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions import tagging
-from waybill.operators import models
+from waybill.functions.text import staged
+from waybill.operators import evaluation, models, selection
 from waybill.plans import views
-from waybill.plans.queries import _SPANS, _TAGS, _TOKENS, _tag_case, _tags, query
+from waybill.plans.queries import _BOTH, _COMPARABLE, _JUDGED, _NEWEST, _SPANS, _TAGS, _TOKENS, _tag_case, _tags, _wide, query
 
 PIECE = 4  # letters of a sub-word of the arithmetic tagger
 
@@ -89,3 +90,46 @@ def vision_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.parcel(spark, sf_dir).withColumns({"trigger_reasons": F.filter(F.array(F.when(F.col("form") == 2, "name_single_word"), F.when(short, "ocr_text_short")), lambda x: x.isNotNull()), "street_rejected": F.col("form") == 1, "carrier": F.lit("")})
     out = models.ask(rows, "arithmetic language model", arithmetic_language_model)
     return out.select("label_id", "llm_mode", "llm_calls", F.col("llm_street_address").alias("street"), F.col("llm_city").alias("city"), "llm_notes")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels as stored labels, each with the candidates of its scan as JSON text; every ninth recorded none."""
+    rows = _wide(spark, sf_dir).withColumns({"ner_version": F.concat(F.lit("v"), (F.col("label_id") % 2).cast("string"))})
+    return staged(selection.with_candidates(rows), {"candidates": F.when(F.col("label_id") % 9 != 0, F.to_json("candidates"))})
+
+
+_PROPOSED = ", proposed as (" + " union all ".join(
+    f"select label_id, '{f}' as field, 'rule' as source, {chr(39) * 2 if f == 'carrier' else f} as value from parcel union all select label_id, '{f}', 'llm', {m} from parcel where llm_mode <> 'none'" for f, m in _BOTH
+) + " union all select label_id, 'recipient_name', 'ner', ner_name from parcel where ner_name <> '')"
+_OWN = _JUDGED + _NEWEST.replace("where label_id % 10 <> 0", "where label_id % 10 <> 0") + ", own as (select j.* from j join newest using (label_id) where label_id % 9 <> 0)" + _PROPOSED
+_RIGHT = _JUDGED[_JUDGED.index(", j as (select *, case field") + len(", j as (select *, ") : _JUDGED.index(" as correct")]
+_SCORED = f", c as (select label_id, field, source, value, truth, selected, {_RIGHT} as correct from (select p.label_id, p.field, p.source, p.value, o.truth, o.correct as selected from proposed p join own o on o.label_id = p.label_id and o.field = p.field where p.value <> ''))"
+
+
+@query("parcel", _OWN + _SCORED + """, s as (select field, count(*) as scorable from own group by field),
+ f as (select source, field, count(*) as n, count(*) filter (correct) as n_correct, count(*) filter (correct and not selected) as beat_selected from c group by all)
+ select f.*, s.scorable, round(f.n / s.scorable, 6) as coverage, round(f.n_correct / f.n, 6) as accuracy from f join s on s.field = f.field""")
+def stored_candidate_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source proposed, from the candidates that scans stored."""
+    return evaluation.stored_candidate_accuracy(_stored(spark, sf_dir))
+
+
+@query("parcel", _OWN + _SCORED + """, v as (select label_id, 'v' || (label_id % 2) as version from parcel where ner_name <> ''),
+ s as (select version, field, count(*) as scorable from own join v using (label_id) group by all),
+ f as (select version, field, count(*) as n, count(*) filter (correct) as n_correct, count(*) filter (correct and not selected) as beat_selected from c join v using (label_id) where source = 'ner' group by all)
+ select f.*, s.scorable, round(f.n / s.scorable, 6) as coverage, round(f.n_correct / f.n, 6) as accuracy from f join s on s.field = f.field and s.version = f.version""")
+def stored_ner_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagger's stored candidates by the version that made them."""
+    return evaluation.stored_accuracy_by_version(_stored(spark, sf_dir))
+
+
+_SURE = f"case when {_COMPARABLE.format(x='value')} = '' then 0.0 when contains({_COMPARABLE.format(x='ocr_text')}, {_COMPARABLE.format(x='value')}) then {S.LLM_IN_TEXT} else {S.LLM_NOT_IN_TEXT} end"
+
+
+@query("parcel", _PROPOSED + f""", x as (select p.*, q.ocr_text, q.confidence as own, q.ner_confidence from proposed p join parcel q using (label_id))
+ select label_id, field, source, value, (case source when 'rule' then coalesce(own, 0) when 'ner' then ner_confidence when 'llm' then case when field = 'carrier' then 0 else {_SURE} end end)::double as confidence, case source when 'rule' then 'view' when 'llm' then 'llm' else 'v' || (label_id % 2) end as reason from x""")
+def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate as it is stored, out of the map of its label."""
+    rows = _wide(spark, sf_dir).withColumns({"ner_version": F.concat(F.lit("v"), (F.col("label_id") % 2).cast("string"))})
+    each = selection.with_candidates(rows).select("label_id", F.explode("candidates").alias("of", "listed")).select("label_id", F.inline("listed"))
+    return each.select("label_id", "field", "source", "value", "confidence", "reason")
