@@ -243,7 +243,7 @@ def stored(rows: DataFrame, at: Column, policy: Policy = base_policy) -> DataFra
     wide = [value(f, c).alias(name) for f in S.FIELDS for c, name in (("value", f), ("confidence", f"{f}_confidence"), ("source", f"{f}_source"))]
     return rows.select(
         F.col("label_id").cast("string").alias("label_id"), at.alias("processed_at"), known("original_filename", F.lit(None).cast("string")).alias("original_filename"), "ocr_text",
-        F.col("ocr_confidence").cast("double").alias("ocr_confidence"), F.element_at("barcodes", 1).alias("barcode_raw") if "barcodes" in rows.columns else F.lit("").alias("barcode_raw"), *wide,
+        F.col("ocr_confidence").cast("double").alias("ocr_confidence"), F.get("barcodes", 0).alias("barcode_raw") if "barcodes" in rows.columns else F.lit("").alias("barcode_raw"), *wide,
         F.col("llm_enabled").alias("llm_called"), "parser_used", F.map_from_entries(F.transform("choices", lambda x: F.struct(x["field"], x["reason"]))).alias("selection_reasons"), "candidates",
         known("llm_requested_mode", F.lit("auto")).alias("llm_requested_mode"), known("llm_model", F.lit("")).alias("llm_model"), F.col("trigger_reasons").alias("llm_trigger_reasons"),
         *(["image"] if "image" in rows.columns else []),

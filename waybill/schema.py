@@ -49,6 +49,11 @@ def labels_schema() -> T.StructType:
     return T.StructType([T.StructField(n, t, n not in ("id", "processed_at")) for n, t in fields])
 
 
+def labels_schema_without_id() -> T.StructType:
+    """The stored columns but the key, which tables name and type themselves."""
+    return T.StructType([f for f in labels_schema() if f.name != "id"])
+
+
 def evolve(rows: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """``rows`` with every column of the schema that they lack, as nulls; extra columns stay."""
     schema = schema or labels_schema()
