@@ -33,39 +33,62 @@ def _block(seconds: int) -> Column:
     return F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
 
 
+def _with_blocks(frames: DataFrame, seconds: int) -> DataFrame:
+    """Frames with their block and a key of their stream that is never null."""
+    return frames.withColumns({"_block": _block(seconds), "_of": F.coalesce(F.concat(F.lit("="), F.col("stream").cast("string")), F.lit(""))})
+
+
+def _steady(blocked: DataFrame) -> DataFrame:
+    """``hits`` and ``steady`` beside each frame; what a block needs of the frames before it comes as one array a block."""
+    newest = Window.partitionBy("_of", "_block").orderBy(*[F.col(c).desc_nulls_last() for c in _ORDER])
+    ends = blocked.select("_of", "_block", *_ORDER, "detected").withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < FRAME_WINDOW)
+    ends = ends.groupBy("_of", "_block").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, F.col("detected").cast("int").alias("hit")))).alias("_end"))
+    # Every block has a frame, so the blocks just before hold the last frames between them.
+    before = Window.partitionBy("_of").orderBy("_block").rowsBetween(1 - FRAME_WINDOW, -1)
+    last = ends.select("_of", "_block", F.transform(F.flatten(F.collect_list("_end").over(before)), lambda x: x["hit"]).alias("_last"))
+    rows = blocked.join(last, ["_of", "_block"])
+    inside = Window.partitionBy("_of", "_block").orderBy(*_ORDER)
+    rows = rows.withColumns({"_row": F.row_number().over(inside), "_own": F.sum(F.col("detected").cast("int")).over(inside.rowsBetween(1 - FRAME_WINDOW, 0))})
+    missing = F.least(F.greatest(F.lit(FRAME_WINDOW) - F.col("_row"), F.lit(0)), F.size("_last"))
+    carried = F.aggregate(F.slice("_last", F.size("_last") - missing + 1, missing), F.lit(0), lambda a, x: a + x)
+    hits = (F.col("_own") + F.when(missing > 0, carried).otherwise(F.lit(0))).alias("hits")
+    rows = rows.select(*blocked.columns, hits)
+    return rows.withColumn("steady", F.col("hits") >= FRAME_HITS)
+
+
 def steady(frames: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """``frames`` with ``hits`` among the last frames and whether they are enough."""
-    blocked = frames.withColumn("_block", _block(block_seconds)).withColumn("_carried", F.lit(False))
-    newest = Window.partitionBy("stream", "_block").orderBy(*[F.col(c).desc_nulls_last() for c in _ORDER])
-    ends = blocked.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < FRAME_WINDOW)
-    ends = ends.groupBy("stream", "_block").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "detected"))).alias("_end"))
-    # Every block has a frame, so the blocks just before hold the last frames between them.
-    before = Window.partitionBy("stream").orderBy("_block").rowsBetween(1 - FRAME_WINDOW, -1)
-    ends = ends.withColumn("_last", F.flatten(F.collect_list("_end").over(before)))
-    last = F.slice("_last", F.greatest(F.size("_last") - FRAME_WINDOW + 2, F.lit(1)), FRAME_WINDOW - 1)
-    carried = ends.select("stream", "_block", F.inline(last), F.lit(True).alias("_carried"))
-    inside = Window.partitionBy("stream", "_block").orderBy(*_ORDER)
-    hits = F.sum(F.col("detected").cast("int")).over(inside.rowsBetween(1 - FRAME_WINDOW, 0))
-    out = blocked.unionByName(carried, allowMissingColumns=True).withColumn("hits", hits).where("not _carried")
-    return out.drop("_block", "_carried").withColumn("steady", F.col("hits") >= FRAME_HITS)
+    return _steady(_with_blocks(frames, block_seconds)).drop("_block", "_of")
 
 
 def captures(frames: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """The first frame of each steady run that has held long enough: (stream, frame_no, ts, since)."""
-    rows = steady(frames.select(*_FRAME), block_seconds).withColumn("_block", _block(block_seconds))
+    """The first frame of each steady run that has held long enough: (stream, frame_no, ts, since).
+
+    Frames are shuffled once, by stream and block; the run that is open where a block
+    begins (the last frame that was not steady, and since when it is) comes from the
+    table of blocks.
+    """
+    rows = _steady(_with_blocks(frames.select(*_FRAME), block_seconds))
     at = F.struct(*_ORDER)
     # A run is known by the last frame before it that was not steady; null for none.
-    inside = Window.partitionBy("stream", "_block").orderBy(*_ORDER)
+    inside = Window.partitionBy("_of", "_block").orderBy(*_ORDER)
     rows = rows.withColumn("_broken", F.last(F.when(~F.col("steady"), at), ignorenulls=True).over(inside))
-    earlier = Window.partitionBy("stream").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("stream", "_block").agg(F.max(F.when(~F.col("steady"), at)).alias("_last"))
-    blocks = blocks.select(F.col("stream").alias("_stream"), F.col("_block").alias("_at"), F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
-    rows = rows.where("steady").join(blocks, F.col("stream").eqNullSafe(F.col("_stream")) & (F.col("_block") == F.col("_at")))
-    rows = rows.withColumn("_run", F.coalesce("_broken", "_before"))
-    runs = rows.groupBy(F.col("stream").alias("_s"), F.col("_run").alias("_r")).agg(F.min("ts").alias("since"))
-    held = rows.join(runs, F.col("stream").eqNullSafe(F.col("_s")) & F.col("_run").eqNullSafe(F.col("_r")))
-    held = held.where(F.col("ts") >= F.col("since") + F.expr(f"make_dt_interval(0, 0, 0, {HOLD_SECONDS})"))
-    first = held.groupBy("stream", "_run", "since").agg(F.min(at).alias("at"))
+    ends = rows.groupBy("_of", "_block").agg(F.max(F.when(~F.col("steady"), at)).alias("_end"))
+    runs = rows.where("steady").groupBy(F.col("_of").alias("_o"), F.col("_block").alias("_b"), "_broken").agg(F.min("ts").alias("_tail_since"))
+    tail = (F.col("_of") == F.col("_o")) & (F.col("_block") == F.col("_b")) & F.col("_broken").eqNullSafe(F.col("_end"))
+    blocks = ends.join(runs, tail, "left").select("_of", "_block", "_end", "_tail_since")
+    earlier = Window.partitionBy("_of").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"_before": F.last("_end", ignorenulls=True).over(earlier), "_part": F.sum(F.col("_end").isNotNull().cast("int")).over(Window.partitionBy("_of").orderBy("_block"))})
+    same = Window.partitionBy("_of", "_part").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("_open", F.min("_tail_since").over(same))
+    blocks = blocks.select("_of", "_block", "_before", F.lag("_open").over(Window.partitionBy("_of").orderBy("_block")).alias("_open_since"))
+    rows = rows.where("steady").join(blocks, ["_of", "_block"])
+    run = Window.partitionBy("_of", "_block", "_broken")
+    own = F.min("ts").over(run)
+    since = F.when(F.col("_broken").isNotNull(), own).otherwise(F.coalesce("_open_since", own))
+    rows = rows.withColumn("since", since).withColumn("_run", F.coalesce("_broken", "_before"))
+    held = rows.where(F.col("ts") >= F.col("since") + F.expr(f"make_dt_interval(0, 0, 0, {HOLD_SECONDS})"))
+    first = held.groupBy("_of", "_run", "since").agg(F.min(at).alias("at"), F.first("stream").alias("stream"))
     return first.select("stream", "at.frame_no", "at.ts", "since")
 
 
