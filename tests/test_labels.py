@@ -187,7 +187,7 @@ def test_stream_gives_the_batch_captures(spark, tmp_path):
     want = sorted((r.stream, r.frame_no) for r in debounce.captures(rows).collect())
     rows.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = debounce.captures_stream(stream).writeStream.format("memory").queryName("captured").outputMode("append").start()
+    query = debounce.captures_stream(stream, late="0 seconds").writeStream.format("memory").queryName("captured").outputMode("append").start()
     query.processAllAvailable()
     query.stop()
     assert sorted((r.stream, r.frame_no) for r in spark.table("captured").collect()) == want and len(want) >= 2

@@ -4,13 +4,13 @@ The batch forms take (stream, ts, frame_no, detected).  A stream is cut into
 blocks of ``BLOCK_SECONDS``, each a group of its own, so one busy stream spreads
 over the cluster; what a block needs of earlier ones (the last frames, the start
 of the run that is open) comes from a table with one row a block.  Frames without
-``ts`` come first.  The streaming form keeps the last frames and the timer of each
-stream as state and gives the same captures.
+``ts`` come first.  The streaming form keeps the last frames, the open run and the
+frames that wait for the watermark as state and gives the same captures.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from waybill.schema import FRAME_HITS, FRAME_WINDOW, HOLD_SECONDS
 
 CAPTURES = "stream string, frame_no long, ts timestamp, since timestamp"
-STATE = "hits array<boolean>, since long, fired boolean"  # since: microseconds, -1 while not steady
+STATE = "hits array<boolean>, since long, fired boolean, waiting array<long>, numbers array<long>, seen array<boolean>"  # microseconds; since is -1 while not steady
 
 
 BLOCK_SECONDS = 600
@@ -92,24 +92,49 @@ def captures(frames: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     return first.select("stream", "at.frame_no", "at.ts", "since")
 
 
-def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hits, since, fired = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], -1, False)
+def _fired(frames: Iterable[tuple[int, int, bool]], hits: list[bool], since: int, fired: bool) -> tuple[list[tuple[int, int, int]], list[bool], int, bool]:
+    """(frame_no, at, since) of captures among frames (at, frame_no, detected) in order, and the state after them; times in microseconds."""
     out = []
-    for row in pd.concat(list(batches)).sort_values(["ts", "frame_no"]).itertuples():
-        hits = [*hits, bool(row.detected)][-FRAME_WINDOW:]
-        at = int(row.ts.value) // 1000
+    for at, frame_no, detected in frames:
+        hits = [*hits, detected][-FRAME_WINDOW:]
         if sum(hits) < FRAME_HITS:
             since, fired = -1, False
             continue
         since = at if since < 0 else since
         if not fired and at - since >= HOLD_SECONDS * 1_000_000:
             fired = True
-            out.append((key[0], row.frame_no, row.ts, pd.Timestamp(since, unit="us")))
-    state.update((hits, since, fired))
-    yield pd.DataFrame(out, columns=["stream", "frame_no", "ts", "since"])
+            out.append((frame_no, at, since))
+    return out, hits, since, fired
 
 
-def captures_stream(frames: DataFrame) -> DataFrame:
-    """The captures of a stream of frames, which must come in order within each stream."""
-    rows = frames.withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy("stream").applyInPandasWithState(_step, CAPTURES, STATE, "append", GroupStateTimeout.NoTimeout)
+def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Frames wait until the watermark has passed them, so that they are taken in order however they come."""
+    hits, since, fired, waiting = [], -1, False, []
+    if state.exists:
+        hits, since, fired, *columns = state.get
+        hits, waiting = list(hits), list(zip(*columns, strict=True))
+    for batch in batches:
+        waiting += zip((int(t.value) // 1000 for t in batch["ts"]), batch["frame_no"].tolist(), batch["detected"].astype(bool).tolist(), strict=True)
+    passed = state.getCurrentWatermarkMs() * 1000
+    waiting.sort()
+    ready = [w for w in waiting if w[0] <= passed]
+    waiting = waiting[len(ready) :]
+    out, hits, since, fired = _fired(ready, hits, since, fired)
+    times, numbers, seen = ([w[i] for w in waiting] for i in range(3))
+    state.update((hits, since, fired, times, numbers, seen))
+    if waiting:
+        state.setTimeoutTimestamp(max(times[0] // 1000, passed // 1000) + 1)
+    stamp = lambda us: pd.Timestamp(us, unit="us")
+    yield pd.DataFrame([(key[0], n, stamp(at), stamp(start)) for n, at, start in out], columns=["stream", "frame_no", "ts", "since"])
+
+
+def captures_stream(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """The captures of a stream of frames, which may come in any order and up to ``late`` after their time.
+
+    A stream's state is its last frames, the run that is open, and the frames that the
+    watermark has not passed; a timer at the first of these takes them up when no
+    more come.  Frames without ``ts`` have no place in a stream and are left out, as
+    are those that come later than ``late``.
+    """
+    rows = frames.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withWatermark("ts", late)
+    return rows.groupBy("stream").applyInPandasWithState(_step, CAPTURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
