@@ -31,6 +31,14 @@ def latest(labels: DataFrame, key: str = "tracking_number", at: str = "processed
     return ranked.unionByName(labels.where(~known))
 
 
+def training_labels(labels: DataFrame, at: str = "processed_at") -> DataFrame:
+    """The newest annotated label of each number; one without a number is known by its own id, as another label's number may be."""
+    known = F.coalesce(F.nullif(F.col("tracking_number"), F.lit("")), F.col("label_id").cast("string"))
+    order = Window.partitionBy("_known").orderBy(F.desc(at), F.asc("label_id"))
+    rows = labels.where(F.col("ground_truth").isNotNull()).withColumn("_known", known)
+    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_known")
+
+
 def dedupe_count(labels: DataFrame, key: str = "tracking_number") -> DataFrame:
     blank = F.coalesce(F.col(key), F.lit("")) == ""
     return labels.agg(F.count("*").alias("n_rows"), (F.countDistinct(F.when(~blank, F.col(key))) + F.count_if(blank)).alias("n_latest"))

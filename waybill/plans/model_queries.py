@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waybill import schema as S
 from waybill.functions import tagging
 from waybill.functions.text import staged
-from waybill.operators import evaluation, models, selection
+from waybill.operators import corners, evaluation, models, selection
 from waybill.plans import views
 from waybill.plans.queries import _BOTH, _COMPARABLE, _JUDGED, _NEWEST, _SPANS, _TAGS, _TOKENS, _tag_case, _tags, _wide, query
 
@@ -133,3 +133,40 @@ def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _wide(spark, sf_dir).withColumns({"ner_version": F.concat(F.lit("v"), (F.col("label_id") % 2).cast("string"))})
     each = selection.with_candidates(rows).select("label_id", F.explode("candidates").alias("of", "listed")).select("label_id", F.inline("listed"))
     return each.select("label_id", "field", "source", "value", "confidence", "reason")
+
+
+#: Four points of each event, in one of four orders, some of them no quadrilateral.
+_CONTOURS = """select event_id, [{x: (user_id % 97)::double, y: (event_id % 89)::double}, {x: (user_id % 97 + event_id % 211)::double, y: (event_id % 89 + user_id % 13)::double},
+  {x: (user_id % 97 + event_id % 199)::double, y: (event_id % 89 + event_id % 173)::double}, {x: (user_id % 97 + user_id % 11)::double, y: (event_id % 89 + event_id % 181)::double}] as raw from events"""
+
+
+def _contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, e, u = F.col("user_id") % 97, F.col("event_id") % 89, F.col("event_id"), F.col("user_id")
+    raw = F.array(point(x, y), point(x + e % 211, y + u % 13), point(x + e % 199, y + e % 173), point(x + u % 11, y + e % 181))
+    shift = (e % 4).cast("int")
+    turned = F.concat(F.slice(raw, shift + 1, 4), F.slice(raw, 1, shift))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", turned.alias("points"))
+
+
+@query(None, f"""with c as ({_CONTOURS}), t as (select event_id, raw[(event_id % 4 + 1)::int:] || raw[1:(event_id % 4)::int] as p from c),
+ f as (select event_id, p, list_transform(p, lambda q: q.x + q.y) as s, list_transform(p, lambda q: q.y - q.x) as d from t),
+ i as (select event_id, p, [list_position(s, list_min(s)), list_position(d, list_min(d)), list_position(s, list_max(s)), list_position(d, list_max(d))] as k from f),
+ o as (select event_id, list_transform(k, lambda j: p[j]) as q from i where len(list_distinct(k)) = 4),
+ m as (select event_id, q, list_sum(list_transform(q, lambda a: a.x)) / 4 as cx, list_sum(list_transform(q, lambda a: a.y)) / 4 as cy from o),
+ w as (select event_id, list_transform(q, lambda a: least(greatest(cx + (a.x - cx) * {corners.MARGIN}, 0), 255)) as x, list_transform(q, lambda a: least(greatest(cy + (a.y - cy) * {corners.MARGIN}, 0), 191)) as y from m),
+ z as (select event_id, x, y, greatest(sqrt((x[3] - x[4]) ** 2 + (y[3] - y[4]) ** 2), sqrt((x[2] - x[1]) ** 2 + (y[2] - y[1]) ** 2)) as a, greatest(sqrt((x[2] - x[3]) ** 2 + (y[2] - y[3]) ** 2), sqrt((x[1] - x[4]) ** 2 + (y[1] - y[4]) ** 2)) as b from w)
+ select event_id, round(x[1], 6) as left_x, round(y[1], 6) as top_y, round_even(a, 0)::int as width, round_even(b, 0)::int as height from z where round_even(a, 0) >= {corners.LEAST_SIDE} and round_even(b, 0) >= {corners.LEAST_SIDE}""")
+def crop_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners in order, with their margin, and sizes of the crops of contours made from the events."""
+    plan = corners.crop_plan(F.col("points"), F.lit(256), F.lit(192))
+    rows = _contours(spark, sf_dir).select("event_id", plan.alias("c")).where("c is not null")
+    first = F.get("c.corners", 0)
+    return rows.select("event_id", F.round(first["x"], 6).alias("left_x"), F.round(first["y"], 6).alias("top_y"), F.col("c.width").alias("width"), F.col("c.height").alias("height"))
+
+
+@query("parcel", """, a as (select label_id, processed_at, tracking_number, coalesce(nullif(tracking_number, ''), label_id::varchar) as k from parcel where label_id % 10 <> 0)
+ select label_id, k as "key" from (select *, row_number() over (partition by k order by processed_at desc, label_id) as rn from a) where rn = 1""")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated label that training takes of each parcel; labels without a number are parcels of their own."""
+    return evaluation.training_labels(views.labels(spark, sf_dir)).select("label_id", F.coalesce(F.nullif("tracking_number", F.lit("")), F.col("label_id").cast("string")).alias("key"))
