@@ -80,7 +80,7 @@ def lookup(rows: DataFrame, table: DataFrame, min_n: int = MIN_BUCKET_N) -> Data
 
     A table of few buckets (counted) goes to every task; a larger one is joined by its keys.
     """
-    usable = table.where(F.col("n") >= min_n).select(*KEYS, "level", "p", "key")
+    usable = table.where(F.col("n") >= min_n).select(*KEYS, "level", "p", "key").persist()  # counted and joined three times, fitted once
     small = usable.count() <= BROADCAST_BUCKETS
     out = rows
     for level, keys in ((0, KEYS), (1, KEYS[:2]), (2, KEYS[1:2])):

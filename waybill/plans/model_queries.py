@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions import tagging
+from waybill.functions import tracking as T
 from waybill.functions.text import staged
 from waybill.operators import corners, evaluation, models, selection
 from waybill.plans import views
@@ -170,3 +171,35 @@ def crop_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The annotated label that training takes of each parcel; labels without a number are parcels of their own."""
     return evaluation.training_labels(views.labels(spark, sf_dir)).select("label_id", F.coalesce(F.nullif("tracking_number", F.lit("")), F.col("label_id").cast("string")).alias("key"))
+
+
+#: UPS numbers with a right check digit, some of whose digits were read as letters; and USPS numbers among them.
+_DAMAGED = """select o_orderkey as label_id, o_orderkey % 4 as kind, '999AA1' || lpad(cast(o_orderkey as varchar(20)), 9, '0') as body from orders"""
+_WEIGHED = "list_sum(list_transform(range(15), lambda i: (case when regexp_matches({x}[i + 1], '[0-9]') then ascii({x}[i + 1]) - 48 else (ascii({x}[i + 1]) - 63) % 10 end) * (1 + i % 2)))"
+_FORM = "'1Z[A-Z0-9]{16}'"
+
+
+def _right(t: str) -> str:
+    """SQL of whether a cleaned number has the UPS form and the right check digit."""
+    return f"(regexp_full_match({t}, {_FORM}) and regexp_matches({t}[18], '[0-9]') and (10 - {_WEIGHED.format(x=t + '[3:]')} % 10) % 10 = ascii({t}[18]) - 48)"
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("label_id"), (F.col("o_orderkey") % 4).alias("kind"), F.concat(F.lit("999AA1"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("body"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.substr("body", i, F.lit(1)))
+    value = F.transform(places, lambda c, i: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise((F.ascii(c) - 63) % 10) * (1 + i % 2))
+    digit = (10 - F.aggregate(value, F.lit(0), lambda a, x: a + x) % 10) % 10
+    number = F.concat(F.lit("1Z"), "body", digit.cast("string"))
+    return rows.select("label_id", F.when(F.col("kind") == 0, number).when(F.col("kind") == 1, F.translate(number, "0158", "OISB")).when(F.col("kind") == 2, F.concat(F.lower(F.substring(number, 1, 17)), F.lit(" x"))).otherwise(F.concat(F.lit("94 "), F.translate(F.lpad("label_id", 20, "0"), "06", "oG"))).alias("read"))
+
+
+@query(None, f"""with d as ({_DAMAGED}), n as (select *, '1Z' || body || ((10 - {_WEIGHED.format(x='body')} % 10) % 10)::varchar as number from d),
+ r as (select label_id, case kind when 0 then number when 1 then translate(number, '0158', 'OISB') when 2 then lower(number[:17]) || ' x' else '94 ' || translate(lpad(label_id::varchar, 20, '0'), '06', 'oG') end as read from n),
+ c as (select *, regexp_replace(regexp_replace(regexp_replace(upper(read), '[^A-Z0-9]', '', 'g'), '^1BA', 'TBA'), '^1LSDO', '1LSD0') as t from r),
+ f as (select *, t[:2] || translate(t[3:], 'OILSBG', '011586') as fixed, translate(t, 'OILSBG', '011586') as all_digits from c)
+ select label_id, case when regexp_full_match(t, {_FORM}) and not {_right('t')} and {_right('fixed')} then fixed else t end as ups, case when regexp_full_match(all_digits, '(?:9[1-5]|56)\\d*') then all_digits else t end as usps,
+  regexp_full_match(t, '(?:9[1-5]|56)\\d{{18,}}') as is_usps, {_right('t')} as right_digit from f""")
+def numbers_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged numbers as a UPS and as a USPS number, where the damage is undone by the check digit or the form."""
+    read = F.col("read")
+    return _damaged(spark, sf_dir).select("label_id", T.clean_ups(read).alias("ups"), T.clean_usps(read).alias("usps"), T.valid_usps(read).alias("is_usps"), T.ups_check_digit(T.clean(read)).alias("right_digit"))

@@ -488,13 +488,13 @@ def llm_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parse_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(views.labels(spark, sf_dir)).select("label_id", *parse.ADDRESS, "parser_used", F.array_join("parser_matches", ",").alias("parser_matches"))
+    return parse.parse(pipeline.dealt(views.labels(spark, sf_dir))).select("label_id", *parse.ADDRESS, "parser_used", F.array_join("parser_matches", ",").alias("parser_matches"))
 
 
 @query()
 def scan_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = views.parcel(spark, sf_dir).select("label_id", "ocr_text", F.lit(90.0).alias("ocr_confidence"), F.array("tracking_number").alias("barcodes"))
-    return pipeline.scan(texts)
+    return pipeline.scan(pipeline.dealt(texts))
 
 
 @query("parcel", " select label_id, len(list_filter(list_transform(string_split(ocr_text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::int as n_lines, upper(given_line[1]) || lower(given_line[2:]) as title from (select *, split_part(lower(true_name), ' ', 1) as given_line from parcel)")
