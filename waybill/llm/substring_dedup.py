@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.workspace import Workspace, shared_folder
+from waybill.llm.workspace import Workspace, remove, shared_folder
 
 _BYTE = np.random.default_rng(13).integers(0, 2**64, 256, np.uint64)  # a number for every byte, the same everywhere
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,8 +170,8 @@ class Cell:
         return ids[self.row[at]]
 
 
-def write_cells(docs: DataFrame, params: SubstringParams) -> tuple[DataFrame, str]:
-    """The table of cells, bucketed by cell, and its name."""
+def write_cells(docs: DataFrame, params: SubstringParams, folder: str) -> tuple[DataFrame, str]:
+    """The table of cells in a folder, bucketed by cell, and its name."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 32, 0
@@ -202,7 +202,7 @@ def write_cells(docs: DataFrame, params: SubstringParams) -> tuple[DataFrame, st
     name = f"cells_{uuid.uuid4().hex}"
     cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "cell long, payload binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells.write.format("parquet").bucketBy(buckets, "cell").option("path", shared_folder(spark, "cells")).saveAsTable(name)
+    cells.write.format("parquet").bucketBy(buckets, "cell").option("path", folder).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -362,8 +362,8 @@ _JUDGED = pa.schema([
 def repeated_passages(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
     """Every document with its number of words, of removed words, the hash of what is kept, and the spans removed."""
     spark = docs.sparkSession
-    space = Workspace(spark, "substrings")
-    cells, name = write_cells(docs, params)
+    space, folder = Workspace(spark, "substrings"), shared_folder(spark, "cells")
+    cells, name = write_cells(docs, params, folder)
     try:
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.select("cell").count() // params.cells_in_range))
         asked = cells.mapInArrow(_anchors(params, ranges), "part int, cell long, payload binary")
@@ -375,6 +375,7 @@ def repeated_passages(docs: DataFrame, params: SubstringParams = SubstringParams
         return space.save(judged)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, folder)
 
 
 def spans(judged: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:

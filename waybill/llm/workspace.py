@@ -33,6 +33,12 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Workspace:
     """Tables of one run, in one folder; those no longer needed can be dropped."""
 
@@ -51,8 +57,6 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
             if path := self.paths.pop(id(table), None):
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(conf).delete(place, True)
+                remove(self.spark, path)
