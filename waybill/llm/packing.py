@@ -16,7 +16,7 @@ pieces of each length: at most ``capacity`` numbers reach the driver, whatever
 the input.  The plan is a list of runs, each saying which pieces of a length
 (by rank) go to which sequences.  A run ends where a configuration, a length or a
 gap does, so there are at most a few for each length and group, whatever the
-input (some 4,000 slots at the defaults), and the plan may go to every task, where
+input (some 15,000 slots at the defaults), and the plan may go to every task, where
 slots are found by binary search.  Ranks inside a length are row numbers inside
 ``salts`` seeded salts plus the salts' running counts, so one very common length
 is spread over many tasks; the table of these counts has at most ``capacity *
