@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from waybill.functions.text import bounded, full, has, let, letters_of, squeeze, strip, sub, title, visible_of
 
-# The words by which label lines are told apart.
+# The words by which label lines are told apart; so are the patterns of damage, markers and forms in the
+# functions clean_street, clean_address, _delivers, _receives, _noisy, _street, _city and normal_street below.
 SUFFIX = "STREET|ST|ROAD|RD|AVENUE|AVE|BOULEVARD|BLVD|DRIVE|DR|LANE|LN|COURT|CT|WAY"
 FURNITURE = ("SHIP", "TO", "PREMIUM", "USPS", "USA", "PARCEL SELECT", "PRIORITY MAIL", "MEDIA MAIL", "OR CURRENT OCCUPANT")
 SERVICE = "EXPECTED DELIVERY|POSTAGE|ORIGIN|MAILED FROM|TRACKING|AMAZON|FULFILLMENT|SERVICES|PRIORITY MAIL|PARCEL SELECT"

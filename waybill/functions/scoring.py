@@ -49,6 +49,7 @@ def _present(*tests: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(test, name) for test, name in tests]), lambda x: x.isNotNull())
 
 
+# The names of warnings, triggers and modes in the functions below.
 def warnings(row: dict[str, Column], checksum: Column) -> Column:
     c = confidences(row)
     value = {f: F.coalesce(row[f], F.lit("")) for f in S.SCORED}

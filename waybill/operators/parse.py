@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waybill.functions import lines as L
 from waybill.functions.text import bounded, full, has, let, letters_of, staged, sub, visible_of, words
 
+# Names of the parsers.  The patterns of places, streets and blocks in the functions below are fixed values too.
 PARSERS = ("uniuni_deliver_to", "deliver_to", "city_first_to_address", "zip_first_spaced", "zip_first_combined", "city_state_country_zip", "college_mailroom_parser", "generic_city_state_zip")
 ADDRESS = ("recipient_name", "street_address", "city", "state", "zip_code")
 # Words of a mailroom's address block.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Names of fields, carriers, policies, modes and tags.
 FIELDS = ("recipient_name", "street_address", "city", "state", "zip_code", "tracking_number", "carrier")
 SCORED = FIELDS[:-1]
 CARRIERS = ("SpeedX", "Amazon", "YunExpress", "UniUni", "TikTok", "USPS", "UPS", "FEDEX", "Unknown")
@@ -36,7 +37,7 @@ CANDIDATE = T.StructType([
 
 
 def labels_schema() -> T.StructType:
-    """The stored label: one wide row for each scan."""
+    """The stored label: one wide row for each scan.  The names of its columns are fixed values."""
     text, real, whole = T.StringType(), T.DoubleType(), T.LongType()
     fields = [("id", text), ("processed_at", T.TimestampType()), ("original_filename", text), ("image_path", text), ("ocr_text", text), ("ocr_confidence", real), ("ocr_rotations", whole), ("barcode_raw", text)]
     for name in FIELDS:
