@@ -12,7 +12,7 @@ from waybill.functions import tracking as T
 from waybill.functions.text import staged
 from waybill.operators import corners, evaluation, models, selection
 from waybill.plans import views
-from waybill.plans.queries import _BOTH, _COMPARABLE, _JUDGED, _NEWEST, _SPANS, _TAGS, _TOKENS, _tag_case, _tags, _wide, query
+from waybill.plans.queries import _JUDGED, _NEWEST, _SOURCES, _SPANS, _SURE, _TAGS, _TOKENS, _tag_case, _tags, _wide, query
 
 PIECE = 4  # letters of a sub-word of the arithmetic tagger
 
@@ -99,10 +99,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(selection.with_candidates(rows), {"candidates": F.when(F.col("label_id") % 9 != 0, F.to_json("candidates"))})
 
 
-_PROPOSED = ", proposed as (" + " union all ".join(
-    f"select label_id, '{f}' as field, 'rule' as source, {chr(39) * 2 if f == 'carrier' else f} as value from parcel union all select label_id, '{f}', 'llm', {m} from parcel where llm_mode <> 'none'" for f, m in _BOTH
-) + " union all select label_id, 'recipient_name', 'ner', ner_name from parcel where ner_name <> '')"
-_OWN = _JUDGED + _NEWEST.replace("where label_id % 10 <> 0", "where label_id % 10 <> 0") + ", own as (select j.* from j join newest using (label_id) where label_id % 9 <> 0)" + _PROPOSED
+_OWN = _JUDGED + _NEWEST.replace("where label_id % 10 <> 0", "where label_id % 10 <> 0") + ", own as (select j.* from j join newest using (label_id) where label_id % 9 <> 0)" + _SOURCES
 _RIGHT = _JUDGED[_JUDGED.index(", j as (select *, case field") + len(", j as (select *, ") : _JUDGED.index(" as correct")]
 _SCORED = f", c as (select label_id, field, source, value, truth, selected, {_RIGHT} as correct from (select p.label_id, p.field, p.source, p.value, o.truth, o.correct as selected from proposed p join own o on o.label_id = p.label_id and o.field = p.field where p.value <> ''))"
 
@@ -124,10 +121,7 @@ def stored_ner_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stored_accuracy_by_version(_stored(spark, sf_dir))
 
 
-_SURE = f"case when {_COMPARABLE.format(x='value')} = '' then 0.0 when contains({_COMPARABLE.format(x='ocr_text')}, {_COMPARABLE.format(x='value')}) then {S.LLM_IN_TEXT} else {S.LLM_NOT_IN_TEXT} end"
-
-
-@query("parcel", _PROPOSED + f""", x as (select p.*, q.ocr_text, q.confidence as own, q.ner_confidence from proposed p join parcel q using (label_id))
+@query("parcel", _SOURCES + f""", x as (select p.*, q.ocr_text, q.confidence as own, q.ner_confidence from proposed p join parcel q using (label_id))
  select label_id, field, source, value, (case source when 'rule' then coalesce(own, 0) when 'ner' then ner_confidence when 'llm' then case when field = 'carrier' then 0 else {_SURE} end end)::double as confidence, case source when 'rule' then 'view' when 'llm' then 'llm' else 'v' || (label_id % 2) end as reason from x""")
 def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate as it is stored, out of the map of its label."""

@@ -358,7 +358,20 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.conflicts(_pivoted(spark, sf_dir)).select("label_id", F.array_join("conflicts", ",").alias("conflicts"))
 
 
-@query()
+_SOURCES = ", proposed as (" + " union all ".join(
+    f"select label_id, '{f}' as field, 'rule' as source, {chr(39) * 2 if f == 'carrier' else f} as value from parcel union all select label_id, '{f}', 'llm', {m} from parcel where llm_mode <> 'none'" for f, m in _BOTH
+) + " union all select label_id, 'recipient_name', 'ner', ner_name from parcel where ner_name <> '')"
+_SURE = f"case when {_COMPARABLE.format(x='value')} = '' then 0.0 when contains({_COMPARABLE.format(x='ocr_text')}, {_COMPARABLE.format(x='value')}) then {S.LLM_IN_TEXT} else {S.LLM_NOT_IN_TEXT} end"
+
+
+@query("parcel", _FIELDWISE + _SOURCES + f""", sure as (select p.*, (case p.source when 'rule' then coalesce(q.confidence, 0) when 'ner' then q.ner_confidence when 'llm' then case when p.field = 'carrier' then 0 else {_SURE} end end)::double as conf from proposed p join parcel q using (label_id)),
+ entry as (select label_id, field, source, to_json({{'field': field, 'value': value, 'source': source, 'confidence': conf, 'validations': case source when 'llm' then map(['found_in_ocr'], [(conf = {S.LLM_IN_TEXT})::varchar])
+   when 'ner' then map(['name_plausible', 'alternates'], [(not regexp_matches(value, '\\d') and regexp_matches(value, '\\S\\s+\\S'))::varchar, '0']) else map([]::varchar[], []::varchar[]) end,
+   'reason': case source when 'rule' then 'view' when 'llm' then 'llm' else 'v1' end}})::varchar as j from sure),
+ listed as (select label_id, field, list(j order by source) as js from entry group by all),
+ cands as (select label_id, to_json(map(list(field order by field), list(js order by field)))::varchar as candidates from listed group by label_id),
+ why as (select label_id, to_json(map(list(field order by field), list(reason order by field)))::varchar as selection_reasons from chosen group by label_id)
+ select label_id, selection_reasons, candidates from why join cands using (label_id)""")
 def selection_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows = _candidates(spark, sf_dir)
     pivoted = selection.sources_of(rows)
