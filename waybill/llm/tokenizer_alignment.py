@@ -67,20 +67,25 @@ class AlignParams:
 
 @dataclass(frozen=True)
 class Side:
-    """A vocabulary in use: from a text to its ids, and the bytes of every id."""
+    """A vocabulary in use: from a text to its ids, and the bytes of every id; ``exact`` if these are the text's by construction."""
 
     encode: Callable[[str], list[int]]
     bytes_of: list[bytes]
     lengths: np.ndarray
-    names: list[str]
+    exact: bool
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _side(encode: Callable[[str], list[int]], by_id: list[bytes]) -> Side:
-    names = [f"{i}{after}" for i in range(len(by_id)) for after in ",|;"]
-    return Side(encode, by_id, np.array([len(b) for b in by_id], np.int64), names)
+def _side(encode: Callable[[str], list[int]], by_id: list[bytes], exact: bool = False) -> Side:
+    return Side(encode, by_id, np.array([len(b) for b in by_id], np.int64), exact)
+
+
+@functools.lru_cache(2)
+def _names(n: int) -> list[str]:
+    """Decimal ids below ``n``, each with the three signs that may follow it."""
+    return [f"{i}{after}" for i in range(n) for after in ",|;"]
 
 
 @functools.lru_cache(2)
@@ -95,7 +100,7 @@ def byte_side(path: str) -> Side:
         by_id[rank] = token
     if is_plain_byte_level(spec):
         fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return _side(lambda text: fast.encode_ordinary(" " + text), by_id)
+        return _side(lambda text: fast.encode_ordinary(" " + text), by_id, exact=True)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
@@ -116,26 +121,25 @@ def piece_side(path: str) -> Side:
 
 @dataclass(frozen=True)
 class Alignment:
-    """The tokens of a text on both sides, the offsets where both end, and the links in order of their bytes."""
+    """The tokens of a text on both sides, where they stand among the tokens of all groups, and the links in order of their bytes."""
 
     a: np.ndarray
     b: np.ndarray
-    ends_a: np.ndarray
-    ends_b: np.ndarray
-    shared: np.ndarray
+    group_a: np.ndarray
+    group_b: np.ndarray
+    place_a: np.ndarray
+    place_b: np.ndarray
+    n_groups: int
     links: np.ndarray
 
-    def groups(self, names_a: list[str], names_b: list[str]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of every group, by tables of ids with what follows them."""
-        ga, gb = np.searchsorted(self.shared, self.ends_a), np.searchsorted(self.shared, self.ends_b)
-        place = np.concatenate([2 * ga, 2 * gb + 1])
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        step = np.append(place[1:], place[-1] + 2 if place[-1] % 2 == 0 else place[-1] + 1) - place
-        after = np.where(step == 0, 0, np.where(place % 2 == 0, 1, 2))
-        index = np.concatenate([self.a, self.b])[order] * 3 + after
-        text = "".join([(names_b if odd else names_a)[i] for odd, i in zip((place % 2).tolist(), index.tolist(), strict=True)])
-        return text[:-1]
+    def groups(self) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of every group, by a table of ids with what follows them."""
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        last = lambda g: np.diff(g, append=-1) != 0
+        out[self.place_a] = 3 * self.a + last(self.group_a)
+        out[self.place_b] = 3 * self.b + 2 * last(self.group_b)
+        names = _names(1 << int(max(self.a.max(), self.b.max())).bit_length())
+        return "".join(map(names.__getitem__, out.tolist()))[:-1]
 
 
 def align(text: str | None, first: Side, second: Side) -> Alignment | None:
@@ -143,14 +147,24 @@ def align(text: str | None, first: Side, second: Side) -> Alignment | None:
     if not text:
         return None
     wanted = b" " + text.encode()
-    a, b = np.array(first.encode(text), np.int64), np.array(second.encode(text), np.int64)
+    ids = first.encode(text), second.encode(text)
+    a, b = (np.array(x, np.int64) for x in ids)
     ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    if not len(a) or not len(b) or ends_a[-1] != len(wanted) or ends_b[-1] != len(wanted) or first.joined(a) != wanted or second.joined(b) != wanted:
+    if not len(a) or not len(b) or ends_a[-1] != len(wanted) or ends_b[-1] != len(wanted):
+        return None
+    if any(not side.exact and side.joined(x) != wanted for side, x in zip((first, second), ids, strict=True)):
         return None
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cuts = np.union1d(ends_a, ends_b)  # between two cuts lie one token of A and one of B, and no other cut has both
-    links = a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]
-    return Alignment(a, b, ends_a, ends_b, shared, links)
+    end_a, end_b = np.zeros((2, len(wanted) + 1), np.int32)  # by bytes: whether a token ends there
+    end_a[ends_a] = end_b[ends_b] = 1
+    end_both = end_a & end_b
+    before_a, before_b, before_both = (np.cumsum(x) - x for x in (end_a, end_b, end_both))  # how many end earlier
+    cuts = np.flatnonzero(end_a | end_b)  # between two cuts lie one token of A and one of B, and no other cut has both
+    links = a[before_a[cuts]] << 32 | b[before_b[cuts]]
+    shared = np.flatnonzero(end_both)
+    group_a, group_b = before_both[ends_a], before_both[ends_b]
+    place_a = np.arange(len(a)) + np.append(0, before_b[shared] + 1)[group_a]
+    place_b = np.arange(len(b)) + (before_a[shared] + 1)[group_b]
+    return Alignment(a, b, group_a, group_b, place_a, place_b, len(shared), links)
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -178,8 +192,8 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     rows.append(empty)
                     continue
                 keys, times = np.unique(found.links, return_counts=True)
-                digest = hashlib.sha256(found.groups(first.names, second.names).encode()).hexdigest()
-                rows.append((len(found.a), len(found.b), len(found.shared), len(found.links), digest, packed(keys), times.astype("<u4").tobytes()))
+                digest = hashlib.sha256(found.groups().encode()).hexdigest()
+                rows.append((len(found.a), len(found.b), found.n_groups, len(found.links), digest, packed(keys), times.astype("<u4").tobytes()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * 2, strict=True)] if rows else None
             if columns:
                 yield pa.record_batch([batch["doc_id"], *columns], [f.split(" ")[0] for f in ALIGNED.split(", ")])
