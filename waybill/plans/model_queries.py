@@ -96,6 +96,7 @@ def vision_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels as stored labels, each with the candidates of its scan as JSON text; every ninth recorded none."""
     rows = _wide(spark, sf_dir).withColumns({"ner_version": F.concat(F.lit("v"), (F.col("label_id") % 2).cast("string"))})
+    rows = staged(rows, {c: F.col(c) for c in rows.columns if c != "lines"})  # a view's expressions end here, as those of a stored table do
     return staged(selection.with_candidates(rows), {"candidates": F.when(F.col("label_id") % 9 != 0, F.to_json("candidates"))})
 
 

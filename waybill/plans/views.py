@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.functions.text import lines
+from waybill.functions.text import lines, staged
 
 _FIELD = "case event_id % 7 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(S.FIELDS)) + " end"
 
@@ -93,8 +93,13 @@ TRUTH = {"recipient_name": "true_name", "street_address": "true_street", "city":
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parcels as stored labels: values, sources, confidences and a partial annotation."""
+    """Parcels as stored labels: values, sources, confidences and a partial annotation.
+
+    The parcel's own expressions end at a generator, as at a table: the optimizer would
+    otherwise carry each of them through every filter that follows, for seconds a stage.
+    """
     rows = parcel(spark, sf_dir)
+    rows = staged(rows, {c: F.col(c) for c in rows.columns})
     truth = F.create_map(*[x for f, t in TRUTH.items() for x in (F.lit(f), F.col(t))])
     out = rows.withColumn("ground_truth", F.when(F.col("label_id") % 10 != 0, truth)).withColumn("carrier", F.lit("")).withColumn("lines", lines(F.col("ocr_text")))
     return out.withColumns({c: v for f in S.FIELDS for c, v in ((f"{f}_source", F.col("source")), (f"{f}_confidence", F.col("confidence")))})
