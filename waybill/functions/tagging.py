@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.functions.text import extract_all, let
+from waybill.functions.text import extract_all, let, staged
 
 TOKEN = r"[A-Za-z0-9#&'.\-]+|[^\p{L}\p{N}_\s]"
 
@@ -47,45 +49,65 @@ def value_of(tokens: Column, entity: Column, start: Column, end: Column) -> Colu
 
 def find_span(tokens: Column, value: Column) -> Column:
     """First place of the value's tokens: exact, then without case, then without punctuation; null if absent."""
+    return _span(_forms(tokens), _forms(tokenize(value)))
+
+
+def _forms(tokens: Column) -> Column:
+    """Tokens as texts in which a blank stands before and after each, as no token has one: as they are, in lower case, without marks."""
+    exact = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return _cased(F.when(F.size(tokens) > 0, exact).otherwise(F.lit(" ")))
+
+
+def _cased(exact: Column) -> Column:
+    return F.struct(exact.alias("exact"), F.lower(exact).alias("lower"), F.lower(F.regexp_replace(exact, r"[^\p{L}\p{N}_ ]", "")).alias("plain"))
+
+
+def _blanks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
 
-    def first(hay: Column, needle: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(hay) - F.size(needle) + 1, F.lit(1)))
-        hits = F.filter(places, lambda i: F.slice(hay, i, F.size(needle)) == needle)
-        return F.when((F.size(needle) > 0) & (F.size(needle) <= F.size(hay)), F.get(hits, 0) - 1)
+def _span(hay: Column, wanted: Column) -> Column:
+    def first(side: Column, needle: Column) -> Column:
+        at = F.position(needle, side)
+        return F.when((needle != " ") & (at > 0), _blanks(F.substr(side, F.lit(1), at - 1)))
 
-    wanted, lower = tokenize(value), (lambda x: F.transform(x, F.lower))
-    bare = F.filter(F.transform(wanted, plain), lambda x: x != "")
-    start = F.coalesce(first(tokens, wanted), first(lower(tokens), lower(wanted)))
-    loose = first(F.transform(tokens, plain), bare)
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), (start + F.size(wanted)).alias("end"))).when(loose.isNotNull(), F.struct(loose.alias("start"), (loose + F.size(bare)).alias("end")))
+    bare = F.regexp_replace(wanted["plain"], " +", " ")
+    start = F.coalesce(first(hay["exact"], wanted["exact"]), first(hay["lower"], wanted["lower"]))
+    loose = first(hay["plain"], bare)
+    width = lambda needle: _blanks(needle) - 1
+    strict = F.struct(start.alias("start"), (start + width(wanted["exact"])).alias("end"))
+    return F.when(start.isNotNull(), strict).when(loose.isNotNull(), F.struct(loose.alias("start"), (loose + width(bare)).alias("end")))
 
 
-def encode(rows: DataFrame) -> DataFrame:
-    """(id, tokens, labels) from (id, text, truth): longest values first, nothing overwritten.
+def encode(rows: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """(id, tokens, labels) and the carried columns from (id, text, truth): longest values first, nothing overwritten.
 
     Values claim positions; a position goes to the claim of the longest value, and a
-    shorter value keeps those of its positions that are left.
+    shorter value keeps those of its positions that are left.  All of it happens inside
+    the row, the tokens of the text and of each value being found once; there is no shuffle.
     """
-    tokens = rows.select("id", tokenize(F.col("text")).alias("tokens"), "truth")
-    field_no = F.create_map(*[x for i, f in enumerate(S.FIELDS) for x in (F.lit(f), F.lit(i))])
-    tag_of = F.create_map(*[F.lit(x) for f, t in S.TAG_OF.items() for x in (f, t)])
-    each = tokens.select("id", "tokens", F.explode("truth").alias("field", "value")).where(F.col("value").isNotNull() & F.col("field").isin(*S.FIELDS))
-    spans = each.withColumn("s", find_span(F.col("tokens"), F.col("value"))).where("s is not null")
-    claims = spans.select("id", "field", (-F.length("value")).alias("rank"), F.element_at(field_no, F.col("field")).alias("no"), F.col("s.start").alias("first"), F.explode(F.sequence(F.col("s.start"), F.col("s.end") - 1)).alias("pos"))
-    held = Window.partitionBy("id", "pos").orderBy("rank", "no")
-    taken = claims.withColumn("won", F.row_number().over(held)).where("won = 1")
-    tag = F.element_at(tag_of, F.col("field"))
-    named = F.when(~tag.isin(*S.LONG_TAGS) | (F.col("pos") == F.col("first")), F.concat(F.lit("B-"), tag)).otherwise(F.concat(F.lit("I-"), tag))
-    marks = taken.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", named.alias("tag")))).alias("marks"))
-    out = tokens.join(marks, "id", "left")
-    labels = F.transform(F.col("tokens"), lambda t, i: F.coalesce(F.element_at(F.col("marks"), i), F.lit("O")))
-    return out.select("id", "tokens", F.when(F.size("tokens") > 0, labels).otherwise(F.array().cast("array<string>")).alias("labels"))
-
-
-def match_rates(rows: DataFrame, encoded: DataFrame) -> DataFrame:
-    """By field: annotated values, and those whose tag occurs in the labels."""
-    tag_of = F.create_map(*[F.lit(x) for f, t in S.TAG_OF.items() for x in (f, t)])
-    each = rows.select("id", F.explode("truth").alias("field", "value")).where(F.coalesce("value", F.lit("")) != "").join(encoded.select("id", "labels"), "id")
+    value = lambda f: F.element_at("truth", F.lit(f))
+    rows = staged(rows.select("id", "text", "truth", *[c for c in carried if c not in ("text", "truth")]), {"tokens": tokenize(F.col("text"))})
+    rows = staged(rows, {"_hay": _forms(F.col("tokens"))} | {f"_{f}": _forms(tokenize(value(f))) for f in S.FIELDS})
+    rows = staged(rows, {f"_{f}": F.when(value(f).isNotNull(), _span(F.col("_hay"), F.col(f"_{f}"))) for f in S.FIELDS})
+    claim = lambda i, f: F.when(
+        F.col(f"_{f}").isNotNull(),
+        F.struct((-F.length(value(f))).alias("rank"), F.lit(i).alias("no"), F.col(f"_{f}.start").alias("first"), F.col(f"_{f}.end").alias("end"), F.lit(f"B-{S.TAG_OF[f]}").alias("begins"), F.lit(f"{'I' if S.TAG_OF[f] in S.LONG_TAGS else 'B'}-{S.TAG_OF[f]}").alias("goes_on")),
+    )
+    claims = F.array_sort(F.filter(F.array(*[claim(i, f) for i, f in enumerate(S.FIELDS)]), lambda c: c.isNotNull()))
+    rows = staged(rows, {"_claims": claims})
+
+    def label(i: Column) -> Column:
+        won = F.get(F.filter("_claims", lambda c: (c["first"] <= i) & (i < c["end"])), 0)
+        return let(won, lambda c: F.when(c.isNull(), "O").when(c["first"] == i, c["begins"]).otherwise(c["goes_on"]))
+
+    return rows.select("id", "tokens", F.transform("tokens", lambda t, i: label(i)).alias("labels"), *carried)
+
+
+def match_rates(encoded: DataFrame) -> DataFrame:
+    """By field: annotated values, and those whose tag occurs in the labels; ``encoded`` carries its ``truth``."""
+    tag_of = F.create_map(*[x for f, t in S.TAG_OF.items() for x in (F.lit(f), F.lit(t))])
+    each = encoded.select("labels", F.explode("truth").alias("field", "value")).where(F.coalesce("value", F.lit("")) != "")
     return each.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.array_contains("labels", F.concat(F.lit("B-"), F.element_at(tag_of, F.col("field"))))).alias("found"))
 
 

@@ -19,9 +19,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def staged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``rows`` with the columns, each computed once a row: Catalyst copies no expression across a generator, and generates code for it."""
+    """``rows`` with the columns, each computed once a row: Catalyst copies no expression across a generator.
+
+    They stand in a lambda over one element: code that is generated for a whole stage is one method,
+    and beyond 8,000 bytes the JVM never compiles it; what a lambda holds runs as compiled pieces of any number.
+    """
     struct = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(struct)))
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.transform(F.array(F.lit(0)), lambda _: struct)))
 
 
 def bounded(pattern: str) -> str:
