@@ -55,23 +55,30 @@ def _deliver_blocks(c: dict[str, Column], i: Column) -> list[Column]:
         i, 1, marked & ~F.upper(_at(lines, i)).contains("USPS") & (i + 4 < F.size(lines)) & has(place, pattern) & has(street, r"\A\d") & has(code, r"\d{5}"),
         None, street, F.regexp_extract(place, pattern, 1), F.regexp_extract(place, pattern, 2), F.regexp_extract(code, r"\d{5}", 0),
     )
-    parts = F.filter(F.transform(words(_at(clean, i + 3)), _bare), lambda x: x != "")
-    last, before = _at(parts, F.size(parts) - 1), _at(parts, F.size(parts) - 2)
-    own = full(before, "[A-Z]{2}") & full(last, r"\d{5}")
-    shipped = F.filter(F.transform(F.slice(lines, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda x: F.regexp_extract(x, "(?i)" + bounded(r"SHIP\s+USPS\s+(\d{5})"), 1)), lambda x: x != "")
-    code = F.when(own, last).otherwise(F.get(shipped, 0))
-    state = F.when(own, before).otherwise(last)
-    city = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - F.when(last == code, 2).otherwise(1), F.lit(0))), " ")
-    second = _propose(
-        i, 2, marked & (i + 3 < F.size(lines)) & (F.size(parts) >= 2) & full(state, "[A-Z]{2}") & full(code, r"\d{5}"),
-        L.clean_name(_at(lines, i + 1)), _at(clean, i + 2), _bare(city), state, code,
-    )
+
+    def named(parts: Column) -> Column:
+        last, before = _at(parts, F.size(parts) - 1), _at(parts, F.size(parts) - 2)
+        own = full(before, "[A-Z]{2}") & full(last, r"\d{5}")
+        shipped = F.filter(F.transform(F.slice(lines, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda x: F.regexp_extract(x, "(?i)" + bounded(r"SHIP\s+USPS\s+(\d{5})"), 1)), lambda x: x != "")
+        code = F.when(own, last).otherwise(F.get(shipped, 0))
+        state = F.when(own, before).otherwise(last)
+        return let(F.struct(parts.alias("parts"), state.alias("state"), code.alias("code")), placed)
+
+    def placed(x: Column) -> Column:
+        parts, state, code = x["parts"], x["state"], x["code"]
+        city = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - F.when(_at(parts, F.size(parts) - 1) == code, 2).otherwise(1), F.lit(0))), " ")
+        return _propose(
+            i, 2, (F.size(parts) >= 2) & full(state, "[A-Z]{2}") & full(code, r"\d{5}"),
+            L.clean_name(_at(lines, i + 1)), _at(clean, i + 2), _bare(city), state, code,
+        )
+
+    second = F.when(marked & (i + 3 < F.size(lines)), let(F.filter(F.transform(words(_at(clean, i + 3)), _bare), lambda x: x != ""), named))
     return [first, second]
 
 
 def _line_blocks(c: dict[str, Column], i: Column) -> list[Column]:
     lines, clean = c["lines"], c["clean"]
-    line, parts = _at(lines, i), words(_at(lines, i))
+    line, parts = _at(lines, i), _at(c["words"], i)
     tracking = bounded(r"(?:USPS\s+)?TRACKING")
     # City first: the street follows a TO line, which must come before any tracking line.
     near = F.slice(lines, i + 2, 11)
@@ -86,7 +93,7 @@ def _line_blocks(c: dict[str, Column], i: Column) -> list[Column]:
     spaced = _propose(i, 4, (F.size(parts) >= 6) & full(p[0], r"\d{5}") & full(p[2], r"\d{4}") & full(p[5], "[A-Z]{2}") & (i >= 3), _at(lines, i - 3), _at(lines, i - 1), p[3], p[5], F.concat(p[0], F.lit("-"), p[2]))
     combined = _propose(i, 5, (F.size(parts) >= 4) & full(p[0], r"\d{5}[-–—]\d{4}") & full(p[3], "[A-Z]{2}") & (i >= 2), _at(lines, i - 2), _at(lines, i - 1), p[1], p[3], sub(p[0], "[–—]", "-"))
     country = r"(.+?),\s*([A-Z]{2}),\s*(?:US|USA),?\s*(\d{5})"
-    abroad = _propose(i, 6, full(line, country, True) & (i >= 2), _at(lines, i - 2), _at(lines, i - 1), F.trim(_group(line, country, 1, True)), F.upper(_group(line, country, 2, True)), _group(line, country, 3, True))
+    abroad = _propose(i, 6, (i >= 2) & line.contains(",") & full(line, country, True), _at(lines, i - 2), _at(lines, i - 1), F.trim(_group(line, country, 1, True)), F.upper(_group(line, country, 2, True)), _group(line, country, 3, True))
     return [city_first, spaced, combined, abroad]
 
 
@@ -129,24 +136,27 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
     name = L.clean_name(name)
     street = F.array_join(F.filter(F.transform(address, cleaned), lambda x: x != ""), " ")
     known = F.upper(city).isin(*CAMPUSES) | has(above, MAILROOM)
-    return _propose(i, 7, full(line, pattern) & (i >= 2) & known, F.when(L.noise(name), F.lit("")).otherwise(name), street, city, _group(line, pattern, 2), _join_zip(_group(line, pattern, 3)))
+    return _propose(i, 7, (i >= 2) & full(line, pattern) & known, F.when(L.noise(name), F.lit("")).otherwise(name), street, city, _group(line, pattern, 2), _join_zip(_group(line, pattern, 3)))
 
 
 def _generic_block(c: dict[str, Column], i: Column) -> Column:
-    lines, parts = c["lines"], words(_at(c["lines"], i))
+    lines, parts = c["lines"], _at(c["words"], i)
     zip_form = r"(\d{5})[-–—]?(\d{4})?"
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: full(F.get(parts, k), "[A-Z]{2}") & full(F.coalesce(F.get(parts, k + 1), F.lit("")), zip_form))
-    k = F.get(F.reverse(at), 0)
-    base, plus = _group(_at(parts, k + 1), zip_form, 1), _group(_at(parts, k + 1), zip_form, 2)
-    apart = F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
-    plus = F.coalesce(apart, plus)
-    city = _bare(F.array_join(F.filter(F.slice(parts, 1, k), lambda x: has(x, r"[\p{L}\p{N}]")), " "))
-    street, name = words(_at(lines, i - 1)), words(_at(lines, i - 2))
-    house = F.coalesce(F.get(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull()), 0), F.lit(0))
-    return _propose(
-        i, 8, (F.size(at) > 0) & (i >= 2), F.array_join(F.filter(name, lambda x: full(x, r"\p{L}+")), " "),
-        F.array_join(F.slice(street, house + 1, F.greatest(F.size(street) - house, F.lit(0))), " "), city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
-    )
+
+    def found(k: Column) -> Column:
+        base, plus = _group(_at(parts, k + 1), zip_form, 1), _group(_at(parts, k + 1), zip_form, 2)
+        apart = F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
+        plus = F.coalesce(apart, plus)
+        city = _bare(F.array_join(F.filter(F.slice(parts, 1, k), lambda x: has(x, r"[\p{L}\p{N}]")), " "))
+        street, name = _at(c["words"], i - 1), _at(c["words"], i - 2)
+        house = F.coalesce(F.get(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull()), 0), F.lit(0))
+        return _propose(
+            i, 8, k.isNotNull(), F.array_join(F.filter(name, lambda x: full(x, r"\p{L}+")), " "),
+            F.array_join(F.slice(street, house + 1, F.greatest(F.size(street) - house, F.lit(0))), " "), city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
+        )
+
+    return F.when((i >= 2) & has(_at(lines, i), r"\d{5}"), let(F.get(F.reverse(at), 0), found))
 
 
 def _allowed(proposals: Column) -> Column:
@@ -232,8 +242,8 @@ def campus_address(clean: Column) -> Column:
 def parse(labels: DataFrame) -> DataFrame:
     """``labels`` (with ``lines``) and their five address fields, ``parser_used`` and ``parser_matches``."""
     rows = staged(labels.drop(*ADDRESS, "parser_used", "parser_matches"), {"_seen": F.transform("lines", L.features)})
-    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker")})
-    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen")}
+    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker"), "_words": F.transform("lines", words)})
+    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen"), "words": F.col("_words")}
 
     def at_line(i: Column) -> Column:
         return F.array(*_deliver_blocks(c, i), *_line_blocks(c, i), _mailroom_block(c, i), _generic_block(c, i))
@@ -253,7 +263,7 @@ def parse(labels: DataFrame) -> DataFrame:
         "street_address": F.coalesce(F.col("_campus.street_address"), F.col("street_address")), "city": F.when(known, "University Park").otherwise(F.col("city")),
         "state": F.when(known, "PA").otherwise(F.col("state")), "zip_code": F.coalesce(F.col("_campus.zip_code"), F.col("zip_code")),
     })
-    return rows.drop("_seen", "_clean", "_marker", "_all", "_p", "_to", "_campus", "_last", "_named")
+    return rows.drop("_seen", "_clean", "_marker", "_words", "_all", "_p", "_to", "_campus", "_last", "_named")
 
 
 def normalise(rows: DataFrame) -> DataFrame:
