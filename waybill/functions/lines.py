@@ -32,7 +32,8 @@ PLAIN_NAME = rf"(?:{_TITLE}\s+)?{_NAME_WORD}(?:\s+{_NAME_WORD}){{1,3}}"
 
 
 def clean_service(line: Column) -> Column:
-    return squeeze(sub(line, f"(?s){bounded(SERVICE_TAIL)}.*", "", True))
+    cut = F.when(has(line, "RESPONSE|REQUESTED", True), sub(line, f"(?s){bounded(SERVICE_TAIL)}.*", "", True)).otherwise(line)
+    return squeeze(cut)
 
 
 Bind = Callable[[Column, Callable[[Column], Column]], Column]
@@ -65,11 +66,14 @@ def clean_street(line: Column, bind: Bind = repeated) -> Column:
 
 
 def clean_address(line: Column, bind: Bind = repeated) -> Column:
-    out = bind(clean_service(F.coalesce(line, F.lit(""))), lambda x: clean_street(x, bind))
-    out = sub(out, r"(?<=\d)@(?=\d)", "0")
-    for damaged, right in (("1@5", "105"), ("NL", "L"), ("AUB", "HUB"), ("PRRLISLE", "CARLISLE")):
-        out = sub(out, bounded(damaged), right, True)
-    return squeeze(sub(out, r"(?<![A-Za-z])\\?IVERSITY\b", "UNIVERSITY", True))
+    def repaired(x: Column) -> Column:
+        out = sub(x, r"(?<=\d)@(?=\d)", "0")
+        for damaged, right in (("1@5", "105"), ("NL", "L"), ("AUB", "HUB"), ("PRRLISLE", "CARLISLE")):
+            out = sub(out, bounded(damaged), right, True)
+        out = sub(out, r"(?<![A-Za-z])\\?IVERSITY\b", "UNIVERSITY", True)
+        return F.when(has(x, "@|NL|AUB|PRRLISLE|IVERSITY", True), out).otherwise(x)  # few lines have any of these
+
+    return squeeze(bind(bind(clean_service(F.coalesce(line, F.lit(""))), lambda x: clean_street(x, bind)), repaired))
 
 
 def clean_name(line: Column) -> Column:
@@ -78,8 +82,8 @@ def clean_name(line: Column) -> Column:
 
 
 def _delivers(upper: Column) -> Column:
-    letters = squeeze(sub(upper, r"[^A-Z\s]", " "))
-    return has(letters, bounded(r"DELIVER\s+TO")) | has(letters, bounded(r"VER\s+TO")) | has(letters, bounded(r"USPS\b.*\bTO"))
+    marked = lambda letters: has(letters, bounded(r"DELIVER\s+TO")) | has(letters, bounded(r"VER\s+TO")) | has(letters, bounded(r"USPS\b.*\bTO"))
+    return F.contains(upper, F.lit("TO")) & let(squeeze(sub(upper, r"[^A-Z\s]", " ")), marked)
 
 
 def deliver_to(line: Column) -> Column:
@@ -99,11 +103,9 @@ def _noisy(text: Column) -> Column:
     return (
         (F.length(text) <= 2)
         | text.isin(*FURNITURE)
-        | has(text, bounded(r"[A-Z]{2}\s+\d{5}(?:-\d{4})?"))
+        | (has(text, r"\d") & (has(text, bounded(r"[A-Z]{2}\s+\d{5}(?:-\d{4})?")) | has(text, bounded(r"HUB\s*#?\s*\d+")) | has(text, bounded("STREET|ST|ROAD|RD|AVE|AVENUE|BLVD|DR|LANE|LN|WAY"))))
         | has(text, bounded(SERVICE))
-        | has(text, bounded(r"DICKINSON\s*COLLEGE"))
-        | has(text, bounded(r"HUB\s*#?\s*\d+"))
-        | (has(text, bounded("STREET|ST|ROAD|RD|AVE|AVENUE|BLVD|DR|LANE|LN|WAY")) & has(text, r"\d"))
+        | (F.contains(text, F.lit("DICKINSON")) & has(text, bounded(r"DICKINSON\s*COLLEGE")))
         | full(text, r"[\d\s./#-]+")
         | full(text, r"[|.=_\-— ]+")
     )
@@ -123,7 +125,7 @@ def street_line(line: Column) -> Column:
 
 
 def _city(text: Column) -> Column:
-    return has(text, bounded(r"[A-Z]{2}\s+\d{5}(?:-\d{4})?")) | has(text, bounded(r"ZIP\s*\d{5}"))
+    return has(text, r"\d{5}") & (has(text, bounded(r"[A-Z]{2}\s+\d{5}(?:-\d{4})?")) | has(text, bounded(r"ZIP\s*\d{5}")))
 
 
 def city_line(line: Column) -> Column:
@@ -145,7 +147,7 @@ def features(line: Column) -> Column:
 
 
 def comma_name(name: Column) -> Column:
-    return full(name, COMMA_NAME, True)
+    return F.contains(name, F.lit(",")) & full(name, COMMA_NAME, True)
 
 
 def person_name(line: Column) -> Column:

@@ -136,7 +136,7 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
     name = L.clean_name(name)
     street = F.array_join(F.filter(F.transform(address, cleaned), lambda x: x != ""), " ")
     known = F.upper(city).isin(*CAMPUSES) | has(above, MAILROOM)
-    return _propose(i, 7, (i >= 2) & full(line, pattern) & known, F.when(L.noise(name), F.lit("")).otherwise(name), street, city, _group(line, pattern, 2), _join_zip(_group(line, pattern, 3)))
+    return _propose(i, 7, (i >= 2) & has(line, r"\d{5}") & full(line, pattern) & known, F.when(L.noise(name), F.lit("")).otherwise(name), street, city, _group(line, pattern, 2), _join_zip(_group(line, pattern, 3)))
 
 
 def _generic_block(c: dict[str, Column], i: Column) -> Column:
