@@ -26,3 +26,8 @@ def test_encoding_stays_inside_the_row(spark):
 
 def test_match_rates_read_the_labels_once(spark, sf_dir):
     assert plan_of(queries.field_match_rate(spark, sf_dir)).count("orders.parquet") == plan_of(queries.bio_encode(spark, sf_dir)).count("orders.parquet")
+
+
+def test_provenance_is_made_inside_the_row(spark, sf_dir):
+    plan = plan_of(queries.selection_provenance(spark, sf_dir))
+    assert "SortAggregate" not in plan and "HashAggregate" not in plan and plan.count("orders.parquet") == 1
