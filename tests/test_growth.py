@@ -31,3 +31,7 @@ def test_match_rates_read_the_labels_once(spark, sf_dir):
 def test_provenance_is_made_inside_the_row(spark, sf_dir):
     plan = plan_of(queries.selection_provenance(spark, sf_dir))
     assert "SortAggregate" not in plan and "HashAggregate" not in plan and plan.count("orders.parquet") == 1
+
+
+def test_candidates_of_all_sources_come_from_one_scan(spark, sf_dir):
+    assert plan_of(queries.candidate_long(spark, sf_dir)).count("orders.parquet") == 1

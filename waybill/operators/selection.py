@@ -64,6 +64,15 @@ def ner_candidates(rows: DataFrame) -> DataFrame:
     return each.select("label_id", "field", F.col("p.value").alias("value"), F.lit("ner").alias("source"), F.col("p.confidence").alias("confidence"), F.map_concat(ner_validations(F.col("field"), F.col("p.value")), more).alias("validations"), F.col("ner_version").alias("reason"))
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """(label_id, field, source, value) of the candidates of all sources, in one scan of wide rows."""
+    entry = lambda f, source, value: F.struct(f.alias("field"), F.lit(source).alias("source"), F.coalesce(value, F.lit("")).alias("value"))
+    rule = F.array(*[entry(F.lit(f), "rule", F.col(f)) for f in S.FIELDS])
+    llm = F.filter(F.array(*[F.when(F.col("llm_enabled"), entry(F.lit(f), "llm", F.col(f"llm_{f}"))) for f in S.FIELDS]), lambda x: x.isNotNull())
+    ner = F.filter(F.transform(F.coalesce(F.map_entries("ner"), F.array()), lambda e: entry(e["key"], "ner", e["value"]["value"])), lambda x: x["value"] != "")
+    return rows.select("label_id", F.inline(F.concat(rule, llm, ner)))
+
+
 def side_by_side(candidates: DataFrame, modes: DataFrame) -> DataFrame:
     """A row for each label and field: values and confidences of the sources, and the label's ``llm_mode``."""
     # Of two candidates of one source the surer one counts, then the greater value.
