@@ -35,3 +35,10 @@ def test_provenance_is_made_inside_the_row(spark, sf_dir):
 
 def test_candidates_of_all_sources_come_from_one_scan(spark, sf_dir):
     assert plan_of(queries.candidate_long(spark, sf_dir)).count("orders.parquet") == 1
+
+
+def test_documents_come_in_even_parts(spark, sf_dir):
+    for query in (queries.ocr_quality_score, queries.normalize_comparison):
+        parts = query(spark, sf_dir).rdd.glom().map(len).collect()
+        assert len(parts) == 4 and min(parts) > max(parts) / 2
+    assert plan_of(queries.found_in_text_join(spark, sf_dir)).count("REPARTITION_BY_NUM") >= 1

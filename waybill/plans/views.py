@@ -104,6 +104,18 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH = {"recipient_name": "true_name", "street_address": "true_street", "city": "true_city", "state": "true_state", "zip_code": "true_zip", "tracking_number": "true_number"}
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """(label_id, ocr_text) of the parcels and further columns of theirs, made once a row and no others beside them."""
+    rows = parcel(spark, sf_dir).select("label_id", "ocr_text", *columns)
+    return staged(rows, {c: F.col(c) for c in rows.columns})
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents in even parts: a text costs milliseconds to judge, and a file is read in as few parts as it has row groups."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *columns)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels as stored labels: values, sources, confidences and a partial annotation.
 
