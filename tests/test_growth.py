@@ -42,3 +42,8 @@ def test_documents_come_in_even_parts(spark, sf_dir):
         parts = query(spark, sf_dir).rdd.glom().map(len).collect()
         assert len(parts) == 4 and min(parts) > max(parts) / 2
     assert plan_of(queries.found_in_text_join(spark, sf_dir)).count("REPARTITION_BY_NUM") >= 1
+
+
+def test_stored_labels_are_read_once(spark, sf_dir):
+    for query in (queries.QUERIES["stored_candidate_accuracy"], queries.QUERIES["stored_ner_by_version"]):
+        assert plan_of(query(spark, sf_dir)).count("orders.parquet") == 1
