@@ -1,6 +1,7 @@
 """What large tables need: even parts, work inside the row, methods small enough to be compiled."""
 
 from waybill.functions import tagging
+from waybill.operators import evaluation
 from waybill.plans import queries, views
 
 
@@ -47,3 +48,13 @@ def test_documents_come_in_even_parts(spark, sf_dir):
 def test_stored_labels_are_read_once(spark, sf_dir):
     for query in (queries.QUERIES["stored_candidate_accuracy"], queries.QUERIES["stored_ner_by_version"]):
         assert plan_of(query(spark, sf_dir)).count("orders.parquet") == 1
+
+
+def test_samples_of_labels_read_them_once(spark, sf_dir):
+    assert plan_of(queries.samples_from_labels(spark, sf_dir)).count("orders.parquet") == 1
+
+
+def test_newest_keeps_what_latest_keeps(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", 2), (4, "", 1), (4, "", 1), (5, None, 1)], "label_id long, tracking_number string, processed_at int")
+    kept = [sorted(r.label_id for r in f(rows).collect()) for f in (evaluation.newest, evaluation.latest)]
+    assert kept == [[2, 4, 4, 5]] * 2
