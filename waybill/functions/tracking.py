@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import bounded, full, has
+from waybill.functions.text import bounded, full, has, let
 
 # Look-alike letters of digits; prefixes of the carriers.
 LETTERS, DIGITS = "OILSBG", "011586"
@@ -17,7 +17,10 @@ CARRIER_OF_PREFIX = {"SPX": "SpeedX", "TBA": "Amazon", "YWNJC": "YunExpress", "U
 
 
 def carrier_of(number: Column) -> Column:
-    upper = F.upper(F.coalesce(number, F.lit("")))
+    return let(F.upper(F.coalesce(number, F.lit(""))), _carrier_of)
+
+
+def _carrier_of(upper: Column) -> Column:
     found = F.when(F.lit(False), F.lit(""))
     for prefix, carrier in CARRIER_OF_PREFIX.items():
         found = found.when(upper.startswith(prefix), carrier)
@@ -60,7 +63,7 @@ def _weighted(values: Column, even: int, odd: int) -> Column:
 
 def usps_checksum(number: Column) -> Column:
     """Mod-10 test with weights 3, 1 from the right; null for other forms."""
-    body = F.transform(F.reverse(_characters(F.regexp_replace(number, r"\d\z", ""))), lambda c: F.try_to_number(c, F.lit("9")).cast("int"))
+    body = F.transform(F.reverse(_characters(F.regexp_replace(number, r"\d\z", ""))), lambda c: F.ascii(c) - 48)  # a digit, where the form fits
     total = _weighted(body, 3, 1)
     return F.when(full(number, r"9\d{19,21}"), (10 - total % 10) % 10 == F.right(number, F.lit(1)).cast("int"))
 
@@ -90,20 +93,24 @@ def clean(candidate: Column) -> Column:
 
 def clean_ups(candidate: Column) -> Column:
     """Look-alike letters read as digits, if that makes the check digit right."""
-    text = clean(candidate)
-    fixed = F.concat(F.substring(text, 1, 2), F.translate(F.substring(text, 3, 1_000), LETTERS, DIGITS))
-    return F.when(full(text, UPS_FORM) & ~ups_check_digit(text) & ups_check_digit(fixed), fixed).otherwise(text)
+    def repaired(text: Column) -> Column:
+        fixed = F.concat(F.substring(text, 1, 2), F.translate(F.substring(text, 3, 1_000), LETTERS, DIGITS))
+        return F.when(full(text, UPS_FORM) & ~ups_check_digit(text), let(fixed, lambda x: F.when(ups_check_digit(x), x).otherwise(text))).otherwise(text)
+
+    return let(clean(candidate), repaired)
 
 
 def clean_usps(candidate: Column) -> Column:
-    text = clean(candidate)
-    fixed = F.translate(text, LETTERS, DIGITS)
-    return F.when(full(fixed, USPS_PREFIX + r"\d*"), fixed).otherwise(text)
+    forms = let(clean(candidate), lambda text: F.struct(text.alias("text"), F.translate(text, LETTERS, DIGITS).alias("fixed")))
+    return let(forms, lambda x: F.when(full(x["fixed"], USPS_PREFIX + r"\d*"), x["fixed"]).otherwise(x["text"]))
 
 
 def valid(candidate: Column) -> Column:
     """Whether the cleaned candidate is a tracking number that can be extracted."""
-    text = clean(candidate)
+    return let(clean(candidate), _valid)
+
+
+def _valid(text: Column) -> Column:
     opened = F.lit(False)
     for prefix in OPEN_PREFIXES:
         opened = opened | text.startswith(prefix)
@@ -135,7 +142,7 @@ def tracking_in_lines(lines: Column) -> Column:
         alone = F.flatten(F.transform(near(i), usps_candidates))
         grown = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(near(i)), F.lit(1))), lambda k: usps_candidates(F.array_join(F.slice(lines, i + 1, k + 1), " "))))
         found = F.concat(alone, F.when(F.size(near(i)) > 0, grown).otherwise(F.array().cast("array<string>")))
-        return F.when(upper(i).contains("USPS") & upper(i).contains("TRACKING"), found).otherwise(F.array().cast("array<string>"))
+        return F.when(let(upper(i), lambda u: u.contains("USPS") & u.contains("TRACKING")), found).otherwise(F.array().cast("array<string>"))
 
     def heading(i: Column) -> Column:
         text = F.array_join(F.slice(lines, i + 1, 3), " ")
@@ -144,7 +151,8 @@ def tracking_in_lines(lines: Column) -> Column:
         found = F.concat(ups, F.filter(runs, lambda c: valid(c) & (carrier_of(c) != "FEDEX")))
         return F.when(upper(i).contains("TRACKING"), found).otherwise(F.array().cast("array<string>"))
 
-    whole = F.transform(lines, lambda x: F.when(clean(x).startswith("1Z"), clean_ups(x)).otherwise(clean_usps(x)))
+    long = F.filter(lines, lambda x: F.length(F.upper(x)) >= 12)  # shorter ones are no number
+    whole = F.transform(F.transform(long, clean), lambda x: F.when(x.startswith("1Z"), clean_ups(x)).otherwise(clean_usps(x)))
     passes = (F.flatten(F.transform(at, usps_heading)), F.flatten(F.transform(at, heading)), F.filter(whole, lambda c: valid(c) & (carrier_of(c) != "FEDEX")))
     return F.coalesce(*[F.get(p, 0) for p in passes], F.lit(""))
 
