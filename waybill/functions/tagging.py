@@ -120,10 +120,10 @@ def token_accuracy(rows: DataFrame) -> DataFrame:
 def word_tags(n_words: Column, word_ids: Column, logits: Column) -> Column:
     """(tag, prob) of each word: that of its first sub-word, or outside with 0 where it was cut off."""
     at = lambda w: F.array_position(word_ids, w.cast("int")).cast("int")
-    top = lambda x: F.array_max(x)
-    share = lambda x: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top(x)))  # noqa: E731  the softmax of the greatest
     tags = F.array(*[F.lit(t) for t in S.TAGS])
-    one = lambda w: let(F.get(logits, at(w) - 1), lambda x: F.struct(F.coalesce(F.get(tags, F.array_position(x, top(x)).cast("int") - 1), F.lit("O")).alias("tag"), F.coalesce(share(x), F.lit(0.0)).alias("prob")))
+    share = lambda x, top: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))  # noqa: E731  the softmax of the greatest
+    best = lambda x, top: F.struct(F.coalesce(F.get(tags, F.array_position(x, top).cast("int") - 1), F.lit("O")).alias("tag"), F.coalesce(share(x, top), F.lit(0.0)).alias("prob"))
+    one = lambda w: let(F.get(logits, at(w) - 1), lambda x: let(F.array_max(x), lambda top: best(x, top)))
     return F.when(n_words > 0, F.transform(F.sequence(F.lit(0), n_words - 1), one)).otherwise(F.array().cast("array<struct<tag:string,prob:double>>"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,18 @@ from waybill.plans.queries import _JUDGED, _NEWEST, _SOURCES, _SPANS, _SURE, _TA
 PIECE = 4  # letters of a sub-word of the arithmetic tagger
 
 
-def _score(first: int, last: int, size: int, k: int) -> float:
-    return ((first * 7 + last * 3 + size * (k + 1) * 5 + k * k * 11) % 29) / 4
-
-
 def arithmetic_tagger() -> models.Tagger:
     """A tagger whose logits are small sums of a sub-word's letters."""
+    k = np.arange(len(S.TAGS))
 
     def tag(texts: list[list[str]], most: int) -> list[tuple[list[int | None], list[list[float]]]]:
-        out = []
-        for words in texts:
-            pieces = [(w, word[i : i + PIECE]) for w, word in enumerate(words) for i in range(0, len(word), PIECE)][: most - 2]
-            logits = [[_score(ord(p[0]), ord(p[-1]), len(p), k) for k in range(len(S.TAGS))] for _, p in pieces]
-            special = [1.0] + [0.0] * (len(S.TAGS) - 1)
-            out.append(([None, *(w for w, _ in pieces), None], [special, *logits, special]))
+        pieces = [[(w, word[i : i + PIECE]) for w, word in enumerate(words) for i in range(0, len(word), PIECE)][: most - 2] for words in texts]
+        signs = np.array([(ord(p[0]), ord(p[-1]), len(p)) for of in pieces for _, p in of]).reshape(-1, 3, 1)
+        logits = ((signs[:, 0] * 7 + signs[:, 1] * 3 + signs[:, 2] * (k + 1) * 5 + k * k * 11) % 29 / 4).tolist()
+        special, out, at = [1.0] + [0.0] * (len(S.TAGS) - 1), [], 0
+        for of in pieces:
+            out.append(([None, *(w for w, _ in of), None], [special, *logits[at : at + len(of)], special]))
+            at += len(of)
         return out
 
     return models.Tagger("arithmetic@1", tag)
@@ -48,7 +47,7 @@ _RANKED = """, named as (select *, row_number() over (partition by id, entity or
  select id as label_id, {_tag_case({t: f for f, t in S.TAG_OF.items()}, "entity")} as field, case entity when 'STATE' then upper(v) when 'TRACKING' then replace(v, ' ', '') else v end as value, round(mean_prob, 4) as confidence, alternates::int as alternates from chosen""")
 def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to sub-words to logits to tags to spans to values, inside each label's row."""
-    rows = models.predict(views.parcel(spark, sf_dir), "arithmetic tagger", arithmetic_tagger)
+    rows = models.predict(views.texts(spark, sf_dir), "arithmetic tagger", arithmetic_tagger)
     return rows.select("label_id", F.explode("ner").alias("field", "p")).select("label_id", "field", "p.*")
 
 
