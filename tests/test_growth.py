@@ -1,5 +1,7 @@
 """What large tables need: even parts, work inside the row, methods small enough to be compiled."""
 
+from pyspark.sql import functions as F
+
 from waybill.functions import tagging
 from waybill.operators import evaluation
 from waybill.plans import queries, views
@@ -58,3 +60,15 @@ def test_newest_keeps_what_latest_keeps(spark):
     rows = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", 2), (4, "", 1), (4, "", 1), (5, None, 1)], "label_id long, tracking_number string, processed_at int")
     kept = [sorted(r.label_id for r in f(rows).collect()) for f in (evaluation.newest, evaluation.latest)]
     assert kept == [[2, 4, 4, 5]] * 2
+
+
+def test_match_rates_make_only_the_columns_they_read(spark, sf_dir):
+    # The view of all stored columns was made for each label: values, sources and confidences that no tag needs.
+    plan = queries.field_match_rate(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ner_confidence" not in plan and "llm_name" not in plan and "true_street" in plan
+
+
+def test_spans_are_found_exactly_then_without_case_then_without_marks(spark):
+    rows = spark.createDataFrame([("ANN Ann ann",), ("x ann",), ("x A-n.n #",), ("x",), (None,)], "text string")
+    found = rows.select(tagging.find_span(tagging.tokenize("text"), F.lit("Ann")).alias("s")).collect()
+    assert [r.s and tuple(r.s) for r in found] == [(1, 2), (1, 2), (1, 2), None, None]

@@ -49,34 +49,45 @@ def value_of(tokens: Column, entity: Column, start: Column, end: Column) -> Colu
 
 def find_span(tokens: Column, value: Column) -> Column:
     """First place of the value's tokens: exact, then without case, then without punctuation; null if absent."""
-    return _span(_forms(tokens), _forms(tokenize(value)))
+    return let(_forms(tokens), lambda hay: _span(hay, _joined(tokenize(value))))
 
 
 def _forms(tokens: Column) -> Column:
     """Tokens as texts in which a blank stands before and after each, as no token has one: as they are, in lower case, without marks."""
-    exact = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return _cased(F.when(F.size(tokens) > 0, exact).otherwise(F.lit(" ")))
+    return let(_joined(tokens), _cased)
+
+
+def _joined(tokens: Column) -> Column:
+    return let(F.array_join(tokens, " "), lambda x: F.when(x == "", " ").otherwise(F.concat(F.lit(" "), x, F.lit(" "))))  # no token is empty
+
+
+def _plain(exact: Column) -> Column:
+    return F.lower(F.regexp_replace(exact, r"[^\p{L}\p{N}_ ]+", ""))
 
 
 def _cased(exact: Column) -> Column:
-    return F.struct(exact.alias("exact"), F.lower(exact).alias("lower"), F.lower(F.regexp_replace(exact, r"[^\p{L}\p{N}_ ]", "")).alias("plain"))
+    return F.struct(exact.alias("exact"), F.lower(exact).alias("lower"), _plain(exact).alias("plain"))
 
 
 def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _place(side: Column, needle: Column, otherwise: Column) -> Column:
+    """Start and end of the needle's tokens in the side, each found once; else the other way, which is not gone where this one finds."""
+    def found(at: Column) -> Column:
+        start = let(_blanks(F.left(side, at - 1)), lambda n: F.struct(n.alias("start"), (n + _blanks(needle) - 1).alias("end")))
+        return F.when(at > 0, start).otherwise(otherwise)
+
+    return F.when(needle == " ", otherwise).otherwise(let(F.position(needle, side), found))
+
+
 def _span(hay: Column, wanted: Column) -> Column:
-    def first(side: Column, needle: Column) -> Column:
-        at = F.position(needle, side)
-        return F.when((needle != " ") & (at > 0), _blanks(F.substr(side, F.lit(1), at - 1)))
+    def placed(exact: Column) -> Column:
+        bare = let(F.regexp_replace(_plain(exact), " +", " "), lambda x: _place(hay["plain"], x, F.lit(None).cast("struct<start:int,end:int>")))
+        return _place(hay["exact"], exact, let(F.lower(exact), lambda x: _place(hay["lower"], x, bare)))
 
-    bare = F.regexp_replace(wanted["plain"], " +", " ")
-    start = F.coalesce(first(hay["exact"], wanted["exact"]), first(hay["lower"], wanted["lower"]))
-    loose = first(hay["plain"], bare)
-    width = lambda needle: _blanks(needle) - 1
-    strict = F.struct(start.alias("start"), (start + width(wanted["exact"])).alias("end"))
-    return F.when(start.isNotNull(), strict).when(loose.isNotNull(), F.struct(loose.alias("start"), (loose + width(bare)).alias("end")))
+    return let(wanted, placed)
 
 
 def encode(rows: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
@@ -86,14 +97,14 @@ def encode(rows: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     shorter value keeps those of its positions that are left.  All of it happens inside
     the row, the tokens of the text and of each value being found once; there is no shuffle.
     """
-    value = lambda f: F.element_at("truth", F.lit(f))
     rows = staged(rows.select("id", "text", "truth", *[c for c in carried if c not in ("text", "truth")]), {"tokens": tokenize(F.col("text"))})
-    rows = staged(rows, {"_hay": _forms(F.col("tokens"))} | {f"_{f}": _forms(tokenize(value(f))) for f in S.FIELDS})
-    rows = staged(rows, {f"_{f}": F.when(value(f).isNotNull(), _span(F.col("_hay"), F.col(f"_{f}"))) for f in S.FIELDS})
-    claim = lambda i, f: F.when(
-        F.col(f"_{f}").isNotNull(),
-        F.struct((-F.length(value(f))).alias("rank"), F.lit(i).alias("no"), F.col(f"_{f}.start").alias("first"), F.col(f"_{f}.end").alias("end"), F.lit(f"B-{S.TAG_OF[f]}").alias("begins"), F.lit(f"{'I' if S.TAG_OF[f] in S.LONG_TAGS else 'B'}-{S.TAG_OF[f]}").alias("goes_on")),
-    )
+    rows = staged(rows, {"_hay": _forms(F.col("tokens"))})
+
+    def claim(i: int, f: str) -> Column:
+        begins, goes_on = F.lit(f"B-{S.TAG_OF[f]}").alias("begins"), F.lit(f"{'I' if S.TAG_OF[f] in S.LONG_TAGS else 'B'}-{S.TAG_OF[f]}").alias("goes_on")
+        won = lambda v, s: F.when(s.isNotNull(), F.struct((-F.length(v)).alias("rank"), F.lit(i).alias("no"), s["start"].alias("first"), s["end"].alias("end"), begins, goes_on))
+        return let(F.element_at("truth", F.lit(f)), lambda v: F.when(v.isNotNull(), let(_span(F.col("_hay"), _joined(tokenize(v))), lambda s: won(v, s))))
+
     claims = F.array_sort(F.filter(F.array(*[claim(i, f) for i, f in enumerate(S.FIELDS)]), lambda c: c.isNotNull()))
     rows = staged(rows, {"_claims": claims})
 

@@ -5,7 +5,7 @@ The SQL below runs unchanged on Spark and on DuckDB; tables are named in braces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill import schema as S
@@ -104,6 +104,11 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH = {"recipient_name": "true_name", "street_address": "true_street", "city": "true_city", "state": "true_state", "zip_code": "true_zip", "tracking_number": "true_number"}
 
 
+def truth() -> Column:
+    """A parcel's annotation: field to true value."""
+    return F.create_map(*[x for f, t in TRUTH.items() for x in (F.lit(f), F.col(t))])
+
+
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """(label_id, ocr_text) of the parcels and further columns of theirs, made once a row and no others beside them."""
     rows = parcel(spark, sf_dir).select("label_id", "ocr_text", *columns)
@@ -124,6 +129,5 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = parcel(spark, sf_dir)
     rows = staged(rows, {c: F.col(c) for c in rows.columns})
-    truth = F.create_map(*[x for f, t in TRUTH.items() for x in (F.lit(f), F.col(t))])
-    out = rows.withColumn("ground_truth", F.when(F.col("label_id") % 10 != 0, truth)).withColumn("carrier", F.lit("")).withColumn("lines", lines(F.col("ocr_text")))
+    out = rows.withColumn("ground_truth", F.when(F.col("label_id") % 10 != 0, truth())).withColumn("carrier", F.lit("")).withColumn("lines", lines(F.col("ocr_text")))
     return out.withColumns({c: v for f in S.FIELDS for c, v in ((f"{f}_source", F.col("source")), (f"{f}_confidence", F.col("confidence")))})
