@@ -72,3 +72,8 @@ def test_spans_are_found_exactly_then_without_case_then_without_marks(spark):
     rows = spark.createDataFrame([("ANN Ann ann",), ("x ann",), ("x A-n.n #",), ("x",), (None,)], "text string")
     found = rows.select(tagging.find_span(tagging.tokenize("text"), F.lit("Ann")).alias("s")).collect()
     assert [r.s and tuple(r.s) for r in found] == [(1, 2), (1, 2), (1, 2), None, None]
+
+
+def test_a_scan_without_a_model_asks_no_python_worker(spark, sf_dir):
+    plan = plan_of(queries.scan_fields(spark, sf_dir))
+    assert "Python" not in plan and "Exchange" in plan

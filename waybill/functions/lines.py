@@ -113,7 +113,7 @@ def _noisy(text: Column) -> Column:
 
 def noise(line: Column) -> Column:
     """Lines that are never a recipient: furniture, services, places, numbers, scraps."""
-    return _noisy(F.upper(clean_name(line)))
+    return let(F.upper(clean_name(line)), _noisy)
 
 
 def _street(text: Column) -> Column:
@@ -135,7 +135,9 @@ def city_line(line: Column) -> Column:
 def features(line: Column) -> Column:
     """What parsers ask of a line, each thing once: a struct, for use in a lambda over lines."""
     cleaned = F.struct(clean_address(line, let).alias("clean"), clean_name(line).alias("name"))
-    loud = lambda a: F.struct(a["clean"].alias("clean"), a["name"].alias("name"), F.upper(a["clean"]).alias("u"), F.upper(clean_name(a["name"])).alias("n"))
+    # A clean name changes by being cleaned again only where it begins like a marker.
+    again = lambda name, n: F.when(n.startswith("TO") | n.startswith("SHIP"), F.upper(clean_name(name))).otherwise(n)
+    loud = lambda a: F.struct(a["clean"].alias("clean"), a["name"].alias("name"), F.upper(a["clean"]).alias("u"), let(F.upper(a["name"]), lambda n: again(a["name"], n)).alias("n"))
 
     def asked(b: Column) -> Column:
         return F.struct(
@@ -152,8 +154,7 @@ def comma_name(name: Column) -> Column:
 
 def person_name(line: Column) -> Column:
     """A clean name: not noise, without digits, mostly letters, in the form of a name."""
-    name = clean_name(line)
-    return ~noise(name) & ~has(name, r"\d") & (letters_of(name) >= 0.75 * visible_of(name)) & (comma_name(name) | full(name, PLAIN_NAME, True))
+    return let(clean_name(line), lambda name: ~noise(name) & ~has(name, r"\d") & (letters_of(name) >= 0.75 * visible_of(name)) & (comma_name(name) | full(name, PLAIN_NAME, True)))
 
 
 def normal_street(street: Column, bind: Bind = repeated) -> Column:

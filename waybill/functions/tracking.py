@@ -13,6 +13,8 @@ USPS_PREFIX = r"(?:9[1-5]|56)"
 UPS_FORM = r"1Z[A-Z0-9]{16}"
 DIGIT_RUN = r"(?i)(?:[0-9OILSBG][\s_\-]*){18,34}"
 OPEN_PREFIXES = ("TBA", "YWNJC", "UUS", "DDIYS", "1LSD")
+#: What every number begins with or is made of, once it is clean.
+NUMBER_START = rf"\A(?:{'|'.join(OPEN_PREFIXES)}|1Z|[0-9{LETTERS}]+\z)"
 CARRIER_OF_PREFIX = {"SPX": "SpeedX", "TBA": "Amazon", "YWNJC": "YunExpress", "UUS": "UniUni", "DDIYS": "TikTok", "1LSD": "TikTok"}
 
 
@@ -70,7 +72,7 @@ def usps_checksum(number: Column) -> Column:
 
 def ups_check_digit(number: Column) -> Column:
     """Whether the number has the 1Z form and its last character is the right check digit."""
-    value = lambda c: F.when(c.rlike(r"\A\d\z"), F.ascii(c) - 48).otherwise((F.ascii(c) - 63) % 10)
+    value = lambda c: let(F.ascii(c), lambda a: F.when(a.between(48, 57), a - 48).otherwise((a - 63) % 10))
     total = _weighted(F.transform(_characters(F.substring(number, 3, 15)), value), 1, 2)
     last = F.when(full(F.right(number, F.lit(1)), r"\d"), F.ascii(F.right(number, F.lit(1))) - 48)
     return F.coalesce(full(number, UPS_FORM) & ((10 - total % 10) % 10 == last), F.lit(False))
@@ -152,7 +154,8 @@ def tracking_in_lines(lines: Column) -> Column:
         return F.when(upper(i).contains("TRACKING"), found).otherwise(F.array().cast("array<string>"))
 
     long = F.filter(lines, lambda x: F.length(F.upper(x)) >= 12)  # shorter ones are no number
-    whole = F.transform(F.transform(long, clean), lambda x: F.when(x.startswith("1Z"), clean_ups(x)).otherwise(clean_usps(x)))
+    like = F.filter(F.transform(long, clean), lambda x: has(x, NUMBER_START))
+    whole = F.transform(like, lambda x: F.when(x.startswith("1Z"), clean_ups(x)).otherwise(clean_usps(x)))
     passes = (F.flatten(F.transform(at, usps_heading)), F.flatten(F.transform(at, heading)), F.filter(whole, lambda c: valid(c) & (carrier_of(c) != "FEDEX")))
     return F.coalesce(*[F.get(p, 0) for p in passes], F.lit(""))
 
@@ -164,9 +167,9 @@ def from_barcodes(raw: Column) -> Column:
     def candidates(code: Column) -> Column:
         parts = F.split(code, "\x1d")
         text = clean(F.coalesce(F.get(parts, 1), code))
-        tail = F.right(F.regexp_replace(code, r"\D", ""), F.lit(12))
-        long = F.length(F.regexp_replace(code, r"\D", "")) > 22
-        return F.when(valid(text), F.array(text)).when(long & valid(tail), F.array(tail)).otherwise(F.array().cast("array<string>"))
+        tail = let(F.regexp_replace(code, r"\D", ""), lambda d: F.when(F.length(d) > 22, F.right(d, F.lit(12))))
+        ending = let(tail, lambda t: F.when(t.isNotNull() & valid(t), F.array(t)).otherwise(F.array().cast("array<string>")))
+        return let(text, lambda t: F.when(valid(t), F.array(t)).otherwise(ending))
 
     return F.coalesce(F.get(F.flatten(F.transform(codes, candidates)), 0), F.lit(""))
 
@@ -175,8 +178,8 @@ def arbitrate(barcode: Column, ocr: Column, rule: Column, lines: Column) -> tupl
     """The tracking number and its source: the barcode's, unless the text has a better one."""
     upper = F.upper(F.array_join(lines, "\n"))
     usps_line = F.exists(lines, lambda x: F.upper(x).contains("USPS") & F.upper(x).contains("TRACKING"))
-    trusted = usps_line & (carrier_of(barcode) == "USPS") & (carrier_of(ocr) == "UPS")
+    trusted = (carrier_of(barcode) == "USPS") & (carrier_of(ocr) == "UPS") & usps_line
     replaced = (ocr != "") & ((barcode == "") | (carrier_of(barcode) == "Unknown") | upper.contains("TRACKING")) & ~trusted
     number = F.when(replaced, ocr).when(barcode != "", barcode).otherwise(F.coalesce(rule, F.lit("")))
-    source = F.when(number == "", "blank").when((barcode != "") & (number == barcode), "barcode").when((ocr != "") & (number == ocr), "ocr").otherwise("rule")
+    source = let(number, lambda n: F.when(n == "", "blank").when((barcode != "") & (n == barcode), "barcode").when((ocr != "") & (n == ocr), "ocr").otherwise("rule"))
     return number, source

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions import tagging
-from waybill.functions.text import blank, staged
+from waybill.functions.text import blank, staged, strip
 
 # Fixed value: sub-words that a tagger reads of a text, its special ones included.
 MAX_PIECES = 256
@@ -133,6 +133,12 @@ def requested(policy: str, reasons: Column) -> Column:
     return F.lit("vision") if policy == "force_vision" else F.when(F.size(reasons) > 0, "vision").otherwise("text")
 
 
+def _unasked() -> dict[str, Column]:
+    """What ``_respond`` gives where no model is to be asked: the rules' values, without a call and without a Python worker."""
+    out = {"enabled": F.lit(False), "provider": F.lit("none"), "model": F.lit(""), "notes": F.lit("off by policy"), "mode": F.lit("none"), "calls": F.lit(0)}
+    return out | {f: F.coalesce(strip(F.col(f)), F.lit("")) for f in S.FIELDS}
+
+
 def ask(rows: DataFrame, key: str | None = None, opener: Callable[[], LanguageModel | None] | None = None, policy: str = "auto") -> DataFrame:
     """``rows`` with the model's values (``llm_<field>``), whether it was there, how it was asked, how often, and notes.
 
@@ -140,20 +146,21 @@ def ask(rows: DataFrame, key: str | None = None, opener: Callable[[], LanguageMo
     ``street_rejected``, ``ocr_text`` and, for a model that sees it, ``image``.
     Without an opener the model is off.
     """
-    off = opener is None or policy == "off"
+    kept = [c for c in rows.columns if not c.startswith("llm_")]
+    if opener is None or policy == "off":
+        return rows.select(*kept, *[c.alias(f"llm_{n}") for n, c in _unasked().items()])
 
     @F.pandas_udf(ANSWER)
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            model = None if off or (batch["request"] == "none").all() else opened(str(key), opener)
+            model = None if (batch["request"] == "none").all() else opened(str(key), opener)
             yield _respond(batch.reset_index(drop=True), model)
 
     street = blank(F.col("street_address")) | F.coalesce("street_rejected", F.lit(False))
-    request = F.lit("none") if off else requested(policy, F.col("trigger_reasons"))
+    request = requested(policy, F.col("trigger_reasons"))
     more = ["image"] if "image" in rows.columns else []
     asked = F.struct(request.alias("request"), street.alias("no_street"), "ocr_text", *more, *S.FIELDS)
     # Asking costs money and may answer otherwise next time, so Spark must not repeat it.
-    kept = [c for c in rows.columns if not c.startswith("llm_")]
     return rows.select(*kept, answered.asNondeterministic()(asked).alias("_llm")).select(*kept, "_llm.*")
 
 

@@ -76,9 +76,10 @@ def _deliver_blocks(c: dict[str, Column], i: Column) -> list[Column]:
     return [first, second]
 
 
-def _line_blocks(c: dict[str, Column], i: Column) -> list[Column]:
+def _line_blocks(c: dict[str, Column], i: Column, parts: Column) -> list[Column]:
+    """``parts`` are the words of the line."""
     lines, clean = c["lines"], c["clean"]
-    line, parts = _at(lines, i), _at(c["words"], i)
+    line = _at(lines, i)
     tracking = bounded(r"(?:USPS\s+)?TRACKING")
     # City first: the street follows a TO line, which must come before any tracking line.
     near = F.slice(lines, i + 2, 11)
@@ -139,8 +140,8 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
     return _propose(i, 7, (i >= 2) & has(line, r"\d{5}") & full(line, pattern) & known, F.when(L.noise(name), F.lit("")).otherwise(name), street, city, _group(line, pattern, 2), _join_zip(_group(line, pattern, 3)))
 
 
-def _generic_block(c: dict[str, Column], i: Column) -> Column:
-    lines, parts = c["lines"], _at(c["words"], i)
+def _generic_block(c: dict[str, Column], i: Column, parts: Column) -> Column:
+    lines = c["lines"]
     zip_form = r"(\d{5})[-–—]?(\d{4})?"
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: full(F.get(parts, k), "[A-Z]{2}") & full(F.coalesce(F.get(parts, k + 1), F.lit("")), zip_form))
 
@@ -149,7 +150,10 @@ def _generic_block(c: dict[str, Column], i: Column) -> Column:
         apart = F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
         plus = F.coalesce(apart, plus)
         city = _bare(F.array_join(F.filter(F.slice(parts, 1, k), lambda x: has(x, r"[\p{L}\p{N}]")), " "))
-        street, name = _at(c["words"], i - 1), _at(c["words"], i - 2)
+        around = F.struct(words(_at(lines, i - 1)).alias("street"), words(_at(lines, i - 2)).alias("name"))
+        return F.when(k.isNotNull(), let(around, lambda x: placed(k, base, plus, city, x["street"], x["name"])))
+
+    def placed(k: Column, base: Column, plus: Column, city: Column, street: Column, name: Column) -> Column:
         house = F.coalesce(F.get(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull()), 0), F.lit(0))
         return _propose(
             i, 8, k.isNotNull(), F.array_join(F.filter(name, lambda x: full(x, r"\p{L}+")), " "),
@@ -242,11 +246,15 @@ def campus_address(clean: Column) -> Column:
 def parse(labels: DataFrame) -> DataFrame:
     """``labels`` (with ``lines``) and their five address fields, ``parser_used`` and ``parser_matches``."""
     rows = staged(labels.drop(*ADDRESS, "parser_used", "parser_matches"), {"_seen": F.transform("lines", L.features)})
-    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker"), "_words": F.transform("lines", words)})
-    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen"), "words": F.col("_words")}
+    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker")})
+    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen")}
 
     def at_line(i: Column) -> Column:
-        return F.array(*_deliver_blocks(c, i), *_line_blocks(c, i), _mailroom_block(c, i), _generic_block(c, i))
+        """Most lines are no marker and hold no code, so that no block can end or begin at them."""
+        none = F.array().cast(f"array<{PROPOSAL}>")
+        coded = has(F.get("lines", i), r"\d{5}") | has(F.get("_clean", i), r"\d{5}")
+        placed = let(words(F.get("lines", i)), lambda parts: F.array(*_line_blocks(c, i, parts), _mailroom_block(c, i), _generic_block(c, i, parts)).cast(f"array<{PROPOSAL}>"))
+        return F.concat(F.when(F.get("_marker", i), F.array(*_deliver_blocks(c, i)).cast(f"array<{PROPOSAL}>")).otherwise(none), F.when(coded, placed).otherwise(none))
 
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     rows = staged(rows, {"_all": F.filter(F.flatten(F.transform(every, at_line)), lambda p: p.isNotNull()).cast(f"array<{PROPOSAL}>"), "_to": explicit_name(F.col("lines")), "_campus": campus_address(F.col("_clean"))})
@@ -263,7 +271,7 @@ def parse(labels: DataFrame) -> DataFrame:
         "street_address": F.coalesce(F.col("_campus.street_address"), F.col("street_address")), "city": F.when(known, "University Park").otherwise(F.col("city")),
         "state": F.when(known, "PA").otherwise(F.col("state")), "zip_code": F.coalesce(F.col("_campus.zip_code"), F.col("zip_code")),
     })
-    return rows.drop("_seen", "_clean", "_marker", "_words", "_all", "_p", "_to", "_campus", "_last", "_named")
+    return rows.drop("_seen", "_clean", "_marker", "_all", "_p", "_to", "_campus", "_last", "_named")
 
 
 def normalise(rows: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def _sides(rows: DataFrame, fields: Sequence[str] = S.FIELDS) -> Column:
             F.when(taken, p["value"] if tagged else F.lit("")).alias("ner_value"), F.when(taken, (p["confidence"] if tagged else F.lit(0.0)).cast("double")).alias("ner_confidence"),
         )
 
-    return let(comparable(F.col("ocr_text")), lambda text: F.array(*[one(f, text) for f in fields]))
+    return let(F.when(F.col("llm_enabled"), comparable(F.col("ocr_text"))), lambda text: F.array(*[one(f, text) for f in fields]))
 
 
 Policy = Callable[[dict[str, Column]], dict[str, Column]]
