@@ -77,3 +77,12 @@ def test_spans_are_found_exactly_then_without_case_then_without_marks(spark):
 def test_a_scan_without_a_model_asks_no_python_worker(spark, sf_dir):
     plan = plan_of(queries.scan_fields(spark, sf_dir))
     assert "Python" not in plan and "Exchange" in plan
+
+
+def test_texts_are_read_once_and_send_only_words_that_passages_ask_for(spark, sf_dir):
+    found = queries.found_in_text_join(spark, sf_dir)
+    found.collect()
+    final = plan_of(found).split("Initial Plan")[0]
+    # The words that were found serve the counts and the search; no text is cut into words a second time.
+    assert final.count("documents.parquet") == 1 and final.count("explode(split(") == 1
+    assert "LeftSemi" in final and "ReusedExchange" in final

@@ -41,3 +41,22 @@ def test_ten_thousand_passages_of_one_word_meet_by_keys(spark):
     got = found.groupBy("doc_id").count().collect()
     assert sum(r["count"] for r in got) == sum(31 if 31 * d + 30 < 10_000 else max(0, 10_000 - 31 * d) for d in range(400))
     assert passages.found_in(docs.limit(0), items).count() == passages.found_in(docs, items.limit(0)).count() == 0
+
+
+def test_a_passage_is_looked_up_by_the_word_that_texts_have_least_often(spark):
+    """Hot words of a passage bring no text to it; a text that repeats the key meets it once in the result."""
+    hot = " ".join(f"HOT{k}" for k in range(5))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{hot} "), F.when(F.col("id") % 100 == 0, "RARE RARE ").otherwise(""), F.lit(hot)).alias("t"))
+    items = spark.createDataFrame([(1, "HOT3 HOT4 RARE RARE HOT0 HOT1"), (2, "HOT0 HOT1 NOWHERE HOT3"), (3, "OT3 HOT4 HOT0 HO")], "item_id long, v string")
+    long = items.withColumn("parts", F.split("v", " "))
+    met = passages._by_inner_word(docs, long).distinct().groupBy("item_id").count().collect()
+    assert {r.item_id: r["count"] for r in met} == {1: 3, 3: 300}
+    got = sorted(tuple(r) for r in passages.found_in(docs, items).collect())
+    assert got == sorted([(d, 1) for d in (0, 100, 200)] + [(d, 3) for d in range(300) if d % 100])
+
+
+def test_texts_and_passages_are_compared_in_a_form(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "One, two; three"), (2, "one two three four"), (3, None), (None, "one two three")], "doc_id long, t string")
+    items = spark.createDataFrame([(7, "NE TWO THR"), (8, "E T"), (9, "x"), (None, "one")], "item_id long, v string")
+    found = passages.found_in(docs, items, lambda x: F.replace(F.replace(F.upper(x), F.lit(","), F.lit("")), F.lit(";"), F.lit("")))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (1, 8), (2, 7), (2, 8)]
