@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from waybill.functions import lines as L
 from waybill.functions import tagging
+from waybill.functions.text import let, lines, words
 from waybill.operators import evaluation
 from waybill.plans import queries, views
 
@@ -86,3 +88,25 @@ def test_texts_are_read_once_and_send_only_words_that_passages_ask_for(spark, sf
     # The words that were found serve the counts and the search; no text is cut into words a second time.
     assert final.count("documents.parquet") == 1 and final.count("explode(split(") == 1
     assert "LeftSemi" in final and "ReusedExchange" in final
+
+
+def test_a_scan_takes_few_passes_and_makes_no_warnings_that_nobody_reads(spark, sf_dir):
+    plan = queries.scan_fields(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Each pass writes every column of the row anew; there were sixteen, and the features of all lines went through most of them.
+    assert plan.count("Generate inline(") <= 7 and "tracking_number_missing" not in plan and "name_single_word" not in plan
+
+
+def test_lines_that_need_no_cleaning_are_told_from_those_that_do(spark):
+    same = ["Ann Stone", "12 OAK ST", "12 old oak Street", "Troy PA 12345", "1Z999AA10000000001", "9400", "TO: Ann", "S Oak", "x " * 20_000 + "x", ""]
+    made = {"12 OAK ST ab": "12 OAK ST", "12. OAK ST": "12 OAK ST", "N 12 OAK RD": "N12 OAK RD", "s 12": "s12", "AUB 7": "HUB 7", "1@2": "102", "a  b": "a b", " a": "a", "a b": "a b", "x REQUESTED  y": "x REQUESTED y",
+            "~ 12 OAK ST": "12 OAK ST", "28 N COLLEGE ST HUB 3": "28 N COLLEGE ST HUB 3", "12 OAK ST;": "12 OAK ST", "\\IVERSITY": "UNIVERSITY", "PRRLISLE": "CARLISLE"}
+    rows = spark.createDataFrame([(x, y) for x, y in [*((s, s) for s in same), *made.items()]], "x string, y string")
+    for bind in (L.repeated, let):
+        assert [(r.x[:30], r.a[:30]) for r in rows.select("x", "y", L.clean_address(F.col("x"), bind).alias("a")).collect() if r.a != r.y] == []
+
+
+def test_lines_and_words_are_cut_at_unicode_spaces(spark):
+    texts = [" a b\r\n\r\n c \x0bd\x1e \x1fe", " x ", "", None, " \n ", "\U0001f600 y\x85z"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(lines("x").alias("l"), words("x").alias("w")).collect()
+    assert [r.l for r in rows] == [["a b", "c", "d", "e"], ["x"], [], [], [], ["\U0001f600 y", "z"]]
+    assert [r.w for r in rows] == [["a", "b", "c", "d", "e"], ["x"], [], [], [], ["\U0001f600", "y", "z"]]

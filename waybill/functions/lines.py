@@ -65,6 +65,13 @@ def clean_street(line: Column, bind: Bind = repeated) -> Column:
     return F.when(starts, bind(out, split)).otherwise(line)
 
 
+#: Lines that cleaning leaves as they are: plain words that start unlike an address, a number and words up to a suffix, one word; and no damage.
+AS_IT_IS = (
+    r"\A(?! )(?!.*(?=[ NAPIRnapir])(?:  |(?i:NL|AUB|PRRLISLE|IVERSITY|RESPONSE|REQUESTED)))"
+    rf"(?:(?![^A-Za-z0-9]*(?:\d|[NSEWnsew] ?\d\d))[ -?A-~]+|\d+ (?:[A-Za-z ]* )?(?i:{SUFFIX})|[0-9A-Za-z]+)(?<! )\z"
+)
+
+
 def clean_address(line: Column, bind: Bind = repeated) -> Column:
     def repaired(x: Column) -> Column:
         out = sub(x, r"(?<=\d)@(?=\d)", "0")
@@ -73,7 +80,8 @@ def clean_address(line: Column, bind: Bind = repeated) -> Column:
         out = sub(out, r"(?<![A-Za-z])\\?IVERSITY\b", "UNIVERSITY", True)
         return F.when(has(x, "@|NL|AUB|PRRLISLE|IVERSITY", True), out).otherwise(x)  # few lines have any of these
 
-    return squeeze(bind(bind(clean_service(F.coalesce(line, F.lit(""))), lambda x: clean_street(x, bind)), repaired))
+    cleaned = lambda x: squeeze(bind(bind(clean_service(x), lambda y: clean_street(y, bind)), repaired))
+    return bind(F.coalesce(line, F.lit("")), lambda x: F.when(has(x, AS_IT_IS), x).otherwise(cleaned(x)))
 
 
 def clean_name(line: Column) -> Column:
@@ -83,12 +91,18 @@ def clean_name(line: Column) -> Column:
 
 def _delivers(upper: Column) -> Column:
     marked = lambda letters: has(letters, bounded(r"DELIVER\s+TO")) | has(letters, bounded(r"VER\s+TO")) | has(letters, bounded(r"USPS\b.*\bTO"))
-    return F.contains(upper, F.lit("TO")) & let(squeeze(sub(upper, r"[^A-Z\s]", " ")), marked)
+    # Each of these has a TO that stands apart from other plain letters.
+    return F.contains(upper, F.lit("TO")) & has(upper, "(?<![A-Z])TO(?![A-Z])") & let(squeeze(sub(upper, r"[^A-Z\s]+", " ")), marked)
 
 
 def deliver_to(line: Column) -> Column:
     """A marker that the recipient's block follows."""
-    return _delivers(F.upper(clean_address(line)))
+    return delivers(clean_address(line))
+
+
+def delivers(clean: Column) -> Column:
+    """The same of a clean line."""
+    return let(F.upper(clean), _delivers)
 
 
 def _receives(upper: Column) -> Column:
@@ -148,6 +162,11 @@ def features(line: Column) -> Column:
     return let(let(cleaned, loud), asked)
 
 
+def recipient(line: Column) -> Column:
+    """A line as a name, and whether it is noise: a struct, for use in a lambda over lines."""
+    return let(clean_name(line), lambda name: F.struct(name.alias("name"), noise(name).alias("noise")))
+
+
 def comma_name(name: Column) -> Column:
     return F.contains(name, F.lit(",")) & full(name, COMMA_NAME, True)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x00- \x7f-\uffff&&[\s\x1c-\x1f\x85\xa0  -     　]]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WORD = r"[\p{L}\p{N}_]"
+#: What is no white space, and what is no line end; again plain characters are passed over by one comparison.
+VISIBLE = r"[!-~[^ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+IN_LINE = r"[ -~[^\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]]"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once a row, however often it is named; Catalyst repeats it otherwise."""
-    return F.get(F.transform(F.array(value), then), 0)
+    """``then(value)`` with the value computed once a row, however often it is named; Catalyst repeats it otherwise.
+
+    The value is what an aggregate over no elements starts from and ends with: unlike an element of an array it is neither copied nor typed again.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, then)
 
 
 def staged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -28,6 +34,16 @@ def staged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.transform(F.array(F.lit(0)), lambda _: struct)))
 
 
+def first_of(array: Column) -> Column:
+    """The first element or null; the array is bound, as its type would else be put together again at every call."""
+    return let(array, lambda a: F.get(a, 0))
+
+
+def together(rows: DataFrame, struct: Column, names: Sequence[str]) -> DataFrame:
+    """``rows`` with the fields ``names`` of a struct, which is computed once a row, as ``staged`` does for columns apart."""
+    return rows.select(*[c for c in rows.columns if c not in names], F.inline(F.array(struct)))
+
+
 def bounded(pattern: str) -> str:
     """The pattern between word boundaries of Unicode text; it must start and end with word characters."""
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"
@@ -61,11 +77,11 @@ def blank(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Non-blank lines, stripped, in order."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip), lambda x: x != "")
+    return extract_all(F.coalesce(text, F.lit("")), rf"{VISIBLE}(?:{IN_LINE}*{VISIBLE})?")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda x: x != "")
+    return extract_all(F.coalesce(text, F.lit("")), f"{VISIBLE}+")
 
 
 def title(text: Column) -> Column:

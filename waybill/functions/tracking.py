@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import bounded, full, has, let
+from waybill.functions.text import bounded, first_of, full, has, let
 
 # Look-alike letters of digits; prefixes of the carriers.
 LETTERS, DIGITS = "OILSBG", "011586"
@@ -23,20 +23,19 @@ def carrier_of(number: Column) -> Column:
 
 
 def _carrier_of(upper: Column) -> Column:
-    found = F.when(F.lit(False), F.lit(""))
+    found = F.when(full(upper, r"\d{12}|\d{15}|\d{20}|\d{22}|" + USPS_PREFIX + r"\d{18,}"), F.when(full(upper, USPS_PREFIX + r"\d{18,}"), "USPS").otherwise("FEDEX"))
     for prefix, carrier in CARRIER_OF_PREFIX.items():
         found = found.when(upper.startswith(prefix), carrier)
-    return (
-        found.when(full(upper, USPS_PREFIX + r"\d{18,}"), "USPS")
-        .when(full(upper, UPS_FORM), "UPS")
-        .when(full(upper, r"\d{12}|\d{15}|\d{20}|\d{22}"), "FEDEX")
-        .otherwise("Unknown")
-    )
+    return found.when(full(upper, UPS_FORM), "UPS").otherwise("Unknown")
 
 
 def carrier_in_context(number: Column, text: Column) -> Column:
     """The carrier, corrected and completed by what the label says."""
-    upper, own = F.upper(F.coalesce(text, F.lit(""))), carrier_of(number)
+    seen = F.struct(F.upper(F.coalesce(text, F.lit(""))).alias("upper"), carrier_of(number).alias("own"))
+    return let(seen, lambda x: _in_context(x["upper"], x["own"]))
+
+
+def _in_context(upper: Column, own: Column) -> Column:
     final_mile = has(upper, bounded(r"SUREPOST|GROUND\s+SAVER"))
     ups_number = has(upper, bounded(r"1Z(?:[\s_-]*[A-Z0-9]){16}"))
     ups_line = has(upper, r"(?:\A|\n)\s*UPS\s*(?:\n|\z)")
@@ -88,23 +87,27 @@ def checksum(number: Column, carrier: Column) -> Column:
 
 
 def clean(candidate: Column) -> Column:
-    text = F.regexp_replace(F.upper(F.coalesce(candidate, F.lit(""))), "[^A-Z0-9]", "")
-    text = F.regexp_replace(text, r"\A1BA", "TBA")
-    return F.regexp_replace(text, r"\A1LSDO", "1LSD0")
+    text = F.regexp_replace(F.upper(F.coalesce(candidate, F.lit(""))), "[^A-Z0-9]+", "")
+    opened = lambda x, read, right: F.when(x.startswith(read), F.concat(F.lit(right), F.substring(x, len(read) + 1, 1_000_000_000)))
+    return let(text, lambda x: F.coalesce(opened(x, "1BA", "TBA"), opened(x, "1LSDO", "1LSD0"), x))
 
 
 def clean_ups(candidate: Column) -> Column:
     """Look-alike letters read as digits, if that makes the check digit right."""
-    def repaired(text: Column) -> Column:
-        fixed = F.concat(F.substring(text, 1, 2), F.translate(F.substring(text, 3, 1_000), LETTERS, DIGITS))
-        return F.when(full(text, UPS_FORM) & ~ups_check_digit(text), let(fixed, lambda x: F.when(ups_check_digit(x), x).otherwise(text))).otherwise(text)
+    return let(clean(candidate), _repaired_ups)
+
 
-    return let(clean(candidate), repaired)
+def _repaired_ups(text: Column) -> Column:
+    fixed = F.concat(F.substring(text, 1, 2), F.translate(F.substring(text, 3, 1_000), LETTERS, DIGITS))
+    return F.when(full(text, UPS_FORM) & ~ups_check_digit(text), let(fixed, lambda x: F.when(ups_check_digit(x), x).otherwise(text))).otherwise(text)
 
 
 def clean_usps(candidate: Column) -> Column:
-    forms = let(clean(candidate), lambda text: F.struct(text.alias("text"), F.translate(text, LETTERS, DIGITS).alias("fixed")))
-    return let(forms, lambda x: F.when(full(x["fixed"], USPS_PREFIX + r"\d*"), x["fixed"]).otherwise(x["text"]))
+    return let(clean(candidate), _repaired_usps)
+
+
+def _repaired_usps(text: Column) -> Column:
+    return let(F.translate(text, LETTERS, DIGITS), lambda fixed: F.when(full(fixed, USPS_PREFIX + r"\d*"), fixed).otherwise(text))
 
 
 def valid(candidate: Column) -> Column:
@@ -113,11 +116,8 @@ def valid(candidate: Column) -> Column:
 
 
 def _valid(text: Column) -> Column:
-    opened = F.lit(False)
-    for prefix in OPEN_PREFIXES:
-        opened = opened | text.startswith(prefix)
-    form = full(text, UPS_FORM) | full(text, USPS_PREFIX + r"\d{18,}") | full(text, r"\d{12}|\d{15}|\d{20}|\d{22}")
-    return (F.length(text) >= 12) & ~full(text, "(?:HTTP|AMZNTO|WWW).*") & (opened | form)
+    """The same of a clean candidate; what begins like an address on the web has none of these beginnings and forms."""
+    return (F.length(text) >= 12) & has(text, rf"\A(?:{'|'.join(OPEN_PREFIXES)}|(?:{UPS_FORM}|{USPS_PREFIX}\d{{18,}}|\d{{12}}|\d{{15}}|\d{{20}}|\d{{22}})\z)")
 
 
 def valid_usps(candidate: Column) -> Column:
@@ -125,39 +125,43 @@ def valid_usps(candidate: Column) -> Column:
 
 
 def valid_usps_scan(candidate: Column) -> Column:
-    return full(clean(candidate), USPS_PREFIX + r"(?:\d{20}|\d{24}|\d{32})")
+    return _valid_usps_scan(clean(candidate))
+
+
+def _valid_usps_scan(text: Column) -> Column:
+    return full(text, USPS_PREFIX + r"(?:\d{20}|\d{24}|\d{32})")
 
 
 def usps_candidates(text: Column) -> Column:
     """USPS numbers among the digit runs of a text, in order."""
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DIGIT_RUN), F.lit(0)), clean_usps)
-    return F.filter(found, valid_usps_scan)
+    return F.filter(found, _valid_usps_scan)  # clean already
 
 
 def tracking_in_lines(lines: Column) -> Column:
     """The first tracking number by three passes: USPS headings, tracking headings, whole lines; else empty."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)))
-    upper = lambda i: F.upper(F.coalesce(F.get(lines, i), F.lit("")))
-    near = lambda i: F.slice(lines, i + 2, 5)
+    headings = F.filter(F.transform(lines, lambda x, i: F.when(F.upper(x).contains("TRACKING"), i)), lambda i: i.isNotNull())
+    some = lambda found: F.filter(found, lambda x: x.isNotNull())
 
     def usps_heading(i: Column) -> Column:
-        alone = F.flatten(F.transform(near(i), usps_candidates))
-        grown = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(near(i)), F.lit(1))), lambda k: usps_candidates(F.array_join(F.slice(lines, i + 1, k + 1), " "))))
-        found = F.concat(alone, F.when(F.size(near(i)) > 0, grown).otherwise(F.array().cast("array<string>")))
-        return F.when(let(upper(i), lambda u: u.contains("USPS") & u.contains("TRACKING")), found).otherwise(F.array().cast("array<string>"))
+        """The first number in a line of the next five, else in the heading and what follows it, one line more at a time."""
+        near = F.slice(lines, i + 2, 5)
+        candidate = lambda x: F.when(F.length(x) >= 22, first_of(usps_candidates(x)))
+        alone = some(F.transform(near, candidate))
+        grown = some(F.transform(near, lambda _, k: let(F.array_join(F.slice(lines, i + 1, k + 2), " "), candidate)))
+        return F.when(F.upper(F.get(lines, i)).contains("USPS"), F.coalesce(first_of(alone), first_of(grown)))
 
     def heading(i: Column) -> Column:
         text = F.array_join(F.slice(lines, i + 1, 3), " ")
-        ups = F.filter(F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(?i)1Z(?:[\s_-]*[A-Z0-9]){16}"), F.lit(0)), 1, 1), clean_ups), valid)
+        ups = F.filter(F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(?i)1Z(?:[\s_-]*[A-Z0-9]){16}"), F.lit(0)), 1, 1), clean_ups), _valid)
         runs = F.transform(F.regexp_extract_all(text, F.lit(DIGIT_RUN), F.lit(0)), clean_usps)
-        found = F.concat(ups, F.filter(runs, lambda c: valid(c) & (carrier_of(c) != "FEDEX")))
-        return F.when(upper(i).contains("TRACKING"), found).otherwise(F.array().cast("array<string>"))
+        return F.coalesce(first_of(ups), first_of(F.filter(runs, lambda c: _valid(c) & (carrier_of(c) != "FEDEX"))))
 
     long = F.filter(lines, lambda x: F.length(F.upper(x)) >= 12)  # shorter ones are no number
     like = F.filter(F.transform(long, clean), lambda x: has(x, NUMBER_START))
-    whole = F.transform(like, lambda x: F.when(x.startswith("1Z"), clean_ups(x)).otherwise(clean_usps(x)))
-    passes = (F.flatten(F.transform(at, usps_heading)), F.flatten(F.transform(at, heading)), F.filter(whole, lambda c: valid(c) & (carrier_of(c) != "FEDEX")))
-    return F.coalesce(*[F.get(p, 0) for p in passes], F.lit(""))
+    whole = F.transform(like, lambda x: F.when(x.startswith("1Z"), _repaired_ups(x)).otherwise(_repaired_usps(x)))
+    alone = F.filter(whole, lambda c: _valid(c) & (carrier_of(c) != "FEDEX"))
+    return let(headings, lambda at: F.coalesce(*[first_of(some(F.transform(at, f))) for f in (usps_heading, heading)], first_of(alone), F.lit("")))
 
 
 def from_barcodes(raw: Column) -> Column:
@@ -168,18 +172,22 @@ def from_barcodes(raw: Column) -> Column:
         parts = F.split(code, "\x1d")
         text = clean(F.coalesce(F.get(parts, 1), code))
         tail = let(F.regexp_replace(code, r"\D", ""), lambda d: F.when(F.length(d) > 22, F.right(d, F.lit(12))))
-        ending = let(tail, lambda t: F.when(t.isNotNull() & valid(t), F.array(t)).otherwise(F.array().cast("array<string>")))
-        return let(text, lambda t: F.when(valid(t), F.array(t)).otherwise(ending))
+        ending = let(tail, lambda t: F.when(t.isNotNull() & _valid(t), F.array(t)).otherwise(F.array().cast("array<string>")))
+        return let(text, lambda t: F.when(_valid(t), F.array(t)).otherwise(ending))
 
-    return F.coalesce(F.get(F.flatten(F.transform(codes, candidates)), 0), F.lit(""))
+    return F.coalesce(first_of(F.flatten(F.transform(codes, candidates))), F.lit(""))
 
 
 def arbitrate(barcode: Column, ocr: Column, rule: Column, lines: Column) -> tuple[Column, Column]:
     """The tracking number and its source: the barcode's, unless the text has a better one."""
     upper = F.upper(F.array_join(lines, "\n"))
     usps_line = F.exists(lines, lambda x: F.upper(x).contains("USPS") & F.upper(x).contains("TRACKING"))
-    trusted = (carrier_of(barcode) == "USPS") & (carrier_of(ocr) == "UPS") & usps_line
-    replaced = (ocr != "") & ((barcode == "") | (carrier_of(barcode) == "Unknown") | upper.contains("TRACKING")) & ~trusted
+
+    def better(carrier: Column) -> Column:
+        trusted = (carrier == "USPS") & (carrier_of(ocr) == "UPS") & usps_line
+        return ((barcode == "") | (carrier == "Unknown") | upper.contains("TRACKING")) & ~trusted
+
+    replaced = (ocr != "") & let(carrier_of(barcode), better)
     number = F.when(replaced, ocr).when(barcode != "", barcode).otherwise(F.coalesce(rule, F.lit("")))
     source = let(number, lambda n: F.when(n == "", "blank").when((barcode != "") & (n == barcode), "barcode").when((ocr != "") & (n == ocr), "ocr").otherwise("rule"))
     return number, source

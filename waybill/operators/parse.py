@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions import lines as L
-from waybill.functions.text import bounded, full, has, let, letters_of, staged, sub, visible_of, words
+from waybill.functions.text import bounded, first_of, full, has, let, letters_of, sub, together, visible_of, words
 
 # Names of the parsers.  The patterns of places, streets and blocks in the functions below are fixed values too.
 PARSERS = ("uniuni_deliver_to", "deliver_to", "city_first_to_address", "zip_first_spaced", "zip_first_combined", "city_state_country_zip", "college_mailroom_parser", "generic_city_state_zip")
@@ -20,7 +20,6 @@ ADDRESS = ("recipient_name", "street_address", "city", "state", "zip_code")
 MAILROOM = "COLLEGE|HUB|UNIVERSITY|PENN STATER|ALUMNI CENTER"
 CAMPUSES = ("CARLISLE", "UNIVERSITY PARK")
 DASH = r"\s*[-–—]\s*"
-PROPOSAL = "struct<at:int,rank:int,parser:string,recipient_name:string,street_address:string,city:string,state:string,zip_code:string>"
 _CITY_LINE = r"([A-Za-z][A-Za-z .'-]*?),?\s+([A-Z]{2})\s+(\d{5}(?:\s*[-–—]\s*\d{4})?)"
 
 
@@ -34,7 +33,7 @@ def _group(text: Column, pattern: str, n: int, ignore_case: bool = False) -> Col
 
 
 def _bare(text: Column) -> Column:
-    return sub(text, r"\A,+|,+\z", "")
+    return F.when(F.contains(text, F.lit(",")), sub(text, r"\A,+|,+\z", "")).otherwise(text)
 
 
 def _propose(i: Column, rank: int, test: Column, name: Column | None, street: Column, city: Column, state: Column, zip_code: Column) -> Column:
@@ -47,32 +46,29 @@ def _join_zip(text: Column) -> Column:
 
 
 def _deliver_blocks(c: dict[str, Column], i: Column) -> list[Column]:
+    """The blocks below a marker."""
     lines, clean = c["lines"], c["clean"]
-    marked = _at(c["marker"], i)
     place, street, code = (_at(lines, i + k) for k in (2, 3, 4))
     pattern = r"([A-Za-z]+),?\s+([A-Z]{2}),?"
     first = _propose(
-        i, 1, marked & ~F.upper(_at(lines, i)).contains("USPS") & (i + 4 < F.size(lines)) & has(place, pattern) & has(street, r"\A\d") & has(code, r"\d{5}"),
+        i, 1, ~F.upper(_at(lines, i)).contains("USPS") & (i + 4 < F.size(lines)) & has(place, pattern) & has(street, r"\A\d") & has(code, r"\d{5}"),
         None, street, F.regexp_extract(place, pattern, 1), F.regexp_extract(place, pattern, 2), F.regexp_extract(code, r"\d{5}", 0),
     )
 
     def named(parts: Column) -> Column:
         last, before = _at(parts, F.size(parts) - 1), _at(parts, F.size(parts) - 2)
-        own = full(before, "[A-Z]{2}") & full(last, r"\d{5}")
         shipped = F.filter(F.transform(F.slice(lines, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda x: F.regexp_extract(x, "(?i)" + bounded(r"SHIP\s+USPS\s+(\d{5})"), 1)), lambda x: x != "")
-        code = F.when(own, last).otherwise(F.get(shipped, 0))
-        state = F.when(own, before).otherwise(last)
-        return let(F.struct(parts.alias("parts"), state.alias("state"), code.alias("code")), placed)
+        own = F.struct(before.alias("state"), last.alias("code"))
+        return let(F.when(full(before, "[A-Z]{2}") & full(last, r"\d{5}"), own).otherwise(F.struct(last.alias("state"), first_of(shipped).alias("code"))), lambda x: placed(parts, x["state"], x["code"]))
 
-    def placed(x: Column) -> Column:
-        parts, state, code = x["parts"], x["state"], x["code"]
+    def placed(parts: Column, state: Column, code: Column) -> Column:
         city = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - F.when(_at(parts, F.size(parts) - 1) == code, 2).otherwise(1), F.lit(0))), " ")
         return _propose(
             i, 2, (F.size(parts) >= 2) & full(state, "[A-Z]{2}") & full(code, r"\d{5}"),
             L.clean_name(_at(lines, i + 1)), _at(clean, i + 2), _bare(city), state, code,
         )
 
-    second = F.when(marked & (i + 3 < F.size(lines)), let(F.filter(F.transform(words(_at(clean, i + 3)), _bare), lambda x: x != ""), named))
+    second = F.when(i + 3 < F.size(lines), let(F.filter(F.transform(words(_at(clean, i + 3)), _bare), lambda x: x != ""), named))
     return [first, second]
 
 
@@ -98,10 +94,10 @@ def _line_blocks(c: dict[str, Column], i: Column, parts: Column) -> list[Column]
     return [city_first, spaced, combined, abroad]
 
 
-def _recipient_above(seen: Column, start: Column, least: Column) -> Column:
+def _recipient_above(lines: Column, start: Column, least: Column) -> Column:
     """The first line upwards that is no noise; above an organisation, a person if there is one."""
     up = F.when(start >= least, F.sequence(start, least)).otherwise(F.array().cast("array<int>"))
-    names = F.filter(F.transform(up, lambda k: F.get(seen, k)), lambda x: ~x["noise"])
+    names = F.filter(F.transform(up, lambda k: L.recipient(F.get(lines, k))), lambda x: ~x["noise"])
     return let(names, _addressee)
 
 
@@ -133,7 +129,7 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
         x = sub(x, r"\A\s*IP\s+UB\b", "HUB", True)
         return L.clean_address(sub(x, r"\A(\d+)\s*N,\s+", "$1 N. ", True), let)
 
-    name = F.when(shipped, F.trim(_group(head, ship, 1, True))).otherwise(_recipient_above(c["seen"], start - 1, F.greatest(start - 4, F.lit(0))))
+    name = F.when(shipped, F.trim(_group(head, ship, 1, True))).otherwise(_recipient_above(lines, start - 1, F.greatest(start - 4, F.lit(0))))
     name = L.clean_name(name)
     street = F.array_join(F.filter(F.transform(address, cleaned), lambda x: x != ""), " ")
     known = F.upper(city).isin(*CAMPUSES) | has(above, MAILROOM)
@@ -146,21 +142,22 @@ def _generic_block(c: dict[str, Column], i: Column, parts: Column) -> Column:
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: full(F.get(parts, k), "[A-Z]{2}") & full(F.coalesce(F.get(parts, k + 1), F.lit("")), zip_form))
 
     def found(k: Column) -> Column:
-        base, plus = _group(_at(parts, k + 1), zip_form, 1), _group(_at(parts, k + 1), zip_form, 2)
-        apart = F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
-        plus = F.coalesce(apart, plus)
+        code = _at(parts, k + 1)
+        apart = lambda plus: F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
+        plus = let(_group(code, zip_form, 2), lambda plus: F.coalesce(apart(plus), plus))
         city = _bare(F.array_join(F.filter(F.slice(parts, 1, k), lambda x: has(x, r"[\p{L}\p{N}]")), " "))
-        around = F.struct(words(_at(lines, i - 1)).alias("street"), words(_at(lines, i - 2)).alias("name"))
-        return F.when(k.isNotNull(), let(around, lambda x: placed(k, base, plus, city, x["street"], x["name"])))
+        around = F.struct(words(_at(lines, i - 1)).alias("street"), words(_at(lines, i - 2)).alias("name"), _group(code, zip_form, 1).alias("base"), plus.alias("plus"))
+        return F.when(k.isNotNull(), let(around, lambda x: placed(k, x["base"], x["plus"], city, x["street"], x["name"])))
 
     def placed(k: Column, base: Column, plus: Column, city: Column, street: Column, name: Column) -> Column:
-        house = F.coalesce(F.get(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull()), 0), F.lit(0))
+        house = F.coalesce(first_of(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull())), F.lit(0))
+        whole = let(house, lambda h: F.array_join(F.slice(street, h + 1, F.greatest(F.size(street) - h, F.lit(0))), " "))
         return _propose(
             i, 8, k.isNotNull(), F.array_join(F.filter(name, lambda x: full(x, r"\p{L}+")), " "),
-            F.array_join(F.slice(street, house + 1, F.greatest(F.size(street) - house, F.lit(0))), " "), city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
+            whole, city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
         )
 
-    return F.when((i >= 2) & has(_at(lines, i), r"\d{5}"), let(F.get(F.reverse(at), 0), found))
+    return F.when((i >= 2) & has(_at(lines, i), r"\d{5}"), let(first_of(F.reverse(at)), found))
 
 
 def _allowed(proposals: Column) -> Column:
@@ -178,13 +175,15 @@ def _allowed(proposals: Column) -> Column:
 def explicit_name(lines: Column) -> Column:
     """The best person after a TO marker; later lines win."""
 
-    def scored(x: Column, i: Column) -> Column:
+    def scored(i: Column) -> Column:
+        x = F.get(lines, i)
         same = full(x, r"\s*TO\s*:\s*(.+)", True)
         name = L.clean_name(F.when(same, F.regexp_extract(x, r"(?i)\A\s*TO\s*:\s*(.+)\z", 1)).otherwise(F.get(lines, i + 1)))
         marked = same | (full(x, r"\s*TO\s*:?\s*", True) & (i + 1 < F.size(lines)))
         return F.when(marked & L.person_name(name), F.struct((F.when(same, 5000).otherwise(4000) + F.when(L.comma_name(name), 3000).otherwise(0) + i).alias("score"), name.alias("name")))
 
-    return F.coalesce(F.array_max(F.transform(lines, scored))["name"], F.lit(""))
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(has(x, r"\A\s*TO", True), i)), lambda i: i.isNotNull())
+    return F.coalesce(F.array_max(F.transform(marks, scored))["name"], F.lit(""))
 
 
 def ranked_names(lines: Column) -> Column:
@@ -212,10 +211,14 @@ def _ranked(lines: Column, seen: Column) -> Column:
 
 def mailroom_street(clean: Column, street: Column) -> Column:
     """A damaged street line of the one known mailroom, put right when the rest of the label shows the place."""
+    return let(F.upper(F.array_join(clean, "\n")), lambda text: _mailroom_street(clean, street, text))
+
+
+def _mailroom_street(clean: Column, street: Column, text: Column) -> Column:
+    """The same; ``text`` is all clean lines in upper case."""
     upper = F.transform(clean, F.upper)
-    text = F.array_join(upper, "\n")
     hub = has(text, bounded(r"HUB\s*#?\s*\d{2,5}")) | has(text, r"(?:\A|\n)\s*UB\s*#?\s*\d{2,5}\b")
-    context = has(text, bounded(r"COLLEGE\s+(?:ST|STREET)")) & (text.contains("DICKINSON COLLEGE") | has(text, bounded(r"P\.?\s*O\.?\s+BOX\s+1773")) | (has(text, bounded(r"CARLISLE\s*,?\s+PA\s+17013")) & hub))
+    context = text.contains("COLLEGE") & has(text, bounded(r"COLLEGE\s+(?:ST|STREET)")) & (text.contains("DICKINSON COLLEGE") | has(text, bounded(r"P\.?\s*O\.?\s+BOX\s+1773")) | (has(text, bounded(r"CARLISLE\s*,?\s+PA\s+17013")) & hub))
     made = lambda mark, number: F.concat(F.lit("28 N COLLEGE ST HUB"), F.when(mark != "", " # ").otherwise(" "), number)
     hub_line, damaged = r"H?UB\s*(#?)\s*(\d{2,5})", r"[^\d\s]{1,4}\s+COLLEGE\s+(?:ST|STREET)\s+HUB\s*(#?)\s*(\d{2,5})"
 
@@ -243,47 +246,84 @@ def campus_address(clean: Column) -> Column:
     return F.get(F.filter(F.transform(clean, block), lambda x: x.isNotNull()), 0)
 
 
+def _proposals(lines: Column, clean: Column) -> Column:
+    """What every parser would write, in the order of the lines; most lines are no marker and hold no code, so that no block can end or begin at them."""
+    c = {"lines": lines, "clean": clean}
+
+    def point(x: Column, i: Column) -> Column:
+        line, code = F.get(lines, i), r"\d{5}"
+        # A block that begins at a code has blanks or commas in its line: a word alone, such as a number, is none.
+        coded = (has(line, code) | ((x != line) & has(x, code))) & has(line, r"[\x00- ,\x7f-\uffff]")
+        return F.struct(i.alias("at"), L.delivers(x).alias("marker"), coded.alias("coded"))
+
+    points = F.filter(F.transform(clean, point), lambda p: p["marker"] | p["coded"])
+
+    def at_line(p: Column) -> Column:
+        i = p["at"]
+        placed = lambda parts: [*_line_blocks(c, i, parts), _mailroom_block(c, i), _generic_block(c, i, parts)]
+        each = lambda parts: F.array(*[F.when(p["marker"], b) for b in _deliver_blocks(c, i)], *[F.when(p["coded"], b) for b in placed(parts)])
+        return let(F.when(p["coded"], words(F.get(lines, i))), each)
+
+    return F.filter(F.flatten(F.transform(points, at_line)), lambda p: p.isNotNull())
+
+
+def _written(allowed: Column) -> Column:
+    """The fields as the last of the allowed proposals leave them, and the parsers' names."""
+    ends = F.struct(F.get(allowed, F.size(allowed) - 1).alias("last"), F.get(F.reverse(F.filter(allowed, lambda p: p["rank"] > 1)), 0).alias("named"))
+    matches = F.array_distinct(F.transform(allowed, lambda p: p["parser"]))
+
+    def fields(x: Column) -> Column:
+        found = [F.coalesce(x["named" if f == "recipient_name" else "last"][f], F.lit("")).alias(f) for f in ADDRESS]
+        return F.struct(*found, F.coalesce(x["last"]["parser"], F.lit("")).alias("parser_used"), matches.alias("parser_matches"))
+
+    return let(ends, fields)
+
+
+def _final_name(lines: Column, name: Column) -> Column:
+    """The parsers' name, unless a line says it better or, where there is none, looks like one."""
+    weak = lambda: (name == "") | L.noise(name) | has(F.upper(name), bounded(r"HUB|DICKINSON\s*COLLEGE")) | (F.regexp_count(name, F.lit("[A-Za-z]+")) < 2)
+    ranked = F.coalesce(F.get(ranked_names(lines), 0)["name"], F.lit(""))
+    better = let(explicit_name(lines), lambda to: F.when((to != "") & weak(), to).otherwise(name))
+    return let(better, lambda x: F.when(x == "", ranked).otherwise(x))
+
+
 def parse(labels: DataFrame) -> DataFrame:
-    """``labels`` (with ``lines``) and their five address fields, ``parser_used`` and ``parser_matches``."""
-    rows = staged(labels.drop(*ADDRESS, "parser_used", "parser_matches"), {"_seen": F.transform("lines", L.features)})
-    rows = staged(rows, {"_clean": F.col("_seen.clean"), "_marker": F.col("_seen.marker")})
-    c = {"lines": F.col("lines"), "clean": F.col("_clean"), "marker": F.col("_marker"), "seen": F.col("_seen")}
-
-    def at_line(i: Column) -> Column:
-        """Most lines are no marker and hold no code, so that no block can end or begin at them."""
-        none = F.array().cast(f"array<{PROPOSAL}>")
-        coded = has(F.get("lines", i), r"\d{5}") | has(F.get("_clean", i), r"\d{5}")
-        placed = let(words(F.get("lines", i)), lambda parts: F.array(*_line_blocks(c, i, parts), _mailroom_block(c, i), _generic_block(c, i, parts)).cast(f"array<{PROPOSAL}>"))
-        return F.concat(F.when(F.get("_marker", i), F.array(*_deliver_blocks(c, i)).cast(f"array<{PROPOSAL}>")).otherwise(none), F.when(coded, placed).otherwise(none))
-
-    every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = staged(rows, {"_all": F.filter(F.flatten(F.transform(every, at_line)), lambda p: p.isNotNull()).cast(f"array<{PROPOSAL}>"), "_to": explicit_name(F.col("lines")), "_campus": campus_address(F.col("_clean"))})
-    rows = staged(rows, {"_p": _allowed(F.col("_all"))})
-    rows = staged(rows, {"_last": F.get(F.reverse("_p"), 0), "_named": F.get(F.reverse(F.filter("_p", lambda p: p["rank"] > 1)), 0), "parser_matches": F.array_distinct(F.transform("_p", lambda p: p["parser"]))})
-    found = {f: F.coalesce(F.col("_named" if f == "recipient_name" else "_last")[f], F.lit("")) for f in ADDRESS}
-    rows = staged(rows, found | {"parser_used": F.coalesce(F.col("_last.parser"), F.lit(""))})
-    name = F.col("recipient_name")
-    weak = (name == "") | L.noise(name) | has(F.upper(name), bounded(r"HUB|DICKINSON\s*COLLEGE")) | (F.regexp_count(name, F.lit("[A-Za-z]+")) < 2)
-    rows = staged(rows, {"recipient_name": F.when((F.col("_to") != "") & weak, F.col("_to")).otherwise(name)})
-    rows = staged(rows, {"recipient_name": F.when(name == "", F.coalesce(F.get(_ranked(F.col("lines"), F.col("_seen")), 0)["name"], F.lit(""))).otherwise(name), "street_address": mailroom_street(F.col("_clean"), F.col("street_address"))})
-    known = F.col("_campus").isNotNull()
-    rows = staged(rows, {
-        "street_address": F.coalesce(F.col("_campus.street_address"), F.col("street_address")), "city": F.when(known, "University Park").otherwise(F.col("city")),
-        "state": F.when(known, "PA").otherwise(F.col("state")), "zip_code": F.coalesce(F.col("_campus.zip_code"), F.col("zip_code")),
-    })
-    return rows.drop("_seen", "_clean", "_marker", "_all", "_p", "_to", "_campus", "_last", "_named")
+    """``labels`` (with ``lines``) and their five address fields, ``parser_used`` and ``parser_matches``, made in one pass over the row."""
+    lines = F.col("lines")
+
+    def repaired(x: Column, clean: Column, text: Column) -> Column:
+        campus = F.when(text.contains("UNIVERSITY"), campus_address(clean))
+        more = F.struct(campus.alias("campus"), _mailroom_street(clean, x["street_address"], text).alias("street"), _final_name(lines, x["recipient_name"]).alias("name"))
+        return let(more, lambda m: final(x, m["campus"], m["street"], m["name"]))
+
+    def final(x: Column, campus: Column, street: Column, name: Column) -> Column:
+        at_campus = lambda f, value: F.when(campus.isNotNull(), value).otherwise(x[f]).alias(f)
+        return F.struct(
+            name.alias("recipient_name"), F.coalesce(campus["street_address"], street).alias("street_address"), at_campus("city", "University Park"), at_campus("state", "PA"),
+            F.coalesce(campus["zip_code"], x["zip_code"]).alias("zip_code"), x["parser_used"].alias("parser_used"), x["parser_matches"].alias("parser_matches"),
+        )
+
+    def found(clean: Column) -> Column:
+        written = let(let(_proposals(lines, clean), _allowed), _written)
+        text = F.upper(F.array_join(clean, "\n"))
+        return let(F.struct(written.alias("x"), text.alias("text")), lambda y: repaired(y["x"], clean, y["text"]))
+
+    return together(labels, let(F.transform(lines, lambda x: L.clean_address(x, let)), found), (*ADDRESS, "parser_used", "parser_matches"))
 
 
 def normalise(rows: DataFrame) -> DataFrame:
     """Parsed fields in their final form, with ``street_rejected`` and the name's flags."""
-    street, name = F.col("street_address"), F.col("recipient_name")
-    out = staged(rows, {"_street": L.normal_street(street, let)})
-    out = staged(out, {"street_rejected": (street != "") & L.rejects(F.col("_street"))})
-    out = staged(out, {
-        "street_address": F.when(street == "", "").when(F.col("street_rejected"), "").otherwise(F.col("_street")), "recipient_name": F.when(name == "", "").otherwise(L.normal_name(name)),
-        "city": F.when(F.col("city") == "", "").otherwise(L.normal_city(F.col("city"), let)),
-    })
-    out = out.drop("_street")
+    street, name, city = F.col("street_address"), F.col("recipient_name"), F.col("city")
+
+    def final(x: Column) -> Column:
+        normal, rejected = x["street"], x["rejected"]
+        return F.struct(
+            rejected.alias("street_rejected"), F.when((street == "") | rejected, "").otherwise(normal).alias("street_address"),
+            F.when(name == "", "").otherwise(L.normal_name(name)).alias("recipient_name"), F.when(city == "", "").otherwise(L.normal_city(city, let)).alias("city"),
+        )
+
+    judged = let(L.normal_street(street, let), lambda normal: F.struct(normal.alias("street"), ((street != "") & L.rejects(normal)).alias("rejected")))
+    out = together(rows, let(judged, final), ("street_rejected", "street_address", "recipient_name", "city"))
     if "tracking_number" in rows.columns:
         out = out.withColumn("tracking_number", L.normal_number(F.col("tracking_number")))
     return out.withColumns(L.name_flags(F.col("recipient_name")))

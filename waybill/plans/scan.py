@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill import schema as S
@@ -44,21 +44,38 @@ def dealt(texts: DataFrame) -> DataFrame:
     return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id")
 
 
+def _number(lines: Column, barcodes: Column) -> Column:
+    """The label's number and its source."""
+    def arbitrated(x: Column) -> Column:
+        number, source = T.arbitrate(x["barcode"], x["ocr"], F.lit(""), lines)
+        return F.struct(number.alias("tracking_number"), source.alias("tracking_source"))
+
+    return text.let(F.struct(T.from_barcodes(barcodes).alias("barcode"), T.tracking_in_lines(lines).alias("ocr")), arbitrated)
+
+
+def _judged(value: dict[str, Column], ocr_text: Column) -> Column:
+    """The number's carrier and check digit, and the confidences."""
+    number, plain = value["tracking_number"], scoring.confidences(value)
+
+    def scored(carrier: Column, checksum: Column) -> Column:
+        all_ = {f: plain[f] for f in S.SCORED} | {"tracking_number": scoring.penalised(plain["tracking_number"], checksum)}
+        return F.struct(carrier.alias("carrier"), checksum.alias("checksum"), *[v.alias(f"{f}_confidence") for f, v in all_.items()])
+
+    return text.let(T.carrier_in_context(number, ocr_text), lambda c: text.let(T.checksum(number, c), lambda k: scored(c, k)))
+
+
 def extract(texts: DataFrame) -> DataFrame:
     """Rule extraction: lines, number, carrier, address, confidences, warnings and triggers."""
     rows = text.staged(texts, {"lines": text.lines(F.col("ocr_text"))})
-    rows = text.staged(rows, {"_barcode": T.from_barcodes(F.col("barcodes")), "_ocr": T.tracking_in_lines(F.col("lines"))})
-    number, source = T.arbitrate(F.col("_barcode"), F.col("_ocr"), F.lit(""), F.col("lines"))
-    rows = text.staged(rows, {"tracking_number": number, "tracking_source": source}).drop("_barcode", "_ocr")
+    rows = text.together(rows, _number(F.col("lines"), F.col("barcodes")), ("tracking_number", "tracking_source"))
     rows = parse.normalise(parse.parse(rows))
-    rows = text.staged(rows, {"carrier": T.carrier_in_context(F.col("tracking_number"), F.col("ocr_text"))})
-    rows = text.staged(rows, {"checksum": T.checksum(F.col("tracking_number"), F.col("carrier"))})
     value = {f: F.col(f) for f in S.SCORED}
+    rows = text.together(rows, _judged(value, F.col("ocr_text")), ("carrier", "checksum", *(f"{f}_confidence" for f in S.SCORED)))
     flags = {n: F.col(n) for n in ("name_looks_like_street", "name_is_sender_artifact", "name_single_word", "name_looks_like_org")}
-    confidence = scoring.confidences(value)
-    confidence["tracking_number"] = scoring.penalised(confidence["tracking_number"], F.col("checksum"))
-    found = {f"{f}_confidence": c for f, c in confidence.items()}
-    return text.staged(rows, found | {"warnings": scoring.warnings(value, F.col("checksum")), "trigger_reasons": scoring.triggers(value, F.col("ocr_confidence"), F.col("ocr_text"), F.col("street_rejected"), flags)})
+    # Columns of their own, not made where nothing reads them.
+    apart = {"overall_confidence": scoring.confidences(value)["overall"], "warnings": scoring.warnings(value, F.col("checksum")), "trigger_reasons": scoring.triggers(value, F.col("ocr_confidence"), F.col("ocr_text"), F.col("street_rejected"), flags)}
+    inside = lambda c: text.let(F.lit(0), lambda _: c)
+    return rows.withColumns({name: inside(c) for name, c in apart.items()})
 
 
 def asked(texts: DataFrame, seams: Seams = Seams(), policy: str = "auto") -> DataFrame:
