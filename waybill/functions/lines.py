@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import bounded, full, has, let, letters_of, squeeze, strip, sub, title, visible_of
+from waybill.functions.text import bounded, contains_any, full, has, let, letters_of, squeeze, strip, sub, title, visible_of
 
 # The words by which label lines are told apart; so are the patterns of damage, markers and forms in the
 # functions clean_street, clean_address, _delivers, _receives, _noisy, _street, _city and normal_street below.
@@ -65,11 +65,11 @@ def clean_street(line: Column, bind: Bind = repeated) -> Column:
     return F.when(starts, bind(out, split)).otherwise(line)
 
 
-#: Lines that cleaning leaves as they are: plain words that start unlike an address, a number and words up to a suffix, one word; and no damage.
-AS_IT_IS = (
-    r"\A(?! )(?!.*(?=[ NAPIRnapir])(?:  |(?i:NL|AUB|PRRLISLE|IVERSITY|RESPONSE|REQUESTED)))"
-    rf"(?:(?![^A-Za-z0-9]*(?:\d|[NSEWnsew] ?\d\d))[ -?A-~]+|\d+ (?:[A-Za-z ]* )?(?i:{SUFFIX})|[0-9A-Za-z]+)(?<! )\z"
-)
+#: Signs of what cleaning repairs or cuts, in upper case.
+DAMAGE = ("@", "NL", "AUB", "PRRLISLE", "IVERSITY", "RESPONSE", "REQUESTED", "  ")
+#: Lines that cleaning leaves as they are, if they have none of these: plain words that start unlike an address, a number and words up to a suffix, one word.
+_PLAIN = rf"(?! )(?:(?![^A-Za-z0-9]*(?:\d|[NSEWnsew] ?\d\d))[ -~]+|\d+ (?:[A-Za-z ]* )?(?i:{SUFFIX})|[0-9A-Za-z]+)(?<! )\z"
+AS_IT_IS = rf"\A(?!.*(?=[@ NAPIRnapir])(?i:{'|'.join(DAMAGE)})){_PLAIN}"
 
 
 def clean_address(line: Column, bind: Bind = repeated) -> Column:
@@ -84,6 +84,14 @@ def clean_address(line: Column, bind: Bind = repeated) -> Column:
     return bind(F.coalesce(line, F.lit("")), lambda x: F.when(has(x, AS_IT_IS), x).otherwise(cleaned(x)))
 
 
+def clean_lines(lines: Column) -> Column:
+    """All lines of a label cleaned; damage is looked for once in all of them."""
+    def each(damaged: Column) -> Column:
+        return F.transform(lines, lambda x: F.when(~damaged & has(x, rf"\A{_PLAIN}"), x).otherwise(clean_address(x, let)))
+
+    return let(contains_any(F.upper(F.array_join(lines, "\n")), DAMAGE), each)
+
+
 def clean_name(line: Column) -> Column:
     out = squeeze(sub(F.coalesce(line, F.lit("")), r"\A\s*(?:TO|SHIP)\s*:?\s*", "", True))
     return sub(out, r"\A[ |]+|[ |]+\z", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,11 @@ def has(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(("(?iu)" if ignore_case else "") + pattern)
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether one of the words is in the text; bound, as it stands for many tests."""
+    return let(text, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]))
+
+
 def full(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Whether the whole text matches; ``$`` alone would accept a last line end."""
     return text.rlike(("(?iu)" if ignore_case else "") + rf"\A(?:{pattern})\z")

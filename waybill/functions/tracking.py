@@ -12,6 +12,7 @@ LETTERS, DIGITS = "OILSBG", "011586"
 USPS_PREFIX = r"(?:9[1-5]|56)"
 UPS_FORM = r"1Z[A-Z0-9]{16}"
 DIGIT_RUN = r"(?i)(?:[0-9OILSBG][\s_\-]*){18,34}"
+SCAN_RUN = r"(?i)(?:[0-9OILSBG][\s_\-]*){22}"  # the least of a USPS number
 OPEN_PREFIXES = ("TBA", "YWNJC", "UUS", "DDIYS", "1LSD")
 #: What every number begins with or is made of, once it is clean.
 NUMBER_START = rf"\A(?:{'|'.join(OPEN_PREFIXES)}|1Z|[0-9{LETTERS}]+\z)"
@@ -141,6 +142,7 @@ def usps_candidates(text: Column) -> Column:
 def tracking_in_lines(lines: Column) -> Column:
     """The first tracking number by three passes: USPS headings, tracking headings, whole lines; else empty."""
     headings = F.filter(F.transform(lines, lambda x, i: F.when(F.upper(x).contains("TRACKING"), i)), lambda i: i.isNotNull())
+    not_fedex = lambda c: _valid(c) & (carrier_of(c) != "FEDEX")
     some = lambda found: F.filter(found, lambda x: x.isNotNull())
 
     def usps_heading(i: Column) -> Column:
@@ -149,18 +151,20 @@ def tracking_in_lines(lines: Column) -> Column:
         candidate = lambda x: F.when(F.length(x) >= 22, first_of(usps_candidates(x)))
         alone = some(F.transform(near, candidate))
         grown = some(F.transform(near, lambda _, k: let(F.array_join(F.slice(lines, i + 1, k + 2), " "), candidate)))
-        return F.when(F.upper(F.get(lines, i)).contains("USPS"), F.coalesce(first_of(alone), first_of(grown)))
+        there = F.upper(F.get(lines, i)).contains("USPS") & has(F.array_join(F.slice(lines, i + 1, 6), " "), SCAN_RUN)
+        return F.when(there, F.coalesce(first_of(alone), first_of(grown)))
 
     def heading(i: Column) -> Column:
-        text = F.array_join(F.slice(lines, i + 1, 3), " ")
-        ups = F.filter(F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(?i)1Z(?:[\s_-]*[A-Z0-9]){16}"), F.lit(0)), 1, 1), clean_ups), _valid)
+        return let(F.array_join(F.slice(lines, i + 1, 3), " "), near_heading)
+
+    def near_heading(text: Column) -> Column:
+        ups = let(F.regexp_extract(text, r"(?i)1Z(?:[\s_-]*[A-Z0-9]){16}", 0), lambda x: F.when(x != "", let(clean_ups(x), lambda c: F.when(_valid(c), c))))
         runs = F.transform(F.regexp_extract_all(text, F.lit(DIGIT_RUN), F.lit(0)), clean_usps)
-        return F.coalesce(first_of(ups), first_of(F.filter(runs, lambda c: _valid(c) & (carrier_of(c) != "FEDEX"))))
+        return F.coalesce(ups, first_of(F.filter(runs, not_fedex)))
 
-    long = F.filter(lines, lambda x: F.length(F.upper(x)) >= 12)  # shorter ones are no number
-    like = F.filter(F.transform(long, clean), lambda x: has(x, NUMBER_START))
-    whole = F.transform(like, lambda x: F.when(x.startswith("1Z"), _repaired_ups(x)).otherwise(_repaired_usps(x)))
-    alone = F.filter(whole, lambda c: _valid(c) & (carrier_of(c) != "FEDEX"))
+    repaired = lambda x: F.when(x.startswith("1Z"), _repaired_ups(x)).otherwise(_repaired_usps(x))
+    whole = lambda x: F.when(has(x, NUMBER_START), let(repaired(x), lambda c: F.when(not_fedex(c), c)))
+    alone = some(F.transform(lines, lambda x: F.when(F.octet_length(x) >= 12, let(clean(x), whole))))  # shorter ones are no number
     return let(headings, lambda at: F.coalesce(*[first_of(some(F.transform(at, f))) for f in (usps_heading, heading)], first_of(alone), F.lit("")))
 
 
@@ -189,5 +193,9 @@ def arbitrate(barcode: Column, ocr: Column, rule: Column, lines: Column) -> tupl
 
     replaced = (ocr != "") & let(carrier_of(barcode), better)
     number = F.when(replaced, ocr).when(barcode != "", barcode).otherwise(F.coalesce(rule, F.lit("")))
-    source = let(number, lambda n: F.when(n == "", "blank").when((barcode != "") & (n == barcode), "barcode").when((ocr != "") & (n == ocr), "ocr").otherwise("rule"))
-    return number, source
+    return number, let(number, lambda n: origin(n, barcode, ocr))
+
+
+def origin(number: Column, barcode: Column, ocr: Column) -> Column:
+    """Where an arbitrated number is from."""
+    return F.when(number == "", "blank").when((barcode != "") & (number == barcode), "barcode").when((ocr != "") & (number == ocr), "ocr").otherwise("rule")

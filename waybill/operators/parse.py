@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions import lines as L
-from waybill.functions.text import bounded, first_of, full, has, let, letters_of, sub, together, visible_of, words
+from waybill.functions.text import bounded, contains_any, first_of, full, has, let, letters_of, squeeze, sub, together, visible_of, words
 
 # Names of the parsers.  The patterns of places, streets and blocks in the functions below are fixed values too.
 PARSERS = ("uniuni_deliver_to", "deliver_to", "city_first_to_address", "zip_first_spaced", "zip_first_combined", "city_state_country_zip", "college_mailroom_parser", "generic_city_state_zip")
@@ -19,6 +19,8 @@ ADDRESS = ("recipient_name", "street_address", "city", "state", "zip_code")
 # Words of a mailroom's address block.
 MAILROOM = "COLLEGE|HUB|UNIVERSITY|PENN STATER|ALUMNI CENTER"
 CAMPUSES = ("CARLISLE", "UNIVERSITY PARK")
+# Parts of these words, one of which stands in a line of every label with such a block.
+MAILROOM_SIGNS = ("COLLEGE", "HUB", "UNIVERSITY", "STATER", "ALUMNI", "CARLISLE")
 DASH = r"\s*[-–—]\s*"
 _CITY_LINE = r"([A-Za-z][A-Za-z .'-]*?),?\s+([A-Z]{2})\s+(\d{5}(?:\s*[-–—]\s*\d{4})?)"
 
@@ -139,22 +141,22 @@ def _mailroom_block(c: dict[str, Column], i: Column) -> Column:
 def _generic_block(c: dict[str, Column], i: Column, parts: Column) -> Column:
     lines = c["lines"]
     zip_form = r"(\d{5})[-–—]?(\d{4})?"
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: full(F.get(parts, k), "[A-Z]{2}") & full(F.coalesce(F.get(parts, k + 1), F.lit("")), zip_form))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: (F.length(F.get(parts, k)) == 2) & full(F.get(parts, k), "[A-Z]{2}") & full(F.coalesce(F.get(parts, k + 1), F.lit("")), zip_form))
 
     def found(k: Column) -> Column:
         code = _at(parts, k + 1)
         apart = lambda plus: F.when((plus == "") & full(F.get(parts, k + 2), "[-–—]") & full(F.get(parts, k + 3), r"\d{4}"), F.get(parts, k + 3)).otherwise(plus)
         plus = let(_group(code, zip_form, 2), lambda plus: F.coalesce(apart(plus), plus))
         city = _bare(F.array_join(F.filter(F.slice(parts, 1, k), lambda x: has(x, r"[\p{L}\p{N}]")), " "))
-        around = F.struct(words(_at(lines, i - 1)).alias("street"), words(_at(lines, i - 2)).alias("name"), _group(code, zip_form, 1).alias("base"), plus.alias("plus"))
+        around = F.struct(squeeze(_at(lines, i - 1)).alias("street"), _at(lines, i - 2).alias("name"), _group(code, zip_form, 1).alias("base"), plus.alias("plus"))
         return F.when(k.isNotNull(), let(around, lambda x: placed(k, x["base"], x["plus"], city, x["street"], x["name"])))
 
     def placed(k: Column, base: Column, plus: Column, city: Column, street: Column, name: Column) -> Column:
-        house = F.coalesce(first_of(F.filter(F.transform(street, lambda x, j: F.when(full(x, r"\d+"), j)), lambda j: j.isNotNull())), F.lit(0))
-        whole = let(house, lambda h: F.array_join(F.slice(street, h + 1, F.greatest(F.size(street) - h, F.lit(0))), " "))
+        house = F.regexp_extract(street, r"(?s)(?:\A|(?<= ))\d+(?= |\z).*", 0)  # from the first word that is a number
+        lettered = F.array_join(F.filter(words(name), lambda x: full(x, r"\p{L}+")), " ")
         return _propose(
-            i, 8, k.isNotNull(), F.array_join(F.filter(name, lambda x: full(x, r"\p{L}+")), " "),
-            whole, city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
+            i, 8, k.isNotNull(), F.when(full(name, r"[A-Za-z]+(?: [A-Za-z]+){0,3}"), name).otherwise(lettered),
+            let(house, lambda h: F.when(h != "", h).otherwise(street)), city, _at(parts, k), F.when(plus != "", F.concat(base, F.lit("-"), plus)).otherwise(base),
         )
 
     return F.when((i >= 2) & has(_at(lines, i), r"\d{5}"), let(first_of(F.reverse(at)), found))
@@ -247,6 +249,10 @@ def campus_address(clean: Column) -> Column:
 
 
 def _proposals(lines: Column, clean: Column) -> Column:
+    return let(contains_any(F.upper(F.array_join(lines, "\n")), MAILROOM_SIGNS), lambda mailroom: _proposed(lines, clean, mailroom))
+
+
+def _proposed(lines: Column, clean: Column, mailroom: Column) -> Column:
     """What every parser would write, in the order of the lines; most lines are no marker and hold no code, so that no block can end or begin at them."""
     c = {"lines": lines, "clean": clean}
 
@@ -260,7 +266,7 @@ def _proposals(lines: Column, clean: Column) -> Column:
 
     def at_line(p: Column) -> Column:
         i = p["at"]
-        placed = lambda parts: [*_line_blocks(c, i, parts), _mailroom_block(c, i), _generic_block(c, i, parts)]
+        placed = lambda parts: [*_line_blocks(c, i, parts), F.when(mailroom, _mailroom_block(c, i)), _generic_block(c, i, parts)]
         each = lambda parts: F.array(*[F.when(p["marker"], b) for b in _deliver_blocks(c, i)], *[F.when(p["coded"], b) for b in placed(parts)])
         return let(F.when(p["coded"], words(F.get(lines, i))), each)
 
@@ -308,7 +314,7 @@ def parse(labels: DataFrame) -> DataFrame:
         text = F.upper(F.array_join(clean, "\n"))
         return let(F.struct(written.alias("x"), text.alias("text")), lambda y: repaired(y["x"], clean, y["text"]))
 
-    return together(labels, let(F.transform(lines, lambda x: L.clean_address(x, let)), found), (*ADDRESS, "parser_used", "parser_matches"))
+    return together(labels, let(L.clean_lines(lines), found), (*ADDRESS, "parser_used", "parser_matches"))
 
 
 def normalise(rows: DataFrame) -> DataFrame:

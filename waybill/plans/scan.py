@@ -47,8 +47,8 @@ def dealt(texts: DataFrame) -> DataFrame:
 def _number(lines: Column, barcodes: Column) -> Column:
     """The label's number and its source."""
     def arbitrated(x: Column) -> Column:
-        number, source = T.arbitrate(x["barcode"], x["ocr"], F.lit(""), lines)
-        return F.struct(number.alias("tracking_number"), source.alias("tracking_source"))
+        number, _ = T.arbitrate(x["barcode"], x["ocr"], F.lit(""), lines)
+        return text.let(number, lambda n: F.struct(n.alias("tracking_number"), T.origin(n, x["barcode"], x["ocr"]).alias("tracking_source")))
 
     return text.let(F.struct(T.from_barcodes(barcodes).alias("barcode"), T.tracking_in_lines(lines).alias("ocr")), arbitrated)
 
