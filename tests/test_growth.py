@@ -92,7 +92,7 @@ def test_texts_are_read_once_and_send_only_words_that_passages_ask_for(spark, sf
 
 def test_a_scan_takes_few_passes_and_makes_no_warnings_that_nobody_reads(spark, sf_dir):
     plan = queries.scan_fields(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-    # Each pass writes every column of the row anew; there were sixteen, and the features of all lines went through most of them.
+    # Each pass writes every column of the row anew; there were twenty, and the features of all lines went through most of them.
     assert plan.count("Generate inline(") <= 7 and "tracking_number_missing" not in plan and "name_single_word" not in plan
 
 
